@@ -30,6 +30,8 @@ MIN_CHARS, MIN_WORDS = 150, 50
 #: Largest distances of kept documents, and what sampling may add: over sqrt(bytes) for classes, over sqrt(words) for words.
 MAX_CLASS_JS, CLASS_ALLOWANCE = 0.14, 2.5
 MAX_WORD_JS, WORD_ALLOWANCE = 0.22, 2.0
+#: What a small reference may add to either, over the square root of its documents.
+REFERENCE_ALLOWANCE = 0.25
 
 _LINES = _table(~_ranges((10, 10)), fold=False)
 _SYMBOLS = np.zeros(256, bool)
@@ -162,7 +164,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def distances(w: Words, column: pa.Array, refs: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """Each document's class distance and word distance to the reference that it is closest to by their sum."""
+    """Each document's class distance and word distance to the reference that it is
+    closest to by their sum, less what the size of that reference may add."""
     n = len(w.rows)
     best = [np.full(n, np.inf), np.zeros(n), np.zeros(n)]
     classes = _class_histogram(w)
@@ -175,6 +178,7 @@ def distances(w: Words, column: pa.Array, refs: list[dict]) -> tuple[np.ndarray,
         shares = np.bincount(owners * k + place[bins], minlength=n * k).reshape(n, k) / counts[:, None]
         d_class = js_distance(classes, ref["classes"][None, :])
         d_word = js_distance(shares, np.append(ref["shares"], max(0.0, 1 - ref["shares"].sum()))[None, :])
+        d_class, d_word = (np.maximum(0, d - REFERENCE_ALLOWANCE / np.sqrt(ref["docs"])) for d in (d_class, d_word))
         closer = d_class + d_word < best[0]
         for have, new in zip(best, (d_class + d_word, d_class, d_word), strict=True):
             have[closer] = new[closer]

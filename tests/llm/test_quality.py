@@ -35,6 +35,7 @@ def test_base_measures_match_brute_force(spark, sf_dir):
 
 
 def test_divergence_tells_junk_from_prose(spark, sf_dir):
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     got = Q.assess(rows).join(labels, "doc_id").where("not base_failed").select("kept", "quality").collect()
