@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import decontamination, lengths, packing, quality
+from tallyweave.llm import decontamination, lengths, mainpath, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,5 +27,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.suffix_sums(lengths.length_counts(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op5_quality, op8_packing, op9_token_counts)}
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainpath.main_text(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op5_quality, op8_packing, op9_token_counts, op10_main_text)}
 ORACLES: dict[str, str] = {}
