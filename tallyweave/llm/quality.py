@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyweave.llm.shared import written
 from tallyweave.llm.wordarrays import SPACED, SPACED_EXACT, Words, _ranges, _table, mix, word_chunks
 
 WORD_BINS = 1 << 14
@@ -113,7 +114,7 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def references(docs: DataFrame) -> list[dict]:
     """One for each language: lang, docs, classes (shares), bins and shares of common words."""
     sums = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").alias("text")).where("lang is not null and text is not null").mapInArrow(_count, "lang string, bin int, total long, docs long")
-    sums = sums.groupBy("lang", "bin").agg(F.sum("total").alias("total"), F.sum("docs").alias("docs"))
+    sums = written(sums.groupBy("lang", "bin").agg(F.sum("total").alias("total"), F.sum("docs").alias("docs")))
     by_size = Window.partitionBy("lang", F.col("bin") < 0).orderBy(F.desc("total"), "bin")
     rows = sums.withColumn("rank", F.row_number().over(by_size)).where((F.col("bin") < 0) | (F.col("rank") <= COMMON))
     largest = sums.where("bin = -1").where(f"docs >= {MIN_DOCS}").orderBy(F.desc("docs"), "lang").limit(MAX_LANGUAGES).select("lang")
