@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import decontamination, lengths, licenses, mainpath, packing, quality
+from tallyweave.llm import decontamination, jaccard, lengths, licenses, mainpath, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents")).drop("detections")
 
@@ -35,5 +39,5 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainpath.main_text(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_licenses, op5_quality, op8_packing, op9_token_counts, op10_main_text)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op3_licenses, op5_quality, op8_packing, op9_token_counts, op10_main_text)}
 ORACLES: dict[str, str] = {}
