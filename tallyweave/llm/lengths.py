@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.llm.encoding import default_path, encoder
+from tallyweave.llm.shared import written
 
 #: Lengths in one block of the two-level suffix sums.
 BLOCK = 1024
@@ -39,7 +40,7 @@ def suffix_sums(counts: DataFrame) -> DataFrame:
     The sums go over blocks of lengths first, so that no task sees the whole histogram.
     An empty histogram gives no rows.
     """
-    counts = counts.withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
+    counts = written(counts).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     tokens = F.col("n_tokens") * F.col("n_docs")
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(tokens).alias("t"))
     above = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
