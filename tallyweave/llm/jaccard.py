@@ -183,7 +183,7 @@ class Join:
     def sets(self, docs: DataFrame, keys: DataFrame) -> DataFrame:
         """(k1, n, tokens) of the classes in keys(k1), one row each."""
         count = keys.count()
-        sent = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in keys.collect()], np.int64))) if count <= SENT_KEYS else None
+        sent = docs.sparkSession.sparkContext.broadcast(np.sort(keys.toArrow().column(0).to_numpy())) if count <= SENT_KEYS else None
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chosen = sent.value if sent else None
