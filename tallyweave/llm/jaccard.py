@@ -180,41 +180,47 @@ class Join:
         least = buckets.groupBy("token").agg(F.min("k1").alias("hub"))
         return components(buckets.join(least, "token").select(F.col("k1").alias("a"), F.col("hub").alias("b")))
 
-    def sets(self, docs: DataFrame, keys: DataFrame) -> DataFrame:
-        """(k1, n, tokens) of the classes in keys(k1), one row each."""
-        count = keys.count()
-        sent = docs.sparkSession.sparkContext.broadcast(np.sort(keys.toArrow().column(0).to_numpy())) if count <= SENT_KEYS else None
+    def sets(self, docs: DataFrame, chosen: DataFrame) -> DataFrame:
+        """(k1, n, tokens, cluster) of the classes in chosen(k1, least, cluster), from the document
+        with the smallest id of each; where all ids are null, from each document."""
+        sent = None
+        if chosen.count() <= SENT_KEYS:
+            table = chosen.select("k1", F.coalesce("least", F.lit(0)).cast("long").alias("least"), F.col("least").isNull().alias("any"), "cluster").toArrow()
+            columns = [c.to_numpy() for c in table.columns]
+            order = np.argsort(columns[0])
+            sent = docs.sparkSession.sparkContext.broadcast([c[order] for c in columns])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            chosen = sent.value if sent else None
-            given: set[int] = set()
             for batch in batches:
+                ids = pa.array(batch.column("doc_id")).fill_null(0).to_numpy(zero_copy_only=False)
                 for w in word_chunks(batch.column("text"), SPACED):
                     tokens, bounds = shingle_sets(w, self.size)
                     k1, _ = set_keys(tokens, bounds)
                     n = np.diff(bounds)
                     use = n > 0
-                    if chosen is not None:
-                        at = np.minimum(np.searchsorted(chosen, k1), max(0, len(chosen) - 1))
-                        use &= chosen[at] == k1 if len(chosen) else False
-                    rows = []
-                    for i in np.flatnonzero(use):
-                        if chosen is None or int(k1[i]) not in given:
-                            given.add(int(k1[i])) if chosen is not None else None
-                            rows.append(i)
-                    if rows:
+                    cluster = np.zeros(len(n), np.int64)
+                    if sent is not None:
+                        keys, least, anyone, clusters = sent.value
+                        if not len(keys):
+                            continue
+                        at = np.minimum(np.searchsorted(keys, k1), len(keys) - 1)
+                        use &= (keys[at] == k1) & ((least[at] == ids[w.rows]) | anyone[at])
+                        cluster = clusters[at]
+                    rows = np.flatnonzero(use)
+                    if len(rows):
                         data = [tokens[bounds[i] : bounds[i + 1]].tobytes() for i in rows]
-                        yield pa.RecordBatch.from_arrays([pa.array(k1[rows]), pa.array(n[rows].astype(np.int64)), pa.array(data, pa.binary())], ["k1", "n", "tokens"])
+                        yield pa.RecordBatch.from_arrays([pa.array(k1[rows]), pa.array(n[rows].astype(np.int64)), pa.array(data, pa.binary()), pa.array(cluster[rows])], ["k1", "n", "tokens", "cluster"])
 
-        rows = docs.select("text").mapInArrow(run, "k1 long, n long, tokens binary")
+        rows = docs.mapInArrow(run, "k1 long, n long, tokens binary, cluster long")
         if sent is None:
-            rows = rows.join(keys, "k1", "left_semi")
-        return rows.groupBy("k1").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+            rows = rows.drop("cluster").groupBy("k1").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")).join(chosen.select("k1", "cluster"), "k1")
+        return rows
 
-    def links(self, docs: DataFrame, clusters: DataFrame, local_sets: int = LOCAL_SETS, local_tokens: int = LOCAL_TOKENS) -> DataFrame:
+    def links(self, docs: DataFrame, classes: DataFrame, clusters: DataFrame, local_sets: int = LOCAL_SETS, local_tokens: int = LOCAL_TOKENS) -> DataFrame:
         """(a, b) by k1: links that connect all classes that are connected."""
         clusters = clusters.select(F.col("node").alias("k1"), F.col("component").alias("cluster"))
-        sets = written(self.sets(docs, clusters.select("k1")).join(clusters, "k1"))
+        chosen = clusters.join(classes.groupBy("k1").agg(F.min("least").alias("least")), "k1")
+        sets = written(self.sets(docs, written(chosen)))
         sizes = sets.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / local_sets), F.ceil(F.sum("n") / local_tokens)).alias("blocks"), F.min("k1").alias("hub"))
         large = sizes.where("blocks > 1")
         if not large.head(1):
@@ -260,7 +266,7 @@ class Join:
         heads = written(self.heads(docs))
         classes = written(heads.where("n > 0").groupBy("k1", "k2", "n", "sampled").agg(F.min("doc_id").alias("least")))
         found = self.clusters(docs, classes)
-        joined = components(self.links(docs, found, local_sets, local_tokens))
+        joined = components(self.links(docs, classes, found, local_sets, local_tokens))
         joined = joined.select(F.col("node").alias("k1"), F.col("component").alias("c"))
         labels = classes.select("k1", "k2", "n", "least").join(joined, "k1", "left")
         alone = labels.where("c is null").select("k1", "k2", "n", F.col("least").alias("component_id"))

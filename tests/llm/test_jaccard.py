@@ -72,6 +72,7 @@ def test_matches_brute_force(spark, size, percent, local):
 
 def test_frequent_shingles_keep_links(spark, monkeypatch):
     monkeypatch.setattr(J, "CAP", 3)
+    monkeypatch.setattr(J, "SENT_KEYS", 0)
     docs = family(1)
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted(tuple(r) for r in J.jaccard_components(frame, 3, 90).collect()) == sorted(brute(docs, 3, 90))
