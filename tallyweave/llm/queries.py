@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyweave.llm import decontamination, jaccard, lengths, licenses, mainpath, packing, quality, suffixes
+from tallyweave.llm import decontamination, jaccard, languages, lengths, licenses, mainpath, packing, quality, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,13 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_js", "word_js")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    filters = languages.learn(docs.where(F.coalesce(languages.fold(F.col("doc_id"), 3) != 1, F.lit(False))))
+    held_out = F.coalesce(languages.fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    return languages.identify(docs, filters).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -43,5 +51,5 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainpath.main_text(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op3_licenses, op4_suffix_dedup, op5_quality, op8_packing, op9_token_counts, op10_main_text)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op3_licenses, op4_suffix_dedup, op5_quality, op6_language_id, op8_packing, op9_token_counts, op10_main_text)}
 ORACLES: dict[str, str] = {}
