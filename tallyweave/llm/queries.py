@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import decontamination, jaccard, languages, lengths, licenses, mainpath, packing, quality, suffixes
+from tallyweave.llm import decontamination, jaccard, languages, lengths, licenses, mainpath, packing, quality, suffixes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identify(docs, filters).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = F.coalesce(languages.fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = toxicity.learn(docs, labels.where(~held_out))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -51,5 +58,5 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainpath.main_text(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op3_licenses, op4_suffix_dedup, op5_quality, op6_language_id, op8_packing, op9_token_counts, op10_main_text)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op3_licenses, op4_suffix_dedup, op5_quality, op6_language_id, op7_toxicity, op8_packing, op9_token_counts, op10_main_text)}
 ORACLES: dict[str, str] = {}
