@@ -18,6 +18,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows in an Arrow batch at most; with long documents the default would hold tens of MB on both sides.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Limits the session's Arrow batches to BATCH_ROWS rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: computed once, without lineage, safe from lost executors."""
     spark = df.sparkSession

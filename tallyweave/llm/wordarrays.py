@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at once; bounds the temporary arrays to about 12 times this.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20_240_917))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -98,7 +98,8 @@ class Words:
         self.first, self.last = np.flatnonzero(begin), np.flatnonzero(end)
         up, down = _BYTE_POWERS.get(n + 1)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values[data] * up[:n], out=sums[1:])
+        np.multiply(values[data], up[:n], out=sums[1:])
+        np.cumsum(sums[1:], out=sums[1:])
         self.value = mix((sums[self.last] - sums[self.first]) * down[self.first] + (self.last - self.first).astype(np.uint64))
         self.bounds = np.searchsorted(self.first, offsets)
 
@@ -128,11 +129,10 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's bytes and len + 1 offsets into them; null texts have none."""
     if column.null_count:
         column = column.fill_null("")
-    large = column.cast(pa.large_string()) if column.type != pa.large_string() else column
-    _, offsets, data = large.buffers()
-    if not len(large):
+    if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    off = np.frombuffer(offsets, np.int64, len(large) + 1, large.offset * 8)
+    _, offsets, data = column.buffers()
+    off = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[off[0] : off[-1]], off - off[0]
 
