@@ -7,7 +7,8 @@ Documents are sets of word shingles; two link when percent of their union is com
    coordinated sample of the shingles (those with the smallest fingerprints, more than
    a class may miss of a partner) shows how many classes share each; a class with too
    many shingles of its own has no partner, and the others need only be put together
-   by the rarest of their shingles, as many as prefix filtering asks for. This loses nothing.
+   by the rarest of their shingles, as many as prefix filtering asks for. This loses nothing,
+   and is done once more with all shingles of the classes that are left.
 3. In a cluster, documents are dealt into groups of similar ones. The token-group matrix
    has each group's token union; a query document opens a group only if its overlap with the
    union allows a link, and only for members that it isn't connected with yet. Members
@@ -30,8 +31,8 @@ from tallyweave.llm.wordarrays import SPACED, Words, mix, word_chunks
 
 #: Classes and shingles of a cluster that one task takes.
 LOCAL_SETS, LOCAL_TOKENS = 4096, 4_000_000
-#: Classes whose keys are sent to every executor to pick their texts; beyond that their sets are shuffled.
-SENT_KEYS = 2_000_000
+#: Candidates whose ids are broadcast to pick their texts; beyond that the texts are shuffled.
+SENT_KEYS = 500_000
 #: Sampled share of the shingles, as a multiple of what a class may miss of a partner.
 SAMPLE = 1.5
 #: Numbers of classes that share a shingle are told apart up to this.
@@ -82,9 +83,9 @@ def prefix_length(n, percent: int):
 class Join:
     """The parameters: shingle size, percent, and the sampling threshold that follows."""
 
-    def __init__(self, size: int, percent: int) -> None:
+    def __init__(self, size: int, percent: int, sample: float = SAMPLE) -> None:
         self.size, self.percent = size, percent
-        self.below = np.uint64(min((1 << 64) - 1, int(SAMPLE * (100 - percent) / 100 * 2.0**64)))
+        self.below = np.uint64(min((1 << 64) - 1, int(min(1.0, sample * (100 - percent) / 100) * 2.0**64)))
 
     def heads(self, docs: DataFrame) -> DataFrame:
         """For each row: doc_id, n (size of its set), k1, k2 (its keys), sampled (its sampled shingles)."""
@@ -180,47 +181,26 @@ class Join:
         least = buckets.groupBy("token").agg(F.min("k1").alias("hub"))
         return components(buckets.join(least, "token").select(F.col("k1").alias("a"), F.col("hub").alias("b")))
 
-    def sets(self, docs: DataFrame, chosen: DataFrame) -> DataFrame:
-        """(k1, n, tokens, cluster) of the classes in chosen(k1, least, cluster), from the document
-        with the smallest id of each; where all ids are null, from each document."""
-        sent = None
-        if chosen.count() <= SENT_KEYS:
-            table = chosen.select("k1", F.coalesce("least", F.lit(0)).cast("long").alias("least"), F.col("least").isNull().alias("any"), "cluster").toArrow()
-            columns = [c.to_numpy() for c in table.columns]
-            order = np.argsort(columns[0])
-            sent = docs.sparkSession.sparkContext.broadcast([c[order] for c in columns])
+    def sets(self, docs: DataFrame, clusters: DataFrame) -> DataFrame:
+        """(k1, n, tokens, cluster) of the documents whose class is in clusters(k1, cluster)."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = pa.array(batch.column("doc_id")).fill_null(0).to_numpy(zero_copy_only=False)
                 for w in word_chunks(batch.column("text"), SPACED):
                     tokens, bounds = shingle_sets(w, self.size)
                     k1, _ = set_keys(tokens, bounds)
                     n = np.diff(bounds)
-                    use = n > 0
-                    cluster = np.zeros(len(n), np.int64)
-                    if sent is not None:
-                        keys, least, anyone, clusters = sent.value
-                        if not len(keys):
-                            continue
-                        at = np.minimum(np.searchsorted(keys, k1), len(keys) - 1)
-                        use &= (keys[at] == k1) & ((least[at] == ids[w.rows]) | anyone[at])
-                        cluster = clusters[at]
-                    rows = np.flatnonzero(use)
-                    if len(rows):
-                        data = [tokens[bounds[i] : bounds[i + 1]].tobytes() for i in rows]
-                        yield pa.RecordBatch.from_arrays([pa.array(k1[rows]), pa.array(n[rows].astype(np.int64)), pa.array(data, pa.binary()), pa.array(cluster[rows])], ["k1", "n", "tokens", "cluster"])
-
-        rows = docs.mapInArrow(run, "k1 long, n long, tokens binary, cluster long")
-        if sent is None:
-            rows = rows.drop("cluster").groupBy("k1").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")).join(chosen.select("k1", "cluster"), "k1")
-        return rows
-
-    def links(self, docs: DataFrame, classes: DataFrame, clusters: DataFrame, local_sets: int = LOCAL_SETS, local_tokens: int = LOCAL_TOKENS) -> DataFrame:
+                    rows = np.flatnonzero(n)
+                    data = [tokens[bounds[i] : bounds[i + 1]].tobytes() for i in rows]
+                    yield pa.RecordBatch.from_arrays([pa.array(k1[rows]), pa.array(n[rows].astype(np.int64)), pa.array(data, pa.binary())], ["k1", "n", "tokens"])
+
+        few = clusters.count() <= SENT_KEYS
+        return docs.select("text").mapInArrow(run, "k1 long, n long, tokens binary").join(F.broadcast(clusters) if few else clusters, "k1")
+
+    def links(self, docs: DataFrame, clusters: DataFrame, local_sets: int = LOCAL_SETS, local_tokens: int = LOCAL_TOKENS) -> DataFrame:
         """(a, b) by k1: links that connect all classes that are connected."""
         clusters = clusters.select(F.col("node").alias("k1"), F.col("component").alias("cluster"))
-        chosen = clusters.join(classes.groupBy("k1").agg(F.min("least").alias("least")), "k1")
-        sets = written(self.sets(docs, written(chosen)))
+        sets = written(self.sets(docs, clusters))
         sizes = sets.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / local_sets), F.ceil(F.sum("n") / local_tokens)).alias("blocks"), F.min("k1").alias("hub"))
         large = sizes.where("blocks > 1")
         if not large.head(1):
@@ -266,7 +246,10 @@ class Join:
         heads = written(self.heads(docs))
         classes = written(heads.where("n > 0").groupBy("k1", "k2", "n", "sampled").agg(F.min("doc_id").alias("least")))
         found = self.clusters(docs, classes)
-        joined = components(self.links(docs, classes, found, local_sets, local_tokens))
+        few = candidates(docs, classes, found)
+        # Among the candidates all shingles are counted: most that only passages had brought together drop out.
+        found = Join(self.size, self.percent, float("inf")).clusters(few, classes.withColumn("sampled", F.col("n")))
+        joined = components(self.links(few, found, local_sets, local_tokens))
         joined = joined.select(F.col("node").alias("k1"), F.col("component").alias("c"))
         labels = classes.select("k1", "k2", "n", "least").join(joined, "k1", "left")
         alone = labels.where("c is null").select("k1", "k2", "n", F.col("least").alias("component_id"))
@@ -276,6 +259,16 @@ class Join:
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def candidates(docs: DataFrame, classes: DataFrame, clusters: DataFrame) -> DataFrame:
+    """doc_id and text of a document of each class in clusters: the one with the smallest id. Documents
+    without an id are all taken, if the ids of a class are all null."""
+    ids = written(clusters.select(F.col("node").alias("k1")).join(classes, "k1").select(F.col("least").alias("_id")).distinct())
+    nameless = bool(ids.where("_id is null").head(1))
+    named = ids.where("_id is not null")
+    out = docs.join(F.broadcast(named) if named.count() <= SENT_KEYS else named, F.col("doc_id") == F.col("_id"), "left_semi")
+    return written(out.unionByName(docs.where("doc_id is null")) if nameless else out)
+
+
 def _ended(batches):
     yield from batches
     yield None

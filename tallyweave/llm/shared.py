@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,32 +47,64 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Edges of one local contraction.
+FOREST_EDGES = 200_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For runs of edges, edges from each node to the least that it reaches within the run."""
+    parent: dict[int, int] = {}
+    held = 0
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(up, up)
+        return x
+
+    def stars() -> pa.RecordBatch:
+        pairs = [(x, r) for x in list(parent) if (r := root(x)) != x]
+        parent.clear()
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([r for _, r in pairs], pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+        held += len(batch)
+        if held >= FOREST_EDGES:
+            yield stars()
+            held = 0
+    yield stars()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of the undirected edges (a, b).
+    """Connected components of the undirected edges (a, b), both long.
 
     Returns (node, component): every node of an edge with a != b, and the smallest
-    node that it can reach. Alternates large-star and small-star steps; each is
-    an aggregation with map-side combine and a join that AQE may split, so
-    a node with very many edges is no bottleneck. Nulls are ignored.
+    node that it can reach. Runs of edges are contracted first; then large-star and
+    small-star steps alternate. Each is an aggregation with map-side combine and a join
+    that AQE may split, so a node with very many edges is no bottleneck. Nulls are ignored.
     """
-    edges = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    edges = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().mapInArrow(_forest, "a long, b long")
+    edges = written(edges.distinct())
+
+    def state(df: DataFrame):
+        return df.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
+
+    before = state(edges)
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        kept = edges.groupBy("a").agg(F.min("b").alias("m"))
-        star = large.distinct()
+        star = both.join(least, "a").where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = star.groupBy("a").agg(F.min("b").alias("m"))
         small = star.join(least, "a").where("b != m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        del kept
         after = written(least.select("a", F.col("m").alias("b")).union(small).where("a != b").distinct())
-        sums = after.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
         drop_written(edges)
-        edges = after
-        if sums == before:
+        edges, now = after, state(after)
+        if now == before:
             break
-        before = sums
+        before = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
