@@ -9,15 +9,12 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import money as M
 from tallyweave.functions import text as T
-from tallyweave.operators import documents as D
 from tallyweave.operators import findings as V
 from tallyweave.operators import graph as G
 from tallyweave.operators import pairs as P
-from tallyweave.operators import retrieval as R
 from tallyweave.operators import snapshot as S
 from tallyweave.operators import state as Z
 from tallyweave.sources import ledger as L
-from tallyweave.streaming import eventlog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -239,19 +236,15 @@ def edge_merge(spark, d):
 
 
 @query(
-    """WITH e AS (SELECT DISTINCT 'cust:' || o_custkey AS src, 'nation:' || c_nationkey AS dst FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 20 = 0 UNION SELECT DISTINCT 'cust:' || o_custkey, 'order:' || o_orderkey FROM orders WHERE o_orderkey % 20 = 0),
-s AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), seeds AS (SELECT DISTINCT src AS seed FROM e WHERE starts_with(src, 'cust:') AND CAST(substr(src, 6) AS BIGINT) % 10 = 0),
-h1 AS (SELECT DISTINCT seed, dst AS node FROM seeds JOIN s ON seed = src), h2 AS (SELECT DISTINCT seed, dst AS node FROM h1 JOIN s ON node = src),
-u AS (SELECT seed, seed AS node, 0 AS hops FROM seeds UNION ALL SELECT seed, node, 1 FROM h1 UNION ALL SELECT seed, node, 2 FROM h2)
-SELECT seed, node, min(hops) AS hops FROM u GROUP BY ALL"""
+    """WITH e AS (SELECT 'cust:' || o_custkey AS src, 'order:' || o_orderkey AS dst FROM orders UNION SELECT 'order:' || l_orderkey, 'supp:' || l_suppkey FROM lineitem),
+h1 AS (SELECT DISTINCT src AS seed, dst AS node FROM e WHERE starts_with(src, 'cust:')), h2 AS (SELECT DISTINCT seed, e.dst AS node FROM h1 JOIN e ON h1.node = e.src)
+SELECT seed, seed AS node, 0 AS hops FROM (SELECT DISTINCT seed FROM h1) UNION ALL SELECT seed, node, 1 FROM h1 UNION ALL SELECT seed, node, 2 FROM h2"""
 )
 def khop2(spark, d):
-    """Two steps from every tenth customer over order and nation edges."""
-    orders = L.table(spark, d, "orders").where("o_orderkey % 20 = 0")
+    """Two steps from every customer with orders, over orders to suppliers."""
     text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    nation = orders.join(L.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(text("cust:", "o_custkey").alias("src"), text("nation:", "c_nationkey").alias("dst"))
-    e = nation.union(orders.select(text("cust:", "o_custkey"), text("order:", "o_orderkey"))).distinct()
-    return G.k_hop(e, orders.where("o_custkey % 10 = 0").select(text("cust:", "o_custkey").alias("node")))
+    placed = L.table(spark, d, "orders").select(text("cust:", "o_custkey").alias("src"), text("order:", "o_orderkey").alias("dst"))
+    return G.k_hop(placed.union(L.table(spark, d, "lineitem").select(text("order:", "l_orderkey"), text("supp:", "l_suppkey"))), placed.select(F.col("src").alias("node")))
 
 
 @query(f"WITH {MENTIONS} SELECT entity_id, count(*) AS docs FROM men WHERE CAST(substr(doc_id, 7) AS BIGINT) % 2 = 1 GROUP BY entity_id")

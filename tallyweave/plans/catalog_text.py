@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tallyweave.functions import money as M
 from tallyweave.functions import text as T
 from tallyweave.operators import documents as D
+from tallyweave.operators import grounding as K
 from tallyweave.operators import retrieval as R
+from tallyweave.operators import snapshot as S
 from tallyweave.operators import state as Z
 from tallyweave.plans.catalog import LEDGER, any_of, query, quoted
 from tallyweave.sources import ledger as L
@@ -57,10 +59,10 @@ def amount_scan(spark, d):
     return rows.groupBy("id").agg(F.count("*").alias("n"), F.sum(F.col("v").cast("decimal(18,2)")).cast("double").alias("total"))
 
 
-@query(f"WITH {LINES} SELECT id, array_to_string(list_sort(list_transform(regexp_extract_all(text, '[0-9][0-9,.]*'), lambda t: round(CAST(rtrim(replace(t, ',', ''), '.') AS DOUBLE), 2))), ';') AS numbers FROM ln WHERE id % 8 IN (3, 4, 7)")
+@query(f"WITH {LINES} SELECT id, array_to_string(list_sort(list_transform(regexp_extract_all(text, '[0-9][0-9,.]*'), lambda t: round(CAST(rtrim(replace(t, ',', ''), '.') AS DOUBLE), 2))), ';') AS numbers FROM ln")
 def number_multiset(spark, d):
     numbers = F.transform(M.number_multiset(F.col("text")), lambda x: x.cast("string"))
-    return lines(spark, d).where("id % 8 in (3, 4, 7)").select("id", F.array_join(numbers, ";").alias("numbers"))
+    return lines(spark, d).select("id", F.array_join(numbers, ";").alias("numbers"))
 
 
 # ---------------------------------------------------------------- language and type
@@ -212,12 +214,12 @@ def multi_query_topk(spark, d):
 
 
 @query(
-    """WITH u AS (SELECT 'keyword' AS source, 0 AS p, doc_id, text, CAST(n_chars AS DOUBLE) AS score FROM documents WHERE contains(text, 'tion') UNION ALL SELECT 'vector', 1, doc_id, text, 0.5 FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'graph', 2, doc_id, text, 0.0 FROM documents WHERE doc_id % 3 = 0)
+    """WITH u AS (SELECT 'keyword' AS source, 0 AS p, doc_id, text, CAST(n_chars AS DOUBLE) AS score FROM documents WHERE contains(text, 'tion') UNION ALL SELECT 'vector', 1, doc_id, text, 0.5 FROM documents WHERE lang = 'en' UNION ALL SELECT 'graph', 2, doc_id, text, 0.0 FROM documents)
 SELECT source, doc_id, score FROM u QUALIFY row_number() OVER (PARTITION BY left(text, 100) ORDER BY p, score DESC, doc_id) = 1"""
 )
 def hybrid_merge(spark, d):
     t = L.table(spark, d, "documents")
-    return R.merge_hits(t.where("contains(text, 'tion')").withColumn("score", F.col("n_chars")), t.where("doc_id % 2 = 0").withColumn("score", F.lit(0.5)), t.where("doc_id % 3 = 0").withColumn("score", F.lit(0.0)))
+    return R.merge_hits(t.where("contains(text, 'tion')").withColumn("score", F.col("n_chars")), t.where("lang = 'en'").withColumn("score", F.lit(0.5)), t.withColumn("score", F.lit(0.0)))
 
 
 @query("SELECT doc_id, CAST(CASE WHEN n <= 5 THEN 50 WHEN n <= 15 THEN least(65, 80) ELSE 80 END AS INTEGER) AS k FROM (SELECT doc_id, n_chars // 2000 + 1 AS n FROM documents)")
@@ -278,11 +280,11 @@ def checklist_rules(spark, d):
     return Z.checklist(L.documents_meta(spark, d), spark)
 
 
-@query("WITH p AS (SELECT c_nationkey AS audit_id, 'Check ' || c_mktsegment AS description FROM customer WHERE c_custkey % 2 = 0), f AS (SELECT c_nationkey AS audit_id, upper('check ' || c_mktsegment) AS description FROM customer WHERE c_custkey % 7 = 0) SELECT * FROM p UNION ALL SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.audit_id = f.audit_id AND lower(trim(p.description)) = lower(trim(f.description)))")
+@query("WITH p AS (SELECT c_nationkey AS audit_id, 'Check ' || c_mktsegment AS description FROM customer WHERE c_acctbal > 5000), f AS (SELECT c_nationkey AS audit_id, upper('check ' || c_mktsegment) AS description FROM customer) SELECT * FROM p UNION ALL SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.audit_id = f.audit_id AND lower(trim(p.description)) = lower(trim(f.description)))")
 def replan_union(spark, d):
     c = L.table(spark, d, "customer")
     text = F.concat(F.lit("Check "), F.col("c_mktsegment"))
-    return Z.union_new(c.where("c_custkey % 2 = 0").select(F.col("c_nationkey").alias("audit_id"), text.alias("description")), c.where("c_custkey % 7 = 0").select(F.col("c_nationkey").alias("audit_id"), F.upper(text).alias("description")))
+    return Z.union_new(c.where("c_acctbal > 5000").select(F.col("c_nationkey").alias("audit_id"), text.alias("description")), c.select(F.col("c_nationkey").alias("audit_id"), F.upper(text).alias("description")))
 
 
 @query("WITH h AS (SELECT o_orderkey AS id, sha1(unhex('6f3a8f5a2c1b4d3e8a9f1b2c3d4e5f6a') || encode('contract_id::ctr' || o_orderkey)) AS h FROM orders) SELECT id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr(h, 17, 1))::BIGINT % 4 + 1 AS INTEGER), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS entity_id FROM h")
@@ -301,3 +303,49 @@ def role_demotion(spark, d):
     allowed = spark.createDataFrame([("bank_statement", r) for r in BANK_ROLES], "dt string, r string").withColumn("ok", F.lit(True))
     a = L.amounts(spark, d).select("entity_id", F.when(F.col("audit_id") % 2 == 0, "bank_statement").otherwise(F.col("doc_type")).alias("dt"), F.col("amount_role").alias("r"))
     return a.join(F.broadcast(allowed), ["dt", "r"], "left").select("entity_id", F.when((F.col("dt") == "bank_statement") & F.col("ok").isNull(), "unknown").otherwise(F.col("r")).alias("role"))
+
+
+# ---------------------------------------------------------------- grounding
+
+
+SAID = "sd AS (SELECT o_custkey AS audit_id, o_orderkey AS finding_id, CASE WHEN o_orderstatus = 'P' THEN 'warning' ELSE 'critical' END AS severity, CAST(o_totalprice AS DECIMAL(18,2)) AS t FROM orders)"
+
+
+def said(spark, d):
+    """A finding for each order that names a contract, an invoice and a payment."""
+    price = lambda x: F.format_number(F.col("o_totalprice").cast("decimal(18,2)").cast("double") * x, 2)
+    return L.table(spark, d, "orders").select(
+        F.col("o_custkey").alias("audit_id"), F.col("o_orderkey").alias("finding_id"), F.when(F.col("o_orderstatus") == "P", "warning").otherwise("critical").alias("severity"), F.concat(F.lit("Contract of EGP "), price(1)).alias("title"),
+        F.concat(F.lit("It was billed at "), price(2), F.lit(" EGP, and the bank paid EGP "), price(4)).alias("description"), F.array(F.concat(F.lit("contract_"), F.col("o_orderkey").cast("string"), F.lit(".pdf: EGP "), price(1))).alias("evidence"),
+    )
+
+
+@query(f"WITH {SAID}, c AS (SELECT audit_id, CAST(max(t) AS DOUBLE) AS m FROM sd WHERE severity = 'critical' AND t >= 1000 GROUP BY 1), i AS (SELECT audit_id, CAST(max(t) AS DOUBLE) * 2 AS m FROM sd WHERE severity = 'critical' AND CAST(t AS DOUBLE) * 2 >= 1000 GROUP BY 1), b AS (SELECT audit_id, CAST(max(t) AS DOUBLE) * 4 AS m FROM sd WHERE severity = 'critical' AND CAST(t AS DOUBLE) * 4 >= 1000 GROUP BY 1) SELECT audit_id, 'contract_total' AS field, m AS value FROM c UNION ALL SELECT audit_id, 'invoice_total', m FROM i UNION ALL SELECT audit_id, 'bank_paid_total', m FROM b")
+def label_amounts(spark, d):
+    return K.label_amounts(said(spark, d))
+
+
+@query()
+def snapshot_filled(spark, d):
+    """Snapshots with their gaps filled: tested case by case."""
+    return K.fill_gaps(S.snapshot(L.amounts(spark, d)), K.label_amounts(said(spark, d)))
+
+
+@query()
+def finding_conflicts(spark, d):
+    """Conflict rows of findings with their amounts grounded: tested case by case."""
+    return K.finding_conflicts(said(spark, d), L.documents_meta(spark, d), L.amounts(spark, d))
+
+
+@query("WITH h AS (SELECT doc_id % 20 AS audit_id, doc_id % 3 AS check_no, doc_id, doc_id AS position, text FROM documents), f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY audit_id, check_no, doc_id, left(text, 180) ORDER BY position) = 1) SELECT audit_id, check_no, doc_id, row_number() OVER (PARTITION BY audit_id, check_no ORDER BY position, doc_id) AS snippet_no FROM f QUALIFY row_number() OVER (PARTITION BY audit_id, check_no ORDER BY position, doc_id) <= 14")
+def snippet_dedupe(spark, d):
+    i = F.col("doc_id")
+    hits = L.table(spark, d, "documents").select((i % 20).alias("audit_id"), (i % 3).alias("check_no"), "doc_id", i.alias("position"), "text")
+    return K.snippets(hits).select("audit_id", "check_no", "doc_id", F.col("snippet_no").cast("long").alias("snippet_no"))
+
+
+@query("SELECT event_id, props AS object FROM events")
+def json_objects(spark, d):
+    """The JSON object out of a model's noisy answer around it."""
+    noisy = F.concat(F.lit("Here you are: ```json\n"), F.col("props"), F.lit("\n``` {unclosed"))
+    return L.table(spark, d, "events").select("event_id", K.json_object(noisy).alias("object"))

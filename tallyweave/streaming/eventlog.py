@@ -1,6 +1,6 @@
 """The event log as a stream: windows, sessions, and last-written state.
 
-The reference's log has no watermarks or windows; these are what Structured Streaming adds."""
+The log itself needs no watermarks or windows; these are what Structured Streaming adds."""
 
 from __future__ import annotations
 
