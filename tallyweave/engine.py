@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions import text
 from tallyweave.hooks import Hooks
 from tallyweave.operators import findings, pairs, retrieval, snapshot, state
+from tallyweave.shipping import ship
 
 
 @dataclass
@@ -17,6 +18,9 @@ class Engine:
     spark: SparkSession
     hooks: Hooks = field(default_factory=Hooks)
 
+    def __post_init__(self) -> None:
+        ship(self.spark)
+
     def snapshot(self, amounts: DataFrame) -> DataFrame:
         return snapshot.snapshot(amounts)
 

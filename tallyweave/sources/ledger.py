@@ -9,11 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweave.shipping import ship
+
 MONEY = "decimal(18,2)"
 AMOUNT_COLUMNS = ["audit_id", "doc_id", "doc_type", "filename", "entity_id", "amount_role", "amount_value", "amount_currency", "source_page", "txn_ref", "txn_date", "anchor_id"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
