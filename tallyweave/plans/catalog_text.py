@@ -316,7 +316,7 @@ def said(spark, d):
     price = lambda x: F.format_number(F.col("o_totalprice").cast("decimal(18,2)").cast("double") * x, 2)
     return L.table(spark, d, "orders").select(
         F.col("o_custkey").alias("audit_id"), F.col("o_orderkey").alias("finding_id"), F.when(F.col("o_orderstatus") == "P", "warning").otherwise("critical").alias("severity"), F.concat(F.lit("Contract of EGP "), price(1)).alias("title"),
-        F.concat(F.lit("It was billed at "), price(2), F.lit(" EGP, and the bank paid EGP "), price(4)).alias("description"), F.array(F.concat(F.lit("contract_"), F.col("o_orderkey").cast("string"), F.lit(".pdf: EGP "), price(1))).alias("evidence"),
+        F.concat(F.lit("It was billed at "), price(2), F.lit(" EGP, and the bank paid EGP "), price(4)).alias("description"), F.array(*(F.concat(F.lit(k), F.col("o_orderkey").cast("string"), F.lit(".pdf: EGP "), price(x)) for k, x in (("contract_", 1), ("invoice_", 2)))).alias("evidence"),
     )
 
 
