@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm import decontamination, jaccard, languages, lengths, licenses, mainpath, oracles, packing, quality, suffixes, toxicity
-from tallyweave.llm.shared import small_batches
+from tallyweave.llm.shared import prepare
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweave.shipping import ship
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where it is unset, as in tests, a temporary one."""
@@ -24,8 +26,9 @@ def shared_folder(spark: SparkSession) -> str:
 BATCH_ROWS = 1000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Limits the session's Arrow batches to BATCH_ROWS rows."""
+def prepare(spark: SparkSession) -> None:
+    """Takes the package to the workers, and limits the session's Arrow batches to BATCH_ROWS rows."""
+    ship(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, BATCH_ROWS)
@@ -47,7 +50,7 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Edges of one local contraction.
+#: Edges of one local contraction, and of a graph that one task takes whole.
 FOREST_EDGES = 200_000
 
 
@@ -72,7 +75,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if a != b:
                 parent[max(a, b)] = min(a, b)
         held += len(batch)
-        if held >= FOREST_EDGES:
+        if held > FOREST_EDGES:
             yield stars()
             held = 0
     yield stars()
@@ -82,12 +85,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of the undirected edges (a, b), both long.
 
     Returns (node, component): every node of an edge with a != b, and the smallest
-    node that it can reach. Runs of edges are contracted first; then large-star and
-    small-star steps alternate. Each is an aggregation with map-side combine and a join
-    that AQE may split, so a node with very many edges is no bottleneck. Nulls are ignored.
+    node that it can reach. A graph of at most FOREST_EDGES edges is contracted in one
+    task. Of a larger one, runs of edges are contracted first; then large-star and
+    small-star steps alternate. Each is an aggregation with map-side combine and a join of
+    two written tables, which AQE may split, so a node with very many edges is no bottleneck.
+    Nulls are ignored.
     """
     edges = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().mapInArrow(_forest, "a long, b long")
     edges = written(edges.distinct())
+    if edges.count() <= FOREST_EDGES:
+        return _nodes(written(edges.coalesce(1).mapInArrow(_forest, "a long, b long")))
 
     def state(df: DataFrame):
         return df.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
@@ -95,16 +102,22 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     before = state(edges)
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        star = both.join(least, "a").where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = star.groupBy("a").agg(F.min("b").alias("m"))
-        small = star.join(least, "a").where("b != m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        after = written(least.select("a", F.col("m").alias("b")).union(small).where("a != b").distinct())
-        drop_written(edges)
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        star = written(both.join(least, "a").where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        nearest = written(star.groupBy("a").agg(F.min("b").alias("m")))
+        small = star.join(nearest, "a").where("b != m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+        after = written(nearest.select("a", F.col("m").alias("b")).union(small).where("a != b").distinct())
+        for table in (edges, least, star, nearest):
+            drop_written(table)
         edges, now = after, state(after)
         if now == before:
             break
         before = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return _nodes(edges)
+
+
+def _nodes(stars: DataFrame) -> DataFrame:
+    """(node, component) of edges (a, b) from each node to the least of its component."""
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
