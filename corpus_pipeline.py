@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm import decontamination, jaccard, packing, quality, suffixes
-from tallyweave.llm.shared import small_batches, written
+from tallyweave.llm.shared import prepare, written
 
 #: Removed documents whose ids are broadcast; beyond that the join is shuffled.
 SENT_IDS = 500_000
@@ -28,35 +28,35 @@ def _without(docs: DataFrame, removed: DataFrame) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. Rows of one doc_id go together: all if one is rejected; a row
     without doc_id stays."""
-    small_batches(spark)
+    prepare(spark)
     return _without(docs, quality.assess(docs).where("not kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest doc_id. Rows of one
     doc_id that are near duplicates of each other stay together; a row without doc_id stays."""
-    small_batches(spark)
+    prepare(spark)
     groups = jaccard.jaccard_components(docs, SHINGLE, SIMILAR)
     return _without(docs, groups.where("doc_id != component_id"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; passages of 50 words or more that have occurred before are cut from text, and n_chars follows."""
-    small_batches(spark)
+    prepare(spark)
     out = suffixes.without_repeats(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated. Rows of one doc_id go together; a row without doc_id stays."""
-    small_batches(spark)
+    prepare(spark)
     scanned = decontamination.scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(docs, scanned.where(decontamination.contaminated()))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, with their sequences."""
-    small_batches(spark)
+    prepare(spark)
     return packing.pack(docs)
 
 
