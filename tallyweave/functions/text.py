@@ -108,8 +108,8 @@ def vocabulary_scores(text: Column, filename: Column) -> list[tuple[str, Column]
 def vocabulary_type(text: Column, filename: Column) -> Column:
     """The type with the highest score from LEAST_SCORE on, the first of equals; else unknown."""
     scored = F.array(*(F.struct(s.alias("score"), F.lit(-i).alias("order"), F.lit(k).alias("kind")) for i, (k, s) in enumerate(vocabulary_scores(text, filename))))
-    best = F.array_max(scored)
-    return F.when(best["score"] >= LEAST_SCORE, best["kind"]).otherwise("unknown")
+    # inside a lambda, so that the scores are computed once
+    return F.transform(F.array(F.array_max(scored)), lambda best: F.when(best["score"] >= LEAST_SCORE, best["kind"]).otherwise("unknown"))[0]
 
 
 def document_type(text: Column, filename: Column) -> Column:
