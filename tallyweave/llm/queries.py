@@ -44,7 +44,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     held_out = F.coalesce(languages.fold(F.col("doc_id"), 5) == 0, F.lit(False))
-    model = toxicity.learn(docs, labels.where(~held_out))
+    model = toxicity.learn(docs.where(~held_out), labels.where(~held_out))
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 

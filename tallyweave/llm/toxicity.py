@@ -4,7 +4,8 @@ A linear numpy classifier is trained from confirmed toxic documents and unlabell
 the risk estimator that is corrected for the class prior and kept from going negative
 (Kiryo et al., 2017). Features are words and letter n-grams in words, present once, twice or
 four times and more; those that tell the two sets apart are chosen from counts over both.
-Training takes a bounded sample of labelled rows; scoring takes every document.
+Training takes bounded samples of the confirmed documents and of all documents, labelled or
+not; scoring takes every document.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from tallyweave.llm.chargrams import Letters, letter_chunks
 from tallyweave.llm.shared import written
 from tallyweave.llm.wordarrays import mix
 
-#: Labelled rows that a classifier is fitted on at most; the ones with the smallest hashes of their ids.
+#: Confirmed documents that a classifier is fitted on at most, those with the smallest hashes of their ids,
+#: and unlabelled ones, a sample of about so many by the hashes of ids and texts.
 MAX_ROWS = 30_000
 #: Hashed feature space, features chosen at most, and toxic documents that one needs at least.
 SPACE, FEATURES, LEAST = 1 << 22, 3000, 4
@@ -58,17 +60,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_nnpu(rows: np.ndarray, columns: np.ndarray, n_rows: int, n_columns: int, positive: np.ndarray, prior: float, epochs: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_nnpu(rows: np.ndarray, columns: np.ndarray, n_rows: int, n_columns: int, positive: np.ndarray, prior: float, epochs: int = 400, rate: float = 0.05, decay: float = 1e-4, unlabelled: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative PU risk with logistic loss, by Adam over all rows.
 
-    rows, columns: the ones of a sparse 0/1 matrix. positive: its rows that are confirmed; all
-    rows are unlabelled ones too. When the estimate of the negative risk falls below 0,
+    rows, columns: the ones of a sparse 0/1 matrix. positive: its rows that are confirmed.
+    unlabelled: those that stand for all documents, every row where not given. When the estimate of the negative risk falls below 0,
     the step goes against it, as the estimator's authors propose."""
     weights = np.zeros(n_columns + 1)
     weights[-1] = np.log(prior / (1 - prior))
     first, second = np.zeros(n_columns + 1), np.zeros(n_columns + 1)
     n_positive = positive.sum()
-    of_p, of_u = positive / n_positive, np.full(n_rows, 1 / n_rows)
+    of_p = positive / n_positive
+    of_u = np.full(n_rows, 1 / n_rows) if unlabelled is None else unlabelled / unlabelled.sum()
     for step in range(1, epochs + 1):
         z = np.bincount(rows, weights[columns], n_rows) + weights[-1]
         s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -86,24 +89,36 @@ def fit_nnpu(rows: np.ndarray, columns: np.ndarray, n_rows: int, n_columns: int,
     return weights[:-1], float(weights[-1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """A classifier from docs (doc_id, text) and labels (doc_id, toxic). Of the labelled rows, at most max_rows,
-    those with toxic 1 are the confirmed ones, and all are the unlabelled: their labels are not
-    used further. The class prior is the confirmed share. Without any the model scores 0."""
-    picked = labels.select(F.col("doc_id").cast("long").alias("_id"), (F.coalesce(F.col("toxic"), F.lit(0)) == 1).alias("toxic")).where("_id is not null")
-    picked = picked.groupBy("_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("text")).join(F.broadcast(picked), "_id").select("text", "toxic")
-    texts = written(texts)
-    total, n_positive = texts.agg(F.count("*"), F.sum(F.col("toxic").cast("long"))).first()
-    if not n_positive:
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, prior: float | None = None) -> Model:
+    """A classifier from docs (doc_id, text), whose rows are all unlabelled ones, and labels (doc_id, toxic).
+    Documents with toxic 1 are the confirmed ones, at most max_rows. Of docs, a sample of about max_rows is taken
+    by a hash, whether a row has a label or not. Labels 0 are used for nothing but the class prior: where it isn't
+    given, it is the toxic share of the labelled ids, which holds if what was labelled was not picked by toxicity.
+    Without confirmed documents the model scores 0."""
+    picked = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").alias("toxic")).where("_id is not null and toxic is not null")
+    picked = picked.groupBy("_id").agg((F.max("toxic") == 1).alias("toxic"))
+    if prior is None:
+        labelled, confirmed = picked.agg(F.count("*"), F.sum(F.col("toxic").cast("long"))).first()
+        if confirmed and confirmed == labelled:
+            raise ValueError("labels without toxic 0 say nothing about the class prior: it must be given")
+        prior = (confirmed or 0) / max(1, labelled)
+    picked = picked.where("toxic").orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+    docs = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("text"))
+    share = min(1.0, max_rows / max(1, docs.count()))
+    sampled = F.shiftrightunsigned(F.xxhash64("_id", "text"), 11) < int(share * (1 << 53))
+    texts = docs.join(F.broadcast(picked), "_id", "left").select("text", F.coalesce("toxic", F.lit(False)).alias("toxic"), sampled.alias("unlabelled"))
+    texts = written(texts.where("toxic or unlabelled"))
+    total, n_positive = texts.agg(F.sum(F.col("unlabelled").cast("long")), F.sum(F.col("toxic").cast("long"))).first()
+    if not n_positive or not total:
         return Model(np.zeros(0, np.int64), np.zeros(0), -30.0)
+    prior = min(0.99, max(1e-4, prior))
 
     def count(positive_only: bool, known: np.ndarray | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(SPACE, np.int32)
             for batch in batches:
-                toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
-                for part in letter_chunks(batch.column("text"), np.flatnonzero(toxic) if positive_only else None):
+                mine = batch.column("toxic" if positive_only else "unlabelled").to_numpy(zero_copy_only=False)
+                for part in letter_chunks(batch.column("text"), np.flatnonzero(mine)):
                     sums += np.bincount(features(part)[1], minlength=SPACE).astype(np.int32)
             used = np.flatnonzero(sums) if known is None else known[sums[known] > 0]
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used].astype(np.int64))], ["feature", "n"])
@@ -117,28 +132,28 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     in_u = count(False, feature).toArrow()
     u = np.zeros(len(feature))
     u[np.searchsorted(feature, in_u.column(0).to_numpy())] = in_u.column(1).to_numpy()
-    rest_share = np.maximum(u - p, 0) / max(1, total - n_positive)
-    share = p / n_positive
-    pooled = u / total
-    z = (share - rest_share) / np.sqrt(np.maximum(1e-12, pooled * (1 - pooled)) * (1 / n_positive + 1 / max(1, total - n_positive)))
+    share, pooled = p / n_positive, u / total
+    rest_share = np.maximum(pooled - prior * share, 0) / (1 - prior)
+    deviation = np.sqrt(np.maximum(1e-12, pooled * (1 - pooled)) * (1 / n_positive + 1 / total))
+    z = np.where(u > 0, (share - rest_share) / np.maximum(1e-6, deviation), 0)
     best = np.lexsort((feature, -z))[:FEATURES]
     model = Model(np.sort(feature[best[z[best] > 3]]), np.zeros(0), 0.0)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
+            flags = [batch.column(x).to_numpy(zero_copy_only=False) for x in ("toxic", "unlabelled")]
             for part in letter_chunks(batch.column("text")):
                 owner, at = model.columns(part)
                 order = np.lexsort((at, owner))
                 offsets = np.searchsorted(owner[order], np.arange(len(part.rows) + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(at[order].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(toxic[part.rows]), lists], ["toxic", "features"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[part.rows]) for x in flags), lists], ["toxic", "unlabelled", "features"])
 
-    table = texts.mapInArrow(encode, "toxic boolean, features array<int>").orderBy("toxic", "features").toArrow()
-    toxic, lists = table.column(0).to_numpy(), table.column(1).combine_chunks()
+    table = texts.mapInArrow(encode, "toxic boolean, unlabelled boolean, features array<int>").orderBy("toxic", "unlabelled", "features").toArrow()
+    toxic, unlabelled, lists = table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2).combine_chunks()
     columns = lists.flatten().to_numpy()
     rows = np.repeat(np.arange(len(toxic)), np.diff(lists.offsets.to_numpy()))
-    model.weights, model.bias = fit_nnpu(rows, columns, len(toxic), len(model.chosen), toxic.astype(bool), min(0.99, n_positive / total))
+    model.weights, model.bias = fit_nnpu(rows, columns, len(toxic), len(model.chosen), toxic.astype(bool), prior, unlabelled=unlabelled.astype(bool))
     return model
 
 

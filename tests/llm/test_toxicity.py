@@ -45,3 +45,21 @@ def test_odd_rows(spark):
     nothing = X.learn(frame, labels.where("toxic = 0"))
     assert {r.predicted for r in X.score(frame, nothing).collect()} == {0}
     assert X.score(frame.limit(0), model).count() == 0
+
+
+def test_documents_without_labels_are_learned_from(spark, monkeypatch):
+    docs = [(i, f"plain words here number {i} " + ("nastyword badterm" if i % 5 == 0 else "kind terms")) for i in range(600)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(0, 600, 6)], "doc_id long, toxic int")
+    fitted, fit = [], X.fit_nnpu
+    monkeypatch.setattr(X, "fit_nnpu", lambda *a, **k: fitted.append((a, k)) or fit(*a, **k))
+    model = X.learn(frame, labels)
+    (_, _, n_rows, _, positive, prior), given = fitted[0]
+    assert n_rows == 600 and given["unlabelled"].sum() == 600 and positive.sum() == 20
+    assert abs(prior - 0.2) < 1e-9  # of the labelled ids, not 20 / 600
+    got = {r.doc_id: r.predicted for r in X.score(frame, model).collect()}
+    assert all(got[i] == int(i % 5 == 0) for i in got)
+    X.learn(frame, labels, max_rows=100)
+    assert 60 < fitted[1][1]["unlabelled"].sum() < 140 and fitted[1][0][4].sum() == 20
+    X.learn(frame, labels, prior=0.3)
+    assert fitted[2][0][5] == 0.3
