@@ -79,3 +79,29 @@ def test_query(spark, sf_dir):
     for r in frame.collect():
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute_base(texts[r.doc_id])
         assert (r.labels, r.score) == brute_labels(texts[r.doc_id])
+
+
+def test_phrases_without_the_word_license(spark):
+    texts = [
+        "Released under GPL 3",
+        "distributed under the terms of MPL 2.0",
+        "available under CC0",
+        "shared under Creative Commons Attribution 4.0",
+        "Proprietary and confidential",
+        "redistributed to you under the BSD 3-clause",
+        "this is provided as is, without warranty of any kind, and offered under zlib",
+        "covered under the MIT X11, and published under an ISC public",
+        "we discovered under Apache ruins",
+    ]
+    texts += [f"{verb} {to}under {name}" for verb in "released distributed redistributed available published provided covered issued offered shared".split() for to in ("", "to you ") for name in ("the mit", "gpl 2", "terms of mpl")]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in L.scan(rows).collect()}
+    assert [got[i] for i in range(len(texts))] == [brute_labels(t) for t in texts]
+    assert [got[i][0] for i in range(6)] == ["gpl-3", "mpl-2", "cc0", "cc-by", "proprietary", "bsd-3"] and got[8] == ("", 0.0)
+
+
+def test_anchors_are_in_their_phrases():
+    for priority, _, anchors, phrase in L._rows(L.PHRASES):
+        heads = re.match(r"\(\?:([^)]*)\) \(\?:to you \)\?under ", phrase)
+        forms = [f"{v} {to}under".replace("[cs]", "s") for v in heads[1].split("|") for to in ("", "to you ")] if heads else [phrase.replace("licen[cs]e", "license")]
+        assert all(any(a in f for a in anchors.split("/")) for f in forms), priority
