@@ -24,8 +24,8 @@ WORD_BINS = 1 << 14
 COMMON = 48
 #: A document's weight in a reference, as an integer.
 UNIT = 1_000_000
-#: Documents that a language must have for a reference, and languages kept at most (the most frequent).
-MIN_DOCS, MAX_LANGUAGES = 5, 256
+#: Documents that a language must have for a reference; those of other languages are judged by the base rules alone.
+MIN_DOCS = 5
 #: Guards: a histogram of fewer characters or words says too little.
 MIN_CHARS, MIN_WORDS = 150, 50
 #: Largest distances of kept documents, and what sampling may add: over sqrt(bytes) for classes, over sqrt(words) for words.
@@ -117,9 +117,9 @@ def references(docs: DataFrame) -> list[dict]:
     sums = written(sums.groupBy("lang", "bin").agg(F.sum("total").alias("total"), F.sum("docs").alias("docs")))
     by_size = Window.partitionBy("lang", F.col("bin") < 0).orderBy(F.desc("total"), "bin")
     rows = sums.withColumn("rank", F.row_number().over(by_size)).where((F.col("bin") < 0) | (F.col("rank") <= COMMON))
-    largest = sums.where("bin = -1").where(f"docs >= {MIN_DOCS}").orderBy(F.desc("docs"), "lang").limit(MAX_LANGUAGES).select("lang")
+    enough = sums.where("bin = -1").where(f"docs >= {MIN_DOCS}").select("lang")
     found: dict[str, dict] = {}
-    for lang, bin_, total, n, _ in rows.join(F.broadcast(largest), "lang").orderBy("lang", "rank").collect():
+    for lang, bin_, total, n, _ in rows.join(enough, "lang").orderBy("lang", "rank").collect():
         ref = found.setdefault(lang, {"lang": lang, "docs": 0, "classes": np.zeros(CLASSES), "bins": [], "shares": []})
         if bin_ < 0:
             ref["classes"][-1 - bin_], ref["docs"] = total, max(ref["docs"], n)
@@ -194,21 +194,24 @@ def assess(docs: DataFrame, refs: list[dict] | None = None) -> DataFrame:
 
     refs: from references(docs) where not given. Null and empty texts have no words:
     base_failed, not kept. Documents below the guards are judged by the base rules
-    alone, and so are all documents where no language has enough documents for a
-    reference. Other columns are not read; repeated rows give repeated rows.
+    alone, and so are those whose language has no reference or is null: their distances
+    are to the closest reference of another language, and count for nothing. Other columns are not read; repeated rows give repeated rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(references(docs) if refs is None else refs)
+    refs = references(docs) if refs is None else refs
+    sent = docs.sparkSession.sparkContext.broadcast((refs, {r["lang"] for r in refs}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refs, known = sent.value
         for batch in batches:
+            own = np.array([x in known for x in batch.column("lang").to_pylist()], bool)
             for w in word_chunks(batch.column("text"), SPACED_EXACT):
                 m = base_measures(w)
-                d_class, d_word = distances(w, batch.column("text"), sent.value)
+                d_class, d_word = distances(w, batch.column("text"), refs)
                 chars = np.diff(w.offsets)
                 strange = (chars >= MIN_CHARS) & (d_class > MAX_CLASS_JS + CLASS_ALLOWANCE / np.sqrt(np.maximum(1, chars)))
                 strange |= (m["n_words"] >= MIN_WORDS) & (d_word > MAX_WORD_JS + WORD_ALLOWANCE / np.sqrt(np.maximum(1, m["n_words"])))
-                m |= {"class_js": d_class, "word_js": d_word, "kept": ~m["base_failed"] & ~strange}
+                m |= {"class_js": d_class, "word_js": d_word, "kept": ~m["base_failed"] & ~(strange & own[w.rows])}
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(w.rows[0], len(w.rows)), *(pa.array(x) for x in m.values())], ["doc_id", *m])
 
-    docs = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
+    docs = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.col("lang").cast("string").alias("lang"))
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {MEASURES}")

@@ -60,3 +60,27 @@ def test_no_documents_and_no_references(spark):
     docs = spark.createDataFrame([(1, "word " * 60, None)], "doc_id long, text string, lang string")
     assert Q.assess(docs.limit(0)).count() == 0
     assert Q.assess(spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(60)), None)], docs.schema)).first().kept
+
+
+def prose(lang, n, r):
+    """n words of a language of 300 words."""
+    return " ".join(f"{lang}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in r.zipf(1.3, n) % 300)
+
+
+def test_rare_languages_are_not_judged_by_others(spark):
+    r = np.random.default_rng(5)
+    docs = [(i, prose("ab", 400, r), "en") for i in range(40)] + [(100 + i, prose("xy", 400, r), "xx" if i < 3 else None) for i in range(4)]
+    docs += [(200, prose("xy", 400, r), "en"), (201, "xyx " * 400, "xx")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in Q.assess(frame).collect()}
+    assert all(got[i].kept for i in (*range(40), 100, 101, 102, 103))
+    assert got[100].word_js > 0.4 and not got[200].kept and not got[201].kept
+
+
+def test_every_language_with_enough_documents_has_a_reference(spark):
+    r = np.random.default_rng(6)
+    docs = [(k * 5 + i, prose(f"q{k}", 60, r), f"l{k:03d}") for k in range(300) for i in range(5)]
+    docs += [(2000 + i, prose("zz", 60, r), "few") for i in range(4)]
+    refs = Q.references(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    fine = {lang for lang, n in Counter(d[2] for d in docs if not brute(d[1])[5]).items() if n >= 5}
+    assert len(fine) > 256 and {x["lang"] for x in refs} == fine
