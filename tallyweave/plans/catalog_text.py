@@ -92,6 +92,31 @@ def normalize_text(spark, d):
     return mixed(spark, d).select("id", T.normalize_mixed(F.col("text")).alias("text"))
 
 
+# Arabic letters for a to z.
+ARABIC_LETTERS = "ابتثجحخدذرزسشصضطظعغفقكلمنه"
+FORMS = f"""fm AS (SELECT doc_id AS id, form, CASE form WHEN 0 THEN text WHEN 1 THEN 'إجمالي  المبلغ ' || translate(text, 'abcdefghijklmnopqrstuvwxyz', '{ARABIC_LETTERS}') WHEN 2 THEN 'فاتورة رقم INV' || doc_id || E'\\nTotal   due\\n' || text ELSE '12 ' || doc_id END AS text
+  FROM documents, (VALUES (0), (1), (2), (3)) v(form))"""
+
+
+def forms(spark, d):
+    """Every document's whole text, as it is (form 0), in Arabic letters (1) and below the head of an invoice (2), and its id without a letter (3)."""
+    i, text = F.col("doc_id").cast("string"), F.col("text")
+    rows = F.array(text, F.concat(F.lit("إجمالي  المبلغ "), F.translate(text, "abcdefghijklmnopqrstuvwxyz", ARABIC_LETTERS)), F.concat(F.lit("فاتورة رقم INV"), i, F.lit("\nTotal   due\n"), text), F.concat(F.lit("12 "), i))
+    return L.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.posexplode(rows).alias("form", "text"))
+
+
+@query(f"WITH {FORMS}, c AS (SELECT id, form, {_COUNT.format("coalesce(text, '')", quoted('[؀-ۿ]'))} AS a, {_COUNT.format("coalesce(text, '')", quoted('[A-Za-z]'))} AS l FROM fm) SELECT id, form, CASE WHEN a + l = 0 THEN 'unknown' WHEN a / (a + l) > 0.7 THEN 'arabic' WHEN a / (a + l) < 0.3 THEN 'english' ELSE 'mixed' END AS language FROM c")
+def detect_language_texts(spark, d):
+    return forms(spark, d).select("id", "form", T.detect_language(F.col("text")).alias("language"))
+
+
+@query(
+    f"""WITH {FORMS} SELECT id, form, array_to_string(list_transform(string_split(text, E'\\n'), lambda x: CASE WHEN length(x) > 0 AND {_COUNT.format('x', quoted(T.ARABIC))} / length(x) >= 0.2 THEN trim(regexp_replace(translate(regexp_replace(x, {quoted(T.DIACRITICS)}, '', 'g'), 'إأآى', 'اااي'), '\\s+', ' ', 'g')) ELSE trim(regexp_replace(x, '\\s+', ' ', 'g')) END), E'\\n') AS text FROM fm"""
+)
+def normalize_text_texts(spark, d):
+    return forms(spark, d).select("id", "form", T.normalize_mixed(F.col("text")).alias("text"))
+
+
 HEADS = [("Tax Invoice no 7: subtotal, VAT, total due", "scan_1.pdf"), ("Agreement between A and B, effective date", "doc.pdf"), ("Balance sheet: assets, liabilities and equity", "fs.pdf"), ("IBAN, opening balance, debit, credit, transaction", "stmt.pdf"), ("Independent auditor: audit report, auditor's opinion", "a.pdf"), ("Nothing to see", "payment-certificate_3.pdf"), ("Resolved that the motion be carried unanimously", "r.pdf"), ("Bill of quantities and take-off, measured quantities", "m.pdf"), ("كشف حساب مدين دائن", "x.pdf"), ("hello", "hello.pdf")]
 _HEADS = "(VALUES " + ", ".join(f"({i}, {quoted(t)}, {quoted(f)})" for i, (t, f) in enumerate(HEADS)) + ") h(k, head, filename)"
 _NAME = "regexp_replace(lower(filename), '[^a-z0-9؀-ۿ]+', ' ', 'g')"

@@ -49,3 +49,17 @@ def test_uuid5_is_the_standard_one(spark):
     keys = ["", "a", "contract_id::ctr2024044", "é عقد"] + [f"k{i}" for i in range(60)]
     got = spark.createDataFrame([(k,) for k in keys], "k string").select("k", T.uuid5(ns.hex, F.col("k"))).collect()
     assert all(u == str(uuid.uuid5(ns, k)) for k, u in got)
+
+
+def test_whole_texts_reach_language_and_normalisation(spark, sf_dir):
+    from tallyweave.plans import catalog
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    languages = {(r.id, r.form): r.language for r in catalog.QUERIES["detect_language_texts"](spark, sf_dir).collect()}
+    normal = {(r.id, r.form): r.text for r in catalog.QUERIES["normalize_text_texts"](spark, sf_dir).collect()}
+    assert set(languages) == set(normal) == {(i, f) for i in texts for f in range(4)}
+    assert {languages[k] for k in languages if k[1] == 1} >= {"arabic"} and {languages[k] for k in languages if k[1] == 3} == {"unknown"}
+    for i, t in texts.items():
+        words = t.split()
+        assert normal[i, 0].split() == words and normal[i, 2].split()[-len(words) :] == words
+        assert len(normal[i, 1].split()) == len(words) + 2
