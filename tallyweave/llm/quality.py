@@ -22,8 +22,9 @@ from tallyweave.llm.wordarrays import SPACED, SPACED_EXACT, Words, _ranges, _tab
 
 WORD_BINS = 1 << 14
 COMMON = 48
-#: A document's weight in a reference, as an integer.
-UNIT = 1_000_000
+#: A document's weight in a reference, as integers, for classes and for words. A word's part of it is rounded down, to a loss of
+#: at most n_words / WORD_UNIT of the weight; sums fit 64 bits up to 900,000,000 documents a language.
+UNIT, WORD_UNIT = 1_000_000, 10_000_000_000
 #: Documents that a language must have for a reference; those of other languages are judged by the base rules alone.
 MIN_DOCS = 5
 #: Guards: a histogram of fewer characters or words says too little.
@@ -130,7 +131,7 @@ def references(docs: DataFrame) -> list[dict]:
         ref["classes"] = ref["classes"] / max(1.0, ref["classes"].sum())
         order = np.argsort(ref["bins"])
         ref["bins"] = np.array(ref["bins"], np.int64)[order]
-        ref["shares"] = np.array(ref["shares"], float)[order] / (ref["docs"] * UNIT)
+        ref["shares"] = np.array(ref["shares"], float)[order] / (ref["docs"] * WORD_UNIT)
     return [found[x] for x in sorted(found)]
 
 
@@ -147,7 +148,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 mine = fine & (chunk == lang)
                 total = sums.setdefault(lang, [np.zeros(CLASSES, np.int64), np.zeros(WORD_BINS, np.int64), np.zeros(1, np.int64)])
                 total[0] += scaled[mine].sum(0)
-                weight = (UNIT // np.maximum(1, counts)) * mine
+                weight = (WORD_UNIT // np.maximum(1, counts)) * mine
                 mine_words = mine[owners]
                 total[1] += np.bincount(bins[mine_words], weight[owners[mine_words]].astype(float), WORD_BINS).astype(np.int64)
                 total[2] += mine.sum()

@@ -84,3 +84,13 @@ def test_every_language_with_enough_documents_has_a_reference(spark):
     refs = Q.references(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
     fine = {lang for lang, n in Counter(d[2] for d in docs if not brute(d[1])[5]).items() if n >= 5}
     assert len(fine) > 256 and {x["lang"] for x in refs} == fine
+
+
+def test_very_long_documents_have_the_same_weight(spark):
+    for n in (600_000, 1_200_000):
+        text = " ".join(f"{a}{b}{c}" for a, b, c in zip(*(np.array(list("abcdefgh"))[np.random.default_rng(7).integers(0, 8, (3, n))]), strict=True))
+        text = " ".join(f"{w} {i}" for i, w in enumerate(text.split()[: n // 2]))  # numbers keep triples of words from repeating
+        (ref,) = Q.references(spark.createDataFrame([(k, text, "en") for k in range(5)], "doc_id long, text string, lang string"))
+        words = Counter(text.split())
+        most = sum(sorted(words.values())[-Q.COMMON :]) / words.total()
+        assert ref["docs"] == 5 and ref["shares"].sum() >= 0.99 * most
