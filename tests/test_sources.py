@@ -1,3 +1,10 @@
+import json
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,7 +68,15 @@ def test_repair_must_keep_the_numbers(spark):
     assert [r[0] for r in rows.select(repaired(F.col("a"), F.col("b"))).collect()] == ["7 | 1000.5", "1 2"]
 
 
-def test_entry_without_optional_parts():
-    import __spark_entry__ as entry
-
-    assert {"recon_snapshot"} <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+@pytest.mark.parametrize("gone", [["tallyweave/llm", "tests/llm"], ["tallyweave/llm", "tests/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
+def test_entry_without_optional_parts(tmp_path, gone):
+    """In a copy without these files the entry imports, and all other queries are there."""
+    root = Path(__file__).resolve().parent.parent
+    away = [root / x for x in gone]
+    shutil.copytree(root, tmp_path / "copy", ignore=lambda folder, names: [n for n in names if n in (".git", "__pycache__") or Path(folder, n) in away])
+    said = "import json, __spark_entry__ as e; print(json.dumps([sorted(e.queries()), sorted(e.oracle_sql())]))"
+    done = subprocess.run([sys.executable, "-c", said], cwd=tmp_path / "copy", capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert done.returncode == 0, done.stderr
+    names, oracles = map(set, json.loads(done.stdout.splitlines()[-1]))
+    assert set(catalog.QUERIES) <= names and set(catalog.ORACLES) <= oracles <= names
+    assert "pipeline" not in names and any(n.startswith("op1_") for n in names) == ("tallyweave/llm" not in gone)
