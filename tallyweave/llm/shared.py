@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +16,13 @@ from tallyweave.shipping import ship
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset, as in tests, a temporary one."""
+    """The folder named by spark.checkpoint.dir. Where it is unset and all tasks run in the driver's own process, as in
+    tests, a temporary one; on a cluster an error, as executors don't see a local folder of the driver."""
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tallyweave-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -34,20 +40,61 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with as many _ after it as it takes to differ from all columns of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Tables of this process that have not been deleted, in the order of writing.
+_tables: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: computed once, without lineage, safe from lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _tables.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def drop_written(df: DataFrame) -> None:
     """Deletes a table made by written()."""
-    spark = df.sparkSession
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()[:1]}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if df.written_to in _tables:
+        _delete(df.sparkSession, df.written_to)
+        _tables.remove(df.written_to)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside are deleted at the end, but for those given to the function that this yields:
+    the ones that a returned frame still reads."""
+    before, kept = set(_tables), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.written_to)
+        return df
+
+    yield keep
+    for path in [p for p in _tables if p not in before and p not in kept]:
+        _delete(spark, path)
+        _tables.remove(path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes all tables written so far: for a caller who has taken what the operators returned."""
+    while _tables:
+        _delete(spark, _tables.pop())
 
 
 #: Edges of one local contraction, and of a graph that one task takes whole.
@@ -81,12 +128,12 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield stars()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected edges (a, b), both long.
 
     Returns (node, component): every node of an edge with a != b, and the smallest
     node that it can reach. A graph of at most FOREST_EDGES edges is contracted in one
-    task. Of a larger one, runs of edges are contracted first; then large-star and
+    task, whose memory they bound (about 50 MB); the rows are the same either way. Of a larger one, runs of edges are contracted first; then large-star and
     small-star steps alternate. Each is an aggregation with map-side combine and a join of
     two written tables, which AQE may split, so a node with very many edges is no bottleneck.
     Nulls are ignored.
@@ -100,7 +147,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return df.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
 
     before = state(edges)
-    for _ in range(rounds):
+    for _ in itertools.count():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         star = written(both.join(least, "a").where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
@@ -111,11 +158,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             drop_written(table)
         edges, now = after, state(after)
         if now == before:
-            break
+            return _nodes(edges)
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return _nodes(edges)
 
 
 def _nodes(stars: DataFrame) -> DataFrame:

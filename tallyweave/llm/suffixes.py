@@ -3,15 +3,20 @@
 1. Suffixes are kept only at minimisers: the least of WINDOW consecutive k-grams of words,
    the first of equals. Any passage of MIN_WORDS words holds one among its first
    WINDOW words, the same one wherever the passage stands, with REACH words to its right.
-2. The kept suffixes are sorted by the fingerprint of their first REACH words, and
-   neighbours are compared: what has no equal neighbour is in no repeated passage.
-3. Around the others the match is extended, to the left as far as the minimiser is the
-   passage's own, and to the right to MIN_WORDS words; the extended passages are sorted
-   and neighbours compared again. The union of equal passages is each maximal match.
+2. A count of the fingerprints of their first REACH words tells which suffixes may have an equal
+   neighbour. It leaves suffixes out and nothing more: what is equal is told by words.
+3. The others carry their words, MIN_WORDS to the right and WINDOW - 1 to the left. They are
+   dealt by those fingerprints and sorted by their words; neighbours are compared word by word,
+   so that for every length it is known which suffixes begin with the same words.
+4. Each match is extended to the left, word by word, as far as the minimiser is the passage's
+   own: a passage of MIN_WORDS words that begins d words before a suffix occurs again where the d
+   words before and the MIN_WORDS - d words from there are equal.
+   The union of equal passages is each maximal match.
 
 The first occurrence, by doc_id and place, is kept; the words of the others are cut.
-A passage that occurs often in one run of documents is resolved there, and only its first
-place goes on, so that no partition gets many rows for a frequent passage.
+Where a suffix occurs often in one run of documents the same comparison is made there, and only
+first places go on; a long run of equal suffixes is compared in blocks, of which first
+places are carried on. So memory is bounded whatever the number of copies.
 """
 
 from __future__ import annotations
@@ -20,27 +25,94 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.shared import written
+from tallyweave.llm.shared import fresh, passing, written
 from tallyweave.llm.wordarrays import SPACED, Words, mix, word_chunks
 
 MIN_WORDS, WINDOW, GRAM = 50, 16, 5
-#: Repeated suffixes that are sent to every executor; beyond that they are joined by a shuffle.
+#: Repeated suffixes that are sent to every executor (8 bytes each); beyond that they are joined by a shuffle.
 SENT_KEYS = 4_000_000
 #: Documents whose cuts are sent to every executor; beyond that the join is shuffled.
 SENT_DOCUMENTS = 100_000
-#: Occurrences of a passage in one run of documents from which it is resolved there.
+#: Occurrences of a suffix in one run of documents from which they are compared there.
 OFTEN = 8
+#: Suffixes compared at once.
+BLOCK_ROWS = 20_000
 
 _SPANS = "array<struct<first:long,last:long>>"
+_SUFFIXES = "key long, right string, left string, doc_id long, at long, own int, repeated int, again int"
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+
+
+def _spaced(w: Words) -> tuple[bytes, np.ndarray]:
+    """The words in lower case, each followed by one space, and where each begins."""
+    at = np.concatenate(([0], np.cumsum(w.last - w.first + 1)))
+    out = np.full(at[-1], 32, np.uint8)
+    inside = np.ones(at[-1], bool)
+    inside[at[1:] - 1] = False
+    out[inside] = _FOLD[w.data[SPACED[0][w.data]]]
+    return out.tobytes(), at
+
+
+def _matrix(texts: pa.Array, width: int, backwards: bool) -> np.ndarray:
+    """A row of word numbers for each text, from its first word on, or from its last one back; -1 beyond its
+    end. Equal numbers are equal words, and the other way round."""
+    words = pc.split_pattern(texts, " ")
+    offsets = words.offsets.to_numpy()
+    ids = words.flatten().dictionary_encode().indices.to_numpy()
+    n = np.diff(offsets) - 1  # each text ends in a space
+    step = np.arange(width)
+    at = (offsets[:-1] + n - 1)[:, None] - step if backwards else offsets[:-1][:, None] + step
+    return np.where(step < n[:, None], ids[np.clip(at, 0, max(0, len(ids) - 1))], -1) if len(ids) else np.full((len(n), width), -1)
+
+
+def compare(right: np.ndarray, left: np.ndarray, use: np.ndarray, rank: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which passages around suffixes occur again.
+
+    right: the words of suffixes that are sorted by them; left: those before, the nearest first; use[i, d]: whether the
+    passage that begins d words before suffix i takes part; rank: the order of the suffixes' places. Returns two
+    matrices like use: passages with another place, and passages that are not the first of theirs."""
+    n, size = right.shape
+    repeated, again = np.zeros_like(use), np.zeros_like(use)
+    common = np.zeros(n, np.int64)  # words in common with the neighbour before
+    common[1:] = np.logical_and.accumulate(right[1:] == right[:-1], axis=1).sum(1)
+    run = np.cumsum(common < reach)
+    rows = np.flatnonzero(np.bincount(run)[run] > 1)
+    if not len(rows):
+        return repeated, again
+    classes, radix = np.zeros(len(rows), np.int64), int(left.max(initial=0)) + 2
+    for d in range(use.shape[1]):
+        if d:
+            classes = np.unique(classes * radix + left[rows, d - 1] + 1, return_inverse=True)[1]
+        equal = np.cumsum(common < size - d)[rows] * len(rows) + classes
+        mine = np.flatnonzero(use[rows, d])
+        if len(mine) < 2:
+            continue
+        mine = mine[np.lexsort((rank[rows[mine]], equal[mine]))]
+        place, group = rank[rows[mine]], equal[mine]
+        head = np.r_[True, group[1:] != group[:-1]]
+        later = place != place[head][np.cumsum(head) - 1]
+        again[rows[mine], d] = later
+        repeated[rows[mine], d] = np.logical_or.reduceat(later, np.flatnonzero(head))[np.cumsum(head) - 1]
+    return repeated, again
+
+
+def _bits(masks: np.ndarray, width: int) -> np.ndarray:
+    return (masks[:, None] >> np.arange(width) & 1).astype(bool)
+
+
+def _mask(bits: np.ndarray) -> np.ndarray:
+    return (bits.astype(np.int32) << np.arange(bits.shape[1], dtype=np.int32)).sum(1, dtype=np.int32)
 
 
 class Dedup:
     def __init__(self, min_words: int = MIN_WORDS, window: int = WINDOW, gram: int = GRAM, sent_keys: int = SENT_KEYS) -> None:
-        if window & (window - 1) or min_words < window + gram:
-            raise ValueError("window must be a power of two, and a passage longer than window + gram words")
+        if window & (window - 1) or window > 16 or min_words < window + gram:
+            raise ValueError("window must be a power of two to 16, and a passage longer than window + gram words")
         self.min_words, self.window, self.gram, self.sent_keys = min_words, window, gram, sent_keys
         self.reach = min_words - window + 1
 
@@ -63,18 +135,18 @@ class Dedup:
         places, keys = w.windows(self.reach)
         return starts, anchors, keys[np.searchsorted(places, anchors)].view(np.int64)
 
-    def repeated_suffixes(self, docs: DataFrame) -> DataFrame:
+    def repeated_keys(self, docs: DataFrame) -> DataFrame:
         """(key): fingerprints that two suffixes or more share, a few of them twice."""
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for w in word_chunks(batch.column("text"), SPACED):
-                    starts, anchors, keys = self._anchors(w)
+                    _, anchors, keys = self._anchors(w)
                     _, once = np.unique(anchors, return_index=True)
                     key, count = np.unique(keys[once], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.minimum(count, 2).astype(np.int8))], ["key", "count"])
 
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = None
             for batch in batches:
                 key, count = (batch.column(i).to_numpy() for i in (0, 1))
@@ -90,13 +162,13 @@ class Dedup:
                         yield pa.RecordBatch.from_arrays([pa.array(found)], ["key"])
 
         rows = docs.select("text").mapInArrow(emit, "key long, count byte")
-        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "key long")
+        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "key long")
 
-    def passages(self, docs: DataFrame, keys: DataFrame) -> DataFrame:
-        """(passage, doc_id, start, flag): passages of MIN_WORDS words around repeated suffixes. flag 1: the
-        first of several in its run of documents; 2: a later one, with a passage of its own."""
-        n_keys = keys.count()
-        if n_keys <= self.sent_keys:
+    def suffixes(self, docs: DataFrame, keys: DataFrame) -> DataFrame:
+        """The suffixes with one of these keys: their words, doc_id, place, and masks of passages by the words that they
+        begin before the suffix: those to compare, and those found to be repeated, and to be no first place, in
+        their run of documents. Suffixes with nothing left to compare have no words, and a key of their own."""
+        if keys.count() <= self.sent_keys:
             sent = docs.sparkSession.sparkContext.broadcast(np.sort(keys.toArrow().column(0).to_numpy()))
             rows = docs.select("doc_id", "text").withColumn("anchors", F.lit(None).cast("array<long>"))
         else:
@@ -106,38 +178,39 @@ class Dedup:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
                 for w in word_chunks(batch.column("text"), SPACED):
-                    starts, anchors, keys = self._anchors(w)
-                    if not len(starts):
-                        continue
+                    starts, anchors, key = self._anchors(w)
+                    at, first, n_own = np.unique(anchors, return_index=True, return_counts=True)
+                    key, most = key[first], at - starts[first]
                     if sent is not None:
-                        if not len(sent.value):
+                        if not len(at) or not len(sent.value):
                             continue
-                        _, first, back = np.unique(anchors, return_index=True, return_inverse=True)
-                        mine = keys[first]
-                        use = (sent.value[np.minimum(np.searchsorted(sent.value, mine), len(sent.value) - 1)] == mine)[back]
+                        use = sent.value[np.minimum(np.searchsorted(sent.value, key), len(sent.value) - 1)] == key
                     else:
                         lists = batch.column("anchors").slice(w.rows[0], len(w.rows)).to_pylist()
-                        use = np.isin(anchors, np.concatenate([w.bounds[i] + np.array(x or [], np.int64) for i, x in enumerate(lists)]))
+                        use = np.isin(at, np.concatenate([w.bounds[i] + np.array(x or [], np.int64) for i, x in enumerate(lists)]))
                     if not use.any():
                         continue
-                    places, passage = w.windows(self.min_words)
-                    starts, passage = starts[use], passage[use].view(np.int64)
-                    owner = np.searchsorted(w.bounds, starts, side="right") - 1
-                    doc = batch.column("doc_id").to_numpy(zero_copy_only=False)[w.rows[owner]].astype(np.int64)
-                    start = (starts - w.bounds[owner]).astype(np.int64)
-                    order = np.lexsort((start, doc, passage))
-                    passage, doc, start = passage[order], doc[order], start[order]
-                    new = np.r_[True, (passage[1:] != passage[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])]
-                    passage, doc, start = passage[new], doc[new], start[new]
-                    head = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
-                    length = np.diff(np.r_[head, len(passage)])
-                    flag = np.repeat(np.where(length >= OFTEN, 2, 0), length).astype(np.int8)
-                    flag[head[length >= OFTEN]] = 1
-                    passage = np.where(flag == 2, mix(doc.view(np.uint64) * np.uint64(31) + start.view(np.uint64)).view(np.int64), passage)
-                    yield pa.RecordBatch.from_arrays([pa.array(passage), pa.array(doc), pa.array(start), pa.array(flag)], ["passage", "doc_id", "start", "flag"])
-
-        return rows.mapInArrow(run, "passage long, doc_id long, start long, flag byte")
+                    at, key, most, n_own = at[use], key[use], most[use], n_own[use]
+                    owner = np.searchsorted(w.bounds, at, side="right") - 1
+                    text, place = _spaced(w)
+                    lo, hi = place[np.maximum(w.bounds[owner], at - self.window + 1)], place[np.minimum(w.bounds[owner + 1], at + self.min_words)]
+                    right = [text[a:b] for a, b in zip(place[at], hi, strict=True)]
+                    left = [text[a:b] for a, b in zip(lo, place[at], strict=True)]
+                    own = (((1 << n_own) - 1) << (most - n_own + 1)).astype(np.int32)
+                    none = np.zeros(len(at), np.int32)
+                    columns = [key, pa.array(right, pa.string()), pa.array(left, pa.string()), ids[w.rows[owner]].astype(np.int64), (at - w.bounds[owner]).astype(np.int64), own, none, none]
+                    table = pa.table([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=_NAMES)
+                    _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+                    often = count[back] >= OFTEN
+                    if often.any():
+                        crowd = table.filter(pa.array(often))
+                        crowd = self.resolve(crowd.take(pc.sort_indices(crowd.column("right"))))
+                        table = pa.concat_tables([table.filter(pa.array(~often)), _settled(crowd)])
+                    yield from table.combine_chunks().to_batches()
+
+        return rows.mapInArrow(run, _SUFFIXES)
 
     def _emit_places(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,85 +221,131 @@ class Dedup:
                 doc = batch.column("doc_id").to_numpy(zero_copy_only=False)[w.rows[owner]].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(doc), pa.array(anchors - w.bounds[owner])], ["key", "doc_id", "at"])
 
-    def matches(self, passages: DataFrame) -> DataFrame:
-        """(doc_id, start, again): passages that occur twice or more; again: not for the first time."""
+    def resolve(self, table: pa.Table) -> pa.Table:
+        """Suffixes in the order of their words with what their comparison adds to the masks; own loses what is no first place."""
+        texts = [table.column(c).combine_chunks() for c in ("right", "left")]
+        doc, at, own, repeated, again = (table.column(c).to_numpy() for c in _NAMES[3:])
+        order = np.lexsort((at, doc))
+        new = np.r_[False, (doc[order][1:] != doc[order][:-1]) | (at[order][1:] != at[order][:-1])]
+        rank = np.empty(len(doc), np.int64)
+        rank[order] = np.cumsum(new)
+        found = compare(_matrix(texts[0], self.min_words, False), _matrix(texts[1], self.window - 1, True), _bits(own, self.window), rank, self.reach)
+        repeated, again = repeated | _mask(found[0]), again | _mask(found[1])
+        masks = [pa.array(x.astype(np.int32)) for x in (own & ~again, repeated, again)]
+        return pa.table([*table.columns[:5], *masks], names=_NAMES)
+
+    def matches(self, suffixes: DataFrame) -> DataFrame:
+        """(doc_id, at, repeated, again): suffixes with repeated passages around them, some of them twice."""
 
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            first = None  # of the run that the last batch ended in, and whether it has been told
-            told = False
-            for batch in batches:
-                rows = [batch.column(i).to_numpy() for i in range(4)]
-                known = rows[3] == 2
-                out = [(rows[1][known], rows[2][known], np.ones(known.sum(), bool))]
-                p, d, s, f = ([x[~known] for x in rows] if first is None else [np.r_[a, x[~known]] for a, x in zip(first, rows, strict=True)])
-                if len(p):
-                    same = p[1:] == p[:-1]
-                    place = np.r_[True, ~(same & (d[1:] == d[:-1]) & (s[1:] == s[:-1]))]
-                    head = np.flatnonzero(np.r_[True, ~same])
-                    length = np.diff(np.r_[head, len(p)])
-                    several = (np.add.reduceat(place.astype(np.int64), head) > 1) | (np.maximum.reduceat(f, head) == 1)
-                    several[0] |= told
-                    found = np.repeat(several, length) & place
-                    found[0] &= not told
-                    again = (d != np.repeat(d[head], length)) | (s != np.repeat(s[head], length))
-                    out.append((d[found], s[found], again[found]))
-                    first, told = [x[head[-1]] for x in (p, d, s, f)], bool(several[-1])
-                doc, start, again = (np.concatenate(x) for x in zip(*out, strict=True))
-                if len(doc):
-                    yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(again)], ["doc_id", "start", "again"])
-
-        rows = passages.repartition("passage").sortWithinPartitions("passage", "doc_id", "start", "flag")
-        return rows.mapInArrow(compare, "doc_id long, start long, again boolean")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, n_held, least = [], 0, BLOCK_ROWS
+            for batch in _ended(batches):
+                if batch is not None:
+                    words = batch.column("right").is_valid()
+                    yield from _told(pa.Table.from_batches([batch]).filter(pc.invert(words)))
+                    held.append(pa.Table.from_batches([batch]).filter(words))
+                    n_held += len(held[-1])
+                    if n_held < least:
+                        continue
+                if not n_held:
+                    continue
+                table = pa.concat_tables(held).combine_chunks()
+                key = table.column("key").to_numpy()
+                cut = n_held if batch is None else int(np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[-1])
+                rest = table.slice(cut)
+                done = self.resolve(table.slice(0, cut) if cut else table)
+                yield from _told(done)
+                if not cut:  # one run of equal suffixes: its first places are carried on
+                    rest = done.filter(pc.not_equal(done.column("own"), 0))
+                held, n_held = [rest], len(rest)
+                least = max(BLOCK_ROWS, 2 * n_held)
+
+        rows = suffixes.repartition("key").sortWithinPartitions("key", "right", "doc_id", "at")
+        return rows.mapInArrow(run, "doc_id long, at long, repeated int, again int")
 
     def spans(self, matches: DataFrame) -> DataFrame:
         """(doc_id, repeated, removed): maximal runs of words (the last exclusive) in repeated passages, and in
         passages that have occurred before."""
-        size = self.min_words
 
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            doc, spans = None, ([], [])
-            out: list[dict] = []
-            kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+            held: list[pa.Table] = []
+            for batch in _ended(batches):
+                if batch is not None:
+                    held.append(pa.Table.from_batches([batch]))
+                    if sum(map(len, held)) < BLOCK_ROWS:
+                        continue
+                if not held:
+                    continue
+                table = pa.concat_tables(held).combine_chunks()
+                doc = table.column("doc_id").to_numpy()
+                cut = len(doc) if batch is None else int(np.searchsorted(doc, doc[-1]))
+                held = [table.slice(cut)]
+                if cut:
+                    ids = np.unique(doc[:cut])
+                    lists = [self._runs(*(table.column(c).to_numpy()[:cut] for c in ("doc_id", "at", mask)), ids) for mask in ("repeated", "again")]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), *lists], ["doc_id", "repeated", "removed"])
+
+        return matches.repartition("doc_id").sortWithinPartitions("doc_id", "at").mapInArrow(merge, f"doc_id long, repeated {_SPANS}, removed {_SPANS}")
+
+    def _runs(self, doc: np.ndarray, at: np.ndarray, masks: np.ndarray, ids: np.ndarray) -> pa.ListArray:
+        """For each of the ids the union of the passages of these masks."""
+        row, back = np.nonzero(_bits(masks, self.window))
+        doc, start = doc[row], at[row] - back
+        order = np.lexsort((start, doc))
+        doc, start = doc[order], start[order]
+        head = np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + self.min_words)] if len(doc) else np.zeros(0, bool)
+        tail = np.r_[head[1:], True] if len(doc) else head
+        spans = pa.StructArray.from_arrays([pa.array(start[head]), pa.array(start[tail] + self.min_words)], ["first", "last"])
+        offsets = np.searchsorted(doc[head], np.r_[ids, ids[-1:] + 1])
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), spans)
 
-            def row() -> dict:
-                return {"doc_id": doc, "repeated": [{"first": a, "last": b} for a, b in spans[0]], "removed": [{"first": a, "last": b} for a, b in spans[1]]}
+    def find(self, docs: DataFrame) -> DataFrame:
+        docs = _checked(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("doc_id is not null and text is not null")
+        with passing(docs.sparkSession) as keep:
+            keys = written(self.repeated_keys(docs))
+            found = keep(written(self.matches(self.suffixes(docs, keys))))
+        return self.spans(found)
 
-            schema = pa.schema([("doc_id", pa.int64()), ("repeated", kind), ("removed", kind)])
-            for batch in batches:
-                for d, s, again in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if d != doc:
-                        if doc is not None:
-                            out.append(row())
-                        doc, spans = d, ([], [])
-                    for mine in spans if again else spans[:1]:
-                        if mine and s <= mine[-1][1]:
-                            mine[-1][1] = s + size
-                        else:
-                            mine.append([s, s + size])
-                if len(out) > 5000:
-                    yield pa.RecordBatch.from_pylist(out, schema)
-                    out = []
-            if doc is not None:
-                out.append(row())
-            yield pa.RecordBatch.from_pylist(out, schema)
-
-        return matches.repartition("doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(merge, f"doc_id long, repeated {_SPANS}, removed {_SPANS}")
 
-    def find(self, docs: DataFrame) -> DataFrame:
-        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("doc_id is not null and text is not null")
-        keys = written(self.repeated_suffixes(docs))
-        return self.spans(self.matches(self.passages(docs, keys)))
+_NAMES = [x.split()[0] for x in _SUFFIXES.split(", ")]
+
+
+def _ended(batches):
+    yield from batches
+    yield None
+
+
+def _checked(docs: DataFrame) -> DataFrame:
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"doc_id must be an integer, which orders the occurrences of a passage; it is {kind}")
+    return docs
+
+
+def _settled(table: pa.Table) -> pa.Table:
+    """The suffixes with nothing left to compare lose their words, and get a key of their own."""
+    done = table.column("own").to_numpy() == 0
+    doc, at = (table.column(c).to_numpy().view(np.uint64) for c in ("doc_id", "at"))
+    key = np.where(done, mix(doc * np.uint64(31) + at).view(np.int64), table.column("key").to_numpy())
+    texts = [pc.if_else(pa.array(done), pa.scalar(None, pa.string()), table.column(c)) for c in ("right", "left")]
+    return pa.table([pa.array(key), *texts, *table.columns[3:]], names=_NAMES)
+
+
+def _told(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    found = table.filter(pc.not_equal(table.column("repeated"), 0)).select(["doc_id", "at", "repeated", "again"])
+    yield from found.combine_chunks().to_batches()
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, sent_keys: int = SENT_KEYS) -> DataFrame:
     """Documents with passages of min_words words or more that occur twice or more.
 
-    docs needs an integer doc_id and text. Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased.
+    docs needs an integer doc_id (else TypeError) and text. Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased.
     Returns doc_id, repeated and removed: arrays of first and last word (exclusive) of
     maximal runs; removed leaves out the first occurrence by doc_id and place. Rows
     with equal doc_id are one document: a row repeated is no repeat of its words, two texts
     of one doc_id share its places. Null doc_ids and null, empty or shorter texts have
-    none. Other columns are not read.
+    none, an empty table gives no rows. Texts are read whole however long; one row's words are
+    in memory at once. Other columns are not read.
     """
     return Dedup(min_words, sent_keys=sent_keys).find(docs)
 
@@ -247,10 +366,13 @@ def cut_text(text: str, spans: list[tuple[int, int]]) -> str:
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, sent_documents: int = SENT_DOCUMENTS) -> DataFrame:
     """docs, all columns, with the repeated passages cut from text but for their first occurrence.
-    A text with nothing to cut stays as it is, to the byte; one of nothing else becomes empty."""
-    cuts = written(repeated_passages(docs, min_words).where("size(removed) > 0").select(F.col("doc_id").alias("_id"), F.col("removed").alias("_cuts")))
+    A text with nothing to cut stays as it is, to the byte; one of nothing else becomes empty. Null texts, and
+    rows without doc_id, stay. Columns may have any other names."""
+    id_name, cuts_name = fresh(docs, "_id"), fresh(docs, "_cuts")
+    with passing(docs.sparkSession) as keep:
+        cuts = keep(written(repeated_passages(docs, min_words).where("size(removed) > 0").select(F.col("doc_id").alias(id_name), F.col("removed").alias(cuts_name))))
     small = cuts.count() <= sent_documents
-    joined = docs.join(F.broadcast(cuts) if small else cuts, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+    joined = docs.join(F.broadcast(cuts) if small else cuts, docs["doc_id"].cast("long") == cuts[id_name], "left").drop(id_name)
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

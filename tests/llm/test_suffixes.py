@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tallyweave.llm import suffixes as S
@@ -74,13 +75,36 @@ def test_small_batches_and_hot_passages(spark, monkeypatch):
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
     try:
-        for often in (2, 1000):
+        for often, block in ((2, 20_000), (1000, 20_000), (1000, 3)):
             monkeypatch.setattr(S, "OFTEN", often)
+            monkeypatch.setattr(S, "BLOCK_ROWS", block)
             assert found(S.repeated_passages(frame)) == brute(docs, 50)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_neighbours_are_compared_by_their_words():
+    """compare() against all pairs, on suffixes whose words are few and often equal."""
+    r = random.Random(3)
+    size, window, reach = 8, 4, 5
+    for _ in range(40):
+        n = r.randrange(1, 30)
+        rows = sorted(([r.choice((1, 1, 1, 2)) for _ in range(size)], [r.choice((1, 1, 2)) for _ in range(window - 1)], r.randrange(20)) for _ in range(n))
+        use = np.array([[r.random() < 0.7 for _ in range(window)] for _ in range(n)])
+        right, left, rank = (np.array([x[k] for x in rows]) for k in range(3))
+        got = S.compare(right, left, use, rank, reach)
+        for i, (a, b, place) in enumerate(rows):
+            for d in range(window):
+                same = [p for j, (x, y, p) in enumerate(rows) if use[j, d] and x[: size - d] == a[: size - d] and y[:d] == b[:d]]
+                assert got[0][i, d] == (use[i, d] and len(set(same)) > 1), (i, d)
+                assert got[1][i, d] == (use[i, d] and place > min(same)), (i, d)
+
+
+def test_ids_must_be_integers(spark):
+    with pytest.raises(TypeError):
+        S.repeated_passages(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
 def test_cutting(spark):
     a, b = " ".join(f"a{i}" for i in range(55)), " ".join(f"b{i}" for i in range(55))
     docs = [(1, f"Start {a}\n end", "x"), (2, f"{a}\nown  words\n{b}", "y"), (3, f" {b} tail ", "z"), (4, a, None), (5, None, "n"), (None, a, "keep")]
