@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyweave.llm.licenses import GATES, rules
+from tallyweave.llm.licenses import rules
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -43,12 +43,11 @@ def _spaced(pattern: str) -> str:
 
 def op3() -> str:
     values = ", ".join(f"({_quoted(r.label)}, [{', '.join(map(_quoted, r.keywords))}], {_quoted(_spaced(r.pattern))}, {r.priority}, {r.weight}::DOUBLE, {str(r.base).lower()})" for r in rules())
-    gate = " OR ".join(f"contains(norm, {_quoted(g)})" for g in GATES)
     count = "len(list_filter(string_split({}, ' '), lambda e: e <> ''))"
     return f"""
 WITH r(label, keywords, pattern, priority, weight, base) AS (VALUES {values}),
 d AS (SELECT doc_id, array_to_string({_WORDS}, ' ') AS norm, len({_WORDS}) AS n_words FROM documents),
-t AS (SELECT doc_id, r.*, ' ' || replace(norm, ' ', '  ') || ' ' AS spaced FROM d, r WHERE ({gate}) AND len(list_filter(keywords, lambda k: contains(norm, k))) > 0),
+t AS (SELECT doc_id, r.*, ' ' || replace(norm, ' ', '  ') || ' ' AS spaced FROM d, r WHERE len(list_filter(keywords, lambda k: contains(norm, k))) > 0),
 m AS (SELECT *, string_split_regex(spaced, pattern) AS p, regexp_extract_all(spaced, pattern) AS x FROM t WHERE regexp_matches(spaced, pattern)),
 u AS (SELECT doc_id, label, priority, weight, base, p, x, unnest(range(1, len(x) + 1)) AS i FROM m),
 v AS (SELECT doc_id, label, priority, weight, base, list_sum(list_transform(p[1:i], lambda q: {count.format("q")})) + coalesce(list_sum(list_transform(x[1:i - 1], lambda q: {count.format("q")})), 0) AS first, {count.format("x[i]")} AS n FROM u),
