@@ -21,8 +21,8 @@ from tallyweave.llm.shared import written
 
 #: Hosts whose winners are broadcast at most; beyond that the join is shuffled, and AQE splits a hot host.
 BROADCAST_HOSTS = 200_000
-#: Share of a page's text that its container must hold, and the most characters that a page's vote counts.
-SHARE, VOTE = 0.7, 10_000
+#: Share of a page's text that its container must hold, and of linked text from which what surrounds it is a menu.
+SHARE, LINKED = 0.7, 0.5
 
 _ATTRS = r"""((?:[^>"']++|"[^"]*"|'[^']*')*+)"""
 _RAW = "script|style|noscript|template|iframe|svg|math|textarea|select|title|object|canvas|video|audio"
@@ -42,13 +42,18 @@ _CONTAINER = frozenset("article blockquote body center div main section td".spli
 _NEVER = frozenset("article body html main".split())
 _DROP_TAGS = frozenset("aside button dialog footer form head header menu nav".split())
 _DROP_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-#: Words of class and id values that mark what is not the article.
+#: Words of class and id names that mark what is not the article: the name is one of them, or joins them with
+#: words of _PARTS only. So related-posts and share-buttons go, related-work and share-price stay.
 _DROP_WORDS = frozenset(
     """ad ads adsense advert advertisement advertising adverts adv alert banner banners breadcrumb breadcrumbs comment comments consent cookie cookies
     copyright discussion disqus footer form gdpr hidden login masthead menu menus modal nav navbar navigation newsletter notice notices notification outbrain pager
     pagination paywall popup promo promoted promotion recommended related replies reply respond responses search share sharing sidebar signup skip social
     sponsor sponsored subscribe subscription taboola tags toolbar trending widget widgets""".split()
 )
+_PARTS = frozenset(
+    """aside area articles author bar block body bottom box btn button buttons center column container content desktop fixed foot global group head header icon icons inline inner item items js
+    left link links list main media message mobile overlay page panel post posts primary right row secondary section site slot stories sticky strip text thread title top unit view wrap wrapper""".split()
+)
 _DROP_CLASSES = frozenset("header site-header page-header top-bar topbar".split())
 _CLOSES = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tr": ("tr td th", "table tbody thead tfoot"), "option": ("option", "select")}
 _CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in _CLOSES.items()}
@@ -80,8 +85,15 @@ def _dropped(tag: str, attrs: dict[str, str]) -> bool:
         return tag == "article" and "comment" in attrs.get("class", "").lower()
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in _DROP_ROLES or "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    return not names.isspace() and (any(x.lower() in _DROP_WORDS for x in _WORDS.findall(names)) or any(x.lower() in _DROP_CLASSES for x in names.split()))
+    return any(_marks(x) for x in f"{attrs.get('class', '')} {attrs.get('id', '')}".split())
+
+
+def _marks(name: str) -> bool:
+    """Whether a class or id name says that its element is not the article."""
+    if name.lower() in _DROP_CLASSES:
+        return True
+    words = [x for x in map(str.lower, _WORDS.findall(name)) if not x.isdigit()]
+    return any(x in _DROP_WORDS for x in words) and all(x in _DROP_WORDS or x in _PARTS for x in words)
 
 
 def _step(tag: str, attrs: dict[str, str]) -> str:
@@ -175,12 +187,14 @@ def parse(html: str) -> Page:
 
 
 def best_container(page: Page) -> tuple[int, int] | None:
-    """The deepest container with most of the page's unlinked text, or the article around it, and its characters."""
-    inside = [0] * len(page.paths)
+    """The article, or else the main element, around the deepest container with most of the page's unlinked text; without
+    these, that container, or the one around it as long as it has more text that is no menu. With its characters."""
+    inside, linked = [0] * len(page.paths), [0] * len(page.paths)
     for b in page.blocks:
-        c, n = b.container, max(0, len(b.text) - b.linked)
+        c = b.container
         while c >= 0:
-            inside[c] += n
+            inside[c] += len(b.text) - b.linked
+            linked[c] += b.linked
             c = page.parents[c]
     if not inside[0]:
         return None
@@ -190,7 +204,17 @@ def best_container(page: Page) -> tuple[int, int] | None:
         article = c if page.tags[c] == "article" else article
         main = c if page.tags[c] == "main" else main
         c = page.parents[c]
-    best = article if article is not None else main if main is not None else best
+    if article is None and main is None:
+        c = page.parents[best]
+        while c > 0 and page.tags[c] != "body":
+            more, menu = inside[c] - inside[best], linked[c] - linked[best]
+            if menu and menu >= LINKED * (more + menu):
+                break
+            if more:
+                best = c
+            c = page.parents[c]
+    else:
+        best = main if article is None else article
     return best, inside[best]
 
 
@@ -203,12 +227,15 @@ def text_at(page: Page, chosen: set[int]) -> str:
 
 
 def extract(html: str, path: str | None) -> str:
+    """The text at the path, or in the page's own best container where there is none. A page whose text is all links
+    has only what its articles, or its main element, hold."""
     page = parse(html)
-    chosen = {c for c, p in enumerate(page.paths) if p == path}
-    text = text_at(page, chosen) if chosen else ""
+    text = text_at(page, {c for c, p in enumerate(page.paths) if p == path})
     if not text and (best := best_container(page)):
         text = text_at(page, {best[0]})
-    return text or text_at(page, {0})
+    for tag in ("article", "main"):
+        text = text or text_at(page, {c for c, t in enumerate(page.tags) if t == tag})
+    return text
 
 
 def _host(url) -> F.Column:
@@ -216,8 +243,8 @@ def _host(url) -> F.Column:
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): for each host the path with most votes; of equals the smallest. Pages
-    without unlinked text don't vote. Votes are summed before and after the shuffle."""
+    """(host, path): for each host the path with most votes; of equals the smallest. A page's vote counts the characters in
+    its container; pages without unlinked text don't vote. Votes are summed before and after the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: Counter[tuple[str, str]] = Counter()
@@ -225,7 +252,7 @@ def winning_paths(pages: DataFrame) -> DataFrame:
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 page = parse(html.as_py() or "")
                 if best := best_container(page):
-                    sums[host, page.paths[best[0]]] += min(VOTE, best[1])
+                    sums[host, page.paths[best[0]]] += best[1]
             if len(sums) > 100_000:
                 yield _votes(sums)
                 sums.clear()
@@ -245,7 +272,8 @@ def main_text(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataF
     """page_id, url and the main text of each row of pages, with its code points.
 
     Null, empty and contentless html give an empty text; a null or odd url belongs to the
-    host "". Repeated rows give repeated rows; other columns are not read.
+    host "". Repeated rows vote each and give repeated rows; a page is read whole however long; an empty table gives no rows. Other
+    columns are not read.
     """
     winners = written(winning_paths(pages))
     n_hosts = winners.count()

@@ -51,6 +51,37 @@ def test_parts_that_are_not_the_article():
     assert page.paths[M.best_container(page)[0]] == "html>body.has-comments>div.wrap>div.content.post-0"
 
 
+@pytest.mark.parametrize("name", ["related-work", "share-price", "has-sidebar", "social-security", "search-results-explained", "navigationSystem", "menu-of-the-day"])
+def test_names_that_only_hold_a_word_stay(name):
+    body = f"<div class='wrap'><div class='text'><p>{'first part of the article ' * 9}</p><section class='{name}'><p>second part</p></section></div></div>"
+    for html in (f"<article>{body}</article>", body):
+        assert M.extract(html, None).endswith("\nsecond part")
+
+
+@pytest.mark.parametrize("name", ["related-posts", "share-buttons", "sidebar", "siteNav", "cookie_notice", "ad-slot-3", "comments", "post-comments", "site-header", "newsletter-box"])
+def test_names_of_what_is_not_the_article_go(name):
+    html = f"<body><div><p>{'first part of the article ' * 9}</p><div class='{name}'><p>second part</p></div></div></body>"
+    assert M.extract(html, None) == ("first part of the article " * 9).strip()
+
+
+def test_pages_of_links():
+    assert M.extract("<body><ul><li><a href='/'>Home</a><li><a href='/u'>About us</a></ul></body>", None) == ""
+    assert M.extract("<body><a href='/'>Home</a><article><a href='/x'>The whole story</a></article></body>", None) == "The whole story"
+
+
+def test_heading_and_intro_beside_the_entry():
+    entry = "<p>" + "the entry of the day " * 20 + "</p>"
+    page = f"<body><div class='post'><h1>Heading</h1><p>Intro of some words</p><div class='entry'>{entry}</div></div><div class='misc'><p>other</p></div></body>"
+    assert M.extract(page, None) == "Heading\nIntro of some words\n" + ("the entry of the day " * 20).strip()
+    linked = f"<body><div class='post'><ul><li><a href='/'>One link</a></ul><div class='entry'>{entry}</div></div></body>"
+    assert M.extract(linked, None) == ("the entry of the day " * 20).strip()
+
+
+def test_very_long_page():
+    text = "word " * 400_000
+    assert M.extract(f"<body><nav>menu</nav><div><p>{text}</p></div></body>", None) == text.strip()
+
+
 @pytest.mark.parametrize("html", ["", "<", "<p", "<p class='", "<!--", "<script>x", "</p></div>", "&", "<a b=\"c>d", "<li><li></ul><td>", "\x00<p>\x00", "<p>" * 3000 + "x"])
 def test_odd_pages(html):
     text = M.extract(html, "html>body>article")
