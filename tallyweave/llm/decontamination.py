@@ -1,16 +1,17 @@
 """Benchmark decontamination: one Aho-Corasick automaton over all test windows.
 
-The automaton holds every window of ``window`` consecutive words of each item,
-normalised and set between single spaces. A document is normalised the same way
-and scanned once; each match gives words of the document, and their places in
-the original text. Benchmarks are small beside a corpus, yet nothing relies on it:
-items are dealt to blocks of bounded size, one automaton each, and the
-documents pass through the blocks one after the other, without a shuffle.
+The automaton's letters are words: every window of ``window`` consecutive words of each item,
+normalised, is a string of word numbers. A document is normalised the same way, its words get the
+same numbers (0 if no item has them) and are scanned once; each match gives words of the document, and
+their places in the original text. Benchmarks are small beside a corpus, yet nothing relies on it: one
+of more than BLOCK_CHARS characters is dealt to several automata of that size, and the
+documents pass through them one after the other, without a shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -20,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyweave.llm.shared import drop_written, written
 from tallyweave.llm.wordarrays import ALNUM, string_bytes
 
-#: Characters of items in one automaton: about 12 trie nodes each.
-BLOCK_CHARS = 400_000
+#: Characters of items in one automaton: about 13 nodes a word, 2 a character, in each worker.
+BLOCK_CHARS = 2_000_000
 WINDOW = 13
 
 _KEEP = ALNUM[0]
@@ -32,42 +34,51 @@ _NORMAL = bytes((b + 32 if 65 <= b <= 90 else b) if _KEEP[b] else 32 for b in ra
 MATCHES = "array<struct<item:string,first:long,words:long>>"
 
 
-def _normal(text: bytes) -> bytes:
-    """The text's words in lower case, each between single spaces; b" " without words."""
-    words = text.translate(_NORMAL).split()
-    return b" %b " % b" ".join(words) if words else b" "
+def _words(text: bytes) -> list[bytes]:
+    """The text's words in lower case."""
+    return text.translate(_NORMAL).split()
 
 
-def item_windows(text: str | None, window: int = WINDOW) -> set[bytes]:
+def item_windows(text: str | None, window: int = WINDOW) -> set[tuple[bytes, ...]]:
     """The item's windows; the whole item if it has fewer words; none without words."""
-    words = (text or "").encode().translate(_NORMAL).split()
+    words = _words((text or "").encode())
     n = min(window, len(words))
-    return {b" %b " % b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
-
-
-def _automaton(items: list[tuple[str, str]], window: int) -> ahocorasick.Automaton | None:
-    owners: dict[bytes, set[str]] = {}
-    for item, text in items:
-        for w in item_windows(text, window):
-            owners.setdefault(w, set()).add(item)
-    if not owners:
-        return None
-    out = ahocorasick.Automaton()
-    for w, who in owners.items():
-        out.add_word(w.decode("latin-1"), (len(w), w.count(b" ") - 1, sorted(who)))
-    out.make_automaton()
-    return out
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
+
+
+class Scanner:
+    """The automaton, and the numbers of its words from 1 on."""
+
+    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW) -> None:
+        owners: dict[tuple[bytes, ...], set[str]] = {}
+        for item, text in items:
+            for w in item_windows(text, window):
+                owners.setdefault(w, set()).add(item)
+        self.numbers: dict[bytes, int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for w, who in owners.items():
+            self.automaton.add_word(tuple(self.numbers.setdefault(x, len(self.numbers) + 1) for x in w), (len(w), sorted(who)))
+        if owners:
+            self.automaton.make_automaton()
+
+    def scan(self, words: list[bytes]) -> list[tuple[str, int, int]]:
+        """(item, first word, words) of each occurrence of a window in a text's words."""
+        if not self.numbers or not words:
+            return []
+        number = self.numbers.get
+        return [(item, end - n + 1, n) for end, (n, who) in self.automaton.iter(tuple([number(w, 0) for w in words])) for item in who]
+
+
+#: The scanners that a worker has built, one for each scan's block.
+_scanners: dict[str, Scanner] = {}
 
 
-def scan_text(automaton: ahocorasick.Automaton, text: bytes) -> list[tuple[str, int, int]]:
-    """(item, first word, words) of each occurrence of a window in the text."""
-    normal = _normal(text)
-    found = list(automaton.iter(normal.decode("latin-1")))
-    if not found:
-        return []
-    spaces = np.flatnonzero(np.frombuffer(normal, np.uint8) == 32)
-    starts = np.searchsorted(spaces, [end - n + 1 for end, (n, _, _) in found])
-    return [(item, int(s), words) for s, (_, (_, words, who)) in zip(starts, found, strict=True) for item in who]
+def _scanner(sent, name: str, window: int) -> Scanner:
+    if name not in _scanners:
+        if len(_scanners) >= 2:
+            _scanners.clear()
+        _scanners[name] = Scanner(sent.value, window)
+    return _scanners[name]
 
 
 def _merged(pairs: list[tuple[int, int]]) -> list[list[int]]:
@@ -98,19 +109,24 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_chars: i
     items (sorted distinct item_ids as strings), and spans (first and last code
     point offset, the last exclusive, of each run of hit words in the original text).
     Null and empty texts have no words and no hits. Items with a null item_id
-    or without words match nothing; repeated items count once. Repeated documents
-    give repeated rows. Without items nothing is hit.
+    or without words match nothing; repeated items count once, and items of one id together. Repeated documents
+    give repeated rows; a text is scanned whole however long. Without items nothing is hit, and without documents there
+    are no rows.
     """
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("text")).where("item is not null and text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = max(1, -(-chars // block_chars))
+    if n_blocks > 1:
+        items = written(items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks))))
     out = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
     id_field = out.schema["doc_id"]
     for block in range(n_blocks):
-        mine = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == block)
+        mine = items if n_blocks == 1 else items.where(F.col("block") == block).select("item", "text")
         sent = spark.sparkContext.broadcast([(r[0], r[1]) for r in mine.collect()])
         out = out.mapInArrow(_block(sent, window, block > 0, block == n_blocks - 1), _schema(id_field, block == n_blocks - 1))
+    if n_blocks > 1:
+        drop_written(items)
     return out
 
 
@@ -122,13 +138,15 @@ def _schema(id_field: T.StructField, last: bool) -> str:
 def _block(sent, window: int, later: bool, last: bool):
     match_type = pa.list_(pa.struct([("item", pa.string()), ("first", pa.int64()), ("words", pa.int64())]))
     span_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(sent.value, window)
+        scanner = _scanner(sent, name, window)
         for batch in batches:
             data, off = string_bytes(batch.column("text"))
             texts = [data[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
-            found = [scan_text(automaton, t) if automaton else [] for t in texts]
+            words = [_words(t) for t in texts]
+            found = [scanner.scan(w) for w in words]
             if later:
                 found = [[(m["item"], m["first"], m["words"]) for m in old] + new for old, new in zip(batch.column("matches").to_pylist(), found, strict=True)]
             if not last:
@@ -139,7 +157,7 @@ def _block(sent, window: int, later: bool, last: bool):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array([max(0, _normal(t).count(b" ") - 1) for t in texts], pa.int64()),
+                    pa.array([len(w) for w in words], pa.int64()),
                     pa.array([sum(b - a for a, b in x) for x in runs], pa.int64()),
                     pa.array([sorted({i for i, _, _ in x}) for x in found], pa.list_(pa.string())),
                     pa.array([[{"first": a, "last": b} for a, b in _char_spans(t, x)] if x else [] for t, x in zip(texts, runs, strict=True)], span_type),
