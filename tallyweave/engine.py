@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import text
 from tallyweave.hooks import Hooks
-from tallyweave.operators import findings, pairs, retrieval, snapshot, state
+from tallyweave.operators import control, findings, graph, grounding, pairs, retrieval, snapshot, state
 from tallyweave.shipping import ship
 
 
@@ -21,8 +21,12 @@ class Engine:
     def __post_init__(self) -> None:
         ship(self.spark)
 
-    def snapshot(self, amounts: DataFrame) -> DataFrame:
-        return snapshot.snapshot(amounts)
+    def snapshot(self, amounts: DataFrame, anchors: DataFrame | None = None, refs: DataFrame | None = None) -> DataFrame:
+        return snapshot.snapshot(amounts, anchors, refs)
+
+    def cross_check(self, phases: dict[str, DataFrame]) -> DataFrame:
+        """The findings of the phases in their order, as report() takes them."""
+        return control.in_phases(phases)
 
     def contradictions(self, amounts: DataFrame) -> DataFrame:
         """Anchored and anchorless pairs, assessed and deduplicated, of audits with two documents or more."""
@@ -45,18 +49,48 @@ class Engine:
     def checklist(self, documents: DataFrame) -> DataFrame:
         return state.checklist(documents, self.spark)
 
-    def replan(self, prior: DataFrame, fresh: DataFrame, found: DataFrame, documents: DataFrame, least_checks: int = 4) -> DataFrame:
-        """One more pass of planning for audits with two documents, no finding and few checks."""
+    def replan(self, prior: DataFrame, fresh: DataFrame, found: DataFrame, documents: DataFrame, least_checks: int = 4, passes: int = 1) -> DataFrame:
+        """One more pass of planning for audits with two documents, no finding and few checks, after fewer than two passes."""
+        if passes >= control.MAX_PASSES:
+            return prior
         few = prior.groupBy("audit_id").agg(F.count("*").alias("n")).where(F.col("n") < least_checks).select("audit_id")
         many = documents.groupBy("audit_id").agg(F.count("*").alias("n")).where("n > 1").select("audit_id")
         again = few.join(many, "audit_id", "left_semi").join(found.select("audit_id").distinct(), "audit_id", "left_anti")
         return state.union_new(prior, fresh.join(again, "audit_id", "left_semi"))
 
-    def search(self, chunks: DataFrame, query: str, k: int = 20) -> DataFrame:
-        """Keyword hits for each identifier in the query, or for all its words."""
-        tokens = self.spark.range(1).select(text.id_tokens(F.lit(query)).alias("t")).first()[0] or [query]
-        each = [retrieval.keyword_matches(chunks, t, max(3, k // 2)).withColumns({"query_order": F.lit(i), "score": F.lit(1.0)}) for i, t in enumerate(tokens)]
-        out = each[0]
+    def search(self, chunks: DataFrame, query: str, k: int = 20, doc_ids: DataFrame | None = None, language: str | None = None, vectors: DataFrame | None = None, query_vector: list[float] | None = None, edges: DataFrame | None = None, entities: DataFrame | None = None) -> DataFrame:
+        """Keyword hits for each identifier in the query, or for all its words; the k nearest by vector where vectors (doc_id as vec_id,
+        embedding) and the query's are given; and, where the query asks for relations and the graph is given, the documents of
+        entities (entity_id, doc_id, value) next to those that it names. Merged in that order, in chunks of these documents and this language."""
+        chunks = retrieval.filtered(chunks, doc_ids, language)
+        tokens, by_graph, about = self.spark.sql("SELECT 1").select(text.id_tokens(F.lit(query)), text.route(F.lit(query)) == "graph", self.hooks.about(F.lit(query))).first() if query else ([], False, [])
+        each = [retrieval.keyword_matches(chunks, t, max(3, k // 2)).select("doc_id", "text", F.lit(1.0).alias("score")) for t in tokens or [query]]
+        found = each[0]
         for more in each[1:]:
-            out = out.unionByName(more)
-        return retrieval.merge_hits(out, out.limit(0), out.limit(0)).limit(k)
+            found = found.unionByName(more)
+        none = found.limit(0)
+        near = none
+        if vectors is not None and query_vector is not None:
+            asked = self.spark.createDataFrame([(0, query_vector)], "query_id long, query array<double>")
+            own = vectors.join(chunks.select(F.col("doc_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
+            near = retrieval.vector_top_k(asked, own, k).select(F.col("vec_id").alias("doc_id"), "score").join(chunks.select("doc_id", "text"), "doc_id").select("doc_id", "text", "score")
+        linked = none
+        if by_graph and about and edges is not None and entities is not None:
+            seeds = entities.where(F.lower(F.trim("value")).isin([a.strip().lower() for a in about])).select(F.col("entity_id").alias("node"))
+            reached = graph.k_hop(edges, seeds).select(F.col("node").alias("entity_id")).distinct()
+            docs = entities.join(reached, "entity_id", "left_semi").select("doc_id").distinct()
+            linked = chunks.join(docs, "doc_id", "left_semi").select("doc_id", "text", F.lit(0.0).alias("score"))
+        merged = retrieval.merge_hits(found, near, linked)
+        return merged.orderBy("priority", F.desc("score"), "doc_id").limit(k).drop("priority")
+
+    def payload(self, documents: DataFrame, amounts: DataFrame, found: DataFrame, anchors: DataFrame | None = None, refs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """The snapshot with its gaps filled from findings, and conflict rows: of findings first, then of the graph."""
+        snap = grounding.fill_gaps(snapshot.snapshot(amounts, anchors, refs), grounding.label_amounts(found))
+        of_findings = grounding.finding_conflicts(found, documents, amounts).select("audit_id", F.col("conflict_type").alias("entity_label"), "doc_a_id", "doc_a_value", "doc_b_id", "doc_b_value", F.lit("critical").alias("severity"), F.col("finding_id").cast("string").alias("position"))
+        of_graph = pairs.conflict_rows(pairs.anchored(amounts, pairs.role_pairs(self.spark)))
+        of_graph = of_graph.withColumn("position", F.concat_ws("|", "entity_label", "doc_a_id", "doc_b_id"))
+        return snap, grounding.merged_conflicts(of_findings, of_graph)
+
+    def sources(self, merged: DataFrame, most: int = 12, chars: int = 700) -> DataFrame:
+        """What an answer is grounded on: the first hits with text, cut."""
+        return merged.where("trim(text) != ''").select("doc_id", "source", F.substring(F.trim("text"), 1, chars).alias("text")).limit(most)

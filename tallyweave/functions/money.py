@@ -11,6 +11,7 @@ CODES = {
     "usd": "USD", "us$": "USD", "eur": "EUR", "gbp": "GBP", "egp": "EGP", "le": "EGP", "sar": "SAR", "aed": "AED", "kwd": "KWD",
     "omr": "OMR", "qar": "QAR", "bhd": "BHD", "دولار": "USD", "يورو": "EUR", "جنيه": "EGP", "ج.م": "EGP", "ريال": "SAR", "درهم": "AED",
 }
+# Numbers with thousands, and the shapes that amounts are read in.
 NUMBER = r"(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?"
 ARABIC_DIGITS, PERSIAN_DIGITS, DIGITS = "٠١٢٣٤٥٦٧٨٩", "۰۱۲۳۴۵۶۷۸۹", "0123456789"
 
@@ -21,6 +22,13 @@ RUN = r"[0-9][0-9,]*\.?[0-9]*"
 GROUP = r"[0-9,.]*[0-9][0-9,.]*"
 
 
+# Currency tokens of amounts in prose, and labels of numbers that are no amounts, in the 32 characters before.
+PROSE_CURRENCY = r"جنيه|ج\.م|EGP|USD|US\$|EUR|GBP|SAR|AED|ريال|دولار|يورو|درهم|LE\b"
+PROSE_NUMBER = r"[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?"
+REFERENCE_LABEL = r"(?i)(?:ref|reference|رقم|ص\s*[/]\s*م|invoice\s*#|contract\s*#|عقد\s*رقم)\s*[:\-]?\s*"
+LABEL_CHARS, WINDOW_CHARS = 32, 50
+
+
 def western_digits(text: Column) -> Column:
     return F.translate(text, ARABIC_DIGITS + PERSIAN_DIGITS, DIGITS + DIGITS)
 
@@ -79,11 +87,50 @@ def coarse(value: Column) -> Column:
     return F.when(value < 10_000, F.bround(value / 100) * 100).otherwise(F.bround(value / 1_000) * 1_000)
 
 
+def _found(text: Column, pattern: str) -> Column:
+    """Matches of a pattern as (position, end, raw, before), in order: before is the WINDOW_CHARS before. In one fold over the
+    pieces between marks, so that the text is not built again for every match."""
+    pieces = F.split(F.regexp_replace(text, pattern, "\x01$0\x02"), "\x01", -1)
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast("array<struct<position:int,end:int,raw:string,before:string>>").alias("out"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        marked = F.contains(piece, F.lit("\x02"))
+        raw = F.when(marked, F.substring_index(piece, "\x02", 1)).otherwise("")
+        plain = F.replace(piece, F.lit("\x02"), F.lit(""))
+        found = F.struct(acc["at"].alias("position"), (acc["at"] + F.length(raw)).alias("end"), raw.alias("raw"), acc["tail"].alias("before"))
+        return F.struct(
+            (acc["at"] + F.length(plain)).alias("at"),
+            F.right(F.concat(acc["tail"], F.right(plain, F.lit(WINDOW_CHARS))), F.lit(WINDOW_CHARS)).alias("tail"),
+            F.when(marked, F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"),
+        )
+
+    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+
+
+def amounts_in(text: Column) -> Column:
+    """(position, end, raw, before, value) of amounts with a currency before or after them, by position; those after a label of a
+    reference are no amounts. before: the 50 characters that precede it. Null texts have none."""
+    s = F.translate(western_digits(F.coalesce(text, F.lit(""))), "،\x01\x02", ", ")
+    both = F.concat(_found(s, rf"(?i){PROSE_NUMBER}\s*(?:{PROSE_CURRENCY})"), _found(s, rf"(?i)(?:{PROSE_CURRENCY})\s*{PROSE_NUMBER}"))
+    kept = F.filter(F.array_distinct(both), lambda x: ~F.rlike(F.right(x["before"], F.lit(LABEL_CHARS)), F.lit(REFERENCE_LABEL)))
+    with_value = F.transform(F.array_sort(kept), lambda x: F.struct(x["position"].alias("position"), x["end"].alias("end"), x["raw"].alias("raw"), x["before"].alias("before"), parse_amount(x["raw"]).alias("value")))
+    return F.filter(with_value, lambda x: x["value"].isNotNull())
+
+
 def tagged_amounts(text: Column) -> Column:
-    """Values of amounts with a currency beside them, in either order; those of amount-first before currency-first."""
-    s = F.coalesce(western_digits(text), F.lit(""))
-    both = F.concat(_all(s, rf"(?i)({NUMBER})\s*(?:{CURRENCY})", 1), _all(s, rf"(?i)(?:{CURRENCY})\s*({NUMBER})", 1))
-    return F.transform(F.filter(both, lambda t: ~is_year(t)), to_number)
+    """Values of amounts_in(), in order."""
+    return F.transform(amounts_in(text), lambda x: x["value"])
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Common share of two sets; 1 if both are empty, 0 if one is."""
+    n = F.size(F.array_union(a, b))
+    return F.when(n == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / n)
+
+
+def variants(value: Column) -> list[Column]:
+    """The ways that an amount may be written: with and without thousands, with two decimals and with none."""
+    return [F.format_number(value, 2), F.format_number(value, 0), F.format_string("%.2f", value), F.format_string("%.0f", value)]
 
 
 def number_multiset(text: Column) -> Column:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyweave.functions.money import amounts_in
+
+# Arabic letters, and marks that are left out.
 ARABIC = "[؀-ۿݐ-ݿ]"
 DIACRITICS = "[ؐ-ًؚ-ٰٟۖ-ۜ۟-۪ۤۧۨ-ۭـ]"
 
@@ -17,6 +20,7 @@ TITLES = [
     ("invoice", r"\binvoice\b|tax\s*invoice|\binv[-\s]?[a-z]*[-\s]?\d{4}|فاتور[ةه]"),
     ("contract", r"\bcontract\b|\bagreement\b|\bsubcontract\b|عقد\s*(مقاول[ةه]|من\s*الباطن)?"),
 ]
+# Fixed value: characters of a text's head that may hold its title.
 TITLE_WINDOW = 600
 
 # Vocabulary patterns of document types, with weights, in order.
@@ -30,7 +34,12 @@ VOCABULARY = [
     ("qs_report", [(r"quantity\s*survey(or|ing)?|\bqs\s*report|certification\s*report", 6), (r"measured\s*quantit|bill\s*of\s*quantities|\bboq\b|take[-\s]*off", 4), (r"مساح[ةه]\s*(ال)?كميات|تقرير\s*(ال)?كميات|حصر\s*(ال)?كميات", 6)]),
     ("board_resolution", [(r"board\s*(of\s*directors\s*)?(meeting\s*)?(minutes|resolution)", 6), (r"\bresolved\s*(that|to)\b|quorum|\bmotion\b|unanimously", 3), (r"محضر\s*اجتماع|قرار\s*مجلس\s*(ال)?[إا]دار[ةه]|مجلس\s*(ال)?[إا]دار[ةه]", 5)]),
 ]
+# Least score of a type, and what tells a noisy statement or invoice.
 LEAST_SCORE = 5
+AMOUNT_LIKE = r"[0-9][0-9,.]{2,}"
+FINANCE_WORDS = r"amount|total|vat|tax|payment|invoice|statement|transaction|balance|رصيد|المبلغ|فاتور[هة]|كشف\s*حساب"
+STATEMENT_WORDS = r"statement|transaction|debit|credit|كشف\s*حساب|رصيد"
+LEAST_NUMBERS, LEAST_FINANCE = 5, 4
 
 # Titles that name a signing authority, most senior first.
 AUTHORITIES = [("chairman", "chairman"), ("رئيس مجلس", "chairman"), ("chief executive", "ceo"), ("ceo", "ceo"), ("المدير التنفيذي", "ceo"), ("chief financial", "cfo"), ("cfo", "cfo"), ("finance director", "director"), ("managing director", "director"), ("director", "director"), ("مدير عام", "director"), ("manager", "manager"), ("مدير", "manager")]
@@ -95,21 +104,31 @@ def title_type(text: Column, filename: Column) -> Column:
 
 
 def vocabulary_scores(text: Column, filename: Column) -> list[tuple[str, Column]]:
+    """A type's patterns are counted only where their union occurs in the text, or in the name: most types ask for one search."""
     body, name = F.lower(F.coalesce(text, F.lit(""))), plain_name(filename)
     out = []
     for kind, rules in VOCABULARY:
-        score = F.lit(0)
+        union = F.lit("|".join(f"(?:{p})" for p, _ in rules))
+        in_body, in_name = F.lit(0), F.lit(0)
         for pattern, weight in rules:
-            score = score + weight * F.least(F.regexp_count(body, F.lit(pattern)), F.lit(3)) + F.when(F.rlike(name, F.lit(pattern)), max(1, weight // 2)).otherwise(0)
-        out.append((kind, score))
+            in_body = in_body + weight * F.least(F.regexp_count(body, F.lit(pattern)), F.lit(3))
+            in_name = in_name + F.when(F.rlike(name, F.lit(pattern)), max(1, weight // 2)).otherwise(0)
+        out.append((kind, F.when(F.rlike(body, union), in_body).otherwise(0) + F.when(F.rlike(name, union), in_name).otherwise(0)))
     return out
 
 
+def finance_type(text: Column) -> Column:
+    """For noisy scans: with many numbers and words of money a statement or an invoice, else null."""
+    body = F.lower(F.coalesce(text, F.lit("")))
+    money = (F.regexp_count(body, F.lit(AMOUNT_LIKE)) >= LEAST_NUMBERS) & (F.regexp_count(body, F.lit(FINANCE_WORDS)) >= LEAST_FINANCE)
+    return F.when(money, F.when(F.rlike(body, F.lit(STATEMENT_WORDS)), "bank_statement").otherwise("invoice"))
+
+
 def vocabulary_type(text: Column, filename: Column) -> Column:
-    """The type with the highest score from LEAST_SCORE on, the first of equals; else unknown."""
+    """The type with the highest score from LEAST_SCORE on, the first of equals; else what finance_type() says, else unknown."""
     scored = F.array(*(F.struct(s.alias("score"), F.lit(-i).alias("order"), F.lit(k).alias("kind")) for i, (k, s) in enumerate(vocabulary_scores(text, filename))))
     # inside a lambda, so that the scores are computed once
-    return F.transform(F.array(F.array_max(scored)), lambda best: F.when(best["score"] >= LEAST_SCORE, best["kind"]).otherwise("unknown"))[0]
+    return F.transform(F.array(F.array_max(scored)), lambda best: F.when(best["score"] >= LEAST_SCORE, best["kind"]).otherwise(F.coalesce(finance_type(text), F.lit("unknown"))))[0]
 
 
 def document_type(text: Column, filename: Column) -> Column:
@@ -133,6 +152,35 @@ def id_tokens(query: Column, most: int = 5) -> Column:
     return F.slice(F.filter(kept, lambda t, i: F.array_position(lowered, F.lower(t)) == i + 1), 1, most)
 
 
+def query_entities(query: Column, most: int = 5) -> Column:
+    """What a question is about: its amounts, capitalised words and long numbers, and Arabic words, each once, in that order."""
+    q = F.coalesce(query, F.lit(""))
+    words = F.slice(F.regexp_extract_all(q, F.lit(r"(\b[A-Z][a-zA-Z]+\b|\b[0-9]{4,}\b)"), 1), 1, most)
+    arabic = F.slice(F.regexp_extract_all(q, F.lit("([؀-ۿ]{3,})"), 1), 1, most)
+    return F.array_distinct(F.concat(F.transform(amounts_in(q), lambda a: F.trim(a["raw"])), words, arabic))
+
+
+def entity_key(kind: Column, normalized: Column, doc_id: Column, amount: Column, currency: Column, ref: Column, day: Column) -> Column:
+    """What an entity's id is made of: an amount's document, currency, value and transaction; the core of a contract's or an invoice's
+    number, and the name of a company or person, whatever the document; of anything else the document too."""
+    k, text = F.lower(F.trim(F.coalesce(kind, F.lit("other")))), F.lower(F.trim(F.coalesce(normalized, F.lit(""))))
+    doc, core, when = F.coalesce(doc_id, F.lit("")), identifier_core(ref), F.lower(F.trim(F.coalesce(day, F.lit(""))))
+    code = F.coalesce(F.nullif(F.upper(F.trim(currency)), F.lit("")), F.lit("NONE"))
+    txn = F.when((core != "") | (when != ""), F.concat(F.lit("::"), core, F.lit("::"), when)).otherwise("")
+    of_amount = F.concat(F.lit("amount::"), doc, F.lit("::"), code, F.lit("::"), F.round(amount, 2).cast("decimal(38,2)").cast("string"), txn)
+    name = F.when(k.isin("contract_id", "invoice_id"), F.coalesce(F.nullif(identifier_core(text), F.lit("")), text)).otherwise(text)
+    everywhere = k.isin("contract_id", "invoice_id", "company", "person")
+    return F.when((k == "amount") & amount.isNotNull(), of_amount).when(everywhere, F.concat_ws("::", k, name)).otherwise(F.concat_ws("::", k, doc, name))
+
+
+def chunk_key(doc_id: Column, index: Column) -> Column:
+    return F.concat_ws("::", F.lit("chunk"), doc_id, index.cast("long").cast("string"))
+
+
+def relation_key(source: Column, target: Column, kind: Column) -> Column:
+    return F.concat(source, F.lit("->"), target, F.lit("::"), F.lower(F.trim(F.coalesce(kind, F.lit("other")))))
+
+
 def route(query: Column) -> Column:
     q = F.trim(F.coalesce(query, F.lit("")))
     return F.when(contains_any(F.lower(q), GRAPH_WORDS) | (F.size(id_tokens(q)) > 0), "graph").otherwise("vector")

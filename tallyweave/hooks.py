@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions.money import number_multiset
+from tallyweave.functions.text import query_entities
 from tallyweave.functions.text import document_type
+from tallyweave.operators.documents import LEAST_ROWS, has_amount
+from tallyweave.operators.extraction import rule_entities
 from tallyweave.operators.pairs import severity
 
 
@@ -25,8 +28,14 @@ def summary(risks: DataFrame) -> DataFrame:
 
 
 def repaired(original: Column, repair: Column) -> Column:
-    """A repaired table's text if it has the numbers of the original, else the original."""
-    return F.when(number_multiset(original) == number_multiset(repair), repair).otherwise(original)
+    """A repaired table's text if it has the numbers of the original, and amounts in three rows or more, else the original."""
+    rows = F.size(F.filter(F.split(repair, "\n"), has_amount)) >= LEAST_ROWS
+    return F.when((number_multiset(original) == number_multiset(repair)) & rows, repair).otherwise(original)
+
+
+def no_findings(checks: DataFrame, snippets: DataFrame) -> DataFrame:
+    """Checks are left to a model; without one they find nothing."""
+    return checks.limit(0).select("audit_id", "check_no", F.lit("").alias("title"))
 
 
 @dataclass
@@ -35,3 +44,7 @@ class Hooks:
     assess: Callable[[DataFrame], DataFrame] = rule_assessment
     summarise: Callable[[DataFrame], DataFrame] = summary
     repair: Callable[[Column], Column] = field(default=lambda text: text)
+    entities: Callable[[DataFrame], DataFrame] = rule_entities
+    about: Callable[[Column], Column] = query_entities
+    adjudicate: Callable[[DataFrame, DataFrame], DataFrame] = no_findings
+    ocr: Callable[[bytes], str] | None = None

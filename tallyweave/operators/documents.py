@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Amounts in cells, words of registers and of header rows, least rows, and the length of a stray segment.
 AMOUNT = r"[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+\.[0-9]{2}"
 # Months and the ways that a row's date is written.
 MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec"
@@ -16,6 +17,7 @@ ROW_DATE = (
     rf"|{_D}{{1,2}}\s+(?:{MONTHS}|{ARABIC_MONTHS})[a-z؀-ۿ]*\.?,?\s+{_D}{{2,4}}|(?:{MONTHS})[a-z]*\.?\s+{_D}{{1,2}},?\s+{_D}{{2,4}})"
 )
 REGISTER_HINT = "(?i)debit|credit|balance|مدين|دائن|رصيد"
+HEADER_HINT = "(?i)date|ref|txn|description|debit|credit|balance|amount|qty|quantity|rate|item|تاريخ|مرجع|بيان|مدين|دائن|رصيد|مبلغ|كمية"
 LEAST_ROWS, STRAY = 3, 40
 ROW_MARK = "[TABLE ROW]"
 
@@ -31,6 +33,36 @@ def looks_flattened(text: Column) -> Column:
     return (n >= 12) & (F.size(F.filter(lines, has_amount)) >= 6) & (F.size(F.filter(lines, lambda x: F.length(x) <= 45)) * 10 >= n * 6)
 
 
+def clean_cell(cell: Column) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(cell, F.lit("")), r"\s+", " "))
+
+
+def join_cells(cells: Column) -> Column:
+    """A row's cells between bars; an identifier that is cut after its hyphen is put together."""
+    return F.replace(F.regexp_replace(F.array_join(cells, "\n"), r"-\n(?=[\p{L}\p{N}])", "-"), F.lit("\n"), F.lit(" | "))
+
+
+def is_header(cells: Column) -> Column:
+    """Whether a row names columns, and has no number of four digits or more itself."""
+    text = F.array_join(cells, " ")
+    return F.rlike(text, F.lit(HEADER_HINT)) & ~F.rlike(text, F.lit("[0-9][0-9,]{3,}"))
+
+
+def is_tabular(rows: Column) -> Column:
+    """Whether rows of cells are a table: two or more, with a header first, or amounts in at least two and half of them."""
+    priced = F.size(F.filter(rows, lambda r: F.exists(r, lambda c: F.coalesce(has_amount(c), F.lit(False)))))
+    return (F.size(rows) >= 2) & (is_header(F.get(rows, F.lit(0))) | (priced >= F.greatest(F.lit(2), F.floor(F.size(rows) / 2))))
+
+
+def register_prose(pages: DataFrame) -> DataFrame:
+    """(page_id, prose) of the pages that register_rows() reads: what stands before the first row."""
+    lines = pages.select("page_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    first = lines.where(F.rlike("line", F.lit(ROW_DATE))).groupBy("page_id").agg(F.min("pos").alias("first"))
+    read = register_rows(pages).select("page_id").distinct()
+    head = F.array_join(F.slice(F.split("text", "\n"), F.lit(1), F.col("first")), "\n")
+    return pages.join(read, "page_id", "left_semi").join(first, "page_id").select("page_id", head.alias("prose"))
+
+
 def register_rows(pages: DataFrame) -> DataFrame:
     """(page_id, row_no, row) of pages that are flattened registers: lines are gathered from one date to the next,
     short segments without amount go before the next, identifiers cut at a hyphen are joined."""
@@ -38,8 +70,7 @@ def register_rows(pages: DataFrame) -> DataFrame:
     by_page = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lines = lines.withColumn("segment", F.sum(F.rlike("line", F.lit(ROW_DATE)).cast("int")).over(by_page))
     cells = lines.where("segment > 0 and trim(line) != ''").groupBy("page_id", "segment").agg(F.array_sort(F.collect_list(F.struct("pos", F.trim("line").alias("cell")))).alias("cells"))
-    joined = F.array_join(F.transform("cells", lambda c: c["cell"]), "\n")
-    row = F.replace(F.regexp_replace(joined, r"-\n(?=[\p{L}\p{N}])", "-"), F.lit("\n"), F.lit(" | "))
+    row = join_cells(F.transform("cells", lambda c: c["cell"]))
     rows = cells.select("page_id", "segment", row.alias("row"))
     enough = rows.groupBy("page_id").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).select("page_id")
     rows = rows.join(enough, "page_id", "left_semi").withColumn("stray", ~has_amount(F.col("row")) & (F.length("row") <= STRAY))

@@ -28,6 +28,7 @@ BUCKETS = [
     ("schedule", ["schedule", "milestone", "due date", "payment date", "payment schedule"]),
     ("vat", ["vat", "tax"]),
 ]
+# Amounts that tell a story, least confidences by source, shapes of ids and of references.
 LEAST_AMOUNT, LARGEST_AMOUNT = 100.0, 2_000_000.0
 FLOORS = {"llm": 0.65, "graph": 0.55}
 OTHER_FLOOR = 0.40
@@ -110,7 +111,8 @@ def dedupe(findings: DataFrame) -> DataFrame:
 def risk(findings: DataFrame) -> DataFrame:
     """Counts, mean confidence in percent, and overall risk of each audit."""
     critical, warning = F.count_if(F.col("severity") == "critical"), F.count_if(F.col("severity") == "warning")
-    out = findings.groupBy("audit_id").agg(critical.alias("critical"), warning.alias("warnings"), F.count("*").alias("findings"))
+    mean = F.round(F.avg("confidence") * 100, 0).cast("int")
+    out = findings.groupBy("audit_id").agg(critical.alias("critical"), warning.alias("warnings"), F.count("*").alias("findings"), mean.alias("mean_confidence"))
     level = F.when(F.col("critical") >= 3, "critical").when(F.col("critical") >= 1, "high").when(F.col("warnings") >= 3, "medium").when(F.col("warnings") >= 1, "low").otherwise("clean")
     return out.withColumn("overall_risk", level)
 

@@ -12,13 +12,17 @@ AMENDMENT_WORDS = ["amendment", "amend", "amended", "addendum", "variation order
 SIGNED_REFERENCE = r"\b([A-Za-z]{2,6}[-\s/]?[0-9]{2,4}(?:[-\s/]?[0-9]{1,6})+)\b"
 
 
-def merge_entities(mentions: DataFrame) -> DataFrame:
+def merge_entities(mentions: DataFrame, optional: list[str] | None = None, lists: list[str] | None = None) -> DataFrame:
     """One entity for each id: identity from the first mention by seq, optional attributes from the first that has
     them, lists in order without repeats, flags joined by or, mentions counted."""
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("seq", "doc_id"))), lambda x: x["doc_id"])
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("seq", F.col(c).alias("x"))))), lambda x: x["x"])
     return mentions.groupBy("entity_id").agg(
-        F.min_by("value", "seq").alias("value"), first("amount_currency"), F.array_join(F.array_distinct(in_order), ",").alias("doc_ids"), F.bool_or(F.coalesce("numeral_mismatch", F.lit(False))).alias("numeral_mismatch"), F.count("*").alias("mention_count")
+        F.min_by("value", "seq").alias("value"),
+        *(first(c) for c in optional or ["amount_currency"]),
+        *(F.array_join(F.array_distinct(in_order(c)), ",").alias(f"{c}s") for c in lists or ["doc_id"]),
+        F.bool_or(F.coalesce("numeral_mismatch", F.lit(False))).alias("numeral_mismatch"),
+        F.count("*").alias("mention_count"),
     )
 
 
@@ -42,6 +46,30 @@ def k_hop(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     return reached
 
 
+def one_hop(edges: DataFrame, seeds: DataFrame, most: int = 50) -> DataFrame:
+    """(seed, node, rel_type) of the edges (src, dst, rel_type) at these nodes, whichever end they are, the first most of each by node and type:
+    what is left to say where k_hop() finds nothing."""
+    both = edges.select(F.col("src").alias("seed"), F.col("dst").alias("node"), "rel_type").union(edges.select("dst", "src", "rel_type")).where("seed != node").distinct()
+    rows = both.join(seeds.select(F.col("node").alias("seed")).distinct(), "seed", "left_semi")
+    order = Window.partitionBy("seed").orderBy("node", "rel_type")
+    return rows.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most).drop("rn")
+
+
+def anchors_of(amounts: DataFrame) -> DataFrame:
+    """Each amount (entity_id, doc_id) with the anchors that it is linked to, in order; amounts without any have none."""
+    return amounts.groupBy("audit_id", "doc_id", "entity_id").agg(F.array_sort(F.collect_set("anchor_id")).alias("anchors"))
+
+
+def edge_counts(documents: DataFrame, edges: DataFrame, found_in: DataFrame) -> DataFrame:
+    """(doc_id, edge_count, cross_doc_edges): edges (src, dst) of a document's entities, and those whose other end another document has."""
+    both = symmetric(edges)
+    ends = found_in.select(F.col("entity_id").alias("src"), "doc_id").distinct().join(both, "src")
+    others = found_in.select(F.col("entity_id").alias("dst"), F.col("doc_id").alias("other")).distinct().groupBy("dst").agg(F.min("other").alias("a"), F.max("other").alias("z"))
+    ends = ends.join(others, "dst", "left").withColumn("cross", F.coalesce((F.col("a") != F.col("doc_id")) | (F.col("z") != F.col("doc_id")), F.lit(False)))
+    per = ends.groupBy("doc_id").agg(F.count("*").alias("edge_count"), F.count_if("cross").alias("cross_doc_edges"))
+    return documents.select("doc_id").join(per, "doc_id", "left").fillna(0, ["edge_count", "cross_doc_edges"])
+
+
 def without_orphans(found_in: DataFrame, deleted_docs: DataFrame) -> DataFrame:
     """(entity_id, docs) of entities that some document still holds once these are deleted."""
     return found_in.join(deleted_docs, "doc_id", "left_anti").groupBy("entity_id").agg(F.count("*").alias("docs"))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.functions.money import CURRENCY, NUMBER, parse_amount, western_digits
+from tallyweave.functions.money import amounts_in, variants
 
 # Words before an amount that say what it is.
 ROLE_WORDS = {
@@ -14,22 +13,9 @@ ROLE_WORDS = {
     "invoice_total": ["invoice", "billed", "فاتور"],
     "bank_paid_total": ["bank paid", "total paid", "bank", "paid", "transfer", "disburse", "remitt", "دفع", "سداد", "تحويل"],
 }
-WINDOW_CHARS, LEAST = 50, 1000.0
+LEAST = 1000.0
 # Order of documents in a conflict row.
 TYPE_ORDER = ["contract", "invoice", "payment_certificate", "bank_statement"]
-TAGGED = rf"(?i)(?:{CURRENCY})\s*{NUMBER}|{NUMBER}\s*(?:{CURRENCY})"
-
-
-def amounts_with_context(text: Column) -> Column:
-    """(value, position, before) of amounts with a currency, in order; before: the characters that precede it."""
-    s = western_digits(F.translate(F.coalesce(text, F.lit("")), "\x01\x02", ""))
-    pieces = F.split(F.regexp_replace(s, TAGGED, "\x01$0\x02"), "\x01", -1)
-    found = F.transform(
-        F.slice(F.transform(pieces, lambda p, i: F.struct(F.substring_index(p, "\x02", 1).alias("raw"), F.replace(F.array_join(F.slice(pieces, F.lit(1), i), ""), F.lit("\x02"), F.lit("")).alias("head"))), F.lit(2), F.size(pieces)),
-        lambda x: F.struct(parse_amount(x["raw"]).alias("value"), F.length(x["head"]).alias("position"), F.right(x["head"], F.lit(WINDOW_CHARS)).alias("before")),
-    )
-    return F.filter(found, lambda x: x["value"].isNotNull())
-
 
 def role_before(window: Column) -> Column:
     """The role whose word is nearest to the end of the window; the first of equals; null without any."""
@@ -45,7 +31,7 @@ def role_before(window: Column) -> Column:
 def label_amounts(findings: DataFrame) -> DataFrame:
     """(audit_id, field, value): the largest amount of critical findings that a word of that field precedes."""
     text = F.concat(F.col("title"), F.lit(". "), F.coalesce("description", F.lit("")))
-    rows = findings.where("severity = 'critical'").select("audit_id", F.explode(amounts_with_context(text)).alias("a")).where(F.col("a.value") >= LEAST)
+    rows = findings.where("severity = 'critical'").select("audit_id", F.explode(amounts_in(text)).alias("a")).where(F.col("a.value") >= LEAST)
     return rows.select("audit_id", role_before(F.col("a.before")).alias("field"), F.col("a.value").alias("value")).where("field is not null").groupBy("audit_id", "field").agg(F.max("value").alias("value"))
 
 
@@ -65,21 +51,27 @@ def fill_gaps(snapshots: DataFrame, inferred: DataFrame) -> DataFrame:
     return out.select(snapshots.columns)
 
 
+def owners(amounts: DataFrame) -> DataFrame:
+    """(audit_id, value, owner): values, in cents, that just one document of an audit has."""
+    value = F.round(F.col("amount_value").cast("double"), 2).alias("value")
+    found = amounts.groupBy("audit_id", value).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
+    return found.where("owner = last").select("audit_id", "value", "owner")
+
+
 def grounded(findings: DataFrame, documents: DataFrame, amounts: DataFrame) -> DataFrame:
     """(audit_id, finding_id, value, doc_id): each headline amount with the document that an evidence line
     quotes it from, else the only document that has it; without either it isn't grounded."""
     text = F.concat(F.col("title"), F.lit(". "), F.coalesce("description", F.lit("")))
-    values = findings.select("audit_id", "finding_id", "evidence", F.explode(F.array_distinct(F.transform(F.filter(amounts_with_context(text), lambda a: a["value"] >= LEAST), lambda a: F.round(a["value"], 2)))).alias("value"))
+    values = findings.select("audit_id", "finding_id", "evidence", F.explode(F.array_distinct(F.transform(F.filter(amounts_in(text), lambda a: a["value"] >= LEAST), lambda a: F.round(a["value"], 2)))).alias("value"))
     lines = values.select("audit_id", "finding_id", "value", F.posexplode(F.coalesce("evidence", F.array().cast("array<string>"))).alias("pos", "line"))
-    forms = [F.format_number("value", 2), F.format_number("value", 0), F.format_string("%.2f", "value"), F.format_string("%.0f", "value")]
+    forms = variants(F.col("value"))
     quoted = F.contains("line", forms[0])
     for f in forms[1:]:
         quoted = quoted | F.contains("line", f)
     docs = documents.select("audit_id", "doc_id", "filename")
     by_line = lines.where(quoted).join(docs, "audit_id").where(F.startswith("line", "filename"))
     by_line = by_line.groupBy("audit_id", "finding_id", "value").agg(F.min_by("doc_id", F.struct("pos", "doc_id")).alias("quoted_in"))
-    owners = amounts.groupBy("audit_id", F.round(F.col("amount_value").cast("double"), 2).alias("value")).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a = z").select("audit_id", "value", F.col("a").alias("owner"))
-    out = values.drop("evidence").join(by_line, ["audit_id", "finding_id", "value"], "left").join(owners, ["audit_id", "value"], "left")
+    out = values.drop("evidence").join(by_line, ["audit_id", "finding_id", "value"], "left").join(owners(amounts), ["audit_id", "value"], "left")
     return out.select("audit_id", "finding_id", "value", F.coalesce("quoted_in", "owner").alias("doc_id")).where("doc_id is not null")
 
 
@@ -101,45 +93,43 @@ def finding_conflicts(findings: DataFrame, documents: DataFrame, amounts: DataFr
     )
 
 
-def snippets(hits: DataFrame, most: int = 14, chars: int = 180) -> DataFrame:
-    """The first hits of a check, by position, with different document and head of text."""
+def merged_conflicts(of_findings: DataFrame, of_graph: DataFrame, most: int = 30) -> DataFrame:
+    """Conflict rows (audit_id, doc_a_value, doc_b_value and others alike) of findings, then those of the graph whose two amounts, in
+    either order, no row before them has; at most 30 an audit, in their order by position."""
+    both = of_findings.withColumn("source", F.lit(0)).unionByName(of_graph.withColumn("source", F.lit(1)))
+    pair = F.array_sort(F.array("doc_a_value", "doc_b_value"))
+    same = Window.partitionBy("audit_id", pair).orderBy("source", "position")
+    kept = both.withColumn("rn", F.row_number().over(same)).where("source = 0 or rn = 1")
+    order = Window.partitionBy("audit_id").orderBy("source", "position")
+    return kept.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most).drop("position", "source").withColumnRenamed("rn", "position")
+
+
+def snippets(hits: DataFrame, most: int = 14, chars: int = 180, least: int = 1) -> DataFrame:
+    """The first hits of a check, by position, with different document and head of text; a check with fewer than least has none."""
     first = Window.partitionBy("audit_id", "check_no", "doc_id", F.substring("text", 1, chars)).orderBy("position")
     rows = hits.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
-    return rows.withColumn("snippet_no", F.row_number().over(Window.partitionBy("audit_id", "check_no").orderBy("position", "doc_id"))).where(F.col("snippet_no") <= most)
-
-
-def first_object(text: str | None) -> str | None:
-    """The first balanced {...} of noisy text, quotes and escapes minded; null without."""
-    start = (text or "").find("{")
-    while start >= 0:
-        depth, quote, escaped = 0, "", False
-        for i in range(start, len(text)):
-            c = text[i]
-            if quote:
-                if escaped:
-                    escaped = False
-                elif c == "\\":
-                    escaped = True
-                elif c == quote:
-                    quote = ""
-            elif c in "\"'":
-                quote = c
-            elif c == "{":
-                depth += 1
-            elif c == "}":
-                depth -= 1
-                if not depth:
-                    return text[start : i + 1]
-        start = text.find("{", start + 1)
-    return None
+    check = Window.partitionBy("audit_id", "check_no")
+    out = rows.withColumn("snippet_no", F.row_number().over(check.orderBy("position", "doc_id"))).where(F.col("snippet_no") <= most)
+    return out if least <= 1 else out.withColumn("rn", F.count("*").over(check)).where(F.col("rn") >= least).drop("rn")
 
 
-def json_object(text: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(column: pd.Series) -> pd.Series:
-        return column.map(first_object)
+#: Objects in an object that json_object() looks through.
+NESTED = 4
+_STRING = r'"(?:[^"\\]|\\.)*+"'
+
 
-    return run(text)
+def _object_pattern() -> str:
+    """An object of brackets that close, with strings in which brackets stand for themselves, to a depth of NESTED."""
+    inside = rf'(?:[^{{}}"]|{_STRING})*+'
+    for _ in range(NESTED):
+        inside = rf'(?:[^{{}}"]|{_STRING}|\{{{inside}\}})*+'
+    return rf"\{{{inside}\}}"
+
+
+def json_object(text: Column) -> Column:
+    """The first object in a noisy text that is JSON, as it stands there; null without. Of objects in one another the outermost counts."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_object_pattern()), 0)
+    return F.get(F.filter(found, lambda x: F.try_parse_json(x).isNotNull()), F.lit(0))
 
 
 def unfenced(text: Column) -> Column:

@@ -37,26 +37,38 @@ def role_pairs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(a, b, r) for (a, b), r in sorted(both.items())], "role1 string, role2 string, reason string")
 
 
-def materially_different(a: Column, b: Column) -> Column:
+def materially_different(a: Column, b: Column, text_a: Column | None = None, text_b: Column | None = None) -> Column:
+    """More than a hundredth and a ten-thousandth apart; if either is not parsed, whether their normalised texts differ."""
+    apart = _apart(a, b)
+    if text_a is None or text_b is None:
+        return apart
+    return F.when(a.isNotNull() & b.isNotNull(), apart).otherwise(F.coalesce(F.lower(F.trim(text_a)) != F.lower(F.trim(text_b)), F.lit(False)))
+
+
+def _apart(a: Column, b: Column) -> Column:
     return F.abs(a - b) > F.greatest(F.abs(a), F.abs(b)) * F.lit("0.0001").cast("decimal(5,4)") + F.lit("0.01").cast("decimal(3,2)")
 
 
 def same_currency(a: Column, b: Column) -> Column:
-    return F.coalesce(F.upper(a) == F.upper(b), F.lit(True))
+    """Equal, or one of them is not stated."""
+    code = lambda c: F.nullif(F.upper(F.trim(c)), F.lit(""))
+    return F.coalesce(code(a) == code(b), F.lit(True))
 
 
 def _relative(a: Column, b: Column) -> Column:
     total = F.greatest(F.abs(a), F.abs(b)).cast("double")
-    return F.when(total > 0, F.abs(a - b).cast("double") / total).otherwise(F.lit(0.0))
+    return F.when((total > 0) & a.isNotNull() & b.isNotNull(), F.abs(a - b).cast("double") / total).otherwise(F.lit(0.0))
 
 
 def _pairs(left: DataFrame, right: DataFrame, on: list[str], pairs: DataFrame) -> DataFrame:
-    side = lambda df, k: df.select(*on, *(F.col(c).alias(f"{c}{k}") for c in ("entity_id", "doc_id", "doc_type", "amount_role", "amount_value", "amount_currency")))
+    texts = ["normalized_value"] if "normalized_value" in left.columns else []
+    side = lambda df, k: df.select(*on, *(F.col(c).alias(f"{c}{k}") for c in ("entity_id", "doc_id", "doc_type", "amount_role", "amount_value", "amount_currency", *texts)))
     one = side(left, 1).join(F.broadcast(pairs), F.col("amount_role1") == F.col("role1")).drop("role1")
     two = side(right, 2)
     joined = one.join(two, [one[c] == two[c] for c in on] + [one.role2 == two.amount_role2]).drop(*(two[c] for c in on)).drop("role2")
     kept = joined.where((F.col("entity_id1") < F.col("entity_id2")) & (F.col("doc_id1") != F.col("doc_id2")))
-    kept = kept.where(same_currency(F.col("amount_currency1"), F.col("amount_currency2")) & materially_different(F.col("amount_value1"), F.col("amount_value2")))
+    texts = [F.col(f"{c}{k}") for c in texts for k in (1, 2)]
+    kept = kept.where(same_currency(F.col("amount_currency1"), F.col("amount_currency2")) & materially_different(F.col("amount_value1"), F.col("amount_value2"), *texts))
     return kept.withColumn("relative_difference", _relative(F.col("amount_value1"), F.col("amount_value2")))
 
 
@@ -79,6 +91,11 @@ def most_material(pairs: DataFrame, most: int = TOP_PAIRS) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
+def assessed(pairs: DataFrame, most: int = 10) -> DataFrame:
+    """The most material of the deduplicated pairs of each audit: those that a model, or a rule, is asked about."""
+    return most_material(dedupe(pairs), most)
+
+
 def dedupe(pairs: DataFrame) -> DataFrame:
     """The first pair of each audit with the same two amounts, in either order, and reason."""
     key = F.array_sort(F.array("amount_value1", "amount_value2"))
@@ -117,4 +134,4 @@ def reference_mismatches(amounts: DataFrame, spark: SparkSession) -> DataFrame:
     found = c.join(t, ["audit_id", "anchor_id", "truth_role", "truth_type"]).where("claim_doc_id != truth_doc_id").where(same_currency(F.col("claim_currency"), F.col("truth_currency")))
     found = found.where(gap > F.greatest(F.lit(1), F.abs("truth_value") * F.lit("0.0001").cast("decimal(5,4)"))).dropDuplicates(["claim_doc_id", "claim_value", "truth_doc_id", "truth_value"])
     relative = gap.cast("double") / F.greatest(F.abs("truth_value").cast("double"), F.lit(1.0))
-    return found.select("audit_id", "label", "claim_doc_id", "truth_doc_id", (F.col("claim_value") - F.col("truth_value")).cast("double").alias("difference"), relative.alias("relative_difference"), severity(gap, relative).alias("severity"), F.lit(0.95).alias("confidence"))
+    return found.select("audit_id", "label", "claim_doc_id", "truth_doc_id", F.col("claim_value").cast("double").alias("claim_value"), F.col("truth_value").cast("double").alias("truth_value"), (F.col("claim_value") - F.col("truth_value")).cast("double").alias("difference"), relative.alias("relative_difference"), severity(gap, relative).alias("severity"), F.lit(0.95).alias("confidence"))

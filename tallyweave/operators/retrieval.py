@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def tokens(text: Column) -> Column:
-    """Words of 2 to 64 letters and digits in lower case, each once."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), 1)
+    """Words of 2 to 64 letters, marks and digits of any script in lower case, each once."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{M}\p{N}]+)"), 1)
     return F.array_distinct(F.filter(found, lambda t: F.length(t).between(2, 64)))
 
 
@@ -21,12 +26,66 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(total(F.zip_with(a, b, lambda x, y: x * y)), norm)
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """For each of a stated set of queries (query_id, query) the k nearest (vec_id, embedding) by cosine. The queries
-    are few and broadcast; every partition keeps its own k best of each before the shuffle."""
-    scored = vectors.join(F.broadcast(queries), F.size("embedding") == F.size("query")).select("query_id", "vec_id", cosine(F.col("query"), F.col("embedding")).alias("score"))
+#: Numbers of the query vectors that are sent to every task; beyond that they go in blocks of this size, one after the other.
+SENT_NUMBERS = 8_000_000
+
+
+def _search(ids: list, matrix: np.ndarray, k: int, kind: pa.DataType, vec_kind: pa.DataType):
+    """Each task keeps the k nearest of every query among its own rows, by matrix products over Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0), []) for _ in ids]
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = lists.value_lengths().fill_null(-1).to_numpy()
+            rows = np.flatnonzero(sizes == matrix.shape[1])
+            if not len(rows):
+                continue
+            own = lists.take(pa.array(rows)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+            norms = np.sqrt((own * own).sum(1))
+            fine = norms > 0
+            rows, own = rows[fine], own[fine] / norms[fine, None]
+            keys = batch.column(0).take(pa.array(rows)).to_pylist()
+            scores = matrix @ own.T
+            for q in range(len(ids)):
+                least = np.sort(scores[q])[-k] if len(rows) > k else -np.inf
+                use = np.flatnonzero(scores[q] >= least)
+                all_scores = np.r_[best[q][0], scores[q][use]]
+                all_keys = best[q][1] + [keys[i] for i in use]
+                order = sorted(range(len(all_keys)), key=lambda i: (-all_scores[i], all_keys[i]))[:k]
+                best[q] = all_scores[order], [all_keys[i] for i in order]
+        out = [(ids[q], v, s) for q in range(len(ids)) for s, v in zip(*best[q], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], kind), pa.array([x[1] for x in out], vec_kind), pa.array([x[2] for x in out], pa.float64())], ["query_id", "vec_id", "score"])
+
+    return run
+
+
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, sent_numbers: int = SENT_NUMBERS) -> DataFrame:
+    """For each of a stated set of queries (query_id, query) the k nearest (vec_id, embedding) by cosine, of equals the smaller vec_id.
+    The queries go to the tasks in blocks of a checked size, one pass over the vectors each; every task keeps its own k best
+    of each, and only these are shuffled. Vectors without length, or of another size, are near to nothing."""
+    kinds = [pa.schema(to_arrow_schema(d.schema)).field(n).type for d, n in ((queries, "query_id"), (vectors, "vec_id"))]
+    rows = [(i, np.array(v, float)) for i, v in queries.where("query is not null").select("query_id", "query").toLocalIterator()]
+    found = None
+    for size in sorted({len(v) for _, v in rows}):
+        block = [(i, v / np.linalg.norm(v)) for i, v in rows if len(v) == size and np.linalg.norm(v) > 0]
+        step = max(1, sent_numbers // max(1, size))
+        for at in range(0, len(block), step):
+            part = block[at : at + step]
+            out = vectors.select("vec_id", "embedding").mapInArrow(
+                _search([i for i, _ in part], np.array([v for _, v in part]), k, *kinds), f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {vectors.schema['vec_id'].dataType.simpleString()}, score double"
+            )
+            found = out if found is None else found.unionByName(out)
+    if found is None:
+        found = queries.join(vectors, F.lit(False)).select("query_id", "vec_id", F.lit(0.0).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def filtered(rows: DataFrame, doc_ids: DataFrame | None = None, language: str | None = None) -> DataFrame:
+    """Rows of any of these documents (doc_id), and of this language."""
+    out = rows if doc_ids is None else rows.join(doc_ids.select("doc_id"), "doc_id", "left_semi")
+    return out if language is None else out.where(F.col("language") == language)
 
 
 def keyword_matches(chunks: DataFrame, query: str, k: int) -> DataFrame:
@@ -54,7 +113,14 @@ def merge_hits(keyword: DataFrame, vector: DataFrame, graph: DataFrame) -> DataF
     parts = [d.select("doc_id", "text", F.col("score").cast("double").alias("score"), F.lit(i).alias("priority"), F.lit(n).alias("source")) for i, (n, d) in enumerate((("keyword", keyword), ("vector", vector), ("graph", graph)))]
     everything = parts[0].unionByName(parts[1]).unionByName(parts[2])
     order = Window.partitionBy(F.substring("text", 1, 100)).orderBy("priority", F.desc("score"), "doc_id")
-    return everything.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("source", "doc_id", "score")
+    return everything.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("source", "doc_id", F.round("score", 4).alias("score"), "priority", "text")
+
+
+def search_summary(merged: DataFrame, route: Column) -> DataFrame:
+    """Hits of each source, all of them, and the route that was taken: the graph's only if it has found something."""
+    n = {s: F.count_if(F.col("source") == s) for s in ("keyword", "vector", "graph")}
+    taken = F.when((route == "graph") & (n["graph"] > 0), "graph").otherwise("vector")
+    return merged.agg(*(c.alias(f"{s}_count") for s, c in n.items()), F.count("*").alias("total"), taken.alias("route"))
 
 
 def upsert(chunks: DataFrame) -> DataFrame:

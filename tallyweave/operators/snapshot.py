@@ -1,114 +1,231 @@
-"""The reconciliation snapshot: contract, invoice and bank totals of each audit, and their gates."""
+"""The reconciliation snapshot: contract, invoice and bank totals of each audit, and their gates.
+
+Amounts are rows of sources.ledger.AMOUNT_COLUMNS. Contract, invoice and arithmetic figures come out of one
+aggregation by document; only debits, of which each transaction counts once, are looked at by row.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyweave.functions.text import identifier_core
+
 # Roles that are states or pre-aggregated sums, never summed.
 NON_SUMMABLE = ("opening_balance", "closing_balance", "running_balance", "statement_total_debits", "statement_total_credits")
 OUTFLOW = ("transaction_debit",)
 DEFAULT_CURRENCY = "EGP"
+# Least amount that counts, tolerances of sums, characters of an identifier's core that are no accident.
+LEAST, TOLERANCE, DRIFT, LEAST_CORE = 1, 1, "0.005", 6
+# Roles whose largest amount a document's own arithmetic is about.
+_LARGEST = {
+    "total": "total_invoice", "subtotal": "invoice_subtotal", "vat": "vat_tax", "fee": "late_fee",
+    "assets": "total_assets", "liabilities": "total_liabilities", "equity": "total_equity", "contract": "total_contract_value",
+}
+
+
+def _role() -> Column:
+    return F.lower(F.trim(F.coalesce("amount_role", F.lit("unknown"))))
 
 
-def _of(role: str) -> Column:
-    return F.when(F.col("amount_role") == role, F.col("amount_value"))
+def _of(role: str, least: bool = True) -> Column:
+    kept = _role() == role
+    return F.when(kept & (F.col("amount_value") >= LEAST) if least else kept, F.col("amount_value"))
+
+
+def _text(amount: Column) -> Column:
+    return F.format_number(amount.cast("double"), 2)
+
+
+def by_document(amounts: DataFrame) -> DataFrame:
+    """One row for each document of an audit with the figures that snapshots and warnings need, in one pass."""
+    invoice = ("total_invoice", "invoice_subtotal", "vat_tax")
+    return amounts.groupBy("audit_id", "doc_id", "doc_type").agg(
+        F.min("filename").alias("filename") if "filename" in amounts.columns else F.min("doc_id").alias("filename"),
+        *(F.max(_of(r, False)).alias(n) for n, r in _LARGEST.items()),
+        F.max(_of("total_contract_value")).alias("contract_value"),
+        F.sum(_of("milestone_scheduled")).alias("scheduled"),
+        F.sum(_of("milestone_scheduled", False)).alias("milestones"),
+        F.count(_of("milestone_scheduled", False)).alias("n_milestones"),
+        *(F.collect_list(_of(r)).alias(n) for r, n in zip(invoice, ("totals", "subs", "vats"), strict=True)),
+        F.max(_of("statement_total_debits")).alias("stated"),
+        F.count(_of("unknown")).alias("n_unknown"),
+    )
+
+
+def _when_type(kind: str, value: Column) -> Column:
+    return F.when(F.col("doc_type") == kind, value)
+
+
+def _supported() -> Column:
+    """The largest total of an invoice that some subtotal and VAT support within 1.00, else its largest total, else subtotal."""
+    fits = F.filter("totals", lambda t: F.exists("subs", lambda s: F.exists("vats", lambda v: F.abs(t - (s + v)) <= TOLERANCE)))
+    return F.coalesce(F.array_max(fits), F.array_max("totals"), F.array_max("subs"))
+
+
+def totals(documents: DataFrame) -> DataFrame:
+    """Of each audit, out of by_document(): contract_total, the largest stated value, else the sum of the scheduled
+    milestones; invoice_total, the largest of its invoices'; stated debits; bank amounts of no known role."""
+    return documents.groupBy("audit_id").agg(
+        F.coalesce(F.max(_when_type("contract", F.col("contract_value"))), F.sum(_when_type("contract", F.col("scheduled")))).alias("contract_total"),
+        F.max(_when_type("invoice", _supported())).alias("invoice_total"),
+        F.sum(_when_type("bank_statement", F.col("stated"))).alias("stated"),
+        F.coalesce(F.sum(_when_type("bank_statement", F.col("n_unknown"))), F.lit(0)).alias("n_unknown"),
+    )
 
 
 def contract_totals(amounts: DataFrame) -> DataFrame:
-    """The largest stated contract value of an audit, else the sum of its scheduled milestones."""
-    rows = amounts.where("doc_type = 'contract' and amount_value >= 1")
-    return rows.groupBy("audit_id").agg(F.coalesce(F.max(_of("total_contract_value")), F.sum(_of("milestone_scheduled"))).alias("contract_total"))
+    """(audit_id, contract_total) of audits with contract rows."""
+    rows = amounts.where("doc_type = 'contract'").where(F.col("amount_value") >= LEAST)
+    return totals(by_document(rows)).select("audit_id", "contract_total")
 
 
 def invoice_totals(amounts: DataFrame) -> DataFrame:
-    """For each document the largest total that some subtotal and VAT support within 1.00, else its
-    largest total, else its largest subtotal; for the audit the largest of these."""
-    rows = amounts.where("doc_type = 'invoice' and amount_value >= 1 and amount_role in ('total_invoice', 'invoice_subtotal', 'vat_tax')")
-    per = rows.groupBy("audit_id", "doc_id").agg(*(F.collect_list(_of(r)).alias(n) for r, n in (("total_invoice", "totals"), ("invoice_subtotal", "subs"), ("vat_tax", "vats"))))
-    supported = F.filter("totals", lambda t: F.exists("subs", lambda s: F.exists("vats", lambda v: F.abs(t - (s + v)) <= 1)))
-    picked = F.coalesce(F.array_max(supported), F.array_max("totals"), F.array_max("subs"))
-    return per.select("audit_id", picked.alias("picked")).groupBy("audit_id").agg(F.max("picked").alias("invoice_total"))
+    """(audit_id, invoice_total) of audits with an invoice's total, subtotal or VAT."""
+    rows = amounts.where("doc_type = 'invoice'").where((F.col("amount_value") >= LEAST) & _role().isin("total_invoice", "invoice_subtotal", "vat_tax"))
+    return totals(by_document(rows)).select("audit_id", "invoice_total")
+
+
+def contract_anchors(amounts: DataFrame) -> DataFrame:
+    """(audit_id, anchors): the numbers and parties that an audit's contracts are about. A debit linked to one is a
+    payment on the contract."""
+    rows = amounts.where("doc_type = 'contract' and anchor_id is not null")
+    return rows.groupBy("audit_id").agg(F.collect_set("anchor_id").alias("anchors"))
+
+
+def identifier_cores(identifiers: DataFrame) -> DataFrame:
+    """(audit_id, core) of the contract and invoice numbers (audit_id, identifier) of an audit; shorter cores than
+    LEAST_CORE would turn up in other numbers by accident."""
+    cores = identifiers.select("audit_id", identifier_core(F.col("identifier")).alias("core"))
+    return cores.where(F.length("core") >= LEAST_CORE).distinct()
+
+
+def linked_refs(lines: DataFrame, cores: DataFrame, refs: DataFrame) -> DataFrame:
+    """(audit_id, txn_ref): transactions whose own line (audit_id, line) names one of the audit's identifiers, so that they
+    are payments on it without any edge. refs: (audit_id, txn_ref) of its statements.
+
+    What a line contains is found by equality: its substrings of the lengths that the audit's cores, and references, have."""
+    known = refs.where("txn_ref is not null").select("audit_id", "txn_ref", identifier_core(F.col("txn_ref")).alias("ref_core")).where("ref_core != ''").distinct()
+    lines = lines.select("audit_id", identifier_core(F.col("line")).alias("text")).where("text != ''").distinct()
+    named = _containing(lines, cores.withColumnRenamed("core", "part")).select("audit_id", "text").distinct()
+    return _containing(named, known.withColumnRenamed("ref_core", "part")).select("audit_id", "txn_ref").distinct()
+
+
+def _containing(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """texts (audit_id, text) joined to the parts (audit_id, part) that they contain."""
+    sizes = parts.groupBy("audit_id").agg(F.collect_set(F.length("part")).alias("sizes"))
+    pieces = lambda t, n: F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substr(t, i, n))
+    cut = F.flatten(F.transform("sizes", lambda n: F.when(F.length("text") >= n, pieces(F.col("text"), n)).otherwise(F.array().cast("array<string>"))))
+    return texts.join(sizes, "audit_id").select("audit_id", "text", F.explode(F.array_distinct(cut)).alias("part")).join(parts, ["audit_id", "part"])
 
 
 def debits(amounts: DataFrame) -> DataFrame:
     """Debits that count: at least 1, without rows that have neither reference nor date if the
-    audit has any that do, and the first of rows with the same reference, date or page."""
-    rows = amounts.where("doc_type = 'bank_statement' and amount_value >= 1").where(F.col("amount_role").isin(*OUTFLOW))
-    named = F.col("txn_ref").isNotNull() | F.col("txn_date").isNotNull()
+    audit has any that do, and the first of rows with the same reference, date or page. times: how many rows it stands for."""
+    rows = amounts.where("doc_type = 'bank_statement'").where((F.col("amount_value") >= LEAST) & _role().isin(*OUTFLOW))
+    clean = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
+    rows = rows.withColumns({"_ref": clean("txn_ref"), "_date": clean("txn_date")})
+    named = F.col("_ref").isNotNull() | F.col("_date").isNotNull()
     rows = rows.withColumn("any_named", F.max(named).over(Window.partitionBy("audit_id"))).where(named | ~F.col("any_named"))
-    kind = F.when(F.col("txn_ref").isNotNull(), F.concat(F.lit("ref:"), F.lower(F.trim("txn_ref")))).when(F.col("txn_date").isNotNull(), F.concat(F.lit("date:"), F.col("txn_date"))).otherwise(F.concat(F.lit("page:"), F.col("source_page").cast("string")))
-    first = Window.partitionBy("audit_id", "doc_id", kind, "amount_value").orderBy("source_page", "entity_id")
-    return rows.withColumn("key", kind).withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn", "any_named")
-
-
-def bank_totals(amounts: DataFrame) -> DataFrame:
-    """Verified debits, the debits attributed to the contract, and stated debits; the bank total is withheld if
-    verified and stated debits differ by more than 1 and half a percent. Debits without any
-    attribution in the audit all count."""
-    deduped = debits(amounts)
-    linked = F.col("anchor_id").isNotNull()
-    sums = deduped.groupBy("audit_id").agg(F.sum("amount_value").alias("verified"), F.sum(F.when(linked, F.col("amount_value"))).alias("attributed"))
-    stated = amounts.where("doc_type = 'bank_statement' and amount_role = 'statement_total_debits' and amount_value >= 1")
-    stated = stated.groupBy("audit_id", "doc_id").agg(F.max("amount_value").alias("m")).groupBy("audit_id").agg(F.sum("m").alias("stated"))
-    out = sums.join(stated, "audit_id", "full")
-    drift = F.abs(F.coalesce("verified", F.lit(0)) - F.col("stated"))
-    incomplete = F.coalesce(drift > F.greatest(F.lit(1), F.col("stated") * F.lit("0.005").cast("decimal(4,3)")), F.lit(False))
-    return out.select("audit_id", "verified", "stated", F.coalesce("attributed", "verified").alias("paid"), incomplete.alias("incomplete"))
+    kind = F.when(F.col("_ref").isNotNull(), F.concat(F.lit("ref:"), F.col("_ref"))).when(F.col("_date").isNotNull(), F.concat(F.lit("date:"), F.col("_date"))).otherwise(F.concat(F.lit("page:"), F.col("source_page").cast("string")))
+    rows = rows.withColumn("key", kind)
+    same = Window.partitionBy("audit_id", "doc_id", "key", "amount_value")
+    rows = rows.withColumns({"rn": F.row_number().over(same.orderBy("source_page", "entity_id")), "times": F.count("*").over(same)})
+    return rows.where("rn = 1").drop("rn", "any_named", "_ref", "_date")
+
+
+def attributed_debits(amounts: DataFrame, anchors: DataFrame | None = None, refs: DataFrame | None = None) -> DataFrame:
+    """debits() with paid: whether a debit is a payment on the audit's contract. It is if its anchor is one of the contract's
+    (anchors, from contract_anchors() where not given), or its reference is linked (refs: audit_id, txn_ref); in an audit whose
+    contracts have no anchors, every debit is."""
+    anchors = contract_anchors(amounts) if anchors is None else anchors
+    rows = debits(amounts).join(anchors, "audit_id", "left")
+    linked = F.lit(False)
+    if refs is not None:
+        ref = F.lower(F.trim("txn_ref"))
+        rows = rows.withColumn("_ref", ref).join(refs.select("audit_id", ref.alias("_ref"), F.lit(True).alias("_linked")).distinct(), ["audit_id", "_ref"], "left")
+        linked = F.coalesce("_linked", F.lit(False))
+    paid = F.coalesce(F.size("anchors") <= 0, F.lit(True)) | F.coalesce(F.array_contains("anchors", F.col("anchor_id")), F.lit(False)) | linked
+    return rows.withColumn("paid", paid).drop("anchors", "_ref", "_linked")
+
+
+def bank_totals(amounts: DataFrame, anchors: DataFrame | None = None, refs: DataFrame | None = None, stated: DataFrame | None = None) -> DataFrame:
+    """verified: all debits; paid: those on the contract, null if there are none; stated debits; repeated: whether rows were left out as
+    repeats; incomplete: stated and verified debits, where there are any, differ by more than 1 and half a percent."""
+    sums = attributed_debits(amounts, anchors, refs).groupBy("audit_id").agg(F.sum("amount_value").alias("verified"), F.sum(F.when(F.col("paid"), F.col("amount_value"))).alias("paid"), (F.max("times") > 1).alias("repeated"))
+    if stated is None:
+        rows = amounts.where("doc_type = 'bank_statement'").where((_role() == "statement_total_debits") & (F.col("amount_value") >= LEAST))
+        stated = rows.groupBy("audit_id", "doc_id").agg(F.max("amount_value").alias("m")).groupBy("audit_id").agg(F.sum("m").alias("stated"))
+    drift = F.abs(F.col("verified") - F.col("stated"))
+    incomplete = F.coalesce((F.col("verified") > 0) & (F.col("stated") > 0) & (drift > F.greatest(F.lit(TOLERANCE), F.col("stated") * F.lit(DRIFT).cast("decimal(4,3)"))), F.lit(False))
+    return sums.join(stated, "audit_id", "full").select("audit_id", "verified", "stated", "paid", F.coalesce("repeated", F.lit(False)).alias("repeated"), incomplete.alias("incomplete"))
 
 
 def dominant_currency(amounts: DataFrame) -> DataFrame:
-    """The most frequent currency of an audit, the first by code of equals, and whether others occur."""
-    counts = amounts.where("amount_currency is not null").groupBy("audit_id", F.upper("amount_currency").alias("currency")).count()
-    ranked = counts.withColumn("rn", F.row_number().over(Window.partitionBy("audit_id").orderBy(F.desc("count"), "currency")))
-    others = F.count("*").over(Window.partitionBy("audit_id")) > 1
-    return ranked.withColumn("mixed", others).where("rn = 1").select("audit_id", "currency", "mixed")
-
-
-def snapshot(amounts: DataFrame) -> DataFrame:
-    """One row for each audit with any of the three totals."""
-    out = contract_totals(amounts).join(invoice_totals(amounts), "audit_id", "full").join(bank_totals(amounts), "audit_id", "full").join(dominant_currency(amounts), "audit_id", "left")
-    bank = F.when(~F.coalesce("incomplete", F.lit(False)), F.col("paid"))
-    out = out.withColumn("bank_paid_total", bank).withColumn("variance_vs_contract", F.col("bank_paid_total") - F.col("contract_total"))
-    number = lambda c: F.round(F.col(c), 2).cast("double").alias(c)
-    verified = F.when(F.col("incomplete"), F.col("verified"))
-    note = F.concat_ws(
+    """The most frequent currency of an audit, the first by code of equals, and the other ones, in order."""
+    code = F.nullif(F.upper(F.trim("amount_currency")), F.lit(""))
+    counts = amounts.groupBy("audit_id", code.alias("code")).agg(F.count("*").alias("n")).where("code is not null")
+    ranked = counts.groupBy("audit_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "code"))).alias("all"))
+    others = F.array_sort(F.transform(F.slice("all", 2, 1000), lambda x: x["code"]))
+    return ranked.select("audit_id", F.col("all")[0]["code"].alias("currency"), F.array_join(others, ", ").alias("others"))
+
+
+def snapshot(amounts: DataFrame, anchors: DataFrame | None = None, refs: DataFrame | None = None) -> DataFrame:
+    """One row for each audit with any of the three totals, a withheld one, or a warning. notes says what to know of the bank total;
+    integrity_warnings are arithmetic_warnings() and mixed currencies, in order, a line each."""
+    documents = by_document(amounts)
+    bank = bank_totals(amounts, anchors, refs, amounts.limit(0).select("audit_id", F.col("amount_value").alias("stated"))).drop("stated", "incomplete")
+    warned = _warnings(documents).groupBy("audit_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "check", "warning"))).alias("w"))
+    out = totals(documents).join(bank, "audit_id", "left").join(dominant_currency(amounts), "audit_id", "left").join(warned, "audit_id", "left")
+    drift = F.abs(F.col("verified") - F.col("stated"))
+    incomplete = F.coalesce((F.col("verified") > 0) & (F.col("stated") > 0) & (drift > F.greatest(F.lit(TOLERANCE), F.col("stated") * F.lit(DRIFT).cast("decimal(4,3)"))), F.lit(False))
+    out = out.withColumn("incomplete", incomplete).withColumn("currency", F.coalesce("currency", F.lit(DEFAULT_CURRENCY)))
+    out = out.withColumn("bank_paid_total", F.when(~F.col("incomplete"), F.col("paid")))
+    none, unknown = F.col("bank_paid_total").isNull(), F.col("n_unknown")
+    notes = F.concat_ws(
         " ",
-        F.when(F.col("incomplete"), F.concat(F.lit("Bank total withheld: extracted debits "), F.format_number(F.coalesce("verified", F.lit(0)).cast("double"), 2), F.lit(" differ from stated "), F.format_number(F.col("stated").cast("double"), 2), F.lit("."))),
-        F.when(F.col("mixed"), F.lit("More than one currency.")),
+        F.when(F.col("repeated"), "Rows of one transaction were counted once."),
+        F.when(F.col("incomplete"), F.concat(F.lit("Extraction incomplete: debits of "), _text(F.col("verified")), F.lit(" out of "), _text(F.col("stated")), F.lit(" "), F.col("currency"), F.lit(" are verified, and the bank total is withheld."))),
+        F.when(none & (unknown > 0), F.concat(F.lit("No bank total: "), unknown.cast("string"), F.lit(" amounts are neither debits nor credits."))),
+        F.when(none, "Bank payments were not added up.").when(F.col("contract_total").isNull(), "The bank total stands without a contract total."),
     )
-    kept = out.where("contract_total is not null or invoice_total is not null or bank_paid_total is not null or incomplete")
-    return kept.withColumn("notes", note).select(
+    mixed = F.when(F.col("others") != "", F.concat(F.lit("Amounts in "), F.col("currency"), F.lit(" and in "), F.col("others"), F.lit(" are added up together.")))
+    lines = F.concat_ws("\n", F.array_join(F.transform("w", lambda x: x["warning"]), "\n"), mixed)
+    number = lambda c, when=None: F.round(F.col(c) if when is None else F.when(F.col(when), F.col(c)), 2).cast("double")
+    out = out.withColumn("integrity_warnings", lines)
+    kept = out.where("contract_total is not null or invoice_total is not null or bank_paid_total is not null or incomplete or integrity_warnings != ''")
+    return kept.select(
         "audit_id",
-        F.coalesce("currency", F.lit(DEFAULT_CURRENCY)).alias("currency"),
-        number("contract_total"),
-        number("invoice_total"),
-        number("bank_paid_total"),
-        number("variance_vs_contract"),
-        F.coalesce("incomplete", F.lit(False)).alias("bank_extraction_incomplete"),
-        verified.cast("double").alias("bank_debits_verified"),
-        F.when(F.col("incomplete"), F.col("stated")).cast("double").alias("bank_debits_stated"),
-        "notes",
+        "currency",
+        number("contract_total").alias("contract_total"),
+        number("invoice_total").alias("invoice_total"),
+        number("bank_paid_total").alias("bank_paid_total"),
+        F.round(F.col("bank_paid_total") - F.col("contract_total"), 2).cast("double").alias("variance_vs_contract"),
+        F.col("incomplete").alias("bank_extraction_incomplete"),
+        number("verified", "incomplete").alias("bank_debits_verified"),
+        number("stated", "incomplete").alias("bank_debits_stated"),
+        notes.alias("notes"),
+        "integrity_warnings",
     )
 
 
+def _warnings(documents: DataFrame) -> DataFrame:
+    c = F.col
+    fee = F.coalesce(c("fee"), F.lit(0))
+    expected, sheet = c("subtotal") + c("vat") + fee, c("liabilities") + c("equity")
+    said = lambda *parts: F.concat(c("filename"), F.lit(": "), *(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    with_fee = F.when(fee != 0, F.concat(F.lit(" + late fee "), _text(fee))).otherwise("")
+    found = [
+        ("invoice", (c("doc_type") == "invoice") & (F.abs(c("total") - expected) > TOLERANCE), said("subtotal ", _text(c("subtotal")), " + VAT ", _text(c("vat")), with_fee, " = ", _text(expected), ", stated total ", _text(c("total")))),
+        ("balance_sheet", (c("doc_type") == "balance_sheet") & (F.abs(c("assets") - sheet) > TOLERANCE), said("liabilities ", _text(c("liabilities")), " + equity ", _text(c("equity")), " = ", _text(sheet), ", stated assets ", _text(c("assets")))),
+        ("milestones", (c("doc_type") == "contract") & (c("n_milestones") >= 2) & (c("contract") - c("milestones") > TOLERANCE), said(c("n_milestones").cast("string"), " milestones of ", _text(c("milestones")), ", stated contract total ", _text(c("contract")))),
+    ]
+    checks = F.array(*(F.when(when, F.struct(F.lit(name).alias("check"), text.alias("warning"))) for name, when, text in found))
+    out = documents.select("audit_id", "doc_id", F.explode(F.array_compact(checks)).alias("w"))
+    return out.select("audit_id", "doc_id", F.col("w.check").alias("check"), F.col("w.warning").alias("warning"))
+
+
 def arithmetic_warnings(amounts: DataFrame) -> DataFrame:
-    """Documents whose own figures don't add up: invoice parts, balance sheets, contract milestones that fall short."""
-    per = amounts.groupBy("audit_id", "doc_id", "doc_type").agg(
-        *(F.max(_of(r)).alias(n) for n, r in (("total", "total_invoice"), ("subtotal", "invoice_subtotal"), ("vat", "vat_tax"), ("fee", "late_fee"), ("assets", "total_assets"), ("liabilities", "total_liabilities"), ("equity", "total_equity"), ("contract", "total_contract_value"))),
-        F.sum(_of("milestone_scheduled")).alias("milestones"),
-        F.count(_of("milestone_scheduled")).alias("n_milestones"),
-    )
-    parts = F.col("subtotal") + F.coalesce("vat", F.lit(0)) + F.coalesce("fee", F.lit(0))
-    sheet = F.col("liabilities") + F.col("equity")
-    checks = F.array(
-        F.when((F.col("doc_type") == "invoice") & (F.abs(parts - F.col("total")) > 1), F.struct(F.lit("invoice").alias("check"), parts.cast("decimal(18,2)").alias("computed"), F.col("total").cast("decimal(18,2)").alias("stated"))),
-        F.when(F.abs(F.col("assets") - sheet) > 1, F.struct(F.lit("balance_sheet").alias("check"), sheet.cast("decimal(18,2)").alias("computed"), F.col("assets").cast("decimal(18,2)").alias("stated"))),
-        F.when(
-            (F.col("doc_type") == "contract") & (F.col("n_milestones") >= 2) & (F.col("contract") - F.col("milestones") > 1),
-            F.struct(F.lit("milestones").alias("check"), F.col("milestones").cast("decimal(18,2)").alias("computed"), F.col("contract").cast("decimal(18,2)").alias("stated")),
-        ),
-    )
-    out = per.select("audit_id", "doc_id", F.explode(F.filter(checks, lambda x: x.isNotNull())).alias("w"))
-    money = lambda c: F.format_number(c.cast("double"), 2)
-    return out.select("audit_id", "doc_id", F.col("w.check").alias("check"), F.concat(money(F.col("w.computed")), F.lit(" is not the stated "), money(F.col("w.stated"))).alias("warning"))
+    """Documents whose own figures don't add up: invoices with total, subtotal and VAT (a late fee is part of the total), balance
+    sheets with all three sums, and contracts whose two or more scheduled milestones fall short."""
+    return _warnings(by_document(amounts))

@@ -52,8 +52,9 @@ def last_n(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
     return ranked.where(F.col("back") <= n)
 
 
-def stale(heartbeats: DataFrame, now, seconds: int = 120) -> DataFrame:
-    """Keys whose last beat is more than some seconds before now."""
+def stale(heartbeats: DataFrame, now=None, seconds: int = 120) -> DataFrame:
+    """Keys whose last beat is more than some seconds before now, which is the last beat of all where it is not given."""
+    now = F.lit(heartbeats.agg(F.max("ts")).first()[0]) if now is None else now
     return heartbeats.groupBy("key").agg(F.max("ts").alias("last_beat")).where(F.col("last_beat") < now - F.expr(f"INTERVAL {seconds} SECONDS"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions import money as M
 from tallyweave.functions import text as T
 from tallyweave.operators import documents as D
+from tallyweave.operators import extraction as X
 from tallyweave.operators import grounding as K
 from tallyweave.operators import retrieval as R
 from tallyweave.operators import snapshot as S
@@ -67,31 +68,9 @@ def number_multiset(spark, d):
 
 # ---------------------------------------------------------------- language and type
 
-MIXED = "mx AS (SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN 'إجمالي  المبلغ ' || left(text, 4) WHEN 2 THEN 'فاتورة رقم INV' || doc_id || E'\\nTotal   due' ELSE '12 ' || doc_id END AS text FROM documents)"
-
-
-def mixed(spark, d):
-    i = F.col("doc_id")
-    return L.table(spark, d, "documents").select(
-        i.alias("id"), F.when(i % 4 == 0, F.col("text")).when(i % 4 == 1, F.concat(F.lit("إجمالي  المبلغ "), F.substring("text", 1, 4))).when(i % 4 == 2, F.concat(F.lit("فاتورة رقم INV"), i.cast("string"), F.lit("\nTotal   due"))).otherwise(F.concat(F.lit("12 "), i.cast("string"))).alias("text")
-    )
-
-
 _COUNT = "len(regexp_extract_all({}, {}))"
 
 
-@query(f"WITH {MIXED}, c AS (SELECT id, {_COUNT.format('text', quoted('[؀-ۿ]'))} AS a, {_COUNT.format('text', quoted('[A-Za-z]'))} AS l FROM mx) SELECT id, CASE WHEN a + l = 0 THEN 'unknown' WHEN a / (a + l) > 0.7 THEN 'arabic' WHEN a / (a + l) < 0.3 THEN 'english' ELSE 'mixed' END AS language FROM c")
-def detect_language(spark, d):
-    return mixed(spark, d).select("id", T.detect_language(F.col("text")).alias("language"))
-
-
-@query(
-    f"""WITH {MIXED} SELECT id, array_to_string(list_transform(string_split(text, E'\\n'), lambda x: CASE WHEN length(x) > 0 AND {_COUNT.format('x', quoted(T.ARABIC))} / length(x) >= 0.2 THEN trim(regexp_replace(translate(regexp_replace(x, {quoted(T.DIACRITICS)}, '', 'g'), 'إأآى', 'اااي'), '\\s+', ' ', 'g')) ELSE trim(regexp_replace(x, '\\s+', ' ', 'g')) END), E'\\n') AS text FROM mx"""
-)
-def normalize_text(spark, d):
-    return mixed(spark, d).select("id", T.normalize_mixed(F.col("text")).alias("text"))
-
-
 # Arabic letters for a to z.
 ARABIC_LETTERS = "ابتثجحخدذرزسشصضطظعغفقكلمنه"
 FORMS = f"""fm AS (SELECT doc_id AS id, form, CASE form WHEN 0 THEN text WHEN 1 THEN 'إجمالي  المبلغ ' || translate(text, 'abcdefghijklmnopqrstuvwxyz', '{ARABIC_LETTERS}') WHEN 2 THEN 'فاتورة رقم INV' || doc_id || E'\\nTotal   due\\n' || text ELSE '12 ' || doc_id END AS text
@@ -106,14 +85,14 @@ def forms(spark, d):
 
 
 @query(f"WITH {FORMS}, c AS (SELECT id, form, {_COUNT.format("coalesce(text, '')", quoted('[؀-ۿ]'))} AS a, {_COUNT.format("coalesce(text, '')", quoted('[A-Za-z]'))} AS l FROM fm) SELECT id, form, CASE WHEN a + l = 0 THEN 'unknown' WHEN a / (a + l) > 0.7 THEN 'arabic' WHEN a / (a + l) < 0.3 THEN 'english' ELSE 'mixed' END AS language FROM c")
-def detect_language_texts(spark, d):
+def detect_language(spark, d):
     return forms(spark, d).select("id", "form", T.detect_language(F.col("text")).alias("language"))
 
 
 @query(
     f"""WITH {FORMS} SELECT id, form, array_to_string(list_transform(string_split(text, E'\\n'), lambda x: CASE WHEN length(x) > 0 AND {_COUNT.format('x', quoted(T.ARABIC))} / length(x) >= 0.2 THEN trim(regexp_replace(translate(regexp_replace(x, {quoted(T.DIACRITICS)}, '', 'g'), 'إأآى', 'اااي'), '\\s+', ' ', 'g')) ELSE trim(regexp_replace(x, '\\s+', ' ', 'g')) END), E'\\n') AS text FROM fm"""
 )
-def normalize_text_texts(spark, d):
+def normalize_text(spark, d):
     return forms(spark, d).select("id", "form", T.normalize_mixed(F.col("text")).alias("text"))
 
 
@@ -244,7 +223,7 @@ SELECT source, doc_id, score FROM u QUALIFY row_number() OVER (PARTITION BY left
 )
 def hybrid_merge(spark, d):
     t = L.table(spark, d, "documents")
-    return R.merge_hits(t.where("contains(text, 'tion')").withColumn("score", F.col("n_chars")), t.where("lang = 'en'").withColumn("score", F.lit(0.5)), t.withColumn("score", F.lit(0.0)))
+    return R.merge_hits(t.where("contains(text, 'tion')").withColumn("score", F.col("n_chars")), t.where("lang = 'en'").withColumn("score", F.lit(0.5)), t.withColumn("score", F.lit(0.0))).select("source", "doc_id", "score")
 
 
 @query("SELECT doc_id, CAST(CASE WHEN n <= 5 THEN 50 WHEN n <= 15 THEN least(65, 80) ELSE 80 END AS INTEGER) AS k FROM (SELECT doc_id, n_chars // 2000 + 1 AS n FROM documents)")
@@ -262,10 +241,8 @@ def chat_last_n(spark, d):
 
 @query("WITH b AS (SELECT user_id AS key, max(ts) AS last_beat FROM events GROUP BY 1) SELECT key, strftime(last_beat, '%Y-%m-%d %H:%M:%S') AS last_beat FROM b WHERE last_beat < (SELECT max(ts) FROM events) - INTERVAL 120 SECONDS")
 def heartbeat_stale(spark, d):
-    e = L.table(spark, d, "events").select(F.col("user_id").alias("key"), "ts")
-    now = e.agg(F.max("ts").alias("now"))
-    beats = e.groupBy("key").agg(F.max("ts").alias("last_beat")).crossJoin(F.broadcast(now))
-    return beats.where(F.col("last_beat") < F.col("now") - F.expr("INTERVAL 120 SECONDS")).select("key", F.date_format("last_beat", "yyyy-MM-dd HH:mm:ss").alias("last_beat"))
+    beats = Z.stale(L.table(spark, d, "events").select(F.col("user_id").alias("key"), "ts"))
+    return beats.select("key", F.date_format("last_beat", "yyyy-MM-dd HH:mm:ss").alias("last_beat"))
 
 
 _AGENT = "CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 WHEN 'purchase' THEN 4 ELSE 0 END"
@@ -318,16 +295,11 @@ def entity_ids(spark, d):
     return L.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), T.uuid5("6f3a8f5a2c1b4d3e8a9f1b2c3d4e5f6a", key).alias("entity_id"))
 
 
-# Roles that a bank statement may carry.
-BANK_ROLES = ["transaction_debit", "transaction_credit", "statement_total_debits", "statement_total_credits", "running_balance", "opening_balance", "closing_balance", "vat_tax", "late_fee", "unknown"]
-
-
-@query(LEDGER + f", a AS (SELECT entity_id, CASE WHEN audit_id % 2 = 0 THEN 'bank_statement' ELSE doc_type END AS dt, amount_role AS r FROM amounts) SELECT entity_id, CASE WHEN dt = 'bank_statement' AND r NOT IN ({', '.join(map(quoted, BANK_ROLES))}) THEN 'unknown' ELSE r END AS role FROM a")
+@query(LEDGER + f", a AS (SELECT entity_id, CASE WHEN audit_id % 2 = 0 THEN 'bank_statement' ELSE doc_type END AS dt, amount_role AS r FROM amounts) SELECT entity_id, CASE WHEN dt = 'bank_statement' AND r NOT IN ({', '.join(map(quoted, X.BANK_ROLES))}) THEN 'unknown' ELSE r END AS role FROM a")
 def role_demotion(spark, d):
     """Roles that a document's type can't carry become unknown; here every second audit calls all its documents bank statements."""
-    allowed = spark.createDataFrame([("bank_statement", r) for r in BANK_ROLES], "dt string, r string").withColumn("ok", F.lit(True))
-    a = L.amounts(spark, d).select("entity_id", F.when(F.col("audit_id") % 2 == 0, "bank_statement").otherwise(F.col("doc_type")).alias("dt"), F.col("amount_role").alias("r"))
-    return a.join(F.broadcast(allowed), ["dt", "r"], "left").select("entity_id", F.when((F.col("dt") == "bank_statement") & F.col("ok").isNull(), "unknown").otherwise(F.col("r")).alias("role"))
+    kind = F.when(F.col("audit_id") % 2 == 0, "bank_statement").otherwise(F.col("doc_type"))
+    return L.amounts(spark, d).select("entity_id", X.role_for_type(F.col("amount_role"), kind).alias("role"))
 
 
 # ---------------------------------------------------------------- grounding

@@ -61,6 +61,14 @@ def export_json(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
+CONFLICT_COLUMNS = ["entity_label", "doc_a_id", "doc_a_value", "doc_b_id", "doc_b_value", "severity"]
+
+
+def export_conflicts(rows: DataFrame, path: str) -> None:
+    """The six columns of conflict rows."""
+    export_csv(rows.select(CONFLICT_COLUMNS), path)
+
+
 def export_csv(rows: DataFrame, path: str) -> None:
     """With a header; fields are quoted only where they must be."""
     rows.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="")
@@ -71,8 +79,10 @@ def alive(table: DataFrame, now: Column) -> DataFrame:
     return table.where(F.col("expires_at").isNull() | (F.col("expires_at") > now))
 
 
-def in_scope(rows: DataFrame, key: str | None, keys: list[str]) -> DataFrame:
-    """Rows of the caller's scope: everyone's is default where no keys are set; an unknown key may see nothing."""
+def in_scope(rows: DataFrame, key: str | None, keys: list[str], header: str | None = None) -> DataFrame:
+    """Rows of the caller's scope: everyone's is default where no keys are set; an unknown key may see nothing. A key in the header
+    goes before one in the query."""
+    key = header or key
     if keys and key not in keys:
         raise PermissionError("unknown key")
     return rows.where(F.col("scope") == (key if keys else "default"))

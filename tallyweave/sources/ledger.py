@@ -53,6 +53,40 @@ def _stacked(df: DataFrame, roles: dict[str, Column]) -> DataFrame:
     return out.where("amount_value is not null")
 
 
+def balance_sheets(supplier: DataFrame) -> DataFrame:
+    """A balance sheet for each supplier, in the audit of the customer of that number; every fifth one's assets are 100 too many."""
+    assets = F.abs(money(F.col("s_acctbal"))) + F.lit(1000)
+    debts = _cents(assets * F.lit(0.4).cast("decimal(2,1)"))
+    key = F.col("s_suppkey").cast("string")
+    rows = supplier.select("s_suppkey", assets.alias("a"), debts.alias("l"), F.when(F.col("s_suppkey") % 5 == 0, assets - debts - 100).otherwise(assets - debts).alias("e"))
+    rows = _stacked(rows, {"total_assets": F.col("a"), "total_liabilities": F.col("l"), "total_equity": F.col("e")})
+    nothing = F.lit(None).cast("string")
+    return rows.select(
+        F.col("s_suppkey").alias("audit_id"), F.concat(F.lit("BS-"), key).alias("doc_id"), F.lit("balance_sheet").alias("doc_type"), F.concat(F.lit("balance_sheet_"), key, F.lit(".pdf")).alias("filename"),
+        F.concat(F.lit("BS-"), key, F.lit(":"), F.col("amount_role")).alias("entity_id"), "amount_role", "amount_value", F.lit(1).alias("source_page"), nothing.alias("txn_ref"), nothing.alias("txn_date"), nothing.alias("anchor_id"),
+    )
+
+
+def parties(orders: DataFrame) -> DataFrame:
+    """(audit_id, anchors): the numbers of an audit's contracts, and its party where it has an order of even number."""
+    party = F.concat(F.lit("PARTY"), F.col("o_custkey").cast("string"))
+    both = F.array_compact(F.array(F.concat(F.lit("CTR"), F.col("o_orderkey").cast("string")), F.when(F.col("o_orderkey") % 2 == 0, party)))
+    return orders.select(F.col("o_custkey").alias("audit_id"), F.explode(both).alias("a")).groupBy("audit_id").agg(F.collect_set("a").alias("anchors"))
+
+
+def bank_lines(events: DataFrame) -> DataFrame:
+    """(audit_id, line) of the statements' debits; every fifth names a contract, the audit's own or another's."""
+    text = lambda c: c.cast("string")
+    named = F.concat(F.lit(" for CTR-2024/"), F.lpad(text(F.col("event_id") % 7), 3, "0"))
+    line = F.concat(F.lit("[TABLE ROW] "), F.date_format("ts", "dd/MM/yyyy"), F.lit(" | TXN-"), text(F.col("event_id")), F.when(F.col("event_id") % 5 == 0, named).otherwise(" salaries"), F.lit(" | "), F.format_number("value", 2))
+    return events.where("event_type = 'purchase'").select(F.col("user_id").alias("audit_id"), line.alias("line"))
+
+
+def identifiers(orders: DataFrame) -> DataFrame:
+    """(audit_id, identifier): the contract number that an audit with orders goes by."""
+    return orders.select(F.col("o_custkey").alias("audit_id"), F.concat(F.lit("ctr 2024-"), F.lpad((F.col("o_custkey") % 7).cast("string"), 3, "0")).alias("identifier")).distinct()
+
+
 def order_amounts(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     total = money(F.col("o_totalprice"))
     third = F.when(F.col("o_orderstatus") == "O", _cents(total * F.lit(0.3).cast("decimal(2,1)"))).when(F.col("o_orderstatus") == "P", _cents(total * F.lit(0.4).cast("decimal(2,1)")))
@@ -65,7 +99,7 @@ def order_amounts(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     quoted = F.when(F.col("o_orderstatus") == "F", _cents(total * F.lit(1.05).cast("decimal(3,2)"))).otherwise(total)
     invoices = _stacked(
         invoice_sums(orders, lineitem).withColumn("quoted", quoted),
-        {"invoice_subtotal": F.col("subtotal"), "vat_tax": F.col("vat"), "total_invoice": F.col("total"), "invoice_referenced_contract_value": F.col("quoted"), "retainer": F.col("retainer")},
+        {"invoice_subtotal": F.col("subtotal"), "vat_tax": F.when(F.col("o_orderpriority") != "5-LOW", F.col("vat")), "total_invoice": F.col("total"), "invoice_referenced_contract_value": F.col("quoted"), "retainer": F.col("retainer")},
     ).select("o_orderkey", "o_custkey", "amount_role", "amount_value", F.concat(F.lit("IN-"), key).alias("doc_id"), F.lit("invoice").alias("doc_type"))
     both = contracts.unionByName(invoices)
     return both.select(
@@ -95,7 +129,7 @@ def bank_amounts(events: DataFrame) -> DataFrame:
         (F.col("event_id") % 5 + 1).cast("int").alias("source_page"),
         F.when(named, F.concat(F.lit("TXN-"), F.col("event_id").cast("string"))).alias("txn_ref"),
         F.when(named, F.date_format("ts", "yyyy-MM-dd")).alias("txn_date"),
-        F.when(F.col("event_id") % 3 == 0, F.lit("linked")).alias("anchor_id"),
+        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("PARTY"), F.col("user_id").cast("string"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("VENDOR"), (F.col("event_id") % 7).cast("string"))).alias("anchor_id"),
     )
     stated = rows.where("amount_role = 'transaction_debit' and txn_ref is not null and amount_value >= 1").groupBy("audit_id").agg(F.sum("amount_value").alias("s"))
     share = F.when(F.col("audit_id") % 3 == 0, 0.9).otherwise(1.0).cast("decimal(2,1)")
@@ -116,7 +150,7 @@ def bank_amounts(events: DataFrame) -> DataFrame:
 def amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All amounts of all audits; amount_value is DECIMAL(18,2)."""
     of = lambda name: table(spark, sf_dir, name)
-    rows = order_amounts(of("orders"), of("lineitem")).unionByName(bank_amounts(of("events")))
+    rows = order_amounts(of("orders"), of("lineitem")).unionByName(bank_amounts(of("events"))).unionByName(balance_sheets(of("supplier")))
     return rows.join(currencies(of("customer")), "audit_id", "left").select(AMOUNT_COLUMNS)
 
 
@@ -125,12 +159,13 @@ def documents_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, lineitem, events = (table(spark, sf_dir, n) for n in ("orders", "lineitem", "events"))
     key = F.col("o_orderkey").cast("string")
     contract = orders.select("o_custkey", F.concat(F.lit("CT-"), key), F.lit("contract"), F.concat(F.lit("contract_"), key, F.lit(".pdf")), F.lit(1))
+    sheet = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("BS-"), F.col("s_suppkey").cast("string")), F.lit("balance_sheet"), F.concat(F.lit("balance_sheet_"), F.col("s_suppkey").cast("string"), F.lit(".pdf")), F.lit(1))
     billed = orders.join(lineitem.select("l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
     invoice = billed.select("o_custkey", F.concat(F.lit("IN-"), key), F.lit("invoice"), F.concat(F.lit("invoice_"), key, F.lit(".pdf")), F.lit(1))
     user = F.col("user_id").cast("string")
     bank = events.groupBy("user_id").agg(F.max(F.col("event_id") % 5 + 1).cast("int").alias("pages"))
     bank = bank.select("user_id", F.concat(F.lit("BK-"), user), F.lit("bank_statement"), F.concat(F.lit("bank_statement_"), user, F.lit(".pdf")), "pages")
-    return contract.union(invoice).union(bank).toDF("audit_id", "doc_id", "doc_type", "filename", "page_count")
+    return contract.union(invoice).union(bank).union(sheet).toDF("audit_id", "doc_id", "doc_type", "filename", "page_count")
 
 
 #: The same relations in SQL, as common table expressions.
@@ -148,25 +183,39 @@ oam AS (
   UNION ALL SELECT o_orderkey, o_custkey, 'contract', 'CT-' || o_orderkey, 'milestone_2', m FROM mil
   UNION ALL SELECT o_orderkey, o_custkey, 'contract', 'CT-' || o_orderkey, 'milestone_3', CASE WHEN o_orderstatus = 'P' THEN CAST(t - 2 * m AS DECIMAL(18,2)) ELSE m END FROM mil
   UNION ALL SELECT o_orderkey, o_custkey, 'invoice', 'IN-' || o_orderkey, 'invoice_subtotal', subtotal FROM ord JOIN inv ON o_orderkey = l_orderkey
-  UNION ALL SELECT o_orderkey, o_custkey, 'invoice', 'IN-' || o_orderkey, 'vat_tax', vat FROM ord JOIN inv ON o_orderkey = l_orderkey
+  UNION ALL SELECT o_orderkey, o_custkey, 'invoice', 'IN-' || o_orderkey, 'vat_tax', CASE WHEN o_orderpriority <> '5-LOW' THEN vat END FROM ord JOIN inv ON o_orderkey = l_orderkey
   UNION ALL SELECT o_orderkey, o_custkey, 'invoice', 'IN-' || o_orderkey, 'total_invoice', CAST(subtotal + vat + CASE WHEN o_orderpriority = '1-URGENT' THEN 100 ELSE 0 END AS DECIMAL(18,2)) FROM ord JOIN inv ON o_orderkey = l_orderkey
   UNION ALL SELECT o_orderkey, o_custkey, 'invoice', 'IN-' || o_orderkey, 'invoice_referenced_contract_value', CASE WHEN o_orderstatus = 'F' THEN CAST(round(t * 1.05, 2) AS DECIMAL(18,2)) ELSE t END FROM ord JOIN inv ON o_orderkey = l_orderkey
   UNION ALL SELECT o_orderkey, o_custkey, 'invoice', 'IN-' || o_orderkey, 'retainer', retainer FROM ord JOIN inv ON o_orderkey = l_orderkey),
 bank0 AS (SELECT user_id AS audit_id, 'EV-' || event_id AS entity_id,
     CASE event_type WHEN 'purchase' THEN 'transaction_debit' WHEN 'signup' THEN 'transaction_credit' WHEN 'view' THEN 'running_balance' WHEN 'click' THEN 'unknown' WHEN 'error' THEN 'late_fee' END AS amount_role,
     CAST(value AS DECIMAL(18,2)) AS v, CAST(event_id % 5 + 1 AS INTEGER) AS source_page, CASE WHEN event_id % 10 <> 0 THEN 'TXN-' || event_id END AS txn_ref,
-    CASE WHEN event_id % 10 <> 0 THEN strftime(ts, '%Y-%m-%d') END AS txn_date, CASE WHEN event_id % 3 = 0 THEN 'linked' END AS anchor_id FROM events),
+    CASE WHEN event_id % 10 <> 0 THEN strftime(ts, '%Y-%m-%d') END AS txn_date, CASE event_id % 3 WHEN 0 THEN 'PARTY' || user_id WHEN 1 THEN 'VENDOR' || (event_id % 7) END AS anchor_id FROM events),
 bank AS (SELECT * FROM bank0 UNION ALL
   SELECT audit_id, 'ST-' || audit_id, 'statement_total_debits', CAST(round(sum(v) * CASE WHEN audit_id % 3 = 0 THEN 0.9 ELSE 1.0 END, 2) AS DECIMAL(18,2)), 1, NULL, NULL, NULL
   FROM bank0 WHERE amount_role = 'transaction_debit' AND txn_ref IS NOT NULL AND v >= 1 GROUP BY audit_id),
+bsh0 AS (SELECT s_suppkey, abs(CAST(s_acctbal AS DECIMAL(18,2))) + 1000 AS a FROM supplier),
+bsh AS (SELECT s_suppkey, CAST(a AS DECIMAL(18,2)) AS a, CAST(round(a * 0.4, 2) AS DECIMAL(18,2)) AS l, CAST(a - round(a * 0.4, 2) - CASE WHEN s_suppkey % 5 = 0 THEN 100 ELSE 0 END AS DECIMAL(18,2)) AS e FROM bsh0),
+sheets AS (SELECT s_suppkey, 'total_assets' AS role0, a AS v FROM bsh UNION ALL SELECT s_suppkey, 'total_liabilities', l FROM bsh UNION ALL SELECT s_suppkey, 'total_equity', e FROM bsh),
 amounts0 AS (
   SELECT o_custkey AS audit_id, doc_id, doc_type, doc_type || '_' || o_orderkey || '.pdf' AS filename, doc_id || ':' || role0 AS entity_id,
     CASE WHEN starts_with(role0, 'milestone_') THEN 'milestone_scheduled' ELSE role0 END AS amount_role, v AS amount_value, 1 AS source_page,
     CAST(NULL AS VARCHAR) AS txn_ref, CAST(NULL AS VARCHAR) AS txn_date, 'CTR' || o_orderkey AS anchor_id FROM oam WHERE v IS NOT NULL
-  UNION ALL SELECT audit_id, 'BK-' || audit_id, 'bank_statement', 'bank_statement_' || audit_id || '.pdf', entity_id, amount_role, v, source_page, txn_ref, txn_date, anchor_id FROM bank),
+  UNION ALL SELECT audit_id, 'BK-' || audit_id, 'bank_statement', 'bank_statement_' || audit_id || '.pdf', entity_id, amount_role, v, source_page, txn_ref, txn_date, anchor_id FROM bank
+  UNION ALL SELECT s_suppkey, 'BS-' || s_suppkey, 'balance_sheet', 'balance_sheet_' || s_suppkey || '.pdf', 'BS-' || s_suppkey || ':' || role0, role0, v, 1, NULL, NULL, NULL FROM sheets),
 amounts AS (SELECT a.*, amount_currency FROM amounts0 a LEFT JOIN cur USING (audit_id)),
 documents_meta AS (
   SELECT o_custkey AS audit_id, 'CT-' || o_orderkey AS doc_id, 'contract' AS doc_type, 'contract_' || o_orderkey || '.pdf' AS filename, 1 AS page_count FROM orders
   UNION ALL SELECT o_custkey, 'IN-' || o_orderkey, 'invoice', 'invoice_' || o_orderkey || '.pdf', 1 FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)
-  UNION ALL SELECT user_id, 'BK-' || user_id, 'bank_statement', 'bank_statement_' || user_id || '.pdf', CAST(max(event_id % 5 + 1) AS INTEGER) FROM events GROUP BY user_id)
+  UNION ALL SELECT user_id, 'BK-' || user_id, 'bank_statement', 'bank_statement_' || user_id || '.pdf', CAST(max(event_id % 5 + 1) AS INTEGER) FROM events GROUP BY user_id
+  UNION ALL SELECT s_suppkey, 'BS-' || s_suppkey, 'balance_sheet', 'balance_sheet_' || s_suppkey || '.pdf', 1 FROM supplier)
+"""
+
+#: Contract anchors, lines of statements and contract numbers, in SQL.
+LINKS_SQL = """
+par AS (SELECT o_custkey AS audit_id, 'CTR' || o_orderkey AS anchor FROM orders UNION SELECT o_custkey, 'PARTY' || o_custkey FROM orders WHERE o_orderkey % 2 = 0),
+bln AS (SELECT user_id AS audit_id, event_id, '[TABLE ROW] ' || strftime(ts, '%d/%m/%Y') || ' | TXN-' || event_id || CASE WHEN event_id % 5 = 0 THEN ' for CTR-2024/' || lpad(CAST(event_id % 7 AS VARCHAR), 3, '0') ELSE ' salaries' END || ' | ' || format('{:,.2f}', value) AS line FROM events WHERE event_type = 'purchase'),
+idc AS (SELECT DISTINCT o_custkey AS audit_id, 'ctr2024' || lpad(CAST(o_custkey % 7 AS VARCHAR), 3, '0') AS core FROM orders),
+lnk AS (SELECT DISTINCT b.audit_id, r.txn_ref FROM bln b JOIN idc USING (audit_id) JOIN bank0 r ON r.audit_id = b.audit_id
+  WHERE contains(regexp_replace(lower(line), '[^a-z0-9]+', '', 'g'), core) AND r.txn_ref IS NOT NULL AND contains(regexp_replace(lower(line), '[^a-z0-9]+', '', 'g'), regexp_replace(lower(r.txn_ref), '[^a-z0-9]+', '', 'g')))
 """

@@ -55,8 +55,8 @@ def test_whole_texts_reach_language_and_normalisation(spark, sf_dir):
     from tallyweave.plans import catalog
 
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    languages = {(r.id, r.form): r.language for r in catalog.QUERIES["detect_language_texts"](spark, sf_dir).collect()}
-    normal = {(r.id, r.form): r.text for r in catalog.QUERIES["normalize_text_texts"](spark, sf_dir).collect()}
+    languages = {(r.id, r.form): r.language for r in catalog.QUERIES["detect_language"](spark, sf_dir).collect()}
+    normal = {(r.id, r.form): r.text for r in catalog.QUERIES["normalize_text"](spark, sf_dir).collect()}
     assert set(languages) == set(normal) == {(i, f) for i in texts for f in range(4)}
     assert {languages[k] for k in languages if k[1] == 1} >= {"arabic"} and {languages[k] for k in languages if k[1] == 3} == {"unknown"}
     for i, t in texts.items():

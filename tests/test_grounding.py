@@ -2,6 +2,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from tallyweave.functions import money as M
 from tallyweave.operators import grounding as K
 
 FINDING = "audit_id long, finding_id string, severity string, title string, description string, evidence array<string>"
@@ -9,7 +10,7 @@ FINDING = "audit_id long, finding_id string, severity string, title string, desc
 
 def test_amounts_and_roles(spark):
     text = "The contract is EGP 1,234.50; the bank paid 5,000 USD"
-    (found,) = spark.createDataFrame([(text,)], "t string").select(K.amounts_with_context(F.col("t"))).first()
+    (found,) = spark.createDataFrame([(text,)], "t string").select(M.amounts_in(F.col("t"))).first()
     assert [(a.value, a.position) for a in found] == [(1234.5, text.index("EGP")), (5000.0, text.index("5,000"))]
     assert found[1].before == text[max(0, text.index("5,000") - 50) : text.index("5,000")]
     cases = [("the contract, then the invoice of ", "invoice_total"), ("INVOICE for the contract ", "contract_total"), ("bank paid ", "bank_paid_total"), ("nothing ", None)]
@@ -43,8 +44,13 @@ def test_conflicts_name_the_documents(spark):
 
 
 def test_json_and_fences(spark):
-    assert K.first_object('x {"a": "}"} y') == '{"a": "}"}'
-    assert K.first_object("{'q': {1}} {") == "{'q': {1}}"
-    assert K.first_object(None) is None and K.first_object("none") is None
+    noisy = {
+        'x {"a": "}"} y': '{"a": "}"}', "{'q': {1}} {": None, None: None, "none": None, "": None, "{": None, '{"a": 1': None,
+        'so {not json} but {"b": [1, {"c": "\\"}{"}]} and {"d": 2}': '{"b": [1, {"c": "\\"}{"}]}', '```json\n{"k": {"l": {"m": {}}}}\n``` {open': '{"k": {"l": {"m": {}}}}', "{{{{ " * 50 + '{"z": 0}': '{"z": 0}',
+    }
+    frame = spark.createDataFrame(list(noisy.items()), "t string, want string")
+    assert all(r.got == r.want for r in frame.select(K.json_object(F.col("t")).alias("got"), "want").collect())
+    long = '{"k": "' + "x{" * 100_000 + '", "n": [' + ",".join(["1"] * 100_000) + "]}"
+    assert spark.createDataFrame([("noise " + long,)], "t string").select(K.json_object(F.col("t"))).first()[0] == long
     rows = spark.createDataFrame([("```json\n{\"a\": 1}\n```",), (" plain ",)], "t string")
     assert [r[0] for r in rows.select(K.unfenced(F.col("t"))).collect()] == ['{"a": 1}', "plain"]

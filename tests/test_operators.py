@@ -27,25 +27,60 @@ def debit(value, ref=None, **more):
     return {"role": "transaction_debit", "value": value, "ref": ref, **more}
 
 
+STATED = "statement_total_debits"
+#: rows, contract anchors, linked references, bank total, whether it is withheld
 BANK_CASES = [
-    ([debit(50_000), debit(62_930, page=2), {"role": "running_balance", "value": 9}, {"role": "opening_balance", "value": 7}], 112_930.0, False),
-    ([debit(10, "a"), {"role": "transaction_credit", "value": 99}, {"role": "unknown", "value": 98}], 10.0, False),
-    ([debit(100_000, "a"), {"role": "statement_total_debits", "value": 226_700}], None, True),
-    ([debit(50_000, "a", anchor="k"), debit(176_700, "b", anchor="k"), debit(210_000, "c"), debit(18_000, "d")], 226_700.0, False),
-    ([debit(50_000, "a"), debit(18_000, "b")], 68_000.0, False),
-    ([debit(226_700, "a", anchor="k"), debit(773_300, "b"), {"role": "statement_total_debits", "value": 1_000_000}], 226_700.0, False),
-    ([debit(1_000_000, "a"), debit(185_700, "b"), debit(1_185_700)], 1_185_700.0, False),
-    ([debit(50_000, "a"), debit(50_000, "A ", page=3)], 50_000.0, False),
-    ([debit(30_000), debit(20_000, page=2)], 50_000.0, False),
+    ([debit(50_000), debit(62_930, page=2), {"role": "running_balance", "value": 800_000}, {"role": "running_balance", "value": 750_000}, {"role": "opening_balance", "value": 320_000}, {"role": "closing_balance", "value": 374_300}], [], [], 112_930.0, False),
+    ([debit(50_000), {"role": "unknown", "value": 999_999, "page": 2}], [], [], 50_000.0, False),
+    ([debit(50_000), {"role": "transaction_credit", "value": 480_000}], [], [], 50_000.0, False),
+    ([debit(100_000), debit(126_700, page=2), {"role": STATED, "value": 226_700}], [], [], 226_700.0, False),
+    ([debit(100_000, "a"), {"role": STATED, "value": 226_700}], [], [], None, True),
+    ([debit(50_000, "a", anchor="k"), debit(176_700, "b", anchor="k"), debit(210_000, "c", anchor="payroll"), debit(18_000, "d")], ["k"], [], 226_700.0, False),
+    ([debit(50_000, "a"), debit(18_000, "b")], [], [], 68_000.0, False),
+    ([debit(50_000, "a", anchor="x"), debit(18_000, "b")], [], [], 68_000.0, False),
+    ([debit(700, "a")], ["k"], [], None, False),
+    ([debit(300, "a", anchor="elsewhere")], ["k"], [], None, False),
+    ([debit(226_700, "a", anchor="k"), debit(773_300, "b", anchor="payroll"), {"role": STATED, "value": 1_000_000}], ["k"], [], 226_700.0, False),
+    ([{"role": STATED, "value": 5_000}], [], [], None, False),
+    ([debit(1_000_000, "a"), debit(185_700, "b"), debit(1_185_700)], [], [], 1_185_700.0, False),
+    ([debit(50_000, "a"), debit(50_000, "A ", page=3)], [], [], 50_000.0, False),
+    ([debit(30_000), debit(20_000, page=2)], [], [], 50_000.0, False),
+    ([debit(30_000, " ", date=""), debit(20_000, page=2)], [], [], 50_000.0, False),
+    ([debit(50_000, "TXN-002"), debit(68_400, "TXN-005"), debit(45_370, "TXN-012", anchor="k"), debit(210_000, "TXN-007"), {"role": STATED, "value": 373_770}], ["k"], ["txn-002", "TXN-005 ", "TXN-012"], 163_770.0, False),
 ]
 
 
-@pytest.mark.parametrize(("rows", "paid", "incomplete"), BANK_CASES)
-def test_bank_total(spark, rows, paid, incomplete):
+@pytest.mark.parametrize(("rows", "anchors", "refs", "paid", "incomplete"), BANK_CASES)
+def test_bank_total(spark, rows, anchors, refs, paid, incomplete):
+    own = spark.createDataFrame([(1, anchors)] if anchors else [], "audit_id long, anchors array<string>")
+    linked = spark.createDataFrame([(1, r) for r in refs], "audit_id long, txn_ref string")
+    found = S.snapshot(amounts(spark, [*rows, {"role": "total_contract_value", "value": 1000, "doc_type": "contract", "doc_id": "C"}]), own, linked).collect()
+    assert [(r.bank_paid_total, r.bank_extraction_incomplete, r.variance_vs_contract) for r in found] == [(paid, incomplete, paid and paid - 1000)]
+    assert ("Extraction incomplete" in found[0].notes) == incomplete and (not incomplete or "100,000.00" in found[0].notes and "226,700.00" in found[0].notes)
+    assert (found[0].bank_debits_verified, found[0].bank_debits_stated) == ((100_000.0, 226_700.0) if incomplete else (None, None))
+
+
+def test_notes_and_warnings(spark):
+    rows = [debit(50_000, "a", currency="EGP"), debit(50_000, "a", page=2, currency="USD"), {"role": "unknown", "value": 5}]
     (r,) = S.snapshot(amounts(spark, rows)).collect()
-    assert (r.bank_paid_total, r.bank_extraction_incomplete) == (paid, incomplete)
-    if incomplete:
-        assert "100,000.00" in r.notes and "226,700.00" in r.notes and r.bank_debits_stated == 226_700.0
+    assert r.notes == "Rows of one transaction were counted once. The bank total stands without a contract total."
+    assert r.integrity_warnings == "Amounts in EGP and in USD are added up together."
+    (r,) = S.snapshot(amounts(spark, [{"role": "unknown", "value": 5}, {"role": "unknown", "value": 0.5}, {"role": "total_invoice", "value": 9, "doc_type": "invoice", "doc_id": "I"}])).collect()
+    assert r.notes == "No bank total: 1 amounts are neither debits nor credits. Bank payments were not added up." and r.currency == "EGP"
+
+
+def test_lines_name_an_identifier(spark):
+    lines = [
+        "[TABLE ROW] 05/01/2025 | TXN-002 | Payment to Nile - Advance عقد CTR-2024-044 | 50,000.00",
+        "[TABLE ROW] 12/01/2025 | TXN-003 | Office Rent Q1 2025 | 75,000.00",
+        "[TABLE ROW] 31/01/2025 | TXN-005 | Payment to Nile - Invoice INV-2025-001 | 68,400.00",
+        "[TABLE ROW] 14/02/2025 | TXN-007 | Staff Salaries February | 210,000.00",
+    ]
+    text = spark.createDataFrame([(1, x) for x in lines] + [(2, lines[0]), (1, None), (1, "")], "audit_id long, line string")
+    refs = spark.createDataFrame([(a, f"TXN-00{k}") for a in (1, 2) for k in (2, 3, 5, 7)] + [(1, None), (1, "-")], "audit_id long, txn_ref string")
+    for names, want in ((["ctr2024/044", "INV 2025 001"], {"TXN-002", "TXN-005"}), (["CTR-2024-044"], {"TXN-002"}), (["Q1 20"], set()), ([], set())):
+        cores = S.identifier_cores(spark.createDataFrame([(1, x) for x in names], "audit_id long, identifier string"))
+        assert {(r.audit_id, r.txn_ref) for r in S.linked_refs(text, cores, refs).collect()} == {(1, x) for x in want}
 
 
 def test_invoice_pick_and_arithmetic(spark):
@@ -54,6 +89,12 @@ def test_invoice_pick_and_arithmetic(spark):
     assert S.invoice_totals(amounts(spark, rows)).first().invoice_total == 36_465_379
     bad = [inv | {"role": r, "value": v} for r, v in (("invoice_subtotal", 155_000), ("vat_tax", 21_700), ("total_invoice", 200_000))]
     assert "176,700.00" in S.arithmetic_warnings(amounts(spark, bad)).first().warning
+    fine = [("invoice_subtotal", 150_000), ("vat_tax", 21_000), ("late_fee", 3_534), ("total_invoice", 174_534)]
+    for rows, said in ((fine, None), (fine[:3] + [("total_invoice", 180_000)], "late fee 3,534.00"), (fine[:2] + [("total_invoice", 171_000)], None), ([("invoice_subtotal", 100), ("total_invoice", 114)], None)):
+        found = S.arithmetic_warnings(amounts(spark, [inv | {"role": r, "value": v} for r, v in rows])).collect()
+        assert (said in found[0].warning) if said else not found
+    other = {"doc_type": "contract", "doc_id": "S"}
+    assert S.arithmetic_warnings(amounts(spark, [other | {"role": r, "value": v} for r, v in (("total_assets", 10), ("total_liabilities", 1), ("total_equity", 1))])).count() == 0
     sheet = {"doc_type": "balance_sheet", "doc_id": "S"}
     for equity, n in ((970_000, 0), (800_000, 1)):
         rows = [sheet | {"role": r, "value": v} for r, v in (("total_assets", 2_480_000), ("total_liabilities", 1_510_000), ("total_equity", equity))]

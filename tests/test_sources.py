@@ -64,8 +64,9 @@ def test_engine(spark, sf_dir):
 
 
 def test_repair_must_keep_the_numbers(spark):
-    rows = spark.createDataFrame([("1,000.50 and 7", "7 | 1000.5"), ("1 2", "1 3")], "a string, b string")
-    assert [r[0] for r in rows.select(repaired(F.col("a"), F.col("b"))).collect()] == ["7 | 1000.5", "1 2"]
+    whole, fixed = "1,000.50 x 7.00\ny 8.25", "a | 7.00\nb | 8.25\nc | 1000.50"
+    rows = spark.createDataFrame([(whole, fixed), (whole, fixed.replace("8.25", "8.26")), ("1,000.50 and 7", "7 | 1000.5"), ("1 2", "1 3")], "a string, b string")
+    assert [r[0] for r in rows.select(repaired(F.col("a"), F.col("b"))).collect()] == [fixed, whole, "1,000.50 and 7", "1 2"]
 
 
 @pytest.mark.parametrize("gone", [["tallyweave/llm", "tests/llm"], ["tallyweave/llm", "tests/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
