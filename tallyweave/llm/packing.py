@@ -25,8 +25,8 @@ from tallyweave.llm.shared import written
 
 SIZE = 1024
 SEPARATOR = 0
-#: Pieces ranked together.
-BUCKET_PIECES = 50_000
+#: Pieces of one length ranked together, about, and buckets of one length whose counts are summed together.
+BUCKET_PIECES, BLOCK_BUCKETS = 250, 4096
 
 
 class SegmentTree:
@@ -105,14 +105,16 @@ def best_fit_decreasing(histogram: dict[int, int], size: int = SIZE) -> list[Pla
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE) -> DataFrame:
-    """Full windows and the rest of every document: doc_id, start, length, ids_crc32, doc_tokens.
+    """Full windows and the rest of every document: doc_id, start, length, ids_crc32, doc_tokens, and deal, an odd number
+    that deals them to buckets (another one each time it is computed).
 
     A document's ids are its text's, then the separator; null and empty texts have the
-    separator alone. Repeated rows give repeated pieces. Only doc_id and text are read."""
+    separator alone. Repeated rows give repeated pieces. A text is encoded whole however long. Only doc_id and text are read."""
     path = tokenizer or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(path).ids
+        dealer = np.random.default_rng()
         for batch in batches:
             row, start, length, crc, total = [], [], [], [], []
             for k, text in enumerate(batch.column("text")):
@@ -124,24 +126,34 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE) -> D
                     length.append(len(part))
                     crc.append(zlib.crc32(part.tobytes()))
                     total.append(len(ids))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            deal = dealer.integers(0, 1 << 62, len(row))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total, deal))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "deal"])
 
     docs = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, deal long")
+
+
+def _ranked(cut: DataFrame, histogram: dict[int, int], size: int, bucket_pieces: int) -> DataFrame:
+    """The pieces with their rank among those of their length. A length has as many buckets as its pieces ask for; a
+    bucket's first rank is the sum of those before it, by blocks of buckets, so that no task sees all of them."""
+    n_buckets = F.array(*(F.lit(max(1, -(-histogram.get(n, 0) // bucket_pieces))) for n in range(size + 1)))
+    cut = cut.withColumn("bucket", F.col("deal") % n_buckets[F.col("length").cast("int")])
+    counts = cut.groupBy("length", "bucket").agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("bucket") / BLOCK_BUCKETS))
+    earlier = lambda *keys: F.coalesce(F.sum("n").over(Window.partitionBy("length", *keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = counts.groupBy("length", "block").agg(F.sum("n").alias("n")).select("length", "block", earlier("block").alias("before"))
+    counts = counts.withColumn("inside", earlier("block", "bucket")).join(blocks, ["length", "block"]).select("length", "bucket", (F.col("inside") + F.col("before")).alias("ranked"))
+    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
+    return cut.withColumn("rank", F.row_number().over(inside) - 1).join(counts, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("ranked"))
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, bucket_pieces: int = BUCKET_PIECES) -> DataFrame:
     """pieces() with their sequence_id and offset: sequences of at most size tokens, gapless from 0.
-    No documents give no rows."""
+    Which of several pieces of one length takes which place is open. No documents give no rows. Other columns than doc_id and
+    text are not read."""
     spark = docs.sparkSession
     cut = written(pieces(docs, tokenizer, size))
     histogram = dict(cut.groupBy("length").agg(F.count("*")).collect())
-    n_buckets = max(1, -(-sum(histogram.values()) // bucket_pieces))
-    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(n_buckets)))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = cut.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ranked"))
-    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
-    ranked = cut.withColumn("rank", F.row_number().over(inside) - 1).join(counts, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("ranked"))
+    ranked = _ranked(cut, histogram, size, bucket_pieces)
     plan = spark.createDataFrame(best_fit_decreasing(histogram, size), "length long, first long, last long, sequence long, each long, at long")
     plan = plan.withColumnRenamed("length", "planned")
     placed = ranked.join(F.broadcast(plan), (F.col("length") == F.col("planned")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
