@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm.chargrams import Letters, letter_chunks
-from tallyweave.llm.shared import written
+from tallyweave.llm.shared import drop_written, written
 from tallyweave.llm.wordarrays import mix
 
 #: Confirmed documents that a classifier is fitted on at most, those with the smallest hashes of their ids,
@@ -89,12 +89,23 @@ def fit_nnpu(rows: np.ndarray, columns: np.ndarray, n_rows: int, n_columns: int,
     return weights[:-1], float(weights[-1])
 
 
+def _bitmap(features: DataFrame) -> np.ndarray:
+    """The features of a table as a bit each, SPACE in all: what reaches the driver and goes to the workers has a fixed size."""
+    width = 1 << 15
+    rows = features.groupBy(F.floor(F.col("feature") / width).alias("k")).agg(F.bitmap_construct_agg(F.col("feature") % width).alias("bits")).collect()
+    out = np.zeros((SPACE // width, width // 8), np.uint8)
+    for r in rows:
+        out[r.k] = np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
+
+
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, prior: float | None = None) -> Model:
     """A classifier from docs (doc_id, text), whose rows are all unlabelled ones, and labels (doc_id, toxic).
     Documents with toxic 1 are the confirmed ones, at most max_rows. Of docs, a sample of about max_rows is taken
     by a hash, whether a row has a label or not. Labels 0 are used for nothing but the class prior: where it isn't
     given, it is the toxic share of the labelled ids, which holds if what was labelled was not picked by toxicity.
-    Without confirmed documents the model scores 0."""
+    Without confirmed documents the model scores 0. Null and empty texts have no features, a long one all of its own; repeated
+    rows count each. What reaches the driver is bounded by max_rows documents of at most FEATURES chosen features."""
     picked = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").alias("toxic")).where("_id is not null and toxic is not null")
     picked = picked.groupBy("_id").agg((F.max("toxic") == 1).alias("toxic"))
     if prior is None:
@@ -120,24 +131,19 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, prior: f
                 mine = batch.column("toxic" if positive_only else "unlabelled").to_numpy(zero_copy_only=False)
                 for part in letter_chunks(batch.column("text"), np.flatnonzero(mine)):
                     sums += np.bincount(features(part)[1], minlength=SPACE).astype(np.int32)
-            used = np.flatnonzero(sums) if known is None else known[sums[known] > 0]
+            used = np.flatnonzero(sums if known is None else sums * np.unpackbits(known, count=SPACE, bitorder="little"))
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used].astype(np.int64))], ["feature", "n"])
 
         return texts.mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
-    in_p = count(True, None).where(F.col("n") >= LEAST).toArrow()
-    feature, p = in_p.column(0).to_numpy(), in_p.column(1).to_numpy()
-    order = np.argsort(feature)
-    feature, p = feature[order], p[order]
-    in_u = count(False, feature).toArrow()
-    u = np.zeros(len(feature))
-    u[np.searchsorted(feature, in_u.column(0).to_numpy())] = in_u.column(1).to_numpy()
-    share, pooled = p / n_positive, u / total
-    rest_share = np.maximum(pooled - prior * share, 0) / (1 - prior)
-    deviation = np.sqrt(np.maximum(1e-12, pooled * (1 - pooled)) * (1 / n_positive + 1 / total))
-    z = np.where(u > 0, (share - rest_share) / np.maximum(1e-6, deviation), 0)
-    best = np.lexsort((feature, -z))[:FEATURES]
-    model = Model(np.sort(feature[best[z[best] > 3]]), np.zeros(0), 0.0)
+    in_p = written(count(True, None).where(F.col("n") >= LEAST).withColumnRenamed("n", "p"))
+    in_u = count(False, _bitmap(in_p)).withColumnRenamed("n", "u")
+    counts = in_p.join(in_u, "feature").withColumns({"share": F.col("p") / n_positive, "pooled": F.col("u") / total})
+    rest = F.greatest(F.col("pooled") - prior * F.col("share"), F.lit(0.0)) / (1 - prior)
+    deviation = F.sqrt(F.greatest(F.lit(1e-12), F.col("pooled") * (1 - F.col("pooled"))) * (1 / n_positive + 1 / total))
+    z = (F.col("share") - rest) / F.greatest(F.lit(1e-6), deviation)
+    best = counts.select("feature", z.alias("z")).where("z > 3").orderBy(F.desc("z"), "feature").limit(FEATURES)
+    model = Model(np.sort(np.array([r[0] for r in best.collect()], np.int64)), np.zeros(0), 0.0)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,17 +155,25 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, prior: f
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(at[order].astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(pa.array(x[part.rows]) for x in flags), lists], ["toxic", "unlabelled", "features"])
 
-    table = texts.mapInArrow(encode, "toxic boolean, unlabelled boolean, features array<int>").orderBy("toxic", "unlabelled", "features").toArrow()
+    table = texts.mapInArrow(encode, "toxic boolean, unlabelled boolean, features array<int>").toArrow()
     toxic, unlabelled, lists = table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2).combine_chunks()
-    columns = lists.flatten().to_numpy()
-    rows = np.repeat(np.arange(len(toxic)), np.diff(lists.offsets.to_numpy()))
+    columns, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+    # The rows arrive in any order, and sums depend on it in their last digits: they are put in one order here.
+    order = sorted(range(len(toxic)), key=lambda i: (toxic[i], unlabelled[i], columns[offsets[i] : offsets[i + 1]].tobytes()))
+    rows = np.repeat(np.argsort(order), np.diff(offsets))
+    toxic, unlabelled = toxic[order], unlabelled[order]
+    by_row = np.lexsort((columns, rows))
+    rows, columns = rows[by_row], columns[by_row]
+    drop_written(in_p)
+    drop_written(texts)
     model.weights, model.bias = fit_nnpu(rows, columns, len(toxic), len(model.chosen), toxic.astype(bool), prior, unlabelled=unlabelled.astype(bool))
     return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score and predicted (1 if score >= 0.5) of each row of docs, which needs doc_id and text. Null and
-    empty texts have no features, and score by the bias. Other columns are not read; repeated rows give repeated rows."""
+    empty texts have no features, and score by the bias; a text is read whole however long. No documents give no rows. Other
+    columns are not read; repeated rows give repeated rows."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
