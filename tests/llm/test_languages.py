@@ -53,6 +53,45 @@ def test_held_out_accuracy(spark, sf_dir):
     assert np.mean([r.lang_pred == truth[r.doc_id].lang for r in held]) > 0.9
 
 
+def exact_shares(train, texts):
+    """Each text's share of grams in each language's own set, with sets instead of filters."""
+    grams = lambda t: brute_grams(t, 4) + [g for g in brute_grams(t, 3) if len(g) == 3 and g[0] == g[2] == " "]
+    counts = {}
+    for t, lang in train:
+        for g in grams(t):
+            counts.setdefault(lang, {}).setdefault(g, 0)
+            counts[lang][g] += 1
+    rates = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    best = {}
+    for r in rates.values():
+        for g, x in r.items():
+            best[g] = max(best.get(g, 0), x if x >= L.LEAST_SHARE else 0)
+    sets = {lang: {g for g, x in r.items() if x >= L.LEAST_SHARE and x >= L.LEAST_RATIO * best[g]} for lang, r in rates.items()}
+    out = []
+    for t in texts:
+        own = grams(t or "")
+        out.append({lang: sum(g in s for g in own) / max(1, len(own)) for lang, s in sets.items()})
+    return out
+
+
+def test_predictions_match_brute_force(spark, sf_dir):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    train = [(t, lang) for i, t, lang in docs if i % 3 and t and lang]
+    filters = L.learn(spark.createDataFrame(train, "text string, lang string"))
+    rows = {r.doc_id: r for r in L.identify(spark.createDataFrame(docs, "doc_id long, text string, lang string"), filters).collect()}
+    part = Letters([t or "" for _, t, _ in docs], np.arange(len(docs)))
+    scores = filters.scores(part)
+    clear = 0
+    for k, ((i, t, _), want) in enumerate(zip(docs, exact_shares(train, [t for _, t, _ in docs]), strict=True)):
+        assert all(abs(scores[k, filters.langs.index(lang)] - x) < 0.02 for lang, x in want.items())
+        first, second = sorted(want.values(), reverse=True)[:2]
+        if first - second > 0.04:
+            clear += 1
+            assert rows[i].lang_pred == max(want, key=want.get)
+        assert (rows[i].lang_pred == "und") == (not any(c.isalpha() for c in t or ""))
+    assert clear > 0.9 * len(docs)
+
+
 def test_odd_rows(spark):
     r = random.Random(1)
     rows = [(i, " ".join("".join(r.choices(a, k=4)) for _ in range(30)), lang) for i, (lang, a) in enumerate([("xx", "abcd"), ("yy", "uvwé")] * 10)]

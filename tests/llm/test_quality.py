@@ -1,7 +1,10 @@
+import math
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from tallyweave.llm import quality as Q
 
@@ -22,6 +25,79 @@ def brute(text):
     return len(w), sum(map(len, w)), sum(text.count(x) for x in "#*$%&|<>"), dup, len(marked), len(w) < 50 or 100 * len(marked) > 50 * len(w)
 
 
+def char_class(c):
+    """The class of a character, by its place in the list at the head of the module."""
+    groups = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\v\f\r", "\n", ",;:-()'\"/", ".?", "!", "#*$%&|<>"]
+    found = [i for i, g in enumerate(groups) if c in g]
+    return found[0] if found else {1: 9, 2: 0, 3: 10, 4: 11}[len(c.encode())]
+
+
+def bin_of(word, known={}):  # noqa: B006  a cache
+    """The hash is the operator's own; all else is done again here."""
+    if word not in known:
+        (w,) = Q.word_chunks(pa.array([word]), Q.SPACED_EXACT)
+        known[word] = int(Q._bins(pa.array([word]), w)[0])
+    return known[word]
+
+
+def histograms(text):
+    classes = Counter(map(char_class, text))
+    return classes, Counter(bin_of(w) for w in WORD.findall(text))
+
+
+def js(p, q):
+    keys = {*p, *q}
+    half = lambda a, b: sum(a[k] * math.log2(a[k] / ((a.get(k, 0) + b.get(k, 0)) / 2)) for k in keys if a.get(k, 0) > 0)
+    return math.sqrt(min(1, max(0, (half(p, q) + half(q, p)) / 2)))
+
+
+def brute_verdicts(docs):
+    """{place: (class distance, word distance, kept)} of (doc_id, text, lang), in plain Python."""
+    base = [brute(t) for _, t, _ in docs]
+    made = [histograms(t or "") for _, t, _ in docs]
+    refs = []
+    for lang in sorted({x for _, _, x in docs if x is not None}):
+        mine = [i for i, d in enumerate(docs) if d[2] == lang and d[1] is not None and not base[i][5]]
+        if len(mine) < Q.MIN_DOCS:
+            continue
+        classes, words = Counter(), Counter()
+        for i in mine:
+            for k, n in made[i][0].items():
+                classes[k] += n * Q.UNIT // made[i][0].total()
+            for k, n in made[i][1].items():
+                words[k] += n * (Q.WORD_UNIT // base[i][0])
+        common = sorted(words, key=lambda k: (-words[k], k))[: Q.COMMON]
+        shares = {k: words[k] / (len(mine) * Q.WORD_UNIT) for k in common}
+        refs.append((lang, len(mine), {k: n / classes.total() for k, n in classes.items()}, shares, max(0.0, 1 - sum(shares.values()))))
+    out = {}
+    for i, (_, text, lang) in enumerate(docs):
+        classes, words = made[i]
+        best = (math.inf, 0.0, 0.0)
+        for _, n, of_classes, shares, rest in refs:
+            own = {k: words[k] / max(1, base[i][0]) for k in shares} | {-1: sum(m for k, m in words.items() if k not in shares) / max(1, base[i][0])}
+            d = [max(0, x - Q.REFERENCE_ALLOWANCE / math.sqrt(n)) for x in (js({k: m / max(1, classes.total()) for k, m in classes.items()}, of_classes), js(own, shares | {-1: rest}))]
+            if sum(d) < best[0]:
+                best = (sum(d), *d)
+        size = len((text or "").encode())
+        strange = size >= Q.MIN_CHARS and best[1] > Q.MAX_CLASS_JS + Q.CLASS_ALLOWANCE / math.sqrt(size)
+        strange |= base[i][0] >= Q.MIN_WORDS and best[2] > Q.MAX_WORD_JS + Q.WORD_ALLOWANCE / math.sqrt(base[i][0])
+        out[i] = (best[1], best[2], not base[i][5] and not (strange and lang in {r[0] for r in refs}))
+    return out
+
+
+def test_verdicts_match_brute_force(spark, sf_dir):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    docs += [(10**6 + i, "#$% 77 <> || " * 30 + " ".join(f"{i}x{k}" for k in range(70)), "en") for i in range(3)] + [(10**7, None, "en"), (10**7 + 1, "", "de"), (10**7 + 2, "Ünï " * 60, None)]
+    frame = spark.createDataFrame([(i, t, x) for i, (_, t, x) in enumerate(docs)], "doc_id long, text string, lang string")
+    want = brute_verdicts(docs)
+    rows = Q.assess(frame).collect()
+    assert len(rows) == len(docs) and not all(r.kept or r.base_failed for r in rows)
+    for r in rows:
+        assert r.kept == want[r.doc_id][2], r
+        if docs[r.doc_id][1]:
+            assert (r.class_js, r.word_js) == pytest.approx(want[r.doc_id][:2], abs=1e-6)
+
+
 def test_base_measures_match_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     odd = spark.createDataFrame(

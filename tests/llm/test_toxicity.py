@@ -1,8 +1,13 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from tallyweave.llm import toxicity as X
+from tallyweave.llm.chargrams import Letters
+from tests.llm.test_languages import brute_grams
 
 
 def test_nnpu_on_a_known_mixture():
@@ -18,6 +23,63 @@ def test_nnpu_on_a_known_mixture():
     assert weights[:6].min() > weights[6:].max()
 
 
+def brute_fit(matrix, positive, unlabelled, prior, epochs, rate=0.05, decay=1e-4):
+    """The same estimator in plain Python, a loss and a slope at a time; also how often the negative risk was below 0."""
+    n, m = len(matrix), len(matrix[0])
+    w, b = [0.0] * m, math.log(prior / (1 - prior))
+    first, second, below = [0.0] * (m + 1), [0.0] * (m + 1), 0
+    n_p, n_u = sum(positive), sum(unlabelled)
+    for step in range(1, epochs + 1):
+        z = [sum(x * y for x, y in zip(row, w)) + b for row in matrix]
+        s = [1 / (1 + math.exp(-max(-30, min(30, v)))) for v in z]
+        loss = [max(0, v) + math.log1p(math.exp(-abs(v))) for v in z]
+        risk = sum(x for x, u in zip(loss, unlabelled) if u) / n_u - prior * sum(x for x, p in zip(loss, positive) if p) / n_p
+        slope = []
+        for i in range(n):
+            of_u, of_p = unlabelled[i] / n_u, prior * positive[i] / n_p
+            slope.append(of_p * (s[i] - 1) + of_u * s[i] - of_p * s[i] if risk >= 0 else of_p * s[i] - of_u * s[i])
+        below += risk < 0
+        grad = [sum(slope[i] * matrix[i][j] for i in range(n)) + decay * w[j] for j in range(m)] + [sum(slope)]
+        for j, g in enumerate(grad):
+            first[j], second[j] = 0.9 * first[j] + 0.1 * g, 0.999 * second[j] + 0.001 * g * g
+            change = rate * (first[j] / (1 - 0.9**step)) / (math.sqrt(second[j] / (1 - 0.999**step)) + 1e-9)
+            if j < m:
+                w[j] -= change
+            else:
+                b -= change
+    return w, b, below
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.6])
+def test_fit_matches_brute_force(prior):
+    r = np.random.default_rng(8)
+    dense = (r.random((24, 5)) < 0.4).astype(int)
+    positive, unlabelled = np.arange(24) < 8, np.arange(24) >= 4
+    dense[positive, 0] = 1
+    rows, columns = np.nonzero(dense)
+    weights, bias = X.fit_nnpu(rows, columns, 24, 5, positive, prior, epochs=150, unlabelled=unlabelled)
+    w, b, below = brute_fit(dense.tolist(), positive.tolist(), unlabelled.tolist(), prior, 150)
+    assert np.allclose(weights, w, atol=1e-6) and abs(bias - b) < 1e-6
+    assert (below > 0) == (prior == 0.6)  # the correction has been at work
+
+
+def test_scores_match_brute_force():
+    """Features are words and n-grams, by how often they occur; a score is the sigmoid of their weights' sum."""
+    texts = ["Some words, some WORDS some", "", "x", "a longer text with longer words in a longer text", "é" * 9, "12 !"]
+    part = Letters(texts, np.arange(len(texts)))
+    owner, value = X.features(part)
+    for i, t in enumerate(texts):
+        words = [g[1:-1] for n in range(3, 60) for g in brute_grams(t, n) if g[0] == g[-1] == " "]
+        counts = Counter(("word", x) for x in words) + Counter((n, g) for n in X.GRAMS for g in brute_grams(t, n))
+        assert (owner == i).sum() == sum(n >= level for n in counts.values() for level in X.LEVELS)
+    chosen = np.unique(value)[::2]
+    model = X.Model(chosen, np.linspace(-1, 1, len(chosen)), 0.25)
+    place = {int(c): w for c, w in zip(chosen, model.weights, strict=True)}
+    for i, s in enumerate(model.scores(part)):
+        z = 0.25 + sum(place.get(int(v), 0.0) for v in value[owner == i])
+        assert abs(s - 1 / (1 + math.exp(-z))) < 1e-9
+
+
 def test_held_out(spark, sf_dir):
     from tallyweave.llm.queries import QUERIES
 
