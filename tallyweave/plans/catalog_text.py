@@ -13,7 +13,7 @@ from tallyweave.operators import grounding as K
 from tallyweave.operators import retrieval as R
 from tallyweave.operators import snapshot as S
 from tallyweave.operators import state as Z
-from tallyweave.plans.catalog import LEDGER, any_of, query, quoted
+from tallyweave.plans.catalog import LEDGER, ORACLES, any_of, links, query, quoted
 from tallyweave.sources import ledger as L
 from tallyweave.streaming import eventlog
 
@@ -130,9 +130,14 @@ def register_rows(spark, d):
     return D.register_rows(pages)
 
 
-@query()
+@query(
+    """WITH RECURSIVE r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, '[TABLE ROW] ' || strftime(ts, '%Y-%m-%d') || ' | TXN-' || event_id || ' | ' || format('{:,.2f}', value) AS line FROM events),
+s AS (SELECT user_id, i, 0 AS chunk, length(line) + 1 AS size, line FROM r WHERE i = 1
+  UNION ALL SELECT r.user_id, r.i, s.chunk + CASE WHEN 40 + s.size + length(r.line) + 1 > 200 THEN 1 ELSE 0 END, CASE WHEN 40 + s.size + length(r.line) + 1 > 200 THEN 0 ELSE s.size END + length(r.line) + 1, r.line FROM s JOIN r ON r.user_id = s.user_id AND r.i = s.i + 1)
+SELECT user_id, chunk AS chunk_index, '[TABLE ROW] columns: date | ref | amount' || string_agg(chr(10) || line, '' ORDER BY i) AS text FROM s GROUP BY user_id, chunk"""
+)
 def row_chunks(spark, d):
-    """A fold over the rows of each register: tested against one in plain Python."""
+    """A fold over the rows of each register, which in SQL is a recursion."""
     e = L.table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.concat_ws(" | ", F.date_format("ts", "yyyy-MM-dd"), F.concat(F.lit("TXN-"), F.col("event_id").cast("string")), F.format_number("value", 2)).alias("row")))).alias("x"))
     rows = F.transform("x", lambda v: v["row"])
     return e.select("user_id", F.posexplode(D.chunk_rows(F.lit("date | ref | amount"), rows, 200)).alias("chunk_index", "text"))
@@ -322,15 +327,33 @@ def label_amounts(spark, d):
     return K.label_amounts(said(spark, d))
 
 
-@query()
+@query(
+    f"""WITH snap AS ({ORACLES["recon_snapshot"]}), {SAID}, lab AS (SELECT audit_id, CAST(max(t) FILTER (t >= 1000) AS DOUBLE) AS c, CAST(max(t) FILTER (2 * t >= 1000) AS DOUBLE) * 2 AS i, CAST(max(t) FILTER (4 * t >= 1000) AS DOUBLE) * 4 AS b FROM sd WHERE severity = 'critical' GROUP BY 1),
+u AS (SELECT snap.*, contract_total IS NULL AND c IS NOT NULL AS uc, invoice_total IS NULL AND i IS NOT NULL AS ui, bank_paid_total IS NULL AND NOT bank_extraction_incomplete AND b IS NOT NULL AS ub, c, i, b FROM snap LEFT JOIN lab USING (audit_id)),
+f AS (SELECT * REPLACE (CASE WHEN uc THEN c ELSE contract_total END AS contract_total, CASE WHEN ui THEN i ELSE invoice_total END AS invoice_total, CASE WHEN ub THEN b ELSE bank_paid_total END AS bank_paid_total) FROM u)
+SELECT audit_id, currency, contract_total, invoice_total, bank_paid_total, CASE WHEN (uc OR ui OR ub) AND bank_paid_total IS NOT NULL AND contract_total IS NOT NULL THEN round(bank_paid_total - contract_total, 2) ELSE variance_vs_contract END AS variance_vs_contract, bank_extraction_incomplete, bank_debits_verified, bank_debits_stated,
+  concat_ws(' ', nullif(notes, ''), CASE WHEN uc OR ui OR ub THEN 'Inferred from labeled finding text: ' || concat_ws(', ', CASE WHEN uc THEN 'contract' END, CASE WHEN ui THEN 'invoice' END, CASE WHEN ub THEN 'bank paid' END) || '.' END) AS notes, integrity_warnings FROM f"""
+)
 def snapshot_filled(spark, d):
-    """Snapshots with their gaps filled: tested case by case."""
-    return K.fill_gaps(S.snapshot(L.amounts(spark, d)), K.label_amounts(said(spark, d)))
+    """Snapshots with their gaps filled."""
+    return K.fill_gaps(S.snapshot(L.amounts(spark, d), *links(spark, d)), K.label_amounts(said(spark, d)))
 
 
-@query()
+_FORMS = " OR ".join(f"contains(line, format('{{{{:{f}}}}}', v))" for f in (",.2f", ",.0f", ".2f", ".0f"))
+
+
+@query(
+    LEDGER + f""", {SAID}, v AS (SELECT audit_id, finding_id, unnest(list_distinct([round(CAST(t AS DOUBLE), 2), round(CAST(t AS DOUBLE) * 2, 2), round(CAST(t AS DOUBLE) * 4, 2)])) AS v FROM sd),
+l AS (SELECT audit_id, finding_id, 0 AS pos, 'contract_' || finding_id || '.pdf: EGP ' || format('{{:,.2f}}', CAST(t AS DOUBLE)) AS line FROM sd UNION ALL SELECT audit_id, finding_id, 1, 'invoice_' || finding_id || '.pdf: EGP ' || format('{{:,.2f}}', CAST(t AS DOUBLE) * 2) FROM sd),
+q AS (SELECT v.audit_id, v.finding_id, v, arg_min(doc_id, ROW(pos, doc_id)) AS quoted FROM v JOIN l USING (audit_id, finding_id) JOIN documents_meta m ON m.audit_id = v.audit_id AND starts_with(line, filename) WHERE v >= 1000 AND ({_FORMS.replace("{{", "{").replace("}}", "}")}) GROUP BY ALL),
+o AS (SELECT audit_id, round(CAST(amount_value AS DOUBLE), 2) AS v, min(doc_id) AS owner FROM amounts GROUP BY 1, 2 HAVING count(DISTINCT doc_id) = 1),
+g AS (SELECT audit_id, finding_id, v, coalesce(quoted, owner) AS doc_id FROM v LEFT JOIN q USING (audit_id, finding_id, v) LEFT JOIN o USING (audit_id, v) WHERE v >= 1000 AND coalesce(quoted, owner) IS NOT NULL),
+k AS (SELECT g.*, doc_type, row_number() OVER (PARTITION BY g.audit_id, finding_id ORDER BY CASE doc_type WHEN 'contract' THEN 1 WHEN 'invoice' THEN 2 WHEN 'payment_certificate' THEN 3 WHEN 'bank_statement' THEN 4 ELSE 5 END, v DESC, doc_id) AS rn FROM g LEFT JOIN documents_meta m USING (audit_id, doc_id)),
+a AS (SELECT * FROM k WHERE rn = 1), b AS (SELECT k.* FROM k JOIN a USING (audit_id, finding_id) WHERE k.doc_id <> a.doc_id QUALIFY row_number() OVER (PARTITION BY k.audit_id, k.finding_id ORDER BY k.rn) = 1)
+SELECT audit_id, finding_id, a.doc_id AS doc_a_id, format('{{:,.2f}}', a.v) AS doc_a_value, b.doc_id AS doc_b_id, format('{{:,.2f}}', b.v) AS doc_b_value, replace(coalesce(a.doc_type, 'document'), '_', ' ') || ' vs ' || replace(coalesce(b.doc_type, 'document'), '_', ' ') || ' (from finding)' AS conflict_type FROM a JOIN b USING (audit_id, finding_id)"""
+)
 def finding_conflicts(spark, d):
-    """Conflict rows of findings with their amounts grounded: tested case by case."""
+    """Conflict rows of findings with their amounts grounded."""
     return K.finding_conflicts(said(spark, d), L.documents_meta(spark, d), L.amounts(spark, d))
 
 
