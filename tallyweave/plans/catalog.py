@@ -329,9 +329,13 @@ def unique_owner(spark, d):
 
 # ---------------------------------------------------------------- findings
 
+#: Titles of findings, one for each topic that a signature may have, and those topics.
+TELLINGS = [("Restated contract value", "overpayment"), ("Bank transfer differs", "bank_recon"), ("Invoice subtotal differs", "invoice"), ("Milestone missed", "schedule"), ("VAT differs", "vat"), ("Vendor named twice", "party"), ("Expiry differs", "date"), ("Nothing special", "general")]
+_TOLD = "[" + ", ".join(quoted(t) for t, _ in TELLINGS) + f"][CAST(seq % {len(TELLINGS)} AS INTEGER) + 1]"
+
 FINDINGS = LEDGER + f""", {REFERENCES}, num AS (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY claim_doc_id, truth_doc_id) AS seq FROM refm),
 fin AS (SELECT audit_id, seq, claim_doc_id || '>' || truth_doc_id AS finding_id, severity, CASE WHEN seq % 4 = 0 THEN 0.5 WHEN seq % 4 = 1 THEN 0.6 ELSE 0.95 END::DOUBLE AS confidence, CASE seq % 3 WHEN 0 THEN 'llm' WHEN 1 THEN 'graph' ELSE 'detector' END AS source,
-  'Restated contract value' AS title, 'EGP ' || format('{{:,.2f}}', abs(difference)) || ' variance against ' || truth_doc_id AS description, claim_doc_id, truth_doc_id, CASE WHEN seq % 2 = 0 THEN 1 ELSE 2 END AS n_evidence FROM num)"""
+  {_TOLD} AS title, 'EGP ' || format('{{:,.2f}}', abs(difference)) || CASE WHEN seq % 8 = 0 THEN ' variance' ELSE ' apart' END || ' against ' || truth_doc_id AS description, claim_doc_id, truth_doc_id, CASE WHEN seq % 2 = 0 THEN 1 ELSE 2 END AS n_evidence FROM num)"""
 
 
 def findings(spark, d):
@@ -343,8 +347,8 @@ def findings(spark, d):
     evidence = F.when(seq % 2 == 0, F.array(F.col("claim_doc_id"), F.lit(" "))).otherwise(F.array("claim_doc_id", "truth_doc_id"))
     return rows.select(
         "audit_id", "seq", F.concat_ws(">", "claim_doc_id", "truth_doc_id").alias("finding_id"), "severity", F.when(seq % 4 == 0, 0.5).when(seq % 4 == 1, 0.6).otherwise(0.95).alias("confidence"),
-        F.when(seq % 3 == 0, "llm").when(seq % 3 == 1, "graph").otherwise("detector").alias("source"), F.lit("Restated contract value").alias("title"),
-        F.concat(F.lit("EGP "), F.format_number(F.abs("difference"), 2), F.lit(" variance against "), F.col("truth_doc_id")).alias("description"), F.col("claim_doc_id").alias("source_doc_id"), F.col("truth_doc_id").alias("conflicting_doc_id"), evidence.alias("evidence"),
+        F.when(seq % 3 == 0, "llm").when(seq % 3 == 1, "graph").otherwise("detector").alias("source"), F.element_at(F.array(*(F.lit(t) for t, _ in TELLINGS)), (seq % len(TELLINGS) + 1).cast("int")).alias("title"),
+        F.concat(F.lit("EGP "), F.format_number(F.abs("difference"), 2), F.when(seq % len(TELLINGS) == 0, " variance").otherwise(" apart"), F.lit(" against "), F.col("truth_doc_id")).alias("description"), F.col("claim_doc_id").alias("source_doc_id"), F.col("truth_doc_id").alias("conflicting_doc_id"), evidence.alias("evidence"),
     )
 
 
@@ -358,7 +362,7 @@ _COARSE = "CASE WHEN {0} < 10000 THEN round_even({0} / 100, 0) * 100 ELSE round_
 
 @query(
     FINDINGS + f""", am AS (SELECT *, CAST(replace(regexp_extract(description, 'EGP ([0-9,.]+)', 1), ',', '') AS DOUBLE) AS v FROM fin)
-SELECT audit_id, finding_id, 'overpayment|' || CASE WHEN v BETWEEN 100 AND 2000000 THEN CAST(CAST({_COARSE.format("v")} AS BIGINT) AS VARCHAR) ELSE 't:restated contract value' END AS signature FROM am"""
+SELECT audit_id, finding_id, {"[" + ", ".join(quoted(x) for _, x in TELLINGS) + f"][CAST(seq % {len(TELLINGS)} AS INTEGER) + 1]"} || '|' || CASE WHEN v BETWEEN 100 AND 2000000 THEN CAST(CAST({_COARSE.format("v")} AS BIGINT) AS VARCHAR) ELSE 't:' || lower(title) END AS signature FROM am"""
 )
 def finding_signature(spark, d):
     return findings(spark, d).select("audit_id", "finding_id", V.signature(F.col("title"), F.col("description")).alias("signature"))

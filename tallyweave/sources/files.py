@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,8 +30,14 @@ def request_error(files: DataFrame) -> str | None:
     return f"more than {MAX_FILES} files" if n > MAX_FILES else first
 
 
-def page_text(files: DataFrame, extract: Callable[[bytes], list[str]]) -> DataFrame:
-    """(filename, page_num, text, is_scanned, error) by an extraction hook; a file that fails gives its error alone."""
+def page_text(files: DataFrame, extract: Callable[[bytes], list[str]], ocr: Sequence[Callable[[bytes, int], str]] = ()) -> DataFrame:
+    """(filename, page_num, text, is_scanned, ocr_used, error) by an extraction hook; a file that fails gives its error alone. A page with
+    next to no text is scanned: the OCR hooks (content, page index) are asked one after the other until one reads it."""
+
+    def read(content: bytes, index: int, text: str) -> tuple[str, bool, bool]:
+        scanned = len(text.strip()) < SCANNED_BELOW
+        found = next((t for engine in (ocr if scanned else ()) if (t := engine(content, index)).strip()), None)
+        return (text if found is None else found), scanned, found is not None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -41,12 +47,12 @@ def page_text(files: DataFrame, extract: Callable[[bytes], list[str]]) -> DataFr
                     pages = extract(bytes(content))
                     if len(pages) > MAX_PAGES:
                         raise ValueError(f"more than {MAX_PAGES} pages")
-                    rows += [(name, i + 1, t, len(t.strip()) < SCANNED_BELOW, None) for i, t in enumerate(pages)]
+                    rows += [(name, i + 1, *read(bytes(content), i, t), None) for i, t in enumerate(pages)]
                 except Exception as e:  # one bad file is reported and doesn't stop the others
-                    rows.append((name, None, None, None, str(e) or type(e).__name__))
-            yield pd.DataFrame(rows, columns=["filename", "page_num", "text", "is_scanned", "error"]).astype({"page_num": "Int32", "is_scanned": "boolean"})
+                    rows.append((name, None, None, None, None, str(e) or type(e).__name__))
+            yield pd.DataFrame(rows, columns=["filename", "page_num", "text", "is_scanned", "ocr_used", "error"]).astype({"page_num": "Int32", "is_scanned": "boolean", "ocr_used": "boolean"})
 
-    return files.where("error is null").select("filename", "content").mapInPandas(run, "filename string, page_num int, text string, is_scanned boolean, error string")
+    return files.where("error is null").select("filename", "content").mapInPandas(run, "filename string, page_num int, text string, is_scanned boolean, ocr_used boolean, error string")
 
 
 def carry_headers(fragments: DataFrame) -> DataFrame:

@@ -28,6 +28,9 @@ def test_uploads_and_pages(spark, tmp_path):
 
     rows = {(r.filename, r.page_num): (r.is_scanned, r.error) for r in files.page_text(found, extract).collect()}
     assert rows == {("a.pdf", 1): (True, None), ("a.pdf", 2): (False, None), ("e.pdf", None): (None, "cannot read")}
+    engines = [lambda content, index: " ", lambda content, index: f"read {index}"]
+    read = {(r.filename, r.page_num): (r.text[:6], r.ocr_used) for r in files.page_text(found.where("filename = 'a.pdf'"), extract, engines).collect()}
+    assert read == {("a.pdf", 1): ("read 0", True), ("a.pdf", 2): ("page t", False)}
 
 
 def test_exports_and_scope(spark, tmp_path):
@@ -37,6 +40,7 @@ def test_exports_and_scope(spark, tmp_path):
     assert part.read_text() == 'id,a,b\n1,"say ""hi""","a,b"\n2,plain,\n'
     files.export_json(rows, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 2
+    assert [r.id for r in files.in_scope(spark.createDataFrame([("h", 7), ("k", 2)], "scope string, id int"), "k", ["k", "h"], header="h").collect()] == [7]
     scoped = spark.createDataFrame([("default", 1), ("k", 2)], "scope string, id int")
     assert [r.id for r in files.in_scope(scoped, None, []).collect()] == [1]
     assert [r.id for r in files.in_scope(scoped, "k", ["k"]).collect()] == [2]
