@@ -15,8 +15,10 @@
 
 The first occurrence, by doc_id and place, is kept; the words of the others are cut.
 Where a suffix occurs often in one run of documents the same comparison is made there, and only
-first places go on; a long run of equal suffixes is compared in blocks, of which first
-places are carried on. So memory is bounded whatever the number of copies.
+first places go on. A suffix that is frequent in the corpus is not dealt as a whole, but once for each passage
+around it, by that passage: the ends of a frequent passage, where the words around differ, go to as many tasks as there are
+words around. A long run of equal suffixes is compared in blocks, of which first places are carried on. So memory is bounded
+whatever the number of copies.
 """
 
 from __future__ import annotations
@@ -37,8 +39,9 @@ MIN_WORDS, WINDOW, GRAM = 50, 16, 5
 SENT_KEYS = 4_000_000
 #: Documents whose cuts are sent to every executor; beyond that the join is shuffled.
 SENT_DOCUMENTS = 100_000
-#: Occurrences of a suffix in one run of documents from which they are compared there.
-OFTEN = 8
+#: Occurrences of a suffix in one run of documents from which they are compared there; and in the corpus, from which it is
+#: dealt by passages, and compared in any run of documents.
+OFTEN, FREQUENT = 8, 2000
 #: Suffixes compared at once.
 BLOCK_ROWS = 20_000
 
@@ -58,6 +61,12 @@ def _spaced(w: Words) -> tuple[bytes, np.ndarray]:
     return out.tobytes(), at
 
 
+def _cut(text: tuple[bytes, np.ndarray], first: np.ndarray, last: np.ndarray) -> pa.Array:
+    """Words first to last (exclusive) of each."""
+    data, place = text
+    return pa.array([data[a:b] for a, b in zip(place[first], place[last], strict=True)], pa.string())
+
+
 def _matrix(texts: pa.Array, width: int, backwards: bool) -> np.ndarray:
     """A row of word numbers for each text, from its first word on, or from its last one back; -1 beyond its
     end. Equal numbers are equal words, and the other way round."""
@@ -115,6 +124,7 @@ class Dedup:
             raise ValueError("window must be a power of two to 16, and a passage longer than window + gram words")
         self.min_words, self.window, self.gram, self.sent_keys = min_words, window, gram, sent_keys
         self.reach = min_words - window + 1
+        self.often, self.block_rows = OFTEN, BLOCK_ROWS
 
     def _anchors(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts, anchors, keys): the passages' first words, each one's minimiser, and the
@@ -136,7 +146,7 @@ class Dedup:
         return starts, anchors, keys[np.searchsorted(places, anchors)].view(np.int64)
 
     def repeated_keys(self, docs: DataFrame) -> DataFrame:
-        """(key): fingerprints that two suffixes or more share, a few of them twice."""
+        """(key, frequent): fingerprints that two suffixes or more share, and whether FREQUENT or more do."""
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -144,37 +154,24 @@ class Dedup:
                     _, anchors, keys = self._anchors(w)
                     _, once = np.unique(anchors, return_index=True)
                     key, count = np.unique(keys[once], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.minimum(count, 2).astype(np.int8))], ["key", "count"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(count.astype(np.int32))], ["key", "n"])
 
-        def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last = None
-            for batch in batches:
-                key, count = (batch.column(i).to_numpy() for i in (0, 1))
-                if len(key):
-                    equal = count > 1
-                    same = key[1:] == key[:-1]
-                    equal[1:] |= same
-                    equal[:-1] |= same
-                    equal[0] |= last is not None and key[0] == last
-                    last = key[-1]
-                    found = np.unique(key[equal])
-                    if len(found):
-                        yield pa.RecordBatch.from_arrays([pa.array(found)], ["key"])
-
-        rows = docs.select("text").mapInArrow(emit, "key long, count byte")
-        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "key long")
+        counts = docs.select("text").mapInArrow(emit, "key long, n int").groupBy("key").agg(F.sum("n").alias("n"))
+        return counts.where("n > 1").select("key", (F.col("n") >= FREQUENT).alias("frequent"))
 
     def suffixes(self, docs: DataFrame, keys: DataFrame) -> DataFrame:
         """The suffixes with one of these keys: their words, doc_id, place, and masks of passages by the words that they
         begin before the suffix: those to compare, and those found to be repeated, and to be no first place, in
         their run of documents. Suffixes with nothing left to compare have no words, and a key of their own."""
         if keys.count() <= self.sent_keys:
-            sent = docs.sparkSession.sparkContext.broadcast(np.sort(keys.toArrow().column(0).to_numpy()))
-            rows = docs.select("doc_id", "text").withColumn("anchors", F.lit(None).cast("array<long>"))
+            table = keys.toArrow().sort_by("key")
+            sent = docs.sparkSession.sparkContext.broadcast((table.column("key").to_numpy(), table.column("frequent").to_numpy()))
+            rows = docs.select("doc_id", "text")
         else:
             sent = None
-            places = docs.select("doc_id", "text").mapInArrow(self._emit_places, "key long, doc_id long, at long").join(keys, "key", "left_semi")
-            rows = docs.select("doc_id", "text").join(places.groupBy("doc_id").agg(F.collect_set("at").alias("anchors")), "doc_id")
+            places = docs.select("doc_id", "text").mapInArrow(self._emit_places, "key long, doc_id long, at long").join(keys, "key")
+            places = places.groupBy("doc_id").agg(F.collect_set("at").alias("anchors"), F.collect_set(F.when(F.col("frequent"), F.col("at"))).alias("frequent"))
+            rows = docs.select("doc_id", "text").join(places, "doc_id")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -184,34 +181,52 @@ class Dedup:
                     at, first, n_own = np.unique(anchors, return_index=True, return_counts=True)
                     key, most = key[first], at - starts[first]
                     if sent is not None:
-                        if not len(at) or not len(sent.value):
+                        known, of_known = sent.value
+                        if not len(at) or not len(known):
                             continue
-                        use = sent.value[np.minimum(np.searchsorted(sent.value, key), len(sent.value) - 1)] == key
+                        place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                        use = known[place] == key
+                        frequent = of_known[place] & use
                     else:
-                        lists = batch.column("anchors").slice(w.rows[0], len(w.rows)).to_pylist()
-                        use = np.isin(at, np.concatenate([w.bounds[i] + np.array(x or [], np.int64) for i, x in enumerate(lists)]))
+                        lists = [batch.column(c).slice(w.rows[0], len(w.rows)).to_pylist() for c in ("anchors", "frequent")]
+                        use, frequent = (np.isin(at, np.concatenate([w.bounds[i] + np.array(x or [], np.int64) for i, x in enumerate(y)])) for y in lists)
                     if not use.any():
                         continue
-                    at, key, most, n_own = at[use], key[use], most[use], n_own[use]
+                    at, key, most, n_own, frequent = at[use], key[use], most[use], n_own[use], frequent[use]
                     owner = np.searchsorted(w.bounds, at, side="right") - 1
-                    text, place = _spaced(w)
-                    lo, hi = place[np.maximum(w.bounds[owner], at - self.window + 1)], place[np.minimum(w.bounds[owner + 1], at + self.min_words)]
-                    right = [text[a:b] for a, b in zip(place[at], hi, strict=True)]
-                    left = [text[a:b] for a, b in zip(lo, place[at], strict=True)]
+                    text = _spaced(w)
+                    right = _cut(text, at, np.minimum(w.bounds[owner + 1], at + self.min_words))
+                    left = _cut(text, np.maximum(w.bounds[owner], at - self.window + 1), at)
                     own = (((1 << n_own) - 1) << (most - n_own + 1)).astype(np.int32)
                     none = np.zeros(len(at), np.int32)
-                    columns = [key, pa.array(right, pa.string()), pa.array(left, pa.string()), ids[w.rows[owner]].astype(np.int64), (at - w.bounds[owner]).astype(np.int64), own, none, none]
+                    columns = [key, right, left, ids[w.rows[owner]].astype(np.int64), (at - w.bounds[owner]).astype(np.int64), own, none, none]
                     table = pa.table([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=_NAMES)
                     _, back, count = np.unique(key, return_inverse=True, return_counts=True)
-                    often = count[back] >= OFTEN
+                    often = (count[back] >= self.often) | (frequent & (count[back] > 1))
+                    table = table.append_column("suffix", pa.array(at)).append_column("frequent", pa.array(frequent))
                     if often.any():
                         crowd = table.filter(pa.array(often))
-                        crowd = self.resolve(crowd.take(pc.sort_indices(crowd.column("right"))))
-                        table = pa.concat_tables([table.filter(pa.array(~often)), _settled(crowd)])
-                    yield from table.combine_chunks().to_batches()
+                        crowd = crowd.take(pc.sort_indices(crowd.column("right")))
+                        settled = _settled(self.resolve(crowd.select(_NAMES)))
+                        crowd = pa.table([*settled.columns, crowd.column("suffix"), crowd.column("frequent")], names=crowd.column_names)
+                        table = pa.concat_tables([table.filter(pa.array(~often)), crowd])
+                    if frequent.any():
+                        split = pc.and_(table.column("frequent"), pc.not_equal(table.column("own"), 0))
+                        table = pa.concat_tables([table.filter(pc.invert(split)).select(_NAMES), self._by_passage(table.filter(split), w, text, starts)])
+                    yield from table.select(_NAMES).combine_chunks().to_batches()
 
         return rows.mapInArrow(run, _SUFFIXES)
 
+    def _by_passage(self, table: pa.Table, w: Words, text: tuple[bytes, np.ndarray], starts: np.ndarray) -> pa.Table:
+        """A row for each passage that is left to compare around these suffixes, dealt by the passage, with its words alone."""
+        row, back = np.nonzero(_bits(table.column("own").to_numpy(), self.window))
+        at = table.column("suffix").to_numpy()[row]
+        _, passages = w.windows(self.min_words)
+        key = passages[np.searchsorted(starts, at - back)].view(np.int64)
+        rest = table.select(["doc_id", "at"]).take(pa.array(row))
+        masks = [pa.array((1 << back).astype(np.int32)), *(table.column(c).take(pa.array(row)) for c in ("repeated", "again"))]
+        return pa.table([pa.array(key), _cut(text, at, at - back + self.min_words), _cut(text, at - back, at), *rest.columns, *masks], names=_NAMES)
+
     def _emit_places(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in word_chunks(batch.column("text"), SPACED):
@@ -238,7 +253,7 @@ class Dedup:
         """(doc_id, at, repeated, again): suffixes with repeated passages around them, some of them twice."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, n_held, least = [], 0, BLOCK_ROWS
+            held, n_held, least = [], 0, self.block_rows
             for batch in _ended(batches):
                 if batch is not None:
                     words = batch.column("right").is_valid()
@@ -258,7 +273,7 @@ class Dedup:
                 if not cut:  # one run of equal suffixes: its first places are carried on
                     rest = done.filter(pc.not_equal(done.column("own"), 0))
                 held, n_held = [rest], len(rest)
-                least = max(BLOCK_ROWS, 2 * n_held)
+                least = max(self.block_rows, 2 * n_held)
 
         rows = suffixes.repartition("key").sortWithinPartitions("key", "right", "doc_id", "at")
         return rows.mapInArrow(run, "doc_id long, at long, repeated int, again int")
@@ -272,7 +287,7 @@ class Dedup:
             for batch in _ended(batches):
                 if batch is not None:
                     held.append(pa.Table.from_batches([batch]))
-                    if sum(map(len, held)) < BLOCK_ROWS:
+                    if sum(map(len, held)) < self.block_rows:
                         continue
                 if not held:
                     continue

@@ -75,10 +75,11 @@ def test_small_batches_and_hot_passages(spark, monkeypatch):
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
     try:
-        for often, block in ((2, 20_000), (1000, 20_000), (1000, 3)):
+        for often, block, frequent, sent in ((2, 20_000, 2000, 10**6), (1000, 20_000, 2000, 10**6), (1000, 3, 2000, 10**6), (8, 20_000, 5, 10**6), (1000, 3, 2, 10**6), (8, 20_000, 5, 0)):
             monkeypatch.setattr(S, "OFTEN", often)
+            monkeypatch.setattr(S, "FREQUENT", frequent)
             monkeypatch.setattr(S, "BLOCK_ROWS", block)
-            assert found(S.repeated_passages(frame)) == brute(docs, 50)
+            assert found(S.repeated_passages(frame, sent_keys=sent)) == brute(docs, 50)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
