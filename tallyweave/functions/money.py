@@ -15,6 +15,7 @@ CODES = {
 NUMBER = r"(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?"
 ARABIC_DIGITS, PERSIAN_DIGITS, DIGITS = "٠١٢٣٤٥٦٧٨٩", "۰۱۲۳۴۵۶۷۸۹", "0123456789"
 
+# One amount alone, an amount after a currency, one before it, and runs of digits.
 SINGLE = rf"(?i)^\s*(?:(?:{CURRENCY})\s*)?({NUMBER})\s*(?:(?:{CURRENCY}))?\s*$"
 LEFT = rf"(?i)(?:^|\s)(?:{CURRENCY})\s*({NUMBER})"
 RIGHT = rf"(?i)({NUMBER})\s*(?:{CURRENCY})(?:\s|$)"

@@ -54,6 +54,10 @@ MILESTONE_WORDS = ["milestone", "installment", "دفعة", "مرحلة"]
 SCHEDULE_WORDS = ["schedule", "due date", "payment date", "مواعيد", "جدول"]
 
 
+# Shape of identifiers in questions, what one of them must hold, and what separates the words of file names.
+ID_TOKEN, ID_MARK, NAME_GAPS = r"\b([A-Z0-9][A-Z0-9\-_/.]{3,})\b", "[0-9_/.-]", "[^a-z0-9؀-ۿ]+"
+
+
 def contains_any(text: Column, words: list[str]) -> Column:
     out = F.lit(False)
     for w in words:
@@ -94,7 +98,7 @@ def _first(pairs: list[tuple[str, Column]]) -> Column:
 
 
 def plain_name(filename: Column) -> Column:
-    return F.regexp_replace(F.lower(F.coalesce(filename, F.lit(""))), "[^a-z0-9؀-ۿ]+", " ")
+    return F.regexp_replace(F.lower(F.coalesce(filename, F.lit(""))), NAME_GAPS, " ")
 
 
 def title_type(text: Column, filename: Column) -> Column:
@@ -146,8 +150,8 @@ def authority_rank(level: Column) -> Column:
 
 def id_tokens(query: Column, most: int = 5) -> Column:
     """Identifier-shaped tokens with a digit or separator, the first of each spelling, at most five."""
-    found = F.regexp_extract_all(F.coalesce(query, F.lit("")), F.lit(r"\b([A-Z0-9][A-Z0-9\-_/.]{3,})\b"), 1)
-    kept = F.filter(found, lambda t: F.rlike(t, F.lit("[0-9_/.-]")))
+    found = F.regexp_extract_all(F.coalesce(query, F.lit("")), F.lit(ID_TOKEN), 1)
+    kept = F.filter(found, lambda t: F.rlike(t, F.lit(ID_MARK)))
     lowered = F.transform(kept, F.lower)
     return F.slice(F.filter(kept, lambda t, i: F.array_position(lowered, F.lower(t)) == i + 1), 1, most)
 
