@@ -1,11 +1,10 @@
 """Benchmark decontamination: one Aho-Corasick automaton over all test windows.
 
-The automaton's letters are words: every window of ``window`` consecutive words of each item,
-normalised, is a string of word numbers. A document is normalised the same way, its words get the
-same numbers (0 if no item has them) and are scanned once; each match gives words of the document, and
-their places in the original text. Benchmarks are small beside a corpus, yet nothing relies on it: one
-of more than BLOCK_CHARS characters is dealt to several automata of that size, and the
-documents pass through them one after the other, without a shuffle.
+Every window of ``window`` consecutive words of each item, normalised, is a string in which each word of the
+benchmark has a code of a few letters, all of one length; other words have one that no window holds. A document is normalised and
+encoded the same way and scanned once; each match gives words of the document, and their places in the
+original text. Benchmarks are small beside a corpus, yet nothing relies on it: one of more than BLOCK_CHARS characters is dealt
+to several automata of that size, and the documents pass through them one after the other, without a shuffle.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from tallyweave.llm.shared import drop_written, written
 from tallyweave.llm.wordarrays import ALNUM, string_bytes
 
-#: Characters of items in one automaton: about 13 nodes a word, 2 a character, in each worker.
-BLOCK_CHARS = 2_000_000
+#: Characters of items in one automaton: about 4 nodes each, of 40 bytes, in each worker.
+BLOCK_CHARS = 1_000_000
 WINDOW = 13
 
 _KEEP = ALNUM[0]
@@ -47,26 +47,32 @@ def item_windows(text: str | None, window: int = WINDOW) -> set[tuple[bytes, ...
 
 
 class Scanner:
-    """The automaton, and the numbers of its words from 1 on."""
+    """The automaton, and the codes of its words: as many digits to the base of 64 as their number asks for, each
+    place with letters of its own, so that a match can begin at a word only and no node has many children."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW) -> None:
         owners: dict[tuple[bytes, ...], set[str]] = {}
         for item, text in items:
             for w in item_windows(text, window):
                 owners.setdefault(w, set()).add(item)
-        self.numbers: dict[bytes, int] = {}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        words = sorted({x for w in owners for x in w})
+        self.width = 1
+        while 64**self.width < len(words):
+            self.width += 1
+        self.codes = {x: "".join(chr(1 + 64 * k + (i >> 6 * k & 63)) for k in range(self.width)) for i, x in enumerate(words)}
+        self.other = "\0" * self.width
+        self.automaton = ahocorasick.Automaton()
         for w, who in owners.items():
-            self.automaton.add_word(tuple(self.numbers.setdefault(x, len(self.numbers) + 1) for x in w), (len(w), sorted(who)))
+            self.automaton.add_word("".join(self.codes[x] for x in w), (len(w), sorted(who)))
         if owners:
             self.automaton.make_automaton()
 
     def scan(self, words: list[bytes]) -> list[tuple[str, int, int]]:
         """(item, first word, words) of each occurrence of a window in a text's words."""
-        if not self.numbers or not words:
+        if not self.codes or not words:
             return []
-        number = self.numbers.get
-        return [(item, end - n + 1, n) for end, (n, who) in self.automaton.iter(tuple([number(w, 0) for w in words])) for item in who]
+        text = "".join(map(self.codes.get, words, repeat(self.other)))
+        return [(item, end // self.width - n + 1, n) for end, (n, who) in self.automaton.iter(text) for item in who]
 
 
 #: The scanners that a worker has built, one for each scan's block.
