@@ -13,7 +13,9 @@ Documents are sets of word shingles; two link when percent of their union is com
    has each group's token union; a query document opens a group only if its overlap with the
    union allows a link, and only for members that it isn't connected with yet. Members
    are compared exactly. Clusters too large for one task are split into blocks that
-   share a hub document; what the hub does not connect is then compared with each block.
+   share a few hub documents; what is not connected with most of the cluster then is compared with the
+   documents that share one of its rare shingles: block by block, or shingle by shingle where that
+   takes fewer rows, so that a large cluster of few links costs no square of its size.
 4. Links between classes give connected components.
 """
 
@@ -26,11 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.shared import components, written
+from tallyweave.llm.shared import components, passing, written
 from tallyweave.llm.wordarrays import SPACED, Words, mix, word_chunks
 
 #: Classes and shingles of a cluster that one task takes.
-LOCAL_SETS, LOCAL_TOKENS = 4096, 4_000_000
+LOCAL_SETS, LOCAL_TOKENS = 1024, 1_000_000
+#: Hub documents of a large cluster, about: members of all of its blocks.
+HUBS = 8
+#: Rows compared by shingle that are as dear as one compared by block.
+BY_SHINGLE = 1.0
 #: Candidates whose ids are broadcast to pick their texts; beyond that the texts are shuffled.
 SENT_KEYS = 500_000
 #: Sampled share of the shingles, as a multiple of what a class may miss of a partner.
@@ -108,6 +114,8 @@ class Join:
         A shingle that CAP classes of one run of documents have is known to be shared, and
         sent as such: no partition gets many rows for a frequent shingle."""
 
+        cap = CAP
+
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for w in word_chunks(batch.column("text"), SPACED):
@@ -126,7 +134,7 @@ class Join:
                     key, value = key[order], value[order]
                     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
                     length = np.diff(np.r_[start, len(key)])
-                    hot = length >= CAP
+                    hot = length >= cap
                     if hot.any():
                         known = np.repeat(hot, length)
                         marks = start[hot]
@@ -151,11 +159,11 @@ class Join:
                     continue
                 cut = len(key) if batch is None else int(np.searchsorted(key, key[-1]))
                 done, rest = [x[:cut] for x in rest], [x[cut:] for x in rest]
-                out = [_shared_runs(*done, frequent)] if cut else []
+                out = [_shared_runs(*done, frequent, cap)] if cut else []
                 frequent = frequent if cut == 0 else None
                 if len(rest[0]) > 100_000:  # one shingle's rows; the last is kept, for the end of the run
                     tail = [x[-1:] for x in rest]
-                    out.append(_shared_runs(*(x[:-1] for x in rest), rest[0][0]))
+                    out.append(_shared_runs(*(x[:-1] for x in rest), rest[0][0], cap))
                     frequent, rest = rest[0][0], tail
                 for k1, token, df in out:
                     if len(k1):
@@ -164,8 +172,9 @@ class Join:
         rows = docs.select("text").mapInArrow(emit, "key long, value long, flag byte")
         return rows.repartition("key").sortWithinPartitions("key", "value", "flag").mapInArrow(compare, "k1 long, token long, df int")
 
-    def clusters(self, docs: DataFrame, classes: DataFrame) -> DataFrame:
-        """(node, component) of classes, by k1, that may have partners."""
+    def clusters(self, docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(node, component) of classes, by k1, that may have partners; and the shingles (k1, token) that put them
+        together: any two classes that link share one."""
         late = F.expr(f"(token ^ {-(1 << 63)}) >= {int(self.below) - (1 << 63)}")
         shared = self.shared_shingles(docs).groupBy("k1").agg(F.collect_set(F.struct(late.alias("late"), "df", "token")).alias("all"))
         shared = shared.join(classes.groupBy("k1").agg(F.max("n").alias("n"), F.max("sampled").alias("sampled")), "k1")
@@ -179,7 +188,7 @@ class Join:
         kept = F.concat(F.slice("early", F.lit(1), of_early.cast("int")), F.slice("after", F.lit(1), of_after.cast("int")))
         buckets = written(shared.select("k1", F.explode(kept).alias("x")).select("k1", F.col("x.token").alias("token")))
         least = buckets.groupBy("token").agg(F.min("k1").alias("hub"))
-        return components(buckets.join(least, "token").select(F.col("k1").alias("a"), F.col("hub").alias("b")))
+        return components(buckets.join(least, "token").select(F.col("k1").alias("a"), F.col("hub").alias("b"))), buckets
 
     def sets(self, docs: DataFrame, clusters: DataFrame) -> DataFrame:
         """(k1, n, tokens, cluster) of the documents whose class is in clusters(k1, cluster)."""
@@ -197,29 +206,46 @@ class Join:
         few = clusters.count() <= SENT_KEYS
         return docs.select("text").mapInArrow(run, "k1 long, n long, tokens binary").join(F.broadcast(clusters) if few else clusters, "k1")
 
-    def links(self, docs: DataFrame, clusters: DataFrame, local_sets: int = LOCAL_SETS, local_tokens: int = LOCAL_TOKENS) -> DataFrame:
+    def links(self, docs: DataFrame, clusters: DataFrame, buckets: DataFrame, local_sets: int = LOCAL_SETS, local_tokens: int = LOCAL_TOKENS) -> DataFrame:
         """(a, b) by k1: links that connect all classes that are connected."""
         clusters = clusters.select(F.col("node").alias("k1"), F.col("component").alias("cluster"))
         sets = written(self.sets(docs, clusters))
-        sizes = sets.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / local_sets), F.ceil(F.sum("n") / local_tokens)).alias("blocks"), F.min("k1").alias("hub"))
+        sizes = sets.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / local_sets), F.ceil(F.sum("n") / local_tokens)).alias("blocks"), F.min("k1").alias("hub"), F.count("*").alias("n_sets"))
         large = sizes.where("blocks > 1")
+        whole = {"block": F.lit(0), "part": F.lit(0), "label": F.col("k1"), "query": F.lit(True)}
         if not large.head(1):
-            return self._solve(sets.withColumns({"block": F.lit(0), "part": F.lit(0), "label": F.col("k1"), "query": F.lit(True)}))
-        large = written(large.withColumn("blocks", (2 * F.col("blocks")).cast("int")))
-        small = self._solve(sets.join(large, "cluster", "left_anti").withColumns({"block": F.lit(0), "part": F.lit(0), "label": F.col("k1"), "query": F.lit(True)}))
-        dealt = sets.join(large, "cluster").withColumn("block", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int"))
-        hubs = dealt.where("k1 = hub").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        in_block = dealt.where("k1 != hub").unionByName(hubs)
-        first = written(small.union(self._solve(in_block.withColumns({"part": F.lit(0), "label": F.col("k1"), "query": F.lit(True)}))))
-        labels = components(first)
-        dealt = dealt.join(labels.withColumnRenamed("node", "k1"), "k1", "left").withColumn("label", F.coalesce("component", "k1")).drop("component")
-        main = dealt.where("k1 = hub").select("cluster", F.col("label").alias("main"))
-        dealt = written(dealt.join(main, "cluster"))
-        far = dealt.where("label != main")
-        parts = far.groupBy("cluster").agg(F.greatest(F.ceil(2 * F.count("*") / local_sets), F.ceil(2 * F.sum("n") / local_tokens)).cast("int").alias("parts"))
-        far = far.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("k1", F.lit(7)), F.col("parts")).cast("int"))
-        asked = far.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("query", F.lit(True))
-        held = dealt.join(parts, "cluster").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("query", F.lit(False))
+            return self._solve(sets.withColumns(whole))
+        large = _sent(written(large.withColumn("blocks", (2 * F.col("blocks")).cast("int"))))
+        small = self._solve(sets.join(large, "cluster", "left_anti").withColumns(whole))
+        is_hub = (F.col("k1") == F.col("hub")) | (F.pmod(F.xxhash64("k1", F.lit(3)), F.greatest(F.lit(1), F.floor(F.col("n_sets") / HUBS))) == 0)
+        mine = F.array(F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int"))
+        in_block = sets.join(large, "cluster").withColumn("block", F.explode(F.when(is_hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(mine)))
+        first = written(small.union(self._solve(in_block.withColumns(whole | {"block": F.col("block")}))))
+        labels = components(first).withColumnRenamed("node", "k1")
+        members = sets.select("k1", "cluster").join(large, "cluster").join(labels, "k1", "left")
+        members = members.select("k1", "cluster", "blocks", F.coalesce("component", "k1").alias("label"))
+        main = members.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+        members = _sent(written(members.join(main, "cluster").select("k1", "cluster", "blocks", "label", (F.col("label") != F.col("main")).alias("far"))))
+        if not members.where("far").head(1):
+            return first
+        # What is left are links with a class outside the largest part of its cluster: the two share a token of buckets.
+        shared = buckets.join(members, "k1")
+        parts = lambda n: F.greatest(F.lit(1), F.ceil(2 * F.col(n) / local_sets)).cast("int")
+        counts = [F.count("*").alias("n_sets"), F.count_if("far").alias("n_far")]
+        groups = shared.groupBy("cluster", "token").agg(*counts, F.min("label").alias("a"), F.max("label").alias("z")).where("n_far > 0 and a != z")
+        groups = _sent(written(groups.select("cluster", "token", parts("n_sets").alias("by"), parts("n_far").alias("parts"), "n_sets", "n_far")))
+        able = written(shared.join(groups.select("token", F.col("by"), F.col("parts").alias("token_parts")), "token"))
+        by_block = able.select("k1", "cluster", "blocks", "label", "far").distinct()
+        rows_of = F.col("n_far") * F.col("blocks") + F.col("n_sets") * F.col("parts")
+        block_rows = by_block.groupBy("cluster", "blocks").agg(*counts).withColumn("parts", parts("n_far")).select("cluster", "parts", rows_of.alias("block_rows"))
+        token_rows = groups.withColumnRenamed("by", "blocks").groupBy("cluster").agg(F.sum(rows_of).alias("token_rows"))
+        plan = block_rows.join(token_rows, "cluster").withColumn("by_token", F.col("token_rows") * BY_SHINGLE < F.col("block_rows"))
+        whole_rows = by_block.join(plan.where("not by_token").select("cluster", "parts"), "cluster")
+        token_rows = able.join(plan.where("by_token").select("cluster"), "cluster").select("k1", F.col("token").alias("cluster"), F.col("by").alias("blocks"), "label", "far", F.col("token_parts").alias("parts"))
+        rows = whole_rows.select(token_rows.columns).unionByName(token_rows).join(sets.join(large.select("cluster"), "cluster", "left_semi").select("k1", "n", "tokens"), "k1")
+        each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        asked = rows.where("far").withColumns({"part": F.pmod(F.xxhash64("k1", F.lit(7)), F.col("parts")).cast("int"), "query": F.lit(True)}).withColumn("block", each("blocks"))
+        held = rows.withColumns({"block": F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int"), "query": F.lit(False)}).withColumn("part", each("parts"))
         columns = ["cluster", "block", "part", "k1", "n", "tokens", "label", "query"]
         return first.union(self._solve(asked.select(columns).unionByName(held.select(columns))))
 
@@ -243,22 +269,29 @@ class Join:
 
     def components(self, docs: DataFrame, local_sets: int = LOCAL_SETS, local_tokens: int = LOCAL_TOKENS) -> DataFrame:
         docs = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
-        heads = written(self.heads(docs))
-        classes = written(heads.where("n > 0").groupBy("k1", "k2", "n", "sampled").agg(F.min("doc_id").alias("least")))
-        found = self.clusters(docs, classes)
-        few = candidates(docs, classes, found)
-        # Among the candidates all shingles are counted: most that only passages had brought together drop out.
-        found = Join(self.size, self.percent, float("inf")).clusters(few, classes.withColumn("sampled", F.col("n")))
-        joined = components(self.links(few, found, local_sets, local_tokens))
-        joined = joined.select(F.col("node").alias("k1"), F.col("component").alias("c"))
-        labels = classes.select("k1", "k2", "n", "least").join(joined, "k1", "left")
-        alone = labels.where("c is null").select("k1", "k2", "n", F.col("least").alias("component_id"))
-        linked = labels.where("c is not null")
-        linked = linked.join(linked.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("k1", "k2", "n", "component_id")
-        out = heads.join(alone.unionByName(linked), ["k1", "k2", "n"], "left")
+        with passing(docs.sparkSession) as keep:
+            heads = keep(written(self.heads(docs)))
+            classes = written(heads.where("n > 0").groupBy("k1", "k2", "n", "sampled").agg(F.min("doc_id").alias("least")))
+            found, _ = self.clusters(docs, classes)
+            few = candidates(docs, classes, found)
+            # Among the candidates all shingles are counted: most that only passages had brought together drop out.
+            found, buckets = Join(self.size, self.percent, float("inf")).clusters(few, classes.withColumn("sampled", F.col("n")))
+            joined = components(self.links(few, found, buckets, local_sets, local_tokens))
+            joined = joined.select(F.col("node").alias("k1"), F.col("component").alias("c"))
+            linked = written(classes.select("k1", "k2", "n", "least").join(joined, "k1"))
+            # Classes without links, and rows without shingles, get the least id of their class, or their own.
+            linked = linked.join(linked.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("k1", "k2", "n", "component_id")
+            alone = classes.select("k1", "k2", "n", "least").join(linked.select("k1"), "k1", "left_anti").withColumnRenamed("least", "component_id")
+            labels = keep(written(alone.unionByName(linked)))
+        out = heads.join(labels, ["k1", "k2", "n"], "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _sent(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has SENT_KEYS rows at most."""
+    return F.broadcast(table) if table.count() <= SENT_KEYS else table
+
+
 def candidates(docs: DataFrame, classes: DataFrame, clusters: DataFrame) -> DataFrame:
     """doc_id and text of a document of each class in clusters: the one with the smallest id. Documents
     without an id are all taken, if the ids of a class are all null."""
@@ -274,17 +307,17 @@ def _ended(batches):
     yield None
 
 
-def _shared_runs(key: np.ndarray, value: np.ndarray, flag: np.ndarray, frequent) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _shared_runs(key: np.ndarray, value: np.ndarray, flag: np.ndarray, frequent, cap: int = CAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(k1, token, df) of sorted rows that hold whole runs, but for the first if its token is frequent."""
     known = flag == 2
-    out = [(key[known], value[known], np.full(known.sum(), CAP, np.int32))]
+    out = [(key[known], value[known], np.full(known.sum(), cap, np.int32))]
     key, value, flag = key[~known], value[~known], flag[~known]
     if len(key):
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         new = np.r_[True, (key[1:] != key[:-1]) | (value[1:] != value[:-1])]
         length = np.diff(np.r_[start, len(key)])
-        df = np.minimum(np.add.reduceat(new.astype(np.int64), start), CAP)
-        df[(np.maximum.reduceat(flag, start) == 1) | (key[start] == frequent if frequent is not None else False)] = CAP
+        df = np.minimum(np.add.reduceat(new.astype(np.int64), start), cap)
+        df[(np.maximum.reduceat(flag, start) == 1) | (key[start] == frequent if frequent is not None else False)] = cap
         df = np.repeat(df, length)
         use = new & (df > 1)
         out.append((value[use], key[use], df[use].astype(np.int32)))
@@ -351,6 +384,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, local_
     link when 100 * common >= percent * union of their shingles. Null texts and texts
     without words have no shingles and no links; theirs is their own doc_id. Rows
     of one doc_id count as documents of their own with that id; a null doc_id is the
-    smallest of no component that has another. Other columns are not read.
+    smallest of no component that has another. Texts are read whole however long; a row's shingles are in
+    memory at once. An empty table gives no rows. Other columns are not read.
     """
     return Join(size, percent).components(docs, local_sets, local_tokens)

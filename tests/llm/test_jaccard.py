@@ -62,8 +62,9 @@ def family(seed, n=130):
 ODD = [(-1, None), (-2, ""), (-3, " \n\t"), (None, "a b c d e f"), (900, "A b C d e F"), (900, "a b c d e f"), (901, "x"), (902, "X"), (None, "only null"), (903, "é È"), (904, "É È")]
 
 
-@pytest.mark.parametrize(("size", "percent", "local"), [(3, 90, 4096), (5, 80, 4096), (3, 90, 6), (3, 70, 8)])
-def test_matches_brute_force(spark, size, percent, local):
+@pytest.mark.parametrize(("size", "percent", "local", "by_shingle"), [(3, 90, 4096, 1), (5, 80, 4096, 1), (3, 90, 6, 0), (3, 90, 6, 1e9), (3, 70, 8, 0), (3, 70, 8, 1e9)])
+def test_matches_brute_force(spark, monkeypatch, size, percent, local, by_shingle):
+    monkeypatch.setattr(J, "BY_SHINGLE", by_shingle)
     docs = family(size + percent) + ODD
     frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as n", "2 as k1").repartition(3)
     got = J.jaccard_components(frame, size, percent, local_sets=local)
