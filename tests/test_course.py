@@ -131,3 +131,16 @@ def test_vectors_in_blocks(spark):
     for numbers in (10**6, 5):
         assert {(x.query_id, x.vec_id) for x in R.vector_top_k(q, v, 3, numbers).collect()} == want
     assert R.vector_top_k(q.limit(0), v, 3).count() == 0
+
+
+def test_payload(spark, sf_dir):
+    from tallyweave.plans import catalog, catalog_text
+    from tallyweave.sources import ledger
+
+    snap, conflicts = Engine(spark).payload(ledger.documents_meta(spark, sf_dir), ledger.amounts(spark, sf_dir), catalog_text.said(spark, sf_dir), *catalog.links(spark, sf_dir))
+    assert snap.count() == catalog.QUERIES["snapshot_filled"](spark, sf_dir).count()
+    rows = conflicts.collect()
+    per = {}
+    for r in rows:
+        per.setdefault(r.audit_id, []).append((r.position, frozenset((r.doc_a_value, r.doc_b_value))))
+    assert rows and max(map(len, per.values())) <= 30 and all(sorted(p for p, _ in v) == list(range(1, len(v) + 1)) for v in per.values())
