@@ -58,3 +58,45 @@ l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, m
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0.0) AS DOUBLE) AS score
 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id)
 """
+
+
+OP11 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+g AS (SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0 AND len(list_filter(x, lambda e: e <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+reach AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+FROM v LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1) USING (vec_id) LEFT JOIN (SELECT a AS vec_id, min(b) AS m FROM reach GROUP BY 1) USING (vec_id)
+"""
+
+#: Every frequent itemset, grown by one item at a time, then those of which no larger one has the same support.
+OP12 = """
+WITH RECURSIVE r AS (SELECT DISTINCT sale_id, item_id FROM sale_lines WHERE sale_id IS NOT NULL AND item_id IS NOT NULL),
+t AS (SELECT count(DISTINCT sale_id) AS total, greatest(5, CAST(ceil(count(DISTINCT sale_id) / 20000) AS BIGINT)) AS least FROM r),
+it AS (SELECT item_id, count(*) AS s FROM r GROUP BY 1 HAVING count(*) >= (SELECT least FROM t)),
+k AS (SELECT r.* FROM r JOIN it USING (item_id)),
+grow AS (SELECT [item_id] AS items, item_id AS e, list(sale_id) AS sales FROM k GROUP BY item_id
+  UNION ALL SELECT list_append(items, item_id), item_id, sales FROM (SELECT items, e, k.item_id, list(u.sale) AS sales FROM (SELECT items, e, unnest(sales) AS sale FROM grow) u JOIN k ON k.sale_id = u.sale AND k.item_id > u.e GROUP BY items, e, k.item_id) WHERE len(sales) >= (SELECT least FROM t)),
+f AS (SELECT items, len(sales) AS support FROM grow),
+sub AS (SELECT list_filter(items, lambda x: x <> c) AS items, max(support) AS m FROM (SELECT items, support, unnest(items) AS c FROM f) GROUP BY 1),
+cl AS (SELECT f.items, f.support FROM f LEFT JOIN sub USING (items) WHERE coalesce(m, 0) < f.support),
+ru AS (SELECT z.items, z.c, f.support AS a, it.s FROM (SELECT items, support, unnest(items) AS c FROM cl WHERE len(items) > 1) z JOIN f ON f.items = list_filter(z.items, lambda x: x <> z.c) JOIN it ON it.item_id = z.c WHERE 100 * z.support >= 60 * f.support AND z.support * (SELECT total FROM t) > f.support * it.s),
+ag AS (SELECT items, count(*) AS n_rules, arg_min(c, (a, c)) AS best_item, string_agg(c || ':' || a || ':' || s, ';' ORDER BY c) AS txt FROM ru GROUP BY 1)
+SELECT array_to_string(items, ',') AS items, len(items) AS n_items, support, coalesce(n_rules, 0) AS n_rules, best_item, sha256(coalesce(txt, '')) AS rules_sha256 FROM cl LEFT JOIN ag USING (items)
+"""
+
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13 = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_TERMS} AS w FROM documents),
+grp AS (SELECT DISTINCT lang, source FROM d),
+o AS (SELECT lang, source, id, unnest(w) AS term FROM d),
+vo AS (SELECT lang, term, count(*) AS total FROM o GROUP BY 1, 2 HAVING count(DISTINCT id) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN vo USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v, sum(total) AS alln FROM vo GROUP BY 1),
+n AS (SELECT lang, source, coalesce(sum(n), 0) AS n FROM grp LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+p AS (SELECT lang, source, term, coalesce(c.n, 0) AS cnt, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (n.n + v.v)::HUGEINT AS p, 1 + (1000000000::HUGEINT * (vo.total + 1)) // (v.alln + v.v)::HUGEINT AS q FROM vo JOIN n USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+pr AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pr ON pr.lang = a.lang AND pr.source = a.source AND pr.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM p WHERE cnt > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 200
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import decontamination, jaccard, languages, lengths, licenses, mainpath, oracles, packing, quality, suffixes, toxicity
+from tallyweave.llm import decontamination, divergence, itemsets, jaccard, languages, lengths, licenses, mainpath, nearvectors, oracles, packing, quality, suffixes, toxicity
 from tallyweave.llm.shared import prepare
 
 
@@ -60,6 +60,18 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainpath.main_text(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op3_licenses, op4_suffix_dedup, op5_quality, op6_language_id, op7_toxicity, op8_packing, op9_token_counts, op10_main_text)}
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearvectors.near_links(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_basket_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itemsets.digest(*itemsets.closed_itemsets(_table(spark, sf_dir, "sale_lines")))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op3_licenses, op4_suffix_dedup, op5_quality, op6_language_id, op7_toxicity, op8_packing, op9_token_counts, op10_main_text, op11_embedding_dedup, op12_basket_itemsets, op13_source_divergence)}
 #: The others can't be expressed in SQL; their tests compare with brute force.
-ORACLES: dict[str, str] = {"op1_decontamination": oracles.OP1, "op2_ngram_jaccard": oracles.OP2, "op3_licenses": oracles.op3()}
+ORACLES: dict[str, str] = {"op1_decontamination": oracles.OP1, "op2_ngram_jaccard": oracles.OP2, "op3_licenses": oracles.op3(), "op11_embedding_dedup": oracles.OP11, "op12_basket_itemsets": oracles.OP12, "op13_source_divergence": oracles.OP13}
