@@ -111,7 +111,7 @@ def _found(text: Column, pattern: str) -> Column:
 def amounts_in(text: Column) -> Column:
     """(position, end, raw, before, value) of amounts with a currency before or after them, by position; those after a label of a
     reference are no amounts. before: the 50 characters that precede it. Null texts have none."""
-    s = F.translate(western_digits(F.coalesce(text, F.lit(""))), "،\x01\x02", ", ")
+    s = F.translate(western_digits(F.coalesce(text, F.lit(""))), "،\x01\x02", ",\x03\x03")
     both = F.concat(_found(s, rf"(?i){PROSE_NUMBER}\s*(?:{PROSE_CURRENCY})"), _found(s, rf"(?i)(?:{PROSE_CURRENCY})\s*{PROSE_NUMBER}"))
     kept = F.filter(F.array_distinct(both), lambda x: ~F.rlike(F.right(x["before"], F.lit(LABEL_CHARS)), F.lit(REFERENCE_LABEL)))
     with_value = F.transform(F.array_sort(kept), lambda x: F.struct(x["position"].alias("position"), x["end"].alias("end"), x["raw"].alias("raw"), x["before"].alias("before"), parse_amount(x["raw"]).alias("value")))

@@ -72,40 +72,93 @@ def bucket(title: Column, description: Column) -> Column:
     return F.when(gap, "bank_contract_gap").otherwise(_first_topic(blob, BUCKETS))
 
 
-def dedupe(findings: DataFrame) -> DataFrame:
-    """One finding of each story, by audit: in order of seq, a finding joins the first kept one that tells the same,
-    and takes its place if it is more severe, or as severe and more confident.
-
-    The fold runs inside the row of an audit, over its findings only."""
-    text = F.concat(F.col("title"), F.lit("\n"), F.coalesce("description", F.lit("")))
+#: Topics that tell one story together; amounts of two tellings that may differ if they share a reference.
+_ONE_STORY = ("bank_contract_gap", "invoice")
+_MOST_AMOUNTS = 8
+_KEPT = "audit_id long, position int, finding_id string, severity string, confidence double, topic string"
+
+
+class Stories:
+    """The findings of one audit, as they come: those kept so far, and where a finding that tells the same as one of them would be found."""
+
+    def __init__(self) -> None:
+        self.kept, self.places = [], {}
+
+    @staticmethod
+    def same(f, p) -> bool:
+        both = f.topic == p.topic or (f.topic in _ONE_STORY and p.topic in _ONE_STORY)
+        amounts, others = set(f.amounts), set(p.amounts)
+        if both and "general" not in (f.topic, p.topic):
+            if f.docs and p.docs and not set(f.docs) & set(p.docs):
+                return False
+            shared = bool(set(f.refs) & set(p.refs))
+            if amounts and others:
+                return bool(amounts & others) or (shared and len(amounts | others) <= _MOST_AMOUNTS)
+            return f.title[:30] == p.title[:30] if not amounts and not others else shared
+        return f.docs == p.docs and ((bool(amounts) and f.amounts == p.amounts) or (not amounts and not others and f.title[:40] == p.title[:40]))
+
+    @staticmethod
+    def keys(f) -> list[tuple]:
+        """Whatever tells the same as f has one of these keys in common with it."""
+        story = _ONE_STORY[0] if f.topic in _ONE_STORY else f.topic
+        told = [("amount", story, a) for a in f.amounts] + [("ref", story, r) for r in f.refs] + ([] if f.amounts else [("head", story, f.title[:30])])
+        return told + [("exact", tuple(f.docs), tuple(f.amounts) or f.title[:40])]
+
+    def add(self, f) -> None:
+        keys = self.keys(f)
+        near = sorted({at for k in keys for at in self.places.get(k, ())})
+        at = next((k for k in near if self.same(f, self.kept[k])), None)
+        if at is None:
+            at = len(self.kept)
+            self.kept.append(f)
+        elif (f.rank, f.confidence) > (self.kept[at].rank, self.kept[at].confidence):
+            self.kept[at] = f
+        else:
+            return
+        for k in keys:
+            self.places.setdefault(k, set()).add(at)
+
+
+class FoldFindings:
+    """A table function over findings of audits, in order: what is kept of each audit once all of its findings have come."""
+
+    def __init__(self) -> None:
+        self.audit, self.stories = None, Stories()
+
+    def eval(self, row):
+        self.audit = row.audit_id
+        self.stories.add(row)
+
+    def terminate(self):
+        for k, f in enumerate(self.stories.kept):
+            yield self.audit, k, f.finding_id, f.severity, f.confidence, f.topic
+
+
+#: To be called with rows of told(), partitioned by audit_id and ordered by seq; also from SQL, once it is registered under a name.
+fold_findings = F.udtf(FoldFindings, returnType=_KEPT)
+
+
+def told(findings: DataFrame) -> DataFrame:
+    """What of a finding says which story it tells: audit_id, seq, and rank, title, topic, amounts, docs and refs beside it."""
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("description", F.lit("")))
     refs = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), 1), lambda t: F.regexp_replace(F.upper(t), r"\s+", ""))))
     rank = F.when(F.col("severity") == "critical", 3).when(F.col("severity") == "warning", 2).when(F.col("severity") == "ok", 1).otherwise(0)
     amounts = _headline(F.concat(tagged_amounts(text), scan_amounts(text)))
     docs = F.array_sort(F.array_distinct(F.array_compact(F.array("source_doc_id", "conflicting_doc_id"))))
-    item = F.struct("seq", "finding_id", "severity", F.col("confidence").cast("double").alias("confidence"), rank.alias("rank"), F.lower("title").alias("title"), bucket(F.col("title"), F.col("description")).alias("topic"), amounts.alias("amounts"), docs.alias("docs"), refs.alias("refs"))
-    rows = findings.select("audit_id", item.alias("f")).groupBy("audit_id").agg(F.array_sort(F.collect_list("f")).alias("all"))
-
-    def same(f: Column, p: Column) -> Column:
-        merge = ["bank_contract_gap", "invoice"]
-        topics = (f["topic"] == p["topic"]) | (f["topic"].isin(*merge) & p["topic"].isin(*merge))
-        told = topics & (f["topic"] != "general") & (p["topic"] != "general")
-        any_docs = (F.size(f["docs"]) == 0) | (F.size(p["docs"]) == 0) | F.arrays_overlap(f["docs"], p["docs"])
-        shared_refs = F.arrays_overlap(f["refs"], p["refs"])
-        none_f, none_p = F.size(f["amounts"]) == 0, F.size(p["amounts"]) == 0
-        common = F.arrays_overlap(f["amounts"], p["amounts"]) | (shared_refs & (F.size(F.array_union(f["amounts"], p["amounts"])) <= 8))
-        heads = F.substring(f["title"], 1, 30) == F.substring(p["title"], 1, 30)
-        by_topic = any_docs & F.when(~none_f & ~none_p, common).when(none_f & none_p, heads).otherwise(shared_refs)
-        exact = (f["docs"] == p["docs"]) & ((~none_f & (f["amounts"] == p["amounts"])) | (none_f & none_p & (F.substring(f["title"], 1, 40) == F.substring(p["title"], 1, 40))))
-        return F.when(told, by_topic).otherwise(exact)
-
-    def step(kept: Column, f: Column) -> Column:
-        at = F.array_position(F.transform(kept, lambda p: F.coalesce(same(f, p), F.lit(False))), F.lit(True))
-        better = lambda p: (f["rank"] > p["rank"]) | ((f["rank"] == p["rank"]) & (f["confidence"] > p["confidence"]))
-        replaced = F.transform(kept, lambda p, i: F.when((i + 1 == at) & better(p), f).otherwise(p))
-        return F.when(at == 0, F.concat(kept, F.array(f))).otherwise(replaced)
-
-    kept = F.aggregate("all", F.slice("all", 1, 0), step)
-    return rows.select("audit_id", F.posexplode(kept).alias("position", "f")).select("audit_id", F.col("position"), "f.finding_id", "f.severity", "f.confidence", "f.topic")
+    title = F.coalesce("title", F.lit(""))
+    return findings.select(
+        F.col("audit_id").cast("long").alias("audit_id"), F.col("seq").cast("long").alias("seq"), "finding_id", F.coalesce("severity", F.lit("")).alias("severity"), F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("confidence"),
+        rank.alias("rank"), F.lower(title).alias("title"), bucket(title, F.col("description")).alias("topic"), amounts.alias("amounts"), docs.alias("docs"), refs.alias("refs"),
+    )
+
+
+def dedupe(findings: DataFrame) -> DataFrame:
+    """One finding of each story, by audit: in order of seq, a finding joins the first kept one that tells the same,
+    and takes its place if it is more severe, or as severe and more confident.
+
+    Findings come one after the other, sorted by Spark; an audit's kept ones are held, and only those with an amount, reference, title or documents in
+    common with a finding are compared with it. Null titles and descriptions are empty, a null confidence is 0."""
+    return fold_findings(told(findings).asTable().partitionBy("audit_id").orderBy("seq"))
 
 
 def risk(findings: DataFrame) -> DataFrame:
@@ -125,3 +178,14 @@ def suppressed_signatures(triage: DataFrame) -> DataFrame:
 
 def without_suppressed(findings: DataFrame, triage: DataFrame) -> DataFrame:
     return findings.join(suppressed_signatures(triage), ["scope", "signature"], "left_anti")
+
+
+def levels(findings: DataFrame) -> DataFrame:
+    """Findings (scope, audit_id, topic, severity, confidence) counted on every level in one pass: by all four, by scope, audit and severity, by scope and topic, by scope and
+    severity, by scope, and all together. level is the grouping id: a bit for each of scope, audit_id, topic and severity that is summed over, the first one the largest;
+    it tells a total from a group whose own value is null."""
+    by = ["scope", "audit_id", "topic", "severity"]
+    sets = [by, ["scope", "audit_id", "severity"], ["scope", "topic"], ["scope", "severity"], ["scope"], []]
+    critical, warning = (F.count_if(F.col("severity") == s) for s in ("critical", "warning"))
+    out = findings.groupingSets([[F.col(c) for c in s] for s in sets], *map(F.col, by))
+    return out.agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("findings"), critical.alias("critical"), warning.alias("warnings"), F.round(F.avg("confidence"), 6).alias("confidence"))

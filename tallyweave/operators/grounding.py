@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tallyweave.functions.money import amounts_in, variants
 
@@ -82,14 +86,14 @@ def finding_conflicts(findings: DataFrame, documents: DataFrame, amounts: DataFr
     place = F.array_position(F.array(*map(F.lit, TYPE_ORDER)), F.col("doc_type"))
     place = F.when(F.coalesce(place, F.lit(0)) == 0, len(TYPE_ORDER) + 1).otherwise(place)
     order = Window.partitionBy("audit_id", "finding_id").orderBy(place, F.desc("value"), "doc_id")
-    ranked = rows.withColumn("rn", F.row_number().over(order))
-    first = ranked.where("rn = 1").select("audit_id", "finding_id", *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "doc_type", "value")))
-    second = ranked.join(first.select("audit_id", "finding_id", "doc_id_a"), ["audit_id", "finding_id"]).where("doc_id != doc_id_a")
-    second = second.groupBy("audit_id", "finding_id").agg(F.min_by(F.struct("doc_id", "doc_type", "value"), "rn").alias("b"))
+    amount = F.struct("doc_id", "doc_type", "value")
+    ranked = rows.select("audit_id", "finding_id", "doc_id", amount.alias("amount"), F.row_number().over(order).alias("rn"), F.first(amount).over(order).alias("a"))
+    other = F.min_by("amount", F.when(F.col("doc_id") != F.col("a.doc_id"), F.col("rn"))).alias("b")
+    pairs = ranked.groupBy("audit_id", "finding_id").agg(F.first("a").alias("a"), other).where("b is not null")
     label = lambda c: F.replace(F.coalesce(c, F.lit("document")), F.lit("_"), F.lit(" "))
-    return first.join(second, ["audit_id", "finding_id"]).select(
-        "audit_id", "finding_id", F.col("doc_id_a").alias("doc_a_id"), F.format_number("value_a", 2).alias("doc_a_value"), F.col("b.doc_id").alias("doc_b_id"), F.format_number(F.col("b.value"), 2).alias("doc_b_value"),
-        F.concat(label(F.col("doc_type_a")), F.lit(" vs "), label(F.col("b.doc_type")), F.lit(" (from finding)")).alias("conflict_type"),
+    return pairs.select(
+        "audit_id", "finding_id", F.col("a.doc_id").alias("doc_a_id"), F.format_number(F.col("a.value"), 2).alias("doc_a_value"), F.col("b.doc_id").alias("doc_b_id"), F.format_number(F.col("b.value"), 2).alias("doc_b_value"),
+        F.concat(label(F.col("a.doc_type")), F.lit(" vs "), label(F.col("b.doc_type")), F.lit(" (from finding)")).alias("conflict_type"),
     )
 
 
@@ -113,23 +117,35 @@ def snippets(hits: DataFrame, most: int = 14, chars: int = 180, least: int = 1)
     return out if least <= 1 else out.withColumn("rn", F.count("*").over(check)).where(F.col("rn") >= least).drop("rn")
 
 
-#: Objects in an object that json_object() looks through.
-NESTED = 4
-_STRING = r'"(?:[^"\\]|\\.)*+"'
+def _not_json(word: str):
+    raise ValueError(word)
+
+
+_DECODER = json.JSONDecoder(parse_constant=_not_json)
+
+
+def _first_object(text: str | None) -> str | None:
+    """The first bracket from which on JSON can be read, with what it holds. One that can't be read is passed over in a step or two."""
+    at = (text or "").find("{")
+    while at >= 0:
+        try:
+            return text[at : _DECODER.raw_decode(text, at)[1]]
+        except ValueError:
+            at = text.find("{", at + 1)
+        except RecursionError:
+            return None
+    return None
 
 
-def _object_pattern() -> str:
-    """An object of brackets that close, with strings in which brackets stand for themselves, to a depth of NESTED."""
-    inside = rf'(?:[^{{}}"]|{_STRING})*+'
-    for _ in range(NESTED):
-        inside = rf'(?:[^{{}}"]|{_STRING}|\{{{inside}\}})*+'
-    return rf"\{{{inside}\}}"
+@F.pandas_udf(StringType())
+def _objects(texts: pd.Series) -> pd.Series:
+    return texts.map(_first_object)
 
 
 def json_object(text: Column) -> Column:
-    """The first object in a noisy text that is JSON, as it stands there; null without. Of objects in one another the outermost counts."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_object_pattern()), 0)
-    return F.get(F.filter(found, lambda x: F.try_parse_json(x).isNotNull()), F.lit(0))
+    """The first object in a noisy text that is JSON, as it stands there; null without. Of objects in one another the outermost counts: what is deeper than Python's
+    recursion goes (thousands of levels) is no object."""
+    return _objects(text)
 
 
 def unfenced(text: Column) -> Column:

@@ -26,58 +26,63 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(total(F.zip_with(a, b, lambda x, y: x * y)), norm)
 
 
-#: Numbers of the query vectors that are sent to every task; beyond that they go in blocks of this size, one after the other.
-SENT_NUMBERS = 8_000_000
+#: Numbers in a tile of vectors or queries.
+TILE_NUMBERS = 262_144
 
 
-def _search(ids: list, matrix: np.ndarray, k: int, kind: pa.DataType, vec_kind: pa.DataType):
-    """Each task keeps the k nearest of every query among its own rows, by matrix products over Arrow batches."""
+def _tiles(rows: DataFrame, ident: str, vector: str, numbers: int) -> DataFrame:
+    """(dim, tile, tiles, ids, flat): the vectors that have a length, by size, some hundreds or thousands to a row in the order of their ids, numbers one after the other."""
+    good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("v", lambda x: x != 0)
+    kept = rows.select(F.col(ident).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null").where(F.coalesce(good, F.lit(False))).withColumn("dim", F.size("v"))
+    counts = kept.groupBy("dim").agg(F.ceil(F.count("*") / F.greatest(F.lit(1), F.floor(F.lit(numbers) / F.col("dim")))).cast("int").alias("tiles"))
+    dealt = kept.join(F.broadcast(counts), "dim").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
+    held = dealt.groupBy("dim", "tile", "tiles").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("held"))
+    return held.select("dim", "tile", "tiles", F.transform("held", lambda h: h["id"]).alias("ids"), F.flatten(F.transform("held", lambda h: h["v"])).alias("flat"))
+
+
+def _nearest(k: int, query_kind: pa.DataType, vec_kind: pa.DataType):
+    """Of rows of a tile of queries and a tile of vectors, the k nearest of each query: one product, one partition of the whole matrix."""
+
+    def unit(flat: pa.Array, dim: int) -> np.ndarray:
+        m = flat.to_numpy(zero_copy_only=False).reshape(-1, dim)
+        m = m / np.abs(m).max(axis=1, keepdims=True)
+        return m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [(np.zeros(0), []) for _ in ids]
         for batch in batches:
-            lists = batch.column(1)
-            sizes = lists.value_lengths().fill_null(-1).to_numpy()
-            rows = np.flatnonzero(sizes == matrix.shape[1])
-            if not len(rows):
-                continue
-            own = lists.take(pa.array(rows)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-            norms = np.sqrt((own * own).sum(1))
-            fine = norms > 0
-            rows, own = rows[fine], own[fine] / norms[fine, None]
-            keys = batch.column(0).take(pa.array(rows)).to_pylist()
-            scores = matrix @ own.T
-            for q in range(len(ids)):
-                least = np.sort(scores[q])[-k] if len(rows) > k else -np.inf
-                use = np.flatnonzero(scores[q] >= least)
-                all_scores = np.r_[best[q][0], scores[q][use]]
-                all_keys = best[q][1] + [keys[i] for i in use]
-                order = sorted(range(len(all_keys)), key=lambda i: (-all_scores[i], all_keys[i]))[:k]
-                best[q] = all_scores[order], [all_keys[i] for i in order]
-        out = [(ids[q], v, s) for q in range(len(ids)) for s, v in zip(*best[q], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], kind), pa.array([x[1] for x in out], vec_kind), pa.array([x[2] for x in out], pa.float64())], ["query_id", "vec_id", "score"])
+            dims, asked, queries, ids, vectors = (batch.column(n) for n in ("dim", "query_ids", "queries", "ids", "flat"))
+            for r in range(len(batch)):
+                dim = dims[r].as_py()
+                scores = unit(queries[r].values, dim) @ unit(vectors[r].values, dim).T
+                n = min(k, scores.shape[1])
+                least = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
+                q, v = np.nonzero(scores >= least[:, None])
+                found = scores[q, v]
+                order = np.lexsort((v, -found, q))  # ids of a tile are sorted: of equals the smaller one comes first
+                q, v, found = q[order], v[order], found[order]
+                first = np.searchsorted(q, q)
+                kept = np.arange(len(q)) - first < n
+                columns = [asked[r].values.take(pa.array(q[kept])).cast(query_kind), ids[r].values.take(pa.array(v[kept])).cast(vec_kind), pa.array(found[kept])]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
 
     return run
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, sent_numbers: int = SENT_NUMBERS) -> DataFrame:
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, numbers: int = TILE_NUMBERS) -> DataFrame:
     """For each of a stated set of queries (query_id, query) the k nearest (vec_id, embedding) by cosine, of equals the smaller vec_id.
-    The queries go to the tasks in blocks of a checked size, one pass over the vectors each; every task keeps its own k best
-    of each, and only these are shuffled. Vectors without length, or of another size, are near to nothing."""
-    kinds = [pa.schema(to_arrow_schema(d.schema)).field(n).type for d, n in ((queries, "query_id"), (vectors, "vec_id"))]
-    rows = [(i, np.array(v, float)) for i, v in queries.where("query is not null").select("query_id", "query").toLocalIterator()]
-    found = None
-    for size in sorted({len(v) for _, v in rows}):
-        block = [(i, v / np.linalg.norm(v)) for i, v in rows if len(v) == size and np.linalg.norm(v) > 0]
-        step = max(1, sent_numbers // max(1, size))
-        for at in range(0, len(block), step):
-            part = block[at : at + step]
-            out = vectors.select("vec_id", "embedding").mapInArrow(
-                _search([i for i, _ in part], np.array([v for _, v in part]), k, *kinds), f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {vectors.schema['vec_id'].dataType.simpleString()}, score double"
-            )
-            found = out if found is None else found.unionByName(out)
-    if found is None:
-        found = queries.join(vectors, F.lit(False)).select("query_id", "vec_id", F.lit(0.0).alias("score"))
+
+    Queries and vectors are dealt to tiles of a bounded size; each tile of queries meets each tile of vectors in a row of its own, anywhere, which keeps its k best of each
+    query, and only these are ranked. Nothing goes through the driver. Rows without id, and vectors that are null, have no length or hold nulls or NaN are near to
+    nothing, and neither are those of two sizes."""
+    query_kind, vec_kind = (pa.schema(to_arrow_schema(d.schema)).field(n).type for d, n in ((queries, "query_id"), (vectors, "vec_id")))
+    asked = _tiles(queries, "query_id", "query", numbers).select("dim", F.col("tile").alias("q"), F.col("tiles").alias("qs"), F.col("ids").alias("query_ids"), F.col("flat").alias("queries"))
+    own = _tiles(vectors, "vec_id", "embedding", numbers)
+    # a side goes to as many rows as the other one has tiles of its size
+    n_q, n_v = asked.select("dim", "qs").distinct(), own.select("dim", "tiles").distinct()
+    left = asked.join(n_v, "dim").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles", "qs")
+    right = own.drop("tiles").join(n_q, "dim").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qs") - 1))).drop("qs")
+    kinds = [d.schema[n].dataType.simpleString() for d, n in ((queries, "query_id"), (vectors, "vec_id"))]
+    found = left.join(right, ["dim", "q", "tile"]).select("dim", "query_ids", "queries", "ids", "flat").mapInArrow(_nearest(k, query_kind, vec_kind), f"query_id {kinds[0]}, vec_id {kinds[1]}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

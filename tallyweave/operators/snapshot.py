@@ -37,20 +37,36 @@ def _text(amount: Column) -> Column:
     return F.format_number(amount.cast("double"), 2)
 
 
+def _figures(amounts: DataFrame) -> dict[str, tuple[str, Column]]:
+    """The figures of documents that snapshots and warnings need, each with the way in which parts of it go together."""
+    invoice = ("total_invoice", "invoice_subtotal", "vat_tax")
+    return {
+        "filename": ("min", F.col("filename") if "filename" in amounts.columns else F.col("doc_id")),
+        **{n: ("max", _of(r, False)) for n, r in _LARGEST.items()},
+        "contract_value": ("max", _of("total_contract_value")),
+        "scheduled": ("sum", _of("milestone_scheduled")),
+        "milestones": ("sum", _of("milestone_scheduled", False)),
+        "n_milestones": ("count", _of("milestone_scheduled", False)),
+        **{n: ("list", _of(r)) for r, n in zip(invoice, ("totals", "subs", "vats"), strict=True)},
+        "stated": ("max", _of("statement_total_debits")),
+        "n_unknown": ("count", _of("unknown")),
+    }
+
+
+_FIRST = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.count, "list": F.collect_list}
+_AGAIN = _FIRST | {"count": F.sum, "list": lambda c: F.flatten(F.collect_list(c))}
+
+
 def by_document(amounts: DataFrame) -> DataFrame:
     """One row for each document of an audit with the figures that snapshots and warnings need, in one pass."""
-    invoice = ("total_invoice", "invoice_subtotal", "vat_tax")
-    return amounts.groupBy("audit_id", "doc_id", "doc_type").agg(
-        F.min("filename").alias("filename") if "filename" in amounts.columns else F.min("doc_id").alias("filename"),
-        *(F.max(_of(r, False)).alias(n) for n, r in _LARGEST.items()),
-        F.max(_of("total_contract_value")).alias("contract_value"),
-        F.sum(_of("milestone_scheduled")).alias("scheduled"),
-        F.sum(_of("milestone_scheduled", False)).alias("milestones"),
-        F.count(_of("milestone_scheduled", False)).alias("n_milestones"),
-        *(F.collect_list(_of(r)).alias(n) for r, n in zip(invoice, ("totals", "subs", "vats"), strict=True)),
-        F.max(_of("statement_total_debits")).alias("stated"),
-        F.count(_of("unknown")).alias("n_unknown"),
-    )
+    return amounts.groupBy("audit_id", "doc_id", "doc_type").agg(*(_FIRST[kind](c).alias(n) for n, (kind, c) in _figures(amounts).items()))
+
+
+def _with_currencies(amounts: DataFrame) -> DataFrame:
+    """by_document() with codes, the currencies (code, n) of each document's amounts; counted by currency first, so that a document has a few of them to gather."""
+    figures = _figures(amounts)
+    parts = amounts.groupBy("audit_id", "doc_id", "doc_type", _code().alias("code")).agg(F.count("*").alias("n"), *(_FIRST[kind](c).alias(name) for name, (kind, c) in figures.items()))
+    return parts.groupBy("audit_id", "doc_id", "doc_type").agg(F.collect_list(F.struct("code", "n")).alias("codes"), *(_AGAIN[kind](F.col(name)).alias(name) for name, (kind, _) in figures.items()))
 
 
 def _when_type(kind: str, value: Column) -> Column:
@@ -86,11 +102,15 @@ def invoice_totals(amounts: DataFrame) -> DataFrame:
     return totals(by_document(rows)).select("audit_id", "invoice_total")
 
 
-def contract_anchors(amounts: DataFrame) -> DataFrame:
-    """(audit_id, anchors): the numbers and parties that an audit's contracts are about. A debit linked to one is a
+def anchor_rows(amounts: DataFrame) -> DataFrame:
+    """(audit_id, anchor_id): the numbers and parties that an audit's contracts are about. A debit linked to one is a
     payment on the contract."""
-    rows = amounts.where("doc_type = 'contract' and anchor_id is not null")
-    return rows.groupBy("audit_id").agg(F.collect_set("anchor_id").alias("anchors"))
+    return amounts.where("doc_type = 'contract' and anchor_id is not null").select("audit_id", "anchor_id").distinct()
+
+
+def contract_anchors(amounts: DataFrame) -> DataFrame:
+    """(audit_id, anchors): anchor_rows() as a set for each audit, to be looked at."""
+    return anchor_rows(amounts).groupBy("audit_id").agg(F.collect_set("anchor_id").alias("anchors"))
 
 
 def identifier_cores(identifiers: DataFrame) -> DataFrame:
@@ -100,23 +120,26 @@ def identifier_cores(identifiers: DataFrame) -> DataFrame:
     return cores.where(F.length("core") >= LEAST_CORE).distinct()
 
 
+#: Cores of an audit that stand in one array beside its lines; an audit with more has several.
+CORES = 500
+
+
 def linked_refs(lines: DataFrame, cores: DataFrame, refs: DataFrame) -> DataFrame:
     """(audit_id, txn_ref): transactions whose own line (audit_id, line) names one of the audit's identifiers, so that they
     are payments on it without any edge. refs: (audit_id, txn_ref) of its statements.
 
-    What a line contains is found by equality: its substrings of the lengths that the audit's cores, and references, have."""
-    known = refs.where("txn_ref is not null").select("audit_id", "txn_ref", identifier_core(F.col("txn_ref")).alias("ref_core")).where("ref_core != ''").distinct()
-    lines = lines.select("audit_id", identifier_core(F.col("line")).alias("text")).where("text != ''").distinct()
-    named = _containing(lines, cores.withColumnRenamed("core", "part")).select("audit_id", "text").distinct()
-    return _containing(named, known.withColumnRenamed("ref_core", "part")).select("audit_id", "txn_ref").distinct()
-
-
-def _containing(texts: DataFrame, parts: DataFrame) -> DataFrame:
-    """texts (audit_id, text) joined to the parts (audit_id, part) that they contain."""
-    sizes = parts.groupBy("audit_id").agg(F.collect_set(F.length("part")).alias("sizes"))
-    pieces = lambda t, n: F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substr(t, i, n))
-    cut = F.flatten(F.transform("sizes", lambda n: F.when(F.length("text") >= n, pieces(F.col("text"), n)).otherwise(F.array().cast("array<string>"))))
-    return texts.join(sizes, "audit_id").select("audit_id", "text", F.explode(F.array_distinct(cut)).alias("part")).join(parts, ["audit_id", "part"])
+    Lines are tested in their row for the audit's few identifiers. Only those that name one are cut into the substrings that may be a reference, by the lengths
+    that references have, and these are joined by equality."""
+    known = refs.where("txn_ref is not null").select("audit_id", "txn_ref", identifier_core(F.col("txn_ref")).alias("part")).where("part != ''").distinct()
+    part = F.row_number().over(Window.partitionBy("audit_id").orderBy("core"))
+    few = cores.withColumn("k", F.floor((part - 1) / CORES)).groupBy("audit_id", "k").agg(F.collect_list("core").alias("cores"))
+    lines = lines.select("audit_id", identifier_core(F.col("line")).alias("text")).where("text != ''")
+    named = lines.join(few, "audit_id").where(F.exists("cores", lambda c: F.contains(F.col("text"), c))).select("audit_id", "text").distinct()
+    sizes = known.groupBy("audit_id", F.length("part").alias("n")).agg(F.lit(True).alias("there")).groupBy("audit_id").agg(F.collect_list("n").alias("sizes"))
+    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substr(F.col("text"), i, n))
+    cut = F.flatten(F.transform("sizes", lambda n: F.when(F.length("text") >= n, pieces(n)).otherwise(F.array().cast("array<string>"))))
+    found = named.join(sizes, "audit_id").select("audit_id", F.explode(F.array_distinct(cut)).alias("part"))
+    return found.join(known, ["audit_id", "part"]).select("audit_id", "txn_ref").distinct()
 
 
 def debits(amounts: DataFrame) -> DataFrame:
@@ -136,17 +159,20 @@ def debits(amounts: DataFrame) -> DataFrame:
 
 def attributed_debits(amounts: DataFrame, anchors: DataFrame | None = None, refs: DataFrame | None = None) -> DataFrame:
     """debits() with paid: whether a debit is a payment on the audit's contract. It is if its anchor is one of the contract's
-    (anchors, from contract_anchors() where not given), or its reference is linked (refs: audit_id, txn_ref); in an audit whose
+    (anchors: audit_id, anchor_id or the array anchors; from the amounts where not given), or its reference is linked (refs: audit_id, txn_ref); in an audit whose
     contracts have no anchors, every debit is."""
-    anchors = contract_anchors(amounts) if anchors is None else anchors
-    rows = debits(amounts).join(anchors, "audit_id", "left")
+    anchors = anchor_rows(amounts) if anchors is None else anchors
+    if "anchors" in anchors.columns:
+        anchors = anchors.select("audit_id", F.explode("anchors").alias("anchor_id"))
+    listed = anchors.where("anchor_id is not null").select("audit_id", "anchor_id", F.lit(True).alias("_on")).distinct()
+    rows = debits(amounts).join(listed, ["audit_id", "anchor_id"], "left").join(listed.select("audit_id", F.lit(True).alias("_any")).distinct(), "audit_id", "left")
     linked = F.lit(False)
     if refs is not None:
         ref = F.lower(F.trim("txn_ref"))
         rows = rows.withColumn("_ref", ref).join(refs.select("audit_id", ref.alias("_ref"), F.lit(True).alias("_linked")).distinct(), ["audit_id", "_ref"], "left")
         linked = F.coalesce("_linked", F.lit(False))
-    paid = F.coalesce(F.size("anchors") <= 0, F.lit(True)) | F.coalesce(F.array_contains("anchors", F.col("anchor_id")), F.lit(False)) | linked
-    return rows.withColumn("paid", paid).drop("anchors", "_ref", "_linked")
+    paid = F.col("_any").isNull() | F.coalesce("_on", F.lit(False)) | linked
+    return rows.withColumn("paid", paid).drop("_on", "_any", "_ref", "_linked")
 
 
 def bank_totals(amounts: DataFrame, anchors: DataFrame | None = None, refs: DataFrame | None = None, stated: DataFrame | None = None) -> DataFrame:
@@ -161,22 +187,43 @@ def bank_totals(amounts: DataFrame, anchors: DataFrame | None = None, refs: Data
     return sums.join(stated, "audit_id", "full").select("audit_id", "verified", "stated", "paid", F.coalesce("repeated", F.lit(False)).alias("repeated"), incomplete.alias("incomplete"))
 
 
+def _code() -> Column:
+    return F.nullif(F.upper(F.trim("amount_currency")), F.lit(""))
+
+
+def _ranked(counts: Column) -> tuple[Column, Column]:
+    """The most frequent of an array of (n, code), the first by code of equals, and the other codes, in order."""
+    ranked = F.array_sort(F.transform(counts, lambda x: F.struct((-x["n"]).alias("n"), x["code"].alias("code"))))
+    others = F.array_sort(F.transform(F.slice(ranked, F.lit(2), F.greatest(F.size(ranked) - 1, F.lit(0))), lambda x: x["code"]))
+    return F.get(ranked, F.lit(0))["code"], F.array_join(others, ", ")
+
+
 def dominant_currency(amounts: DataFrame) -> DataFrame:
     """The most frequent currency of an audit, the first by code of equals, and the other ones, in order."""
-    code = F.nullif(F.upper(F.trim("amount_currency")), F.lit(""))
-    counts = amounts.groupBy("audit_id", code.alias("code")).agg(F.count("*").alias("n")).where("code is not null")
-    ranked = counts.groupBy("audit_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "code"))).alias("all"))
-    others = F.array_sort(F.transform(F.slice("all", 2, 1000), lambda x: x["code"]))
-    return ranked.select("audit_id", F.col("all")[0]["code"].alias("currency"), F.array_join(others, ", ").alias("others"))
+    counts = amounts.groupBy("audit_id", _code().alias("code")).agg(F.count("*").alias("n")).where("code is not null")
+    first, others = _ranked(F.col("all"))
+    return counts.groupBy("audit_id").agg(F.collect_list(F.struct("n", "code")).alias("all")).select("audit_id", first.alias("currency"), others.alias("others"))
+
+
+def _by_audit(documents: DataFrame) -> DataFrame:
+    """Totals as of totals(), currency and others, and the warnings w of each audit, out of one row for each document with its currencies: by audit and
+    currency first, then by audit. A document's figures count with its first currency alone."""
+    one = documents.select("audit_id", "doc_id", F.array_compact(_checks()).alias("w"), _when_type("contract", F.col("contract_value")).alias("largest"), _when_type("contract", F.col("scheduled")).alias("planned"), _when_type("invoice", _supported()).alias("invoiced"), _when_type("bank_statement", F.col("stated")).alias("stated"), _when_type("bank_statement", F.col("n_unknown")).alias("n_unknown"), F.posexplode("codes").alias("k", "code"))
+    first = lambda c: F.when(F.col("k") == 0, F.col(c))
+    told = F.when((F.col("k") == 0) & (F.size("w") > 0), F.transform("w", lambda x: F.named_struct(F.lit("doc_id"), F.col("doc_id"), F.lit("check"), x["check"], F.lit("warning"), x["warning"])))
+    ways = {"largest": F.max, "planned": F.sum, "invoiced": F.max, "stated": F.sum, "n_unknown": F.sum}
+    parts = one.groupBy("audit_id", "code.code").agg(F.sum("code.n").alias("n"), F.flatten(F.collect_list(told)).alias("w"), *(f(first(c)).alias(c) for c, f in ways.items()))
+    out = parts.groupBy("audit_id").agg(F.collect_list(F.when(F.col("code").isNotNull(), F.struct("n", "code"))).alias("all"), F.array_sort(F.flatten(F.collect_list("w"))).alias("w"), *(f(c).alias(c) for c, f in ways.items()))
+    currency, others = _ranked(F.col("all"))
+    return out.select("audit_id", F.coalesce("largest", "planned").alias("contract_total"), F.col("invoiced").alias("invoice_total"), "stated", F.coalesce("n_unknown", F.lit(0)).alias("n_unknown"), "w", currency.alias("currency"), others.alias("others"))
 
 
 def snapshot(amounts: DataFrame, anchors: DataFrame | None = None, refs: DataFrame | None = None) -> DataFrame:
     """One row for each audit with any of the three totals, a withheld one, or a warning. notes says what to know of the bank total;
-    integrity_warnings are arithmetic_warnings() and mixed currencies, in order, a line each."""
-    documents = by_document(amounts)
+    integrity_warnings are arithmetic_warnings() and mixed currencies, in order, a line each. The amounts are read twice: once for all figures of
+    documents, and once for the debits; a caller whose amounts are costly to make hands over a table."""
     bank = bank_totals(amounts, anchors, refs, amounts.limit(0).select("audit_id", F.col("amount_value").alias("stated"))).drop("stated", "incomplete")
-    warned = _warnings(documents).groupBy("audit_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "check", "warning"))).alias("w"))
-    out = totals(documents).join(bank, "audit_id", "left").join(dominant_currency(amounts), "audit_id", "left").join(warned, "audit_id", "left")
+    out = _by_audit(_with_currencies(amounts)).join(bank, "audit_id", "left")
     drift = F.abs(F.col("verified") - F.col("stated"))
     incomplete = F.coalesce((F.col("verified") > 0) & (F.col("stated") > 0) & (drift > F.greatest(F.lit(TOLERANCE), F.col("stated") * F.lit(DRIFT).cast("decimal(4,3)"))), F.lit(False))
     out = out.withColumn("incomplete", incomplete).withColumn("currency", F.coalesce("currency", F.lit(DEFAULT_CURRENCY)))
@@ -209,7 +256,8 @@ def snapshot(amounts: DataFrame, anchors: DataFrame | None = None, refs: DataFra
     )
 
 
-def _warnings(documents: DataFrame) -> DataFrame:
+def _checks() -> Column:
+    """(check, warning) of each check, null where a document passes it."""
     c = F.col
     fee = F.coalesce(c("fee"), F.lit(0))
     expected, sheet = c("subtotal") + c("vat") + fee, c("liabilities") + c("equity")
@@ -220,9 +268,11 @@ def _warnings(documents: DataFrame) -> DataFrame:
         ("balance_sheet", (c("doc_type") == "balance_sheet") & (F.abs(c("assets") - sheet) > TOLERANCE), said("liabilities ", _text(c("liabilities")), " + equity ", _text(c("equity")), " = ", _text(sheet), ", stated assets ", _text(c("assets")))),
         ("milestones", (c("doc_type") == "contract") & (c("n_milestones") >= 2) & (c("contract") - c("milestones") > TOLERANCE), said(c("n_milestones").cast("string"), " milestones of ", _text(c("milestones")), ", stated contract total ", _text(c("contract")))),
     ]
-    checks = F.array(*(F.when(when, F.struct(F.lit(name).alias("check"), text.alias("warning"))) for name, when, text in found))
-    out = documents.select("audit_id", "doc_id", F.explode(F.array_compact(checks)).alias("w"))
-    return out.select("audit_id", "doc_id", F.col("w.check").alias("check"), F.col("w.warning").alias("warning"))
+    return F.array(*(F.when(when, F.named_struct(F.lit("check"), F.lit(name), F.lit("warning"), text)) for name, when, text in found))
+
+
+def _warnings(documents: DataFrame) -> DataFrame:
+    return documents.select("audit_id", "doc_id", F.inline(F.array_compact(_checks())))
 
 
 def arithmetic_warnings(amounts: DataFrame) -> DataFrame:

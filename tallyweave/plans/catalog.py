@@ -83,19 +83,20 @@ SELECT audit_id, currency, CAST(round(contract_total, 2) AS DOUBLE) AS contract_
 FROM allx WHERE contract_total IS NOT NULL OR invoice_total IS NOT NULL OR bp IS NOT NULL OR incomplete OR integrity_warnings <> ''"""
 )
 def recon_snapshot(spark, d):
-    return S.snapshot(L.amounts(spark, d), *links(spark, d))
+    rows = L.ledger(spark, d)
+    return S.snapshot(rows, *links(spark, d, rows))
 
 
-def links(spark, d):
+def links(spark, d, rows=None):
     """Contract anchors, and references linked by the statements' lines."""
     orders, events = L.table(spark, d, "orders"), L.table(spark, d, "events")
-    refs = L.bank_amounts(events).select("audit_id", "txn_ref")
-    return L.parties(orders), S.linked_refs(L.bank_lines(events), S.identifier_cores(L.identifiers(orders)), refs)
+    refs = (L.bank_amounts(events) if rows is None else rows.where("doc_type = 'bank_statement'")).select("audit_id", "txn_ref")
+    return S.anchor_rows(L.contract_links(orders)), S.linked_refs(L.bank_lines(events), S.identifier_cores(L.identifiers(orders)), refs)
 
 
 @query(LEDGER + f", {L.LINKS_SQL} SELECT audit_id, list_sort(list(anchor)) AS anchors FROM par GROUP BY 1")
 def contract_anchors(spark, d):
-    return L.parties(L.table(spark, d, "orders")).select("audit_id", F.array_sort("anchors").alias("anchors"))
+    return S.contract_anchors(L.contract_links(L.table(spark, d, "orders"))).withColumn("anchors", F.array_sort("anchors"))
 
 
 @query(LEDGER + f", {L.LINKS_SQL} SELECT * FROM lnk")
@@ -121,7 +122,8 @@ def bank_debit_dedupe(spark, d):
 
 @query(LEDGER + f", {L.LINKS_SQL}, {DEBITS}, {BANK} SELECT audit_id, CAST(verified AS DOUBLE) AS verified, CAST(stated AS DOUBLE) AS stated, CAST(paid AS DOUBLE) AS paid, repeated, incomplete FROM bnk")
 def bank_gate(spark, d):
-    return S.bank_totals(L.amounts(spark, d), *links(spark, d)).select("audit_id", *(F.col(c).cast("double").alias(c) for c in ("verified", "stated", "paid")), "repeated", "incomplete")
+    rows = L.ledger(spark, d)
+    return S.bank_totals(rows, *links(spark, d, rows)).select("audit_id", *(F.col(c).cast("double").alias(c) for c in ("verified", "stated", "paid")), "repeated", "incomplete")
 
 
 @query(LEDGER + f", {ARITHMETIC} SELECT * FROM warn")
@@ -436,3 +438,6 @@ def archive(spark, d):
 
 from tallyweave.plans import catalog_text  # noqa: E402, F401  the queries over text and state
 from tallyweave.plans import catalog_course  # noqa: E402, F401  the queries over evidence, extraction, stores and the course of an audit
+from tallyweave.plans import catalog_time  # noqa: E402, F401  the queries over time
+from tallyweave.plans import catalog_layout  # noqa: E402, F401  the queries over word boxes
+from tallyweave.plans import catalog_store  # noqa: E402, F401  the queries over stores, levels and SQL

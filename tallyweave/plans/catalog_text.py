@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallyweave.folders import new_folder
 from tallyweave.functions import money as M
 from tallyweave.functions import text as T
 from tallyweave.operators import documents as D
@@ -15,6 +16,7 @@ from tallyweave.operators import snapshot as S
 from tallyweave.operators import state as Z
 from tallyweave.plans.catalog import LEDGER, ORACLES, any_of, links, query, quoted
 from tallyweave.sources import ledger as L
+from tallyweave.sources import store
 from tallyweave.streaming import eventlog
 
 # ---------------------------------------------------------------- money in text
@@ -151,8 +153,12 @@ def text_chunks(spark, d):
 
 @query("SELECT doc_id, chunk_index, arg_max(text, version) AS text, max(version) AS version FROM (SELECT conv_id AS doc_id, turn // 2 AS chunk_index, text, turn * 10 + CASE role WHEN 'user' THEN 1 ELSE 2 END AS version FROM conversations) GROUP BY ALL")
 def chunk_upsert(spark, d):
+    """Chunks stored in two goes, the second of other documents and of newer and older versions, and read again."""
     c = L.table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.floor(F.col("turn") / 2).alias("chunk_index"), "text", (F.col("turn") * 10 + F.when(F.col("role") == "user", 1).otherwise(2)).alias("version"))
-    return R.upsert(c)
+    path = new_folder(spark, "chunks")
+    store.store_chunks(c.where("version % 3 = 0"), path)
+    store.store_chunks(c.where("version % 3 != 0"), path)
+    return store.read_chunks(spark, path).select("doc_id", "chunk_index", "text", "version")
 
 
 @query("SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS chunks FROM documents LEFT JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) ON conv_id = doc_id")
@@ -187,13 +193,16 @@ _BANKISH = f"(check_type IN ('amount_match', 'cross_doc_consistency') AND {any_o
 
 
 @query(
-    f"""WITH i AS (SELECT k AS check_no, concat_ws(',', CASE WHEN {_BANKISH} THEN 'bank_contract_recon' END, CASE WHEN {_BANKISH} AND {any_of(_BLOB, T.INVOICE_WORDS)} THEN 'invoice_bank_recon' END,
+    LEDGER
+    + f""", n(k, need) AS (VALUES {", ".join(f"({i}, {x[0]!r}::VARCHAR[])" for i, x in enumerate(Z.CHECKS))}), aud AS (SELECT audit_id, list(DISTINCT doc_type) AS types FROM documents_meta GROUP BY 1), i AS (SELECT k AS check_no, concat_ws(',', CASE WHEN {_BANKISH} THEN 'bank_contract_recon' END, CASE WHEN {_BANKISH} AND {any_of(_BLOB, T.INVOICE_WORDS)} THEN 'invoice_bank_recon' END,
   CASE WHEN {_BANKISH} AND {any_of(_BLOB, T.MILESTONE_WORDS)} THEN 'milestone_bank_recon' END, CASE WHEN check_type = 'date_consistency' OR {any_of(_BLOB, T.SCHEDULE_WORDS)} THEN 'schedule' END) AS x FROM {_CHECKS})
-SELECT check_no, CASE WHEN x = '' THEN 'generic' ELSE x END AS intents FROM i"""
+SELECT a.audit_id, i.check_no, CASE WHEN x = '' THEN 'generic' ELSE x END AS intents FROM i JOIN n ON i.check_no = n.k JOIN aud a ON list_has_all(a.types, n.need)"""
 )
 def check_intents(spark, d):
-    rows = Z.checks(spark).where("check_no > 0")
-    return rows.select((F.col("check_no") - 1).alias("check_no"), T.check_intents(F.col("description"), F.col("check_type")).alias("intents"))
+    """The intents of the checks that each audit's documents ask for."""
+    held = Z.checklist(L.documents_meta(spark, d), spark).where("check_no > 0").select("audit_id", "check_no")
+    said = Z.checks(spark).select("check_no", T.check_intents(F.col("description"), F.col("check_type")).alias("intents"))
+    return held.join(F.broadcast(said), "check_no").select("audit_id", (F.col("check_no") - 1).alias("check_no"), "intents")
 
 
 _COSINE = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -336,7 +345,8 @@ SELECT audit_id, currency, contract_total, invoice_total, bank_paid_total, CASE
 )
 def snapshot_filled(spark, d):
     """Snapshots with their gaps filled."""
-    return K.fill_gaps(S.snapshot(L.amounts(spark, d), *links(spark, d)), K.label_amounts(said(spark, d)))
+    rows = L.ledger(spark, d)
+    return K.fill_gaps(S.snapshot(rows, *links(spark, d, rows)), K.label_amounts(said(spark, d)))
 
 
 _FORMS = " OR ".join(f"contains(line, format('{{{{:{f}}}}}', v))" for f in (",.2f", ",.0f", ".2f", ".0f"))
@@ -364,8 +374,12 @@ def snippet_dedupe(spark, d):
     return K.snippets(hits).select("audit_id", "check_no", "doc_id", F.col("snippet_no").cast("long").alias("snippet_no"))
 
 
-@query("SELECT event_id, props AS object FROM events")
+_DEEP = 11
+
+
+@query(f"SELECT event_id, repeat('{{\"a}}\":', {_DEEP}) || props || repeat('}}', {_DEEP}) AS object FROM events")
 def json_objects(spark, d):
-    """The JSON object out of a model's noisy answer around it."""
-    noisy = F.concat(F.lit("Here you are: ```json\n"), F.col("props"), F.lit("\n``` {unclosed"))
+    """The JSON object, twelve deep, out of a model's noisy answer around it."""
+    deep = F.concat(F.lit('{"a}":' * _DEEP), F.col("props"), F.lit("}" * _DEEP))
+    noisy = F.concat(F.lit("Here you are: ```json\n"), deep, F.lit("\n``` {unclosed"))
     return L.table(spark, d, "events").select("event_id", K.json_object(noisy).alias("object"))

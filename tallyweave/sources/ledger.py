@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweave.folders import stored
 from tallyweave.shipping import ship
 
 MONEY = "decimal(18,2)"
@@ -67,11 +68,11 @@ def balance_sheets(supplier: DataFrame) -> DataFrame:
     )
 
 
-def parties(orders: DataFrame) -> DataFrame:
-    """(audit_id, anchors): the numbers of an audit's contracts, and its party where it has an order of even number."""
-    party = F.concat(F.lit("PARTY"), F.col("o_custkey").cast("string"))
-    both = F.array_compact(F.array(F.concat(F.lit("CTR"), F.col("o_orderkey").cast("string")), F.when(F.col("o_orderkey") % 2 == 0, party)))
-    return orders.select(F.col("o_custkey").alias("audit_id"), F.explode(both).alias("a")).groupBy("audit_id").agg(F.collect_set("a").alias("anchors"))
+def contract_links(orders: DataFrame) -> DataFrame:
+    """(audit_id, doc_id, doc_type, anchor_id): what an audit's contracts are linked to, their own numbers and the party of those of even number."""
+    key = F.col("o_orderkey").cast("string")
+    both = F.array_compact(F.array(F.concat(F.lit("CTR"), key), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("PARTY"), F.col("o_custkey").cast("string")))))
+    return orders.select(F.col("o_custkey").alias("audit_id"), F.concat(F.lit("CT-"), key).alias("doc_id"), F.lit("contract").alias("doc_type"), F.explode(both).alias("anchor_id"))
 
 
 def bank_lines(events: DataFrame) -> DataFrame:
@@ -154,6 +155,11 @@ def amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(currencies(of("customer")), "audit_id", "left").select(AMOUNT_COLUMNS)
 
 
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """amounts() as a table: for queries that read them more than once."""
+    return stored(amounts(spark, sf_dir), "ledger")
+
+
 def documents_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """audit_id, doc_id, doc_type, filename, page_count of every document that has amounts."""
     orders, lineitem, events = (table(spark, sf_dir, n) for n in ("orders", "lineitem", "events"))

@@ -18,19 +18,41 @@ def latest_chunks(chunks: DataFrame) -> DataFrame:
     return rows.groupBy("chunk_id").agg(F.max_by(F.struct(*rest), "version").alias("r"), F.max("version").alias("version")).select("chunk_id", "r.*", "version")
 
 
+def _bucket(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id.cast("string")), F.lit(BUCKETS)).cast("int")
+
+
 def store_chunks(chunks: DataFrame, path: str) -> None:
-    """Writes the latest chunks, in folders by document: a reader of a few documents opens theirs alone."""
-    bucket = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(BUCKETS)).cast("int")
-    latest_chunks(chunks).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    """Adds the latest chunks to the store, in folders by document: a reader of a few documents opens theirs alone. Nothing that is stored
+    is written over, so that a store that fails midway loses nothing; readers take the latest of each chunk."""
+    rows = latest_chunks(chunks).withColumns({"bucket": _bucket(F.col("doc_id")), "stored": F.current_timestamp(), "deleted": F.lit(False)})
+    rows.repartition("bucket").write.mode("append").option("mergeSchema", True).partitionBy("bucket").parquet(path)
+
+
+def delete_chunks(ids: DataFrame, path: str) -> None:
+    """Deletes the chunks of these documents (doc_id) from the store: a row for each says from when on they are gone. Chunks stored later are there."""
+    rows = ids.select("doc_id").where("doc_id is not null").distinct().withColumns({"bucket": _bucket(F.col("doc_id")), "stored": F.current_timestamp(), "deleted": F.lit(True)})
+    rows.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def read_chunks(spark: SparkSession, path: str, doc_ids: list | None = None) -> DataFrame:
-    """All chunks, or those of some documents; then only their folders are read."""
-    out = spark.read.parquet(path)
+    """All stored chunks, the latest version of each and of equal versions the one stored last, or those of some documents; then only
+    their folders are read."""
+    out = spark.read.option("mergeSchema", True).parquet(path)
     if doc_ids is not None:
-        ids = spark.createDataFrame([(str(x),) for x in doc_ids], "id string").select(F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int").alias("b"))
+        ids = spark.createDataFrame([(str(x),) for x in doc_ids], "id string").select(_bucket(F.col("id")).alias("b"))
         out = out.where(F.col("bucket").isin([r.b for r in ids.distinct().collect()])).where(F.col("doc_id").cast("string").isin([str(x) for x in doc_ids]))
-    return out.drop("bucket")
+    gone = out.where("deleted").groupBy(F.col("doc_id").alias("_doc")).agg(F.max("stored").alias("_gone"))
+    rows = out.where("not deleted").drop("bucket", "deleted")
+    rows = rows.join(gone, rows["doc_id"] == gone["_doc"], "left").where("_gone is null or stored > _gone").drop("_doc", "_gone")
+    rest = [c for c in rows.columns if c not in ("chunk_id", "stored")]
+    return rows.groupBy("chunk_id").agg(F.max_by(F.struct(*rest), F.struct("version", "stored")).alias("r")).select("chunk_id", "r.*")
+
+
+def compact_chunks(spark: SparkSession, path: str, to: str) -> None:
+    """Writes what read_chunks() gives into another folder, without older versions and deleted documents."""
+    rows = read_chunks(spark, path).withColumns({"bucket": _bucket(F.col("doc_id")), "stored": F.current_timestamp(), "deleted": F.lit(False)})
+    rows.repartition("bucket").write.partitionBy("bucket").parquet(to)
 
 
 def check_vectors(vectors: DataFrame, dimension: int) -> DataFrame:

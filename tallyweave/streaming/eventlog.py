@@ -4,12 +4,8 @@ The log itself needs no watermarks or windows; these are what Structured Streami
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def read_events(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -33,34 +29,43 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = "1 d
 
 
 def latest_status(events: DataFrame) -> DataFrame:
-    """Each key's last status by ts, kept as state between batches: key, status, ts."""
+    """Each key's last status by ts, kept as state between batches: key, status, ts. For output in update mode."""
+    return events.groupBy("key").agg(F.max_by("status", "ts").alias("status"), F.max("ts").alias("ts"))
+
+
+def _files(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _committed(spark: SparkSession, path: str) -> list[int]:
+    """The versions of a table that were written whole, in order."""
+    fs, folder = _files(spark, f"{path}/_committed")
+    return sorted(int(x.getPath().getName()) for x in fs.listStatus(folder)) if fs.exists(folder) else []
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, ts = state.get if state.exists else (None, None)
-        for frame in frames:
-            for row in frame.sort_values("ts").itertuples():
-                if ts is None or row.ts.value >= ts:
-                    status, ts = row.status, row.ts.value
-        state.update((status, ts))
-        yield pd.DataFrame({"key": [key[0]], "status": [status], "ts": [pd.Timestamp(ts)]})
 
-    return events.groupBy("key").applyInPandasWithState(fold, "key string, status string, ts timestamp", "status string, ts long", "update", GroupStateTimeout.NoTimeout)
+def read_upserted(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table that upsert_into() keeps, as it was last committed; None before the first time."""
+    versions = _committed(spark, path)
+    return spark.read.parquet(f"{path}/{versions[-1]}") if versions else None
 
 
-def upsert_into(path: str, keys: list[str], order: Column):
-    """A foreachBatch function that keeps the last row of each key in a table: two folders take turns."""
+def upsert_into(path: str, keys: list[str], order: Column, keep: int = 2):
+    """A foreachBatch function that keeps the last row of each key in a table. A batch is merged with the version that was last committed, whatever the batch's
+    own number, and written beside it; a marker commits it. So a query that starts anew with a fresh checkpoint goes on where the table is, a batch
+    that fails leaves the table as it was, and one that runs twice changes nothing. The last `keep` versions stay."""
 
-    def write(batch: DataFrame, epoch: int) -> None:
+    def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        here, there = f"{path}/{epoch % 2}", f"{path}/{(epoch + 1) % 2}"
-        try:
-            held = spark.read.parquet(there)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            held = batch.limit(0)
-        rest = [c for c in batch.columns if c not in keys]
-        merged = held.unionByName(batch).groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
-        merged.write.mode("overwrite").parquet(here)
+        versions = _committed(spark, path)
+        rows = spark.read.parquet(f"{path}/{versions[-1]}").unionByName(batch, allowMissingColumns=True) if versions else batch
+        rest = [c for c in rows.columns if c not in keys]
+        version = versions[-1] + 1 if versions else 0
+        rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*").write.mode("overwrite").parquet(f"{path}/{version}")
+        fs, marker = _files(spark, f"{path}/_committed/{version}")
+        fs.create(marker, True).close()
+        for old in versions[: max(0, len(versions) + 1 - keep)]:
+            for gone in (f"{path}/_committed/{old}", f"{path}/{old}"):
+                fs.delete(_files(spark, gone)[1], True)
 
     return write

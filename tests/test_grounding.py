@@ -54,3 +54,16 @@ def test_json_and_fences(spark):
     assert spark.createDataFrame([("noise " + long,)], "t string").select(K.json_object(F.col("t"))).first()[0] == long
     rows = spark.createDataFrame([("```json\n{\"a\": 1}\n```",), (" plain ",)], "t string")
     assert [r[0] for r in rows.select(K.unfenced(F.col("t"))).collect()] == ['{"a": 1}', "plain"]
+
+
+def test_objects_at_any_depth(spark):
+    deep = lambda n: '{"a}": [' * n + '{"z": "\\"{"}' + "]}" * n
+    texts = [("noise { " + deep(n) + " } {", deep(n)) for n in (1, 5, 12, 200, 400)] + [('{"a": NaN} {"b": 1}', '{"b": 1}'), ('x { it"s {"a": 1}', '{"a": 1}')]
+    rows = spark.createDataFrame(texts, "t string, want string").select(K.json_object(F.col("t")).alias("got"), "want").collect()
+    assert [r.got for r in rows] == [r.want for r in rows]
+
+
+def test_marks_in_a_text_keep_their_places(spark):
+    said = spark.createDataFrame([("a\x01\x02b EGP 5 c\x02 7 USD",)], "t string")
+    found = said.select(M.amounts_in(F.col("t")).alias("a")).first().a
+    assert [(x.position, x.end, x.value) for x in found] == [(5, 10, 5.0), (14, 19, 7.0)]
