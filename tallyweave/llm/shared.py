@@ -3,31 +3,18 @@
 from __future__ import annotations
 
 import itertools
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweave.folders import new_folder, shared_folder  # noqa: F401  the folder is named in one place
 from tallyweave.shipping import ship
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where it is unset and all tasks run in the driver's own process, as in
-    tests, a temporary one; on a cluster an error, as executors don't see a local folder of the driver."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='tallyweave-')}"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 #: Rows in an Arrow batch at most; with long documents the default would hold tens of MB on both sides.
 BATCH_ROWS = 1000
 
@@ -50,14 +37,18 @@ def fresh(df: DataFrame, name: str) -> str:
 
 #: Tables of this process that have not been deleted, in the order of writing.
 _tables: list[str] = []
+#: Those of the innermost passing() that this thread is in.
+_block: ContextVar[list[str] | None] = ContextVar("tables of a block", default=None)
 
 
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: computed once, without lineage, safe from lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_folder(spark, "table")
     _tables.append(path)
+    if (block := _block.get()) is not None:
+        block.append(path)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
@@ -77,18 +68,28 @@ def drop_written(df: DataFrame) -> None:
 
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Tables written inside are deleted at the end, but for those given to the function that this yields:
-    the ones that a returned frame still reads."""
-    before, kept = set(_tables), set()
+    """Tables that this thread writes inside are deleted at the end, but for those given to the function that this yields: the ones that a
+    returned frame still reads. After an exception all of them go. Tables of other threads are left alone; kept ones count as written by the block around."""
+    own, kept, outer = [], set(), _block.get()
 
     def keep(df: DataFrame) -> DataFrame:
         kept.add(df.written_to)
         return df
 
-    yield keep
-    for path in [p for p in _tables if p not in before and p not in kept]:
-        _delete(spark, path)
-        _tables.remove(path)
+    token = _block.set(own)
+    try:
+        yield keep
+    except BaseException:
+        kept.clear()
+        raise
+    finally:
+        _block.reset(token)
+        for path in [p for p in own if p in _tables]:
+            if path not in kept:
+                _delete(spark, path)
+                _tables.remove(path)
+            elif outer is not None:
+                outer.append(path)
 
 
 def drop_tables(spark: SparkSession) -> None:

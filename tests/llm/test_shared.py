@@ -46,3 +46,36 @@ def test_written_tables_go(spark):
     import os
 
     assert not os.path.exists(path)
+
+
+def test_blocks_delete_their_own_tables_alone(spark):
+    """Tables of other threads, and those handed on, stay; after an exception all of a block's go."""
+    import threading
+
+    import pytest
+
+    there = lambda table: table.count() == 3
+    rows, other, begun, done = spark.range(3), [], threading.Event(), threading.Event()
+
+    def elsewhere():
+        other.append(shared.written(rows))
+        begun.set()
+        done.wait()
+
+    with shared.passing(spark) as outer:
+        thread = threading.Thread(target=elsewhere)
+        thread.start()
+        begun.wait()
+        with shared.passing(spark) as keep:
+            gone, kept = shared.written(rows), keep(shared.written(rows))
+        assert gone.written_to not in shared._tables and there(kept)
+        last = outer(shared.written(rows))
+    assert kept.written_to not in shared._tables and there(last) and there(other[0])
+    done.set()
+    thread.join()
+    with pytest.raises(KeyError), shared.passing(spark) as keep:
+        held = keep(shared.written(rows))
+        raise KeyError
+    assert held.written_to not in shared._tables
+    shared.drop_written(last)
+    shared.drop_written(other[0])
