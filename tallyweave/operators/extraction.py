@@ -103,15 +103,15 @@ def rule_entities(chunks: DataFrame) -> DataFrame:
     lines = lines.withColumns({"is_row": row, "found": found}).where(F.size("found") > 0)
     number = lambda c: F.replace(c, F.lit(","), F.lit("")).try_cast("double")
     by_doc = Window.partitionBy("doc_id").orderBy("chunk_index", "line_no")
-    rows = lines.where("is_row").withColumn("balance", F.when(F.size("found") > 1, number(F.element_at("found", -1))))
+    rows = lines.where("is_row").withColumn("balance", F.when(F.size("found") > 1, number(F.try_element_at("found", F.lit(-1)))))
     rows = rows.withColumn("before", F.lag("balance").over(by_doc))
     step = F.signum(F.col("balance") - F.col("before"))
     cells = F.regexp_replace(F.col("line"), r"^\[TABLE ROW\]\s*", "")
     day = F.nullif(F.trim(F.regexp_extract(cells, ROW_DATE, 0)), F.lit(""))
     ref = F.nullif(F.regexp_extract(cells, r"\b([A-Z]{2,}-[0-9A-Z-]+)\b", 1), F.lit(""))
-    of_rows = rows.select("doc_id", "chunk_index", "line_no", F.when(step < 0, "transaction_debit").when(step > 0, "transaction_credit").otherwise("unknown").alias("amount_role"), F.when(F.size("found") > 1, F.element_at("found", -2)).otherwise(F.element_at("found", -1)).alias("raw"), ref.alias("txn_ref"), day.alias("txn_date"))
-    label = F.lower(F.call_function("substring_index", F.col("line"), F.element_at("found", 1), F.lit(1)))
+    of_rows = rows.select("doc_id", "chunk_index", "line_no", F.when(step < 0, "transaction_debit").when(step > 0, "transaction_credit").otherwise("unknown").alias("amount_role"), F.when(F.size("found") > 1, F.try_element_at("found", F.lit(-2))).otherwise(F.try_element_at("found", F.lit(-1))).alias("raw"), ref.alias("txn_ref"), day.alias("txn_date"))
+    label = F.lower(F.call_function("substring_index", F.col("line"), F.try_element_at("found", F.lit(1)), F.lit(1)))
     role = F.coalesce(*(F.when(F.contains(label, F.lit(w)), F.lit(r)) for w, r in LABELS))
     nothing = F.lit(None).cast("string")
-    of_labels = lines.where("not is_row").withColumn("amount_role", role).where("amount_role is not null").select("doc_id", "chunk_index", "line_no", "amount_role", F.element_at("found", 1).alias("raw"), nothing.alias("txn_ref"), nothing.alias("txn_date"))
+    of_labels = lines.where("not is_row").withColumn("amount_role", role).where("amount_role is not null").select("doc_id", "chunk_index", "line_no", "amount_role", F.try_element_at("found", F.lit(1)).alias("raw"), nothing.alias("txn_ref"), nothing.alias("txn_date"))
     return of_rows.unionByName(of_labels)

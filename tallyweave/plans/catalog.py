@@ -441,3 +441,4 @@ from tallyweave.plans import catalog_course  # noqa: E402, F401  the queries ove
 from tallyweave.plans import catalog_time  # noqa: E402, F401  the queries over time
 from tallyweave.plans import catalog_layout  # noqa: E402, F401  the queries over word boxes
 from tallyweave.plans import catalog_store  # noqa: E402, F401  the queries over stores, levels and SQL
+from tallyweave.plans import catalog_audit  # noqa: E402, F401  the queries over whole audits
