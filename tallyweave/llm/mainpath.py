@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 from typing import NamedTuple
 
@@ -52,7 +53,8 @@ _DROP_WORDS = frozenset(
 )
 _PARTS = frozenset(
     """aside area articles author bar block body bottom box btn button buttons center column container content desktop fixed foot global group head header icon icons inline inner item items js
-    left link links list main media message mobile overlay page panel post posts primary right row secondary section site slot stories sticky strip text thread title top unit view wrap wrapper""".split()
+    latest left link links list main media message mobile overlay page panel post posts primary reader readers recent right row secondary section site slot stories sticky strip sub text thread title top unit user users view wp wrap wrapper
+    by dfp facebook fb google gpt x""".split()
 )
 _DROP_CLASSES = frozenset("header site-header page-header top-bar topbar".split())
 _CLOSES = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tr": ("tr td th", "table tbody thead tfoot"), "option": ("option", "select")}
@@ -88,11 +90,26 @@ def _dropped(tag: str, attrs: dict[str, str]) -> bool:
     return any(_marks(x) for x in f"{attrs.get('class', '')} {attrs.get('id', '')}".split())
 
 
+@lru_cache(10_000)
+def _parted(word: str) -> tuple[str, ...]:
+    """A word that is made of the words of the two lists without anything between them, as these: commentlist, topnav. Any other as it is. Pieces have three letters
+    at least, but for one of the names of advertising and what joins it to others."""
+    if word in _DROP_WORDS or word in _PARTS:
+        return (word,)
+    for n in range(len(word) - 1, 1, -1):
+        head, rest = word[:n], word[n:]
+        if (len(head) > 2 or head in ("ad", "by")) and (head in _DROP_WORDS or head in _PARTS):
+            tail = _parted(rest)
+            if all(x in _DROP_WORDS or x in _PARTS for x in tail) and all(len(x) > 2 or x in ("ad", "by") for x in tail):
+                return (head, *tail)
+    return (word,)
+
+
 def _marks(name: str) -> bool:
     """Whether a class or id name says that its element is not the article."""
     if name.lower() in _DROP_CLASSES:
         return True
-    words = [x for x in map(str.lower, _WORDS.findall(name)) if not x.isdigit()]
+    words = [y for x in map(str.lower, _WORDS.findall(name)) if not x.isdigit() for y in _parted(x)]
     return any(x in _DROP_WORDS for x in words) and all(x in _DROP_WORDS or x in _PARTS for x in words)
 
 

@@ -113,3 +113,16 @@ def test_query_matches_another_parser(spark, sf_dir):
         want[r.page_id] = "\n".join(p.blocks)
     got = {r.page_id: r.text for r in QUERIES["op10_main_text"](spark, sf_dir).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("name", "commentlist user-comments reader-comments fb-comments wp-block-latest-comments adsbygoogle gpt-ad ad_300x250 topnav subnav cookieconsent userComments sidebarAds".split())
+def test_names_that_join_words_go(name):
+    body = f"<div class='wrap'><div class='text'><p>{'first part of the article ' * 9}</p><div class='{name}'><p>second part</p></div></div></div>"
+    for html in (f"<article>{body}</article>", body):
+        assert "second" not in M.extract(html, None)
+
+
+@pytest.mark.parametrize("name", "heading loading advice address navigator commentary formula formation threads shared canvas adage subject listing toplist byline textbox".split())
+def test_names_that_begin_like_a_word_stay(name):
+    body = f"<div class='wrap'><div class='text'><p>{'first part of the article ' * 9}</p><div class='{name}'><p>second part</p></div></div></div>"
+    assert M.extract(body, None).endswith("\nsecond part")
