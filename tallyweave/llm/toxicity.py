@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tallyweave.llm.chargrams import Letters, letter_chunks
 from tallyweave.llm.shared import drop_written, written
@@ -106,7 +107,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, prior: f
     given, it is the toxic share of the labelled ids, which holds if what was labelled was not picked by toxicity.
     Without confirmed documents the model scores 0. Null and empty texts have no features, a long one all of its own; repeated
     rows count each. What reaches the driver is bounded by max_rows documents of at most FEATURES chosen features."""
-    picked = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").alias("toxic")).where("_id is not null and toxic is not null")
+    kind = "long" if all(isinstance(d.schema["doc_id"].dataType, IntegralType) for d in (docs, labels)) else "string"  # ids of other types are compared as text
+    picked = labels.select(F.col("doc_id").cast(kind).alias("_id"), F.col("toxic").alias("toxic")).where("_id is not null and toxic is not null")
     picked = picked.groupBy("_id").agg((F.max("toxic") == 1).alias("toxic"))
     if prior is None:
         labelled, confirmed = picked.agg(F.count("*"), F.sum(F.col("toxic").cast("long"))).first()
@@ -114,13 +116,14 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, prior: f
             raise ValueError("labels without toxic 0 say nothing about the class prior: it must be given")
         prior = (confirmed or 0) / max(1, labelled)
     picked = picked.where("toxic").orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    docs = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("text"))
+    docs = docs.select(F.col("doc_id").cast(kind).alias("_id"), F.col("text").alias("text"))
     share = min(1.0, max_rows / max(1, docs.count()))
     sampled = F.shiftrightunsigned(F.xxhash64("_id", "text"), 11) < int(share * (1 << 53))
     texts = docs.join(F.broadcast(picked), "_id", "left").select("text", F.coalesce("toxic", F.lit(False)).alias("toxic"), sampled.alias("unlabelled"))
     texts = written(texts.where("toxic or unlabelled"))
     total, n_positive = texts.agg(F.sum(F.col("unlabelled").cast("long")), F.sum(F.col("toxic").cast("long"))).first()
     if not n_positive or not total:
+        drop_written(texts)
         return Model(np.zeros(0, np.int64), np.zeros(0), -30.0)
     prior = min(0.99, max(1e-4, prior))
 

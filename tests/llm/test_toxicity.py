@@ -125,3 +125,12 @@ def test_documents_without_labels_are_learned_from(spark, monkeypatch):
     assert 60 < fitted[1][1]["unlabelled"].sum() < 140 and fitted[1][0][4].sum() == 20
     X.learn(frame, labels, prior=0.3)
     assert fitted[2][0][5] == 0.3
+
+
+def test_ids_of_any_type(spark):
+    docs = [(f"d{i}", "bad awful words" if i % 3 == 0 else "calm quiet words of a walk") for i in range(60)]
+    labels = [(f"d{i}", int(i % 3 == 0)) for i in range(0, 60, 2)]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    model = X.learn(frame(docs, "doc_id string, text string"), frame(labels, "doc_id string, toxic int"))
+    scores = {r.doc_id: r.score for r in X.score(frame(docs, "doc_id string, text string"), model).collect()}
+    assert min(scores[f"d{i}"] for i in range(0, 60, 3)) > max(scores[f"d{i}"] for i in range(60) if i % 3)
