@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.llm.shared import written
+from tallyweave.llm.shared import drop_written, written
 from tallyweave.llm.wordarrays import SPACED, SPACED_EXACT, Words, _ranges, _table, mix, word_chunks
 
 WORD_BINS = 1 << 14
@@ -120,7 +120,9 @@ def references(docs: DataFrame) -> list[dict]:
     rows = sums.withColumn("rank", F.row_number().over(by_size)).where((F.col("bin") < 0) | (F.col("rank") <= COMMON))
     enough = sums.where("bin = -1").where(f"docs >= {MIN_DOCS}").select("lang")
     found: dict[str, dict] = {}
-    for lang, bin_, total, n, _ in rows.join(enough, "lang").orderBy("lang", "rank").collect():
+    kept = rows.join(enough, "lang").orderBy("lang", "rank").collect()
+    drop_written(sums)
+    for lang, bin_, total, n, _ in kept:
         ref = found.setdefault(lang, {"lang": lang, "docs": 0, "classes": np.zeros(CLASSES), "bins": [], "shares": []})
         if bin_ < 0:
             ref["classes"][-1 - bin_], ref["docs"] = total, max(ref["docs"], n)
