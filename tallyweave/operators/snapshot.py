@@ -215,7 +215,7 @@ def _by_audit(documents: DataFrame) -> DataFrame:
     parts = one.groupBy("audit_id", "code.code").agg(F.sum("code.n").alias("n"), F.flatten(F.collect_list(told)).alias("w"), *(f(first(c)).alias(c) for c, f in ways.items()))
     out = parts.groupBy("audit_id").agg(F.collect_list(F.when(F.col("code").isNotNull(), F.struct("n", "code"))).alias("all"), F.array_sort(F.flatten(F.collect_list("w"))).alias("w"), *(f(c).alias(c) for c, f in ways.items()))
     currency, others = _ranked(F.col("all"))
-    return out.select("audit_id", F.coalesce("largest", "planned").alias("contract_total"), F.col("invoiced").alias("invoice_total"), "stated", F.coalesce("n_unknown", F.lit(0)).alias("n_unknown"), "w", currency.alias("currency"), others.alias("others"))
+    return out.select("audit_id", F.coalesce("largest", "planned").alias("contract_total"), F.col("invoiced").alias("invoice_total"), "stated", F.coalesce("n_unknown", F.lit(0)).alias("n_unknown"), F.when(F.size("w") > 0, F.col("w")).alias("w"), currency.alias("currency"), others.alias("others"))
 
 
 def snapshot(amounts: DataFrame, anchors: DataFrame | None = None, refs: DataFrame | None = None) -> DataFrame:
