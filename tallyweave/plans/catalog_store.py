@@ -86,7 +86,7 @@ SELECT key, kind, try_cast(json_extract_string(j, '$.k') AS BIGINT) AS k, json_e
 def variant_store(spark, d):
     """The last properties of each client and kind of click, as documents of any shape; those of views are gone after seven days."""
     c = L.table(spark, d, "clicks").where("client_id is not null and ts is not null and kind is not null")
-    rows = c.select(F.col("client_id").alias("key"), "kind", F.col("props").alias("document"), F.col("ts").cast("timestamp").alias("written_at"), F.when(F.col("kind") == "view", 7 * 86400).alias("ttl"))
+    rows = c.select(F.col("client_id").alias("key"), "kind", F.col("props").alias("document"), F.col("ts").cast("timestamp").alias("written_at"), F.when(F.col("kind") == "view", 7 * 86400).alias("ttl"), F.col("click_id").alias("seq"))
     kept, _ = variants.parsed(rows)
     now = c.agg(F.max(F.col("ts").cast("timestamp")).alias("now"))
     last = variants.current(kept, F.lit(now.first().now))
