@@ -17,10 +17,12 @@ than the watermark allows.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -168,6 +170,8 @@ def session_steps(events: DataFrame, late: str, beat: int = BEAT, ttl: int = TTL
     Rows without audit_id, event_id or ts, and of other kinds, are left out. late: how much later than the newest event one may come; later ones are dropped by the
     watermark. The stream's state is in RocksDB (see STORE), a session, a chat of `chat` turns and the events of that time for each audit."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    # the process that looks at a processor before its stream starts has no files of the session: the class goes with its code
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     kept = events.where("audit_id is not null and event_id is not null and ts is not null").where(F.col("kind").isin(*KINDS))
     kept = kept.select("audit_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "kind").withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
     return kept.groupBy("audit_id").transformWithStateInPandas(Sessions(beat, ttl, chat), outputStructType=STEPS, outputMode="Append", timeMode="EventTime")
