@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,10 @@ REGISTER_HINT = "(?i)debit|credit|balance|مدين|دائن|رصيد"
 HEADER_HINT = "(?i)date|ref|txn|description|debit|credit|balance|amount|qty|quantity|rate|item|تاريخ|مرجع|بيان|مدين|دائن|رصيد|مبلغ|كمية"
 LEAST_ROWS, STRAY = 3, 40
 ROW_MARK = "[TABLE ROW]"
+# Where prose is cut, by rank, and the least length of a chunk. Blanks are those of ASCII.
+SEPARATORS = ("\n\n", "\n", ".", "،", " ")
+LEAST_CHUNK = 20
+BLANKS = " \t\n\r\x0b\x0c"
 
 
 def has_amount(text: Column) -> Column:
@@ -101,25 +106,58 @@ def chunk_rows(header: Column, rows: Column, limit: int = 800) -> Column:
     return F.aggregate(rows, start, step, lambda acc: F.when(acc["now"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(F.concat(prefix, acc["now"])))))
 
 
+def stripped(text: Column) -> Column:
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def _pieces(text: Column, separator: str) -> Column:
+    """A text cut before each separator, from the left; nothing of it goes."""
+    s = re.escape(separator)
+    other = f"[^{s}]" if len(separator) == 1 else rf"(?:(?!{s})[\s\S])"
+    return F.regexp_extract_all(text, F.lit(f"{other}++|{s}{other}*+"), F.lit(0))
+
+
+def _last(pieces: Column, room: Column) -> Column:
+    """As many of the last pieces as fit into room."""
+    start = F.struct(F.array().cast("array<string>").alias("kept"), room.alias("room"))
+
+    def take(acc: Column, piece: Column) -> Column:
+        fits = F.length(piece) <= acc["room"]
+        return F.struct(F.when(fits, F.concat(F.array(piece), acc["kept"])).otherwise(acc["kept"]).alias("kept"), F.when(fits, acc["room"] - F.length(piece)).otherwise(-1).alias("room"))
+
+    return F.aggregate(F.reverse(pieces), start, take, lambda acc: acc["kept"])
+
+
+def split_text(text: Column, size: int = 800, overlap: int = 150, separators: tuple[str, ...] = SEPARATORS) -> Column:
+    """Parts of at most size characters, in order, without blanks at their ends and without empty ones.
+
+    A longer text is cut before each separator of the first rank. Neighbours that fit are put together; a part begins with as many of its predecessor's last pieces as
+    have overlap characters at most. A piece too long by itself isn't put together with its neighbours: it is cut by the separators of the next ranks, and with none left
+    into windows. Null gives null; a text of blanks, or an empty one, no parts."""
+    if not separators:
+        more = F.greatest(F.lit(0), F.ceil((F.length(text) - size) / (size - overlap)).cast("int"))
+        windows = F.transform(F.sequence(F.lit(0), more), lambda i: F.substring(text, i * (size - overlap) + 1, F.lit(size)))
+        return F.filter(F.transform(windows, stripped), lambda p: p != "")
+    none = F.array().cast("array<string>")
+
+    def closed(acc: Column) -> Column:
+        part = stripped(F.array_join(acc["now"], ""))
+        return F.when(part == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(part)))
+
+    def state(done: Column, now: Column, held: Column) -> Column:
+        return F.struct(done.alias("done"), now.alias("now"), held.alias("held"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        n = F.length(piece)
+        now = F.concat(_last(acc["now"], F.least(F.lit(overlap), size - n)), F.array(piece))
+        cut = state(F.concat(closed(acc), split_text(piece, size, overlap, separators[1:])), none, F.lit(0))
+        return F.when(n >= size, cut).when(acc["held"] + n > size, state(closed(acc), now, F.length(F.array_join(now, "")))).otherwise(state(acc["done"], F.concat(acc["now"], F.array(piece)), acc["held"] + n))
+
+    short = F.filter(F.array(stripped(text)), lambda p: p != "")
+    return F.when(F.length(text) <= size, short).when(text.isNotNull(), F.aggregate(_pieces(text, separators[0]), state(none, none, F.lit(0)), step, closed))
+
+
 def text_chunks(pages: DataFrame, size: int = 800, overlap: int = 150) -> DataFrame:
-    """(page_id, chunk_index, text) of at most size characters: each ends at the last end of line or blank in its
-    last third where there is one, and begins at most overlap characters before its predecessor's end."""
-    def cut(text: str) -> list[str]:
-        out, at = [], 0
-        while at < len(text):
-            end = min(len(text), at + size)
-            if end < len(text):
-                least = at + size * 2 // 3
-                end = max(text.rfind("\n", least, end), text.rfind(" ", least, end), -1) + 1 or end
-            out.append(text[at:end])
-            if end >= len(text):
-                break
-            back = text.find(" ", max(at + 1, end - overlap), end)
-            at = back + 1 if back >= 0 else end
-        return out
-
-    @F.pandas_udf("array<string>")
-    def chunks(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: cut(t) if t else [])
-
-    return pages.select("page_id", F.posexplode(chunks("text")).alias("chunk_index", "text")).where(F.length(F.trim("text")) >= 20)
+    """(page_id, chunk_index, text): a page's parts by split_text() that have 20 characters or more, numbered from 0. A page without such parts, or without text, has no rows."""
+    parts = F.filter(split_text(F.col("text"), size, overlap), lambda p: F.length(p) >= LEAST_CHUNK)
+    return pages.select("page_id", F.posexplode(parts).alias("chunk_index", "text"))

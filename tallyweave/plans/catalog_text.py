@@ -145,9 +145,34 @@ def row_chunks(spark, d):
     return e.select("user_id", F.posexplode(D.chunk_rows(F.lit("date | ref | amount"), rows, 200)).alias("chunk_index", "text"))
 
 
-@query()
+def _split_sql(size: int = 800, overlap: int = 150) -> str:
+    """Levels of pieces by separator, runs of short neighbours, and a recursion that puts the pieces of a run together."""
+    blanks, seps = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)", D.SEPARATORS
+    levels = ["l0 AS (SELECT doc_id AS page_id, CAST([] AS INTEGER[]) AS parent, CAST([] AS INTEGER[]) AS path, text AS piece FROM documents WHERE text IS NOT NULL)"]
+    for k, sep in enumerate(seps, 1):
+        s = " || ".join(f"chr({ord(c)})" for c in sep)
+        cut = f"SELECT page_id, path, string_split(piece, {s}) AS parts FROM l{k - 1} WHERE length(piece) > {size}"
+        levels.append(f"l{k} AS (SELECT * FROM (SELECT page_id, path AS parent, list_append(path, CAST(i AS INTEGER)) AS path, CASE WHEN i = 1 THEN '' ELSE {s} END || parts[i] AS piece FROM ({cut}) c, LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i) r) WHERE piece <> '')")
+    n = len(seps)
+    every = " UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(1, n + 1))
+    alone = f"SELECT page_id, path, piece FROM l0 WHERE length(piece) <= {size} UNION ALL SELECT page_id, path, piece FROM pieces WHERE length(piece) = {size}"
+    windows = f"SELECT page_id, path, CAST(i AS INTEGER) AS s, substr(piece, i * {size - overlap} + 1, {size}) AS part FROM l{n}, LATERAL (SELECT unnest(range(0, 1 + CAST(ceil((length(piece) - {size}) / {size - overlap}) AS INTEGER))) AS i) r WHERE length(piece) > {size}"
+    end = f"len(list_filter(c, lambda x: x <= c[{{}} + 1] + {size})) - 1"
+    start = f"len(list_filter(c, lambda x: x < greatest(c[e + 1] - {overlap}, c[e + 2] - {size})))"
+    return f"""WITH RECURSIVE {", ".join(levels)}, pieces AS ({every}),
+numbered AS (SELECT *, sum(CASE WHEN length(piece) >= {size} THEN 1 ELSE 0 END) OVER (PARTITION BY page_id, parent ORDER BY path) AS run FROM pieces),
+summed AS (SELECT *, sum(length(piece)) OVER (PARTITION BY page_id, parent, run ORDER BY path) AS upto FROM numbered WHERE length(piece) < {size}),
+runs AS (SELECT page_id, min(path) AS path, list(piece ORDER BY path) AS ps, list_prepend(0, list(CAST(upto AS INTEGER) ORDER BY path)) AS c FROM summed GROUP BY page_id, parent, run),
+merged AS (SELECT page_id, path, ps, c, 0 AS s, CAST({end.format("0")} AS INTEGER) AS e FROM runs
+  UNION ALL SELECT page_id, path, ps, c, CAST(b AS INTEGER), CAST({end.format("b")} AS INTEGER) FROM (SELECT page_id, path, ps, c, {start} AS b FROM merged WHERE e < len(ps))),
+parts AS (SELECT page_id, path, s, array_to_string(ps[s + 1:e], '') AS part FROM merged UNION ALL SELECT page_id, path, 0, piece FROM ({alone}) UNION ALL {windows}),
+trimmed AS (SELECT page_id, path, s, trim(part, {blanks}) AS text FROM parts)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY path, s) - 1 AS INTEGER) AS chunk_index, text FROM trimmed WHERE length(text) >= {D.LEAST_CHUNK}"""
+
+
+@query(_split_sql())
 def text_chunks(spark, d):
-    """Pieces of whole texts that overlap: tested for coverage and sizes."""
+    """Parts of whole texts, cut at separators by their rank."""
     return D.text_chunks(L.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text"))
 
 

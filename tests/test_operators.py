@@ -172,6 +172,54 @@ def test_row_chunks(spark):
         assert row[f"c{row.k}"] == fold_rows(row.h, row.r, row.k)
 
 
+def split_plainly(text, size, overlap, ranks):
+    """What split_text() promises, by recursion over lists."""
+    if len(text) <= size:
+        return [text.strip(D.BLANKS)]
+    if not ranks:
+        return [text[i : i + size].strip(D.BLANKS) for i in range(0, max(1, len(text) - overlap), size - overlap)]
+    head, *rest = text.split(ranks[0])
+    pieces = [p for p in [head, *(ranks[0] + x for x in rest)] if p]
+    out, now = [], []
+    for p in pieces:
+        if len(p) >= size:
+            out += ["".join(now).strip(D.BLANKS), *split_plainly(p, size, overlap, ranks[1:])]
+            now = []
+            continue
+        if len("".join(now)) + len(p) > size:
+            out.append("".join(now).strip(D.BLANKS))
+            while len("".join(now)) > min(overlap, size - len(p)):
+                now = now[1:]
+        now = [*now, p]
+    return [x for x in [*out, "".join(now).strip(D.BLANKS)] if x]
+
+
+@pytest.mark.parametrize("size, overlap", [(800, 150), (40, 12), (10, 0)])
+def test_split_text(spark, size, overlap):
+    r = random.Random(size)
+    joins = [" ", " ", " ", "\n", "\n\n", "\n\n\n", ".", "،", ". ", "\t"]
+    texts = ["".join(r.choice("abé中😀") * r.choice([1, 3, 9, 30]) + r.choice(joins[: r.randrange(1, 11)]) for _ in range(r.randrange(0, 200))) for _ in range(60)]
+    texts += ["x" * n for n in (size - 1, size, size + 1, 2 * size - overlap, 2 * size - overlap + 1, 5 * size)]
+    texts += ["x" * size + " y", "y\n\n" + "x" * size + "\n\nz", "\n" * (3 * size), " " * (3 * size), ".", "", " \n ", "a.b$c|d^e" * size, None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for row in frame.select("i", D.split_text(F.col("t"), size, overlap).alias("parts")).collect():
+        text = texts[row.i]
+        assert row.parts == (None if text is None else [p for p in split_plainly(text, size, overlap, D.SEPARATORS) if p]), row.i
+        assert all(len(p) <= size for p in row.parts or [])
+
+
+def test_text_chunks_order_and_long_text(spark):
+    line = "the debit of the third of May is not in the contract. "
+    frame = spark.createDataFrame([(1, line * 20_000), (2, "too short"), (3, None), (4, ""), (5, "heading\n\n" + line * 30)], "page_id long, text string")
+    rows = D.text_chunks(frame).orderBy("page_id", "chunk_index").collect()
+    assert {x.page_id for x in rows} == {1, 5}
+    for page in (1, 5):
+        assert [x.chunk_index for x in rows if x.page_id == page] == list(range(sum(x.page_id == page for x in rows)))
+    # the heading stands alone, and is shorter than a chunk may be
+    assert all(x.text.startswith(("the debit", ".")) for x in rows)
+    assert "Python" not in D.text_chunks(frame)._jdf.queryExecution().toString()
+
+
 def test_text_chunks(spark):
     r = random.Random(3)
     texts = [" ".join("w" * r.randrange(1, 12) for _ in range(r.randrange(1, 700))) for _ in range(20)] + ["".join(r.choice("abcdefghij") for _ in range(3000)), "", None, "short"]
