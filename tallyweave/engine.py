@@ -83,6 +83,11 @@ class Engine:
         merged = retrieval.merge_hits(found, near, linked)
         return merged.orderBy("priority", F.desc("score"), "doc_id").limit(k).drop("priority")
 
+    def search_many(self, questions: DataFrame, chunks: DataFrame, k: int = 10, vectors: DataFrame | None = None, edges: DataFrame | None = None, entities: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """The hits that are kept of any number of questions, and what each question has found; see retrieval.search_many()."""
+        found = retrieval.search_many(questions, chunks, k, vectors, edges, entities, self.hooks.about)
+        return found.where("kept").drop("kept"), retrieval.search_summaries(questions, found)
+
     def payload(self, documents: DataFrame, amounts: DataFrame, found: DataFrame, anchors: DataFrame | None = None, refs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """The snapshot with its gaps filled from findings, and conflict rows: of findings first, then of the graph."""
         snap = grounding.fill_gaps(snapshot.snapshot(amounts, anchors, refs), grounding.label_amounts(found))

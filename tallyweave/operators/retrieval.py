@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tallyweave.folders import stored
+from tallyweave.functions.text import id_tokens, query_entities, route
+from tallyweave.operators.graph import k_hop
+
 
 def tokens(text: Column) -> Column:
     """Words of 2 to 64 letters, marks and digits of any script in lower case, each once."""
@@ -121,6 +126,66 @@ def merge_hits(keyword: DataFrame, vector: DataFrame, graph: DataFrame) -> DataF
     return everything.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("source", "doc_id", F.round("score", 4).alias("score"), "priority", "text")
 
 
+def named_hits(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """(question_id, doc_id, text) of the first k chunks, by id, that have all words of an identifier that the question (question_id, named) names.
+
+    An identifier's rarest word finds its candidates, so that a word of many chunks brings rows only where all words of an identifier are as common; the others are
+    looked for in the row."""
+    asked = questions.select("question_id", F.posexplode("named").alias("token_no", "token")).withColumn("need", tokens(F.col("token")))
+    words = asked.select("question_id", "token_no", "need", F.explode("need").alias("word"))
+    held = chunks.select("doc_id", F.explode(tokens(F.col("text"))).alias("word")).join(words.select("word").distinct(), "word", "left_semi").distinct()
+    counted = words.join(held.groupBy("word").agg(F.count("*").alias("n")), "word", "left")
+    rarest = counted.groupBy("question_id", "token_no").agg(F.min("need").alias("need"), F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
+    found = rarest.join(held, "word").select("question_id", "token_no", "need", "doc_id").join(chunks.select("doc_id", "text"), "doc_id")
+    found = found.where(F.size(F.array_except("need", tokens(F.col("text")))) == 0)
+    order = Window.partitionBy("question_id", "token_no").orderBy("doc_id", "text")
+    return found.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k).select("question_id", "doc_id", "text")
+
+
+def linked_hits(questions: DataFrame, chunks: DataFrame, edges: DataFrame, entities: DataFrame, depth: int = 2) -> DataFrame:
+    """(question_id, doc_id, text): chunks of the documents of entities (entity_id, doc_id, value) that edges (src, dst) link, over depth steps, with those that the
+    question (question_id, about) names. Case and outer blanks of names don't count."""
+    name = lambda c: F.lower(F.trim(c))
+    asked = questions.select("question_id", F.explode("about").alias("name")).select("question_id", name(F.col("name")).alias("name"))
+    seeds = stored(asked.join(entities.select(name(F.col("value")).alias("name"), F.col("entity_id").alias("seed")), "name").select("question_id", "seed").distinct(), "seeds")
+    reached = k_hop(edges, seeds.select(F.col("seed").alias("node")), depth)
+    docs = seeds.join(reached, "seed").select("question_id", F.col("node").alias("entity_id")).distinct().join(entities.select("entity_id", "doc_id"), "entity_id")
+    return docs.select("question_id", "doc_id").distinct().join(chunks.select("doc_id", "text"), "doc_id").select("question_id", "doc_id", "text")
+
+
+def search_many(questions: DataFrame, chunks: DataFrame, k: int = 10, vectors: DataFrame | None = None, edges: DataFrame | None = None, entities: DataFrame | None = None, about: Callable[[Column], Column] = query_entities) -> DataFrame:
+    """All questions (question_id, question, and query where vectors are given) in one plan: (question_id, route, source, doc_id, score, text, kept).
+
+    Each has max(3, k // 2) chunks (doc_id, text) for each identifier that it names; the k nearest (vec_id, a doc_id, and embedding); and, where it asks for relations and
+    the graph is given, the chunks of linked documents. kept: the first, in that order, of those with the same 100 first characters. route is the question's own; see
+    search_summaries(). A question without text, or without hits, has no rows; neither have chunks without text. Questions of one id are one question."""
+    words = F.col("question")
+    asked = questions.where("question_id is not null").dropDuplicates(["question_id"]).withColumns({"route": route(words), "named": id_tokens(words), "about": about(words)})
+    asked = stored(asked, "questions")  # five steps read it
+    chunks = chunks.where("doc_id is not null and text is not null")
+    found = {"keyword": named_hits(asked, chunks, max(3, k // 2)).withColumn("score", F.lit(1.0))}
+    if vectors is not None:
+        own = vectors.join(chunks.select(F.col("doc_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
+        near = vector_top_k(asked.where("trim(question) != ''").select(F.col("question_id").alias("query_id"), "query"), own, k)
+        found["vector"] = near.select(F.col("query_id").alias("question_id"), F.col("vec_id").alias("doc_id"), F.round("score", 4).alias("score")).join(chunks.select("doc_id", "text"), "doc_id")
+    if edges is not None and entities is not None:
+        found["graph"] = linked_hits(asked.where("route = 'graph'"), chunks, edges, entities).withColumn("score", F.lit(0.0))
+    parts = [rows.select("question_id", F.lit(i).alias("priority"), F.lit(source).alias("source"), "doc_id", "score", "text") for i, (source, rows) in enumerate(found.items())]
+    order = Window.partitionBy("question_id", F.substring("text", 1, 100)).orderBy("priority", F.desc("score"), "doc_id")
+    every = reduce(DataFrame.unionByName, parts).withColumn("kept", F.row_number().over(order) == 1)
+    return asked.select("question_id", "route").join(every, "question_id").select("question_id", "route", "source", "doc_id", "score", "text", "kept")
+
+
+def search_summaries(questions: DataFrame, found: DataFrame) -> DataFrame:
+    """Each question's hits by source, before equal ones go, and those that are kept; the route that was taken, which is the graph's only if it has found something;
+    and the identifiers that it names. Of search_many()'s rows."""
+    own = questions.where("question_id is not null").dropDuplicates(["question_id"]).select("question_id", route(F.col("question")).alias("asked"), id_tokens(F.col("question")).alias("id_tokens"))
+    n = {s: F.count_if(F.col("source") == s).alias(f"{s}_count") for s in ("keyword", "vector", "graph")}
+    out = own.join(found.groupBy("question_id").agg(*n.values(), F.count_if("kept").alias("total")), "question_id", "left").fillna(0)
+    taken = F.when((F.col("asked") == "graph") & (F.col("graph_count") > 0), "graph").otherwise("vector")
+    return out.select("question_id", taken.alias("route"), *(f"{s}_count" for s in n), "total", "id_tokens")
+
+
 def search_summary(merged: DataFrame, route: Column) -> DataFrame:
     """Hits of each source, all of them, and the route that was taken: the graph's only if it has found something."""
     n = {s: F.count_if(F.col("source") == s) for s in ("keyword", "vector", "graph")}

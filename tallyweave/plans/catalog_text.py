@@ -270,6 +270,48 @@ def adaptive_k(spark, d):
     return L.table(spark, d, "documents").select("doc_id", R.adaptive_k(F.floor(F.col("n_chars") / 2000) + 1, 50, 80).alias("k"))
 
 
+_NAME = "'C' || translate(CAST({0} AS VARCHAR), '0123456789', 'abcdefghij')"
+_FOUND = f"""ch AS (SELECT o_orderkey AS doc_id, o_custkey, 'INV-' || year(o_orderdate) || '-' || o_orderkey AS ref, 'Invoice INV-' || year(o_orderdate) || '-' || o_orderkey || ' of ' || {_NAME.format("o_custkey")} || ', ' || o_orderpriority AS text FROM orders),
+q AS (SELECT c_custkey AS question_id, c_custkey // 100 % 3 AS kind, {_NAME.format("c_custkey")} AS name, ref FROM customer LEFT JOIN (SELECT o_custkey, arg_min(ref, doc_id) AS ref FROM ch GROUP BY 1) f ON c_custkey = o_custkey WHERE c_custkey % 100 = 0),
+kw AS (SELECT question_id, doc_id, 1.0::DOUBLE AS score, text FROM q, ch WHERE kind <> 1 AND q.ref IS NOT NULL AND list_has_all(regexp_extract_all(lower(text), '[a-z0-9]+'), list_filter(regexp_extract_all(lower(q.ref), '[a-z0-9]+'), lambda t: length(t) >= 2)) QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY doc_id) <= 5),
+near AS (SELECT question_id, v.vec_id AS doc_id, list_cosine_similarity(a.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS cosine, text FROM q JOIN embeddings a ON a.vec_id = question_id, embeddings v JOIN ch ON ch.doc_id = v.vec_id QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY cosine DESC, v.vec_id) <= 10),
+every AS (SELECT question_id, 0 AS p, 'keyword' AS source, doc_id, score, text FROM kw UNION ALL SELECT question_id, 1, 'vector', doc_id, round(cosine, 4), text FROM near
+  UNION ALL SELECT question_id, 2, 'graph', doc_id, 0.0, text FROM q JOIN ch ON o_custkey = question_id WHERE kind = 0),
+found AS (SELECT *, row_number() OVER (PARTITION BY question_id, left(text, 100) ORDER BY p, score DESC, doc_id) = 1 AS kept FROM every)"""
+
+
+def _asked(spark, d):
+    """Questions about every hundredth customer and the vectors that stand for them; all orders as chunks, with the graph of customers and orders."""
+    name = lambda c: F.concat(F.lit("C"), F.translate(c.cast("string"), "0123456789", "abcdefghij"))
+    orders, v = L.table(spark, d, "orders"), L.table(spark, d, "embeddings")
+    ref = F.concat_ws("-", F.lit("INV"), F.year("o_orderdate").cast("string"), F.col("o_orderkey").cast("string"))
+    chunks = orders.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("Invoice "), ref, F.lit(" of "), name(F.col("o_custkey")), F.lit(", "), "o_orderpriority").alias("text"))
+    first = orders.groupBy("o_custkey").agg(F.min_by(ref, "o_orderkey").alias("ref"))
+    own, kind = name(F.col("c_custkey")), F.floor(F.col("c_custkey") / 100) % 3
+    question = F.when(kind == 0, F.concat(F.lit("reconcile invoices of "), own, F.coalesce(F.concat(F.lit(" with "), "ref"), F.lit("")))).when(kind == 1, F.concat(F.lit("how much does "), own, F.lit(" owe"))).otherwise(F.concat(F.lit("is it paid: "), F.coalesce("ref", F.lit("?"))))
+    asked = L.table(spark, d, "customer").where("c_custkey % 100 = 0").join(first, F.col("c_custkey") == F.col("o_custkey"), "left").join(v.select(F.col("vec_id").alias("c_custkey"), F.col("embedding").alias("query")), "c_custkey", "left")
+    questions = asked.select(F.col("c_custkey").alias("question_id"), question.alias("question"), "query")
+    edges = orders.select(name(F.col("o_custkey")).alias("src"), ref.alias("dst"))
+    entities = orders.select(ref.alias("entity_id"), F.col("o_orderkey").alias("doc_id"), F.lit("invoice").alias("value")).unionByName(orders.select(name(F.col("o_custkey")).alias("entity_id"), F.lit(None).cast("long").alias("doc_id"), name(F.col("o_custkey")).alias("value")).distinct())
+    return questions, R.search_many(questions, chunks, 10, v.select("vec_id", "embedding"), edges, entities)
+
+
+@query(f"WITH {_FOUND} SELECT question_id, source, doc_id, score FROM found WHERE kept")
+def search_many(spark, d):
+    """Many questions at once: by identifier, by vector and by graph."""
+    return _asked(spark, d)[1].where("kept").select("question_id", "source", "doc_id", "score")
+
+
+@query(
+    f"""WITH {_FOUND}, n AS (SELECT question_id, count(*) FILTER (source = 'keyword') AS keyword_count, count(*) FILTER (source = 'vector') AS vector_count, count(*) FILTER (source = 'graph') AS graph_count, count(*) FILTER (kept) AS total FROM found GROUP BY 1)
+SELECT q.question_id, CASE WHEN kind <> 1 AND coalesce(graph_count, 0) > 0 THEN 'graph' ELSE 'vector' END AS route, coalesce(keyword_count, 0) AS keyword_count, coalesce(vector_count, 0) AS vector_count, coalesce(graph_count, 0) AS graph_count, coalesce(total, 0) AS total, CASE WHEN kind = 1 THEN '' ELSE coalesce(ref, '') END AS ids FROM q LEFT JOIN n ON n.question_id = q.question_id"""
+)
+def search_summaries(spark, d):
+    """What each of these questions has found, and by which route."""
+    rows = R.search_summaries(*_asked(spark, d))
+    return rows.withColumn("ids", F.array_join("id_tokens", ",")).drop("id_tokens")
+
+
 # ---------------------------------------------------------------- state
 
 
