@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import text
 from tallyweave.hooks import Hooks
-from tallyweave.operators import control, findings, graph, grounding, pairs, retrieval, snapshot, state
+from tallyweave.operators import adjudication, control, findings, graph, grounding, pairs, retrieval, snapshot, state
 from tallyweave.shipping import ship
 
 
@@ -49,6 +49,11 @@ class Engine:
     def checklist(self, documents: DataFrame) -> DataFrame:
         return state.checklist(documents, self.spark)
 
+    def adjudicate(self, checks: DataFrame, documents: DataFrame, hits: DataFrame) -> DataFrame:
+        """The findings of an audit's checks (audit_id, check_no, check_type) out of what was found for each (audit_id, check_no, doc_id, position, page, text)."""
+        asked = control.dispatch(checks, documents).where("action = 'adjudicate'")
+        return self.hooks.adjudicate(asked, adjudication.snippets_of(hits, documents))
+
     def replan(self, prior: DataFrame, fresh: DataFrame, found: DataFrame, documents: DataFrame, least_checks: int = 4, passes: int = 1) -> DataFrame:
         """One more pass of planning for audits with two documents, no finding and few checks, after fewer than two passes."""
         if passes >= control.MAX_PASSES:

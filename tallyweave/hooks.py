@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions.money import number_multiset
 from tallyweave.functions.text import query_entities
 from tallyweave.functions.text import document_type
+from tallyweave.operators.adjudication import rule_adjudication
 from tallyweave.operators.documents import LEAST_ROWS, has_amount
 from tallyweave.operators.extraction import rule_entities
 from tallyweave.operators.pairs import severity
@@ -33,11 +34,6 @@ def repaired(original: Column, repair: Column) -> Column:
     return F.when((number_multiset(original) == number_multiset(repair)) & rows, repair).otherwise(original)
 
 
-def no_findings(checks: DataFrame, snippets: DataFrame) -> DataFrame:
-    """Checks are left to a model; without one they find nothing."""
-    return checks.limit(0).select("audit_id", "check_no", F.lit("").alias("title"))
-
-
 @dataclass
 class Hooks:
     classify: Callable[[Column, Column], Column] = document_type
@@ -46,5 +42,5 @@ class Hooks:
     repair: Callable[[Column], Column] = field(default=lambda text: text)
     entities: Callable[[DataFrame], DataFrame] = rule_entities
     about: Callable[[Column], Column] = query_entities
-    adjudicate: Callable[[DataFrame, DataFrame], DataFrame] = no_findings
+    adjudicate: Callable[[DataFrame, DataFrame], DataFrame] = rule_adjudication
     ocr: Callable[[bytes], str] | None = None
