@@ -18,6 +18,8 @@ BANK_ROLES = ["transaction_debit", "transaction_credit", "statement_total_debits
 LANGUAGES = ["arabic", "english", "mixed", "unknown"]
 # Least characters of a chunk that is read, and of its text that is.
 LEAST_CHARS, READ_CHARS = 100, 2000
+# What stands before an amount below zero: a minus with a blank or bar before it, or a bracket that closes behind the amount.
+BELOW_ZERO = rf"(?:(?<![^\s|])[-\u2212]|\((?=(?:{AMOUNT})\)))"
 #: Words of a line's label and the role that they give the amount after it, in order.
 LABELS = [
     ("opening balance", "opening_balance"), ("closing balance", "closing_balance"), ("total debits", "statement_total_debits"), ("total credits", "statement_total_credits"), ("subtotal", "invoice_subtotal"), ("vat", "vat_tax"),
@@ -96,14 +98,17 @@ def rule_entities(chunks: DataFrame) -> DataFrame:
     """Amounts that rules find in chunks (doc_id, chunk_index, text): (doc_id, chunk_index, line_no, amount_role, raw, txn_ref, txn_date).
 
     A register's row has its movement last but one and its balance last: a balance that falls makes it a debit, one that rises a
-    credit; the first row of a document is unknown. A row with one amount is unknown too. Elsewhere a line's label gives the role."""
+    credit; the first row of a document is unknown. A balance behind a minus, or in brackets, is below zero. A row with one amount is unknown too. Elsewhere a line's label gives
+    the role."""
     lines = chunks.select("doc_id", "chunk_index", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     row = F.startswith("line", F.lit(ROW_MARK)) & ~F.contains("line", F.lit("columns:"))
     found = F.regexp_extract_all("line", F.lit(f"({AMOUNT})"), 1)
     lines = lines.withColumns({"is_row": row, "found": found}).where(F.size("found") > 0)
     number = lambda c: F.replace(c, F.lit(","), F.lit("")).try_cast("double")
     by_doc = Window.partitionBy("doc_id").orderBy("chunk_index", "line_no")
-    rows = lines.where("is_row").withColumn("balance", F.when(F.size("found") > 1, number(F.try_element_at("found", F.lit(-1)))))
+    last = F.try_element_at(F.regexp_extract_all("line", F.lit(f"({BELOW_ZERO}?(?:{AMOUNT}))"), 1), F.lit(-1))
+    balance = number(F.try_element_at("found", F.lit(-1)))
+    rows = lines.where("is_row").withColumn("balance", F.when(F.size("found") > 1, F.when(F.rlike(last, F.lit("^[0-9]")), balance).otherwise(-balance)))
     rows = rows.withColumn("before", F.lag("balance").over(by_doc))
     step = F.signum(F.col("balance") - F.col("before"))
     cells = F.regexp_replace(F.col("line"), r"^\[TABLE ROW\]\s*", "")

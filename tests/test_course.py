@@ -144,3 +144,11 @@ def test_payload(spark, sf_dir):
     for r in rows:
         per.setdefault(r.audit_id, []).append((r.position, frozenset((r.doc_a_value, r.doc_b_value))))
     assert rows and max(map(len, per.values())) <= 30 and all(sorted(p for p, _ in v) == list(range(1, len(v) + 1)) for v in per.values())
+
+
+def test_balances_below_zero_fall_and_rise_like_others(spark):
+    """Statements that go below zero, behind a minus or in brackets; a hyphen inside of a word is no sign."""
+    rows = ["50.00 | 20.00", "30.00 | -10.00", "40.00 | -50.00", "20.00 | (30.00)", "70.00 | \u2212100.00", "5.00 | REF-95.00"]
+    text = "\n".join(f"[TABLE ROW] 0{k}/01/2024 | {r}" for k, r in enumerate(rows, 1))
+    found = X.rule_entities(spark.createDataFrame([("d", 0, text)], "doc_id string, chunk_index int, text string")).orderBy("line_no").collect()
+    assert [(r.amount_role, r.raw) for r in found] == [("unknown", "50.00"), ("transaction_debit", "30.00"), ("transaction_debit", "40.00"), ("transaction_credit", "20.00"), ("transaction_debit", "70.00"), ("transaction_credit", "5.00")]
