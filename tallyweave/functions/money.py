@@ -130,8 +130,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def variants(value: Column) -> list[Column]:
-    """The ways that an amount may be written: with and without thousands, with two decimals and with none."""
-    return [F.format_number(value, 2), F.format_number(value, 0), F.format_string("%.2f", value), F.format_string("%.0f", value)]
+    """The ways that an amount may be written: with and without thousands, with two decimals and with none. Halves go to even with thousands and without."""
+    return [F.format_number(value, 2), F.format_number(value, 0), F.format_string("%.2f", value), F.format_string("%.0f", F.rint(value))]
 
 
 def number_multiset(text: Column) -> Column:

@@ -63,3 +63,10 @@ def test_whole_texts_reach_language_and_normalisation(spark, sf_dir):
         words = t.split()
         assert normal[i, 0].split() == words and normal[i, 2].split()[-len(words) :] == words
         assert len(normal[i, 1].split()) == len(words) + 2
+
+
+def test_amounts_without_decimals_are_written_one_way(spark):
+    """Halves go to even, as the reference's own formatting has them, with thousands and without."""
+    values = [1002.5, 1003.5, 1004.5, 2000.49]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(*(v.alias(f"f{k}") for k, v in enumerate(M.variants(F.col("v"))))).collect()
+    assert [tuple(r) for r in rows] == [(f"{v:,.2f}", f"{v:,.0f}", f"{v:.2f}", f"{v:.0f}") for v in values]
