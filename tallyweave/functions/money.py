@@ -62,7 +62,8 @@ def parse_amount(text: Column) -> Column:
     whole = F.regexp_extract(s, SINGLE, 1)
     beside = F.concat(_all(s, LEFT, 1), _all(s, RIGHT, 1))
     valid = F.filter(beside, lambda t: ~is_year(t))
-    return F.when(whole != "", to_number(whole)).when(F.size(valid) > 0, _unique(beside)).otherwise(_unique(_all(s, RUN, 0)))
+    # an empty string is no number
+    return F.coalesce(to_number(whole), F.when(F.size(valid) > 0, _unique(beside)).otherwise(_unique(_all(s, RUN, 0))))
 
 
 def currency_code(text: Column) -> Column:
@@ -75,8 +76,8 @@ def currency_code(text: Column) -> Column:
 def scan_amounts(text: Column, least: float = 1000.0) -> Column:
     """Values of runs of digits, commas and points, from least on, without years to 2035, in order."""
     groups = _all(F.coalesce(western_digits(text), F.lit("")), GROUP, 0)
-    kept = F.filter(groups, lambda g: F.coalesce((parse_amount(g) >= least) & ~is_year(g, 2035), F.lit(False)))
-    return F.transform(kept, parse_amount)
+    values = F.transform(F.filter(groups, lambda g: ~F.coalesce(is_year(g, 2035), F.lit(False))), parse_amount)
+    return F.filter(values, lambda v: F.coalesce(v >= least, F.lit(False)))
 
 
 def within_tiny_tolerance(a: Column, b: Column) -> Column:
@@ -88,6 +89,10 @@ def coarse(value: Column) -> Column:
     return F.when(value < 10_000, F.bround(value / 100) * 100).otherwise(F.bround(value / 1_000) * 1_000)
 
 
+def _last(text: Column, chars: int) -> Column:
+    return F.substring(text, -chars, chars)
+
+
 def _found(text: Column, pattern: str) -> Column:
     """Matches of a pattern as (position, end, raw, before), in order: before is the WINDOW_CHARS before. In one fold over the
     pieces between marks, so that the text is not built again for every match."""
@@ -101,7 +106,7 @@ def _found(text: Column, pattern: str) -> Column:
         found = F.struct(acc["at"].alias("position"), (acc["at"] + F.length(raw)).alias("end"), raw.alias("raw"), acc["tail"].alias("before"))
         return F.struct(
             (acc["at"] + F.length(plain)).alias("at"),
-            F.right(F.concat(acc["tail"], F.right(plain, F.lit(WINDOW_CHARS))), F.lit(WINDOW_CHARS)).alias("tail"),
+            _last(F.concat(acc["tail"], _last(plain, WINDOW_CHARS)), WINDOW_CHARS).alias("tail"),
             F.when(marked, F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"),
         )
 
@@ -113,8 +118,8 @@ def amounts_in(text: Column) -> Column:
     reference are no amounts. before: the 50 characters that precede it. Null texts have none."""
     s = F.translate(western_digits(F.coalesce(text, F.lit(""))), "،\x01\x02", ",\x03\x03")
     both = F.concat(_found(s, rf"(?i){PROSE_NUMBER}\s*(?:{PROSE_CURRENCY})"), _found(s, rf"(?i)(?:{PROSE_CURRENCY})\s*{PROSE_NUMBER}"))
-    kept = F.filter(F.array_distinct(both), lambda x: ~F.rlike(F.right(x["before"], F.lit(LABEL_CHARS)), F.lit(REFERENCE_LABEL)))
-    with_value = F.transform(F.array_sort(kept), lambda x: F.struct(x["position"].alias("position"), x["end"].alias("end"), x["raw"].alias("raw"), x["before"].alias("before"), parse_amount(x["raw"]).alias("value")))
+    kept = F.filter(F.array_distinct(both), lambda x: ~F.rlike(_last(x["before"], LABEL_CHARS), F.lit(REFERENCE_LABEL)))
+    with_value = F.transform(F.sort_array(kept), lambda x: F.struct(x["position"].alias("position"), x["end"].alias("end"), x["raw"].alias("raw"), x["before"].alias("before"), parse_amount(x["raw"]).alias("value")))
     return F.filter(with_value, lambda x: x["value"].isNotNull())
 
 

@@ -23,13 +23,10 @@ TYPE_ORDER = ["contract", "invoice", "payment_certificate", "bank_statement"]
 
 def role_before(window: Column) -> Column:
     """The role whose word is nearest to the end of the window; the first of equals; null without any."""
-    w = F.lower(window)
-    at = []
-    for order, (role, word) in enumerate((r, x) for r, words in ROLE_WORDS.items() for x in words):
-        back = F.instr(F.reverse(w), word[::-1])
-        at.append(F.struct(F.when(back > 0, F.length(w) - back - len(word) + 1).otherwise(-1).alias("at"), F.lit(-order).alias("order"), F.lit(role).alias("role")))
-    best = F.array_max(F.array(*at))
-    return F.when(best["at"] >= 0, best["role"])
+    roles = {x: role for role, words in ROLE_WORDS.items() for x in words}
+    # what goes before is taken as far as it goes, so that the word is the last one; of words at one place the first listed counts
+    word = F.regexp_extract(F.lower(window), f"(?s)^.*({'|'.join(roles)})", 1)
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in roles.items() for x in kv)), word)
 
 
 def label_amounts(findings: DataFrame) -> DataFrame:
