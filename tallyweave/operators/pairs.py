@@ -1,7 +1,7 @@
 """Amounts of different documents against each other: contradictions and restatements.
 
-Which roles may be compared is a dimension table, so that comparison is an equi-join on
-audit, role and shared anchor; the order of the two ids is a residual condition.
+Which roles may be compared is a dimension table; comparison is an equi-join on audit and
+shared anchor; the order of the two ids and the pair of roles are residual conditions.
 """
 
 from __future__ import annotations
@@ -60,28 +60,28 @@ def _relative(a: Column, b: Column) -> Column:
     return F.when((total > 0) & a.isNotNull() & b.isNotNull(), F.abs(a - b).cast("double") / total).otherwise(F.lit(0.0))
 
 
-def _pairs(left: DataFrame, right: DataFrame, on: list[str], pairs: DataFrame) -> DataFrame:
-    texts = ["normalized_value"] if "normalized_value" in left.columns else []
-    side = lambda df, k: df.select(*on, *(F.col(c).alias(f"{c}{k}") for c in ("entity_id", "doc_id", "doc_type", "amount_role", "amount_value", "amount_currency", *texts)))
-    one = side(left, 1).join(F.broadcast(pairs), F.col("amount_role1") == F.col("role1")).drop("role1")
-    two = side(right, 2)
-    joined = one.join(two, [one[c] == two[c] for c in on] + [one.role2 == two.amount_role2]).drop(*(two[c] for c in on)).drop("role2")
-    kept = joined.where((F.col("entity_id1") < F.col("entity_id2")) & (F.col("doc_id1") != F.col("doc_id2")))
+def _pairs(rows: DataFrame, on: list[str], pairs: DataFrame) -> DataFrame:
+    texts = ["normalized_value"] if "normalized_value" in rows.columns else []
+    # rows of roles that may be compared, dealt once for both sides; most roles of a group may be compared, so that roles are looked at pair by pair
+    rows = rows.join(F.broadcast(pairs.select(F.col("role1").alias("amount_role")).distinct()), "amount_role", "left_semi")
+    side = lambda k: rows.select(*on, *(F.col(c).alias(f"{c}{k}") for c in ("entity_id", "doc_id", "doc_type", "amount_role", "amount_value", "amount_currency", *texts)))
+    named = pairs.select(F.col("role1").alias("amount_role1"), F.col("role2").alias("amount_role2"), *(c for c in pairs.columns if c not in ("role1", "role2")))
+    joined = side(1).join(side(2), on).where((F.col("entity_id1") < F.col("entity_id2")) & (F.col("doc_id1") != F.col("doc_id2"))).join(F.broadcast(named), ["amount_role1", "amount_role2"])
     texts = [F.col(f"{c}{k}") for c in texts for k in (1, 2)]
-    kept = kept.where(same_currency(F.col("amount_currency1"), F.col("amount_currency2")) & materially_different(F.col("amount_value1"), F.col("amount_value2"), *texts))
+    kept = joined.where(same_currency(F.col("amount_currency1"), F.col("amount_currency2")) & materially_different(F.col("amount_value1"), F.col("amount_value2"), *texts))
     return kept.withColumn("relative_difference", _relative(F.col("amount_value1"), F.col("amount_value2")))
 
 
 def anchored(amounts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Comparable, materially different amounts of different documents that share an anchor, one row for each anchor."""
     rows = amounts.where("anchor_id is not null")
-    return _pairs(rows, rows, ["audit_id", "anchor_id"], pairs)
+    return _pairs(rows, ["audit_id", "anchor_id"], pairs)
 
 
 def anchorless(amounts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The same for roles that need no anchor, without the pairs that have one."""
     rows = amounts.where(F.col("amount_role").isin(*ANCHORLESS))
-    found = _pairs(rows, rows, ["audit_id"], pairs.where("role1 = role2"))
+    found = _pairs(rows, ["audit_id"], pairs.where("role1 = role2"))
     return found.join(anchored(rows, pairs).select("entity_id1", "entity_id2"), ["entity_id1", "entity_id2"], "left_anti")
 
 

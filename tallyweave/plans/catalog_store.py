@@ -133,9 +133,10 @@ def sql_contradictions(spark, d):
     Q.register(spark)
     Q.view("tw_amounts", L.amounts(spark, d))
     return spark.sql(
-        """SELECT a.audit_id, a.anchor_id, a.entity_id AS entity_id1, b.entity_id AS entity_id2, r.reason FROM tw_amounts a JOIN tw_role_pairs r ON a.amount_role = r.role1
-JOIN tw_amounts b ON b.amount_role = r.role2 AND b.audit_id = a.audit_id AND b.anchor_id = a.anchor_id
-WHERE a.entity_id < b.entity_id AND a.doc_id <> b.doc_id AND tw_same_currency(a.amount_currency, b.amount_currency) AND tw_differ(a.amount_value, b.amount_value)"""
+        """WITH rows AS (SELECT * FROM tw_amounts LEFT SEMI JOIN tw_role_pairs ON amount_role = role1 WHERE anchor_id IS NOT NULL)
+SELECT /*+ BROADCAST(r) */ a.audit_id, a.anchor_id, a.entity_id AS entity_id1, b.entity_id AS entity_id2, r.reason
+FROM rows a JOIN rows b ON b.audit_id = a.audit_id AND b.anchor_id = a.anchor_id AND a.entity_id < b.entity_id AND a.doc_id <> b.doc_id JOIN tw_role_pairs r ON a.amount_role = r.role1 AND b.amount_role = r.role2
+WHERE tw_same_currency(a.amount_currency, b.amount_currency) AND tw_differ(a.amount_value, b.amount_value)"""
     )
 
 

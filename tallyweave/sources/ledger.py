@@ -35,7 +35,7 @@ def currencies(customer: DataFrame) -> DataFrame:
     return customer.select(F.col("c_custkey").alias("audit_id"), code.alias("amount_currency"))
 
 
-def invoice_sums(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+def invoice_sums(orders: DataFrame, lineitem: DataFrame, how: str = "inner") -> DataFrame:
     """Subtotal and VAT of each order with lines; urgent orders overstate their total by 100."""
     net = money(F.col("l_extendedprice")) * (F.lit(1).cast("decimal(3,2)") - F.col("l_discount").cast("decimal(3,2)"))
     lines = lineitem.groupBy("l_orderkey").agg(
@@ -44,7 +44,7 @@ def invoice_sums(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         F.min(F.when(F.col("l_returnflag") == "R", money(F.col("l_extendedprice")))).alias("retainer"),
     )
     surcharge = F.when(F.col("o_orderpriority") == "1-URGENT", 100).otherwise(0).cast(MONEY)
-    return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("total", (F.col("subtotal") + F.col("vat") + surcharge).cast(MONEY))
+    return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), how).withColumn("total", (F.col("subtotal") + F.col("vat") + surcharge).cast(MONEY))
 
 
 def _stacked(df: DataFrame, roles: dict[str, Column]) -> DataFrame:
@@ -89,20 +89,19 @@ def identifiers(orders: DataFrame) -> DataFrame:
 
 
 def order_amounts(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """Amounts of the contract and the invoice of each order; orders with their amount_currency."""
     total = money(F.col("o_totalprice"))
     third = F.when(F.col("o_orderstatus") == "O", _cents(total * F.lit(0.3).cast("decimal(2,1)"))).when(F.col("o_orderstatus") == "P", _cents(total * F.lit(0.4).cast("decimal(2,1)")))
     last = F.when(F.col("o_orderstatus") == "P", total - 2 * third).otherwise(third)
     key = F.col("o_orderkey").cast("string")
-    contracts = _stacked(
-        orders.select("o_orderkey", "o_custkey", total.alias("t"), third.alias("m1"), third.alias("m2"), last.alias("m3")),
-        {"total_contract_value": F.col("t"), "milestone_1": F.col("m1"), "milestone_2": F.col("m2"), "milestone_3": F.col("m3")},
-    ).select("o_orderkey", "o_custkey", "amount_role", "amount_value", F.concat(F.lit("CT-"), key).alias("doc_id"), F.lit("contract").alias("doc_type"))
     quoted = F.when(F.col("o_orderstatus") == "F", _cents(total * F.lit(1.05).cast("decimal(3,2)"))).otherwise(total)
-    invoices = _stacked(
-        invoice_sums(orders, lineitem).withColumn("quoted", quoted),
-        {"invoice_subtotal": F.col("subtotal"), "vat_tax": F.when(F.col("o_orderpriority") != "5-LOW", F.col("vat")), "total_invoice": F.col("total"), "invoice_referenced_contract_value": F.col("quoted"), "retainer": F.col("retainer")},
-    ).select("o_orderkey", "o_custkey", "amount_role", "amount_value", F.concat(F.lit("IN-"), key).alias("doc_id"), F.lit("invoice").alias("doc_type"))
-    both = contracts.unionByName(invoices)
+    # what is known of an order comes together before its amounts become rows
+    whole = invoice_sums(orders, lineitem, "left")
+    whole = whole.select("o_orderkey", "o_custkey", "amount_currency", total.alias("t"), third.alias("m"), last.alias("m3"), "subtotal", F.when(F.col("o_orderpriority") != "5-LOW", F.col("vat")).alias("vat"), "total", F.when(F.col("l_orderkey").isNotNull(), quoted).alias("quoted"), "retainer")
+    contract = {"total_contract_value": F.col("t"), "milestone_1": F.col("m"), "milestone_2": F.col("m"), "milestone_3": F.col("m3")}
+    invoice = {"invoice_subtotal": F.col("subtotal"), "vat_tax": F.col("vat"), "total_invoice": F.col("total"), "invoice_referenced_contract_value": F.col("quoted"), "retainer": F.col("retainer")}
+    both = _stacked(whole, contract | invoice).withColumn("doc_type", F.when(F.col("amount_role").isin(*contract), "contract").otherwise("invoice"))
+    both = both.withColumn("doc_id", F.concat(F.when(F.col("doc_type") == "contract", "CT-").otherwise("IN-"), key))
     return both.select(
         F.col("o_custkey").alias("audit_id"),
         "doc_id",
@@ -111,6 +110,7 @@ def order_amounts(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         F.concat_ws(":", "doc_id", "amount_role").alias("entity_id"),
         F.when(F.col("amount_role").startswith("milestone_"), "milestone_scheduled").otherwise(F.col("amount_role")).alias("amount_role"),
         "amount_value",
+        "amount_currency",
         F.lit(1).alias("source_page"),
         F.lit(None).cast("string").alias("txn_ref"),
         F.lit(None).cast("string").alias("txn_date"),
@@ -151,8 +151,10 @@ def bank_amounts(events: DataFrame) -> DataFrame:
 def amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All amounts of all audits; amount_value is DECIMAL(18,2)."""
     of = lambda name: table(spark, sf_dir, name)
-    rows = order_amounts(of("orders"), of("lineitem")).unionByName(bank_amounts(of("events"))).unionByName(balance_sheets(of("supplier")))
-    return rows.join(currencies(of("customer")), "audit_id", "left").select(AMOUNT_COLUMNS)
+    known = currencies(of("customer"))
+    orders = of("orders").join(known.withColumnRenamed("audit_id", "o_custkey"), "o_custkey", "left")
+    others = bank_amounts(of("events")).unionByName(balance_sheets(of("supplier"))).join(known, "audit_id", "left")
+    return order_amounts(orders, of("lineitem")).unionByName(others).select(AMOUNT_COLUMNS)
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
