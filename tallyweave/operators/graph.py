@@ -31,7 +31,8 @@ def merge_edges(edges: DataFrame) -> DataFrame:
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).where("src != dst").distinct()
+    """Edges in both directions, each once; dealt by src, so that what is joined to it finds them where they are."""
+    return edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).where("src != dst").repartition("src").distinct()
 
 
 def k_hop(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
@@ -40,8 +41,8 @@ def k_hop(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     reached = seeds.select(F.col("node").alias("seed"), F.col("node"), F.lit(0).alias("hops")).distinct()
     frontier = reached
     for hop in range(1, depth + 1):
-        stepped = frontier.join(edges, frontier.node == edges.src).select("seed", F.col("dst").alias("node"), F.lit(hop).alias("hops")).distinct()
-        frontier = stepped.join(reached.select("seed", "node"), ["seed", "node"], "left_anti")
+        stepped = frontier.join(edges, frontier.node == edges.src).select("seed", F.col("dst").alias("node")).distinct()
+        frontier = stepped.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(hop))
         reached = reached.unionByName(frontier)
     return reached
 
