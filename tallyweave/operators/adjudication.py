@@ -20,50 +20,50 @@ ADVICE = "Compare both records and correct the one that is wrong."
 def snippets_of(hits: DataFrame, documents: DataFrame) -> DataFrame:
     """The snippets of each check out of its hits (audit_id, check_no, doc_id, position, page, text), with file name and type of their documents (audit_id, doc_id, filename,
     doc_type): the first 14 with different document and head; none where there are fewer than two. Hits without text are none."""
-    text = F.btrim("text", F.lit(" \t\n\r"))
-    rows = grounding.snippets(hits.select("audit_id", "check_no", "doc_id", "position", "page", text.alias("text")).where("text != ''"), chars=HEAD, least=LEAST)
+    text = F.substring(F.btrim("text", F.lit(" \t\n\r")), 1, READ)  # no more is read, nor moved
+    rows = hits.select("audit_id", "check_no", "doc_id", "position", "page", text.alias("text")).where("text != ''")
     about = documents.dropDuplicates(["audit_id", "doc_id"]).select("audit_id", "doc_id", "filename", "doc_type")
-    return rows.withColumn("text", F.substring("text", 1, READ)).join(about, ["audit_id", "doc_id"], "left")
+    # hits come to their documents first: those of one document with one head are together then
+    return grounding.snippets(rows.join(about, ["audit_id", "doc_id"], "left"), chars=HEAD, least=LEAST)
 
 
 def _figures(snippets: DataFrame) -> DataFrame:
-    """The amounts that rules find in snippets, with what their snippet is about: a currency, and the first number of a contract, order or invoice."""
-    key = F.struct("audit_id", "check_no", "snippet_no")
-    about = snippets.select(key.alias("doc_id"), F.col("doc_id").alias("document"), "doc_type", currency_code(F.col("text")).alias("currency"), F.nullif(identifier_core(F.regexp_extract("text", REFERENCE, 1)), F.lit("")).alias("reference"))
-    found = rule_entities(snippets.select(key.alias("doc_id"), F.col("snippet_no").alias("chunk_index"), "text")).join(about, "doc_id")
+    """The amounts that rules find in snippets, of roles that may be compared, with what their snippet is about: a currency, and the first number of a contract, order or invoice.
+    Those of a check are in one partition."""
+    # what is known of a snippet goes with its key, so that nothing is joined to its amounts
+    key = F.struct("audit_id", "check_no", "snippet_no", "most", F.col("doc_id").alias("document"), "doc_type", currency_code(F.col("text")).alias("currency"), F.nullif(identifier_core(F.regexp_extract("text", REFERENCE, 1)), F.lit("")).alias("reference"))
+    found = rule_entities(snippets.select(key.alias("doc_id"), F.col("snippet_no").alias("chunk_index"), "text"))
     value = parse_amount(F.col("raw")).cast("decimal(18,2)")
-    rows = found.select("doc_id.*", F.col("document").alias("doc_id"), role_for_type(F.col("amount_role"), F.col("doc_type")).alias("role"), value.alias("value"), "currency", "reference")
-    return rows.where("value is not null").distinct()
+    rows = found.select("doc_id.*", role_for_type(F.col("amount_role"), F.col("doc_id.doc_type")).alias("role"), value.alias("value")).drop("doc_type").withColumnRenamed("document", "doc_id")
+    return rows.where(F.col("value").isNotNull() & F.col("role").isin(pairs.COMPARED)).repartition("audit_id", "check_no").distinct()
 
 
 def rule_adjudication(checks: DataFrame, snippets: DataFrame) -> DataFrame:
     """Findings of checks (audit_id, check_no, most; others have none): amounts of comparable roles that differ materially, in snippets of two documents.
 
     Amounts of two currencies, or of snippets that name two contracts, aren't compared. The same two amounts for one reason are one finding, of the first snippets; a check
-    gives its most material ones, at most `most`. A check has 14 snippets at most, so its pairs are bounded. Without checks or snippets there are no findings."""
+    gives its most material ones, at most `most`. A check has 14 snippets at most, so its pairs are bounded, and met where its amounts are. Without checks or snippets there are no findings."""
     asked = checks.where("most > 0").select("audit_id", "check_no", "most").dropDuplicates(["audit_id", "check_no"])
-    # both are read several times
-    snippets = stored(snippets.join(asked.select("audit_id", "check_no"), ["audit_id", "check_no"], "left_semi"), "snippets")
-    rows = stored(_figures(snippets), "figures")
-    roles = F.broadcast(pairs.role_pairs(snippets.sparkSession))
-    side = lambda k: rows.select("audit_id", "check_no", *(F.col(c).alias(f"{c}{k}") for c in ("snippet_no", "doc_id", "role", "value", "currency", "reference")))
-    both = side(1).join(roles, "role1").join(side(2), ["audit_id", "check_no", "role2"])
+    snippets = stored(snippets.join(asked, ["audit_id", "check_no"]), "snippets")  # read several times
+    rows = _figures(snippets)
+    side = lambda k: rows.select("audit_id", "check_no", *(F.col(c).alias(f"{c}{k}") for c in ("snippet_no", "doc_id", "role", "value", "currency", "reference")), *(["most"] if k == 1 else []))
+    both = side(1).join(side(2), ["audit_id", "check_no"]).where((F.col("snippet_no1") < F.col("snippet_no2")) & (F.col("doc_id1") != F.col("doc_id2")))
+    both = both.withColumn("reason", pairs.reason_of(F.col("role1"), F.col("role2"))).where("reason is not null")
     same_fact = F.coalesce(F.col("reference1") == F.col("reference2"), F.lit(True))
     apart = pairs.materially_different(F.col("value1"), F.col("value2")) & pairs.same_currency(F.col("currency1"), F.col("currency2"))
-    both = both.where((F.col("snippet_no1") < F.col("snippet_no2")) & (F.col("doc_id1") != F.col("doc_id2"))).where(same_fact & apart)
+    both = both.where(same_fact & apart)
     once = Window.partitionBy("audit_id", "check_no", F.array_sort(F.array("value1", "value2")), "reason").orderBy("snippet_no1", "snippet_no2", "role1", "value1")
     gap = F.abs(F.col("value1") - F.col("value2"))
     told = both.withColumn("rn", F.row_number().over(once)).where("rn = 1").withColumn("gap", gap)
     first = Window.partitionBy("audit_id", "check_no").orderBy(F.desc("gap"), "snippet_no1", "snippet_no2", "reason", "value1")
-    told = told.withColumn("finding_no", F.row_number().over(first)).join(asked, ["audit_id", "check_no"]).where("finding_no <= most")
-    for k in (1, 2):
-        said = evidence.cited(F.coalesce("filename", F.concat(F.lit("document "), F.col("snippet_no").cast("string"))), F.col("page"), F.substring("text", 1, CITED))
-        told = told.join(snippets.select("audit_id", "check_no", F.col("snippet_no").alias(f"snippet_no{k}"), said.alias(f"said{k}")), ["audit_id", "check_no", f"snippet_no{k}"])
+    told = told.withColumn("finding_no", F.row_number().over(first)).where("finding_no <= most")
+    said = evidence.cited(F.coalesce("filename", F.concat(F.lit("document "), F.col("snippet_no").cast("string"))), F.col("page"), F.substring("text", 1, CITED))
+    told = told.join(snippets.groupBy("audit_id", "check_no").agg(F.map_from_entries(F.collect_list(F.struct("snippet_no", said))).alias("said")), ["audit_id", "check_no"])
     money = lambda k: F.format_number(F.col(f"value{k}").cast("double"), 2)
     relative = F.try_divide(F.col("gap").cast("double"), F.greatest(F.abs("value1"), F.abs("value2")).cast("double"))
     return told.select(
         "audit_id", F.concat_ws(":", F.lit("check"), F.col("check_no").cast("string"), F.col("finding_no").cast("string")).alias("finding_id"), "check_no", pairs.severity(F.col("gap"), relative).alias("severity"),
         F.lit(CONFIDENCE).alias("confidence"), F.lit("checklist").alias("source"), F.concat(F.lit("Amounts differ: "), "reason").alias("title"),
         F.concat(F.lit("One document has "), money(1), F.lit(", another "), money(2), F.lit(".")).alias("description"), F.col("doc_id1").alias("source_doc_id"), F.col("doc_id2").alias("conflicting_doc_id"),
-        F.array("said1", "said2").alias("evidence"), F.lit(ADVICE).alias("recommendation"),
+        F.array(F.col("said")[F.col("snippet_no1")], F.col("said")[F.col("snippet_no2")]).alias("evidence"), F.lit(ADVICE).alias("recommendation"),
     )

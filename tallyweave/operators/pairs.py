@@ -23,6 +23,8 @@ COMPARABLE = [
     ("retainer", "transaction_debit", "retainer rate vs bank payment"),
     ("transaction_debit", "transaction_debit", "bank payment vs bank payment"),
 ]
+#: Roles that may be compared with any.
+COMPARED = sorted({r for a, b, _ in COMPARABLE for r in (a, b)})
 #: Roles that may be compared without a shared anchor.
 ANCHORLESS = ("retainer",)
 # Claim role, the role and document type that hold the truth, label.
@@ -31,10 +33,20 @@ CLAIMS = [("invoice_referenced_contract_value", "total_contract_value", "contrac
 TOP_PAIRS = 50
 
 
+def _reasons() -> dict[tuple[str, str], str]:
+    return {(a, b): r for a, b, r in COMPARABLE} | {(b, a): r for a, b, r in COMPARABLE}
+
+
 def role_pairs(spark: SparkSession) -> DataFrame:
     """(role1, role2, reason) in both orders."""
-    both = {(a, b): r for a, b, r in COMPARABLE} | {(b, a): r for a, b, r in COMPARABLE}
-    return spark.createDataFrame([(a, b, r) for (a, b), r in sorted(both.items())], "role1 string, role2 string, reason string")
+    return spark.createDataFrame([(a, b, r) for (a, b), r in sorted(_reasons().items())], "role1 string, role2 string, reason string")
+
+
+def reason_of(role1: Column, role2: Column) -> Column:
+    """The reason of role_pairs(), looked up in the row; null for roles that may not be compared."""
+    reasons, names = _reasons(), [None, *COMPARED]
+    at = lambda role: F.array_position(F.array(*map(F.lit, COMPARED)), role)
+    return F.get(F.array(*(F.lit(reasons.get((a, b))).cast("string") for a in names for b in names)), at(role1) * len(names) + at(role2))
 
 
 def materially_different(a: Column, b: Column, text_a: Column | None = None, text_b: Column | None = None) -> Column:

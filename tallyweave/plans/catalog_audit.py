@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyweave import audit as W
 from tallyweave.engine import Engine
+from tallyweave.folders import stored
 from tallyweave.plans.catalog import query
 from tallyweave.sources import ledger as L
 
@@ -66,7 +67,7 @@ FROM c, (VALUES (1), (4)) v(check_no) WHERE f <= CASE WHEN check_no = 1 AND bank
 )
 def checklist_findings(spark, d):
     """What rules find for two checks of every audit in the text of its documents, by order of their numbers; statements come last."""
-    rows = pages(spark, d)
+    rows = stored(pages(spark, d), "pages")  # read for checks, documents and hits
     number = F.coalesce(F.regexp_extract("doc_id", "^(?:contract|bill)-([0-9]+)$", 1).try_cast("long") * 2 + F.startswith("doc_id", F.lit("bill")).cast("long"), F.lit(2**62))
     kinds = {"contract": "contract", "bill": "invoice", "bank": "bank_statement"}
     docs = rows.select("audit_id", "doc_id", "filename", F.coalesce(*(F.when(F.startswith("doc_id", F.lit(k)), v) for k, v in kinds.items())).alias("doc_type"))

@@ -1,5 +1,7 @@
 """Checks decided by rules over their snippets."""
 
+import re
+
 from tallyweave.engine import Engine
 from tallyweave.hooks import Hooks
 from tallyweave.operators import adjudication as A
@@ -64,3 +66,22 @@ def test_nothing_to_decide(spark):
     # the rules give way to a hook
     quiet = Engine(spark, Hooks(adjudicate=lambda checks, snippets: A.rule_adjudication(checks.where("false"), snippets)))
     assert found(spark, [(1, 1, "a", 1, 1, "Total due: EGP 500.00"), (1, 1, "b", 2, 1, "Total due: EGP 900.00")], docs, engine=quiet).count() == 0
+
+
+def test_texts_and_amounts_are_moved_few_times(spark):
+    hits = spark.createDataFrame([(1, 1, "a", 1, 1, "Total due: EGP 500.00"), (1, 1, "b", 2, 1, "Total due: EGP 900.00")], HITS)
+    docs = spark.createDataFrame([(1, "a", "a.pdf", "invoice"), (1, "b", "b.pdf", "invoice")], DOCS)
+    hint = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        snippets = A.snippets_of(hits, docs)
+        moved = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", snippets._jdf.queryExecution().executedPlan().toString())
+        # hits to their documents, and to their checks; documents once, beside them
+        assert len(moved) == 3
+        rows = Engine(spark).adjudicate(spark.createDataFrame([(1, 1, "amount_match")], "audit_id int, check_no int, check_type string"), docs, hits)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        # both sides of the pairs, and what is cited of a check: no exchange has an amount's role or a snippet's number
+        assert not re.search(r"hashpartitioning\([^)]*(?:role|snippet_no)", plan)
+        assert rows.count() == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", hint)
