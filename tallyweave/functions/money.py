@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ CODES = {
     "usd": "USD", "us$": "USD", "eur": "EUR", "gbp": "GBP", "egp": "EGP", "le": "EGP", "sar": "SAR", "aed": "AED", "kwd": "KWD",
     "omr": "OMR", "qar": "QAR", "bhd": "BHD", "دولار": "USD", "يورو": "EUR", "جنيه": "EGP", "ج.م": "EGP", "ريال": "SAR", "درهم": "AED",
 }
+# The first two characters of currency tokens.
+_HEAD = "".join(f"[{re.escape(''.join(sorted({token[k] for token in CODES})))}]" for k in (0, 1))
 # Numbers with thousands, and the shapes that amounts are read in.
 NUMBER = r"(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?"
 ARABIC_DIGITS, PERSIAN_DIGITS, DIGITS = "٠١٢٣٤٥٦٧٨٩", "۰۱۲۳۴۵۶۷۸۹", "0123456789"
@@ -69,8 +73,11 @@ def parse_amount(text: Column) -> Column:
 def currency_code(text: Column) -> Column:
     """The one currency that the text names, else null."""
     codes = F.create_map(*(F.lit(x) for kv in CODES.items() for x in kv))
-    found = F.array_distinct(F.transform(_all(western_digits(text), f"(?i)({CURRENCY})", 1), lambda t: codes[F.lower(t)]))
-    return F.when(F.size(found) == 1, found[0])
+    # tokens have no digits; most places of a text don't begin with two characters of one
+    named = F.array_distinct(_all(text, f"(?i)(?={_HEAD})({CURRENCY})", 1))
+    found = F.array_distinct(F.transform(named, lambda t: codes[F.lower(t)]))
+    # inside a lambda, so that the text is searched once
+    return F.get(F.transform(F.array(found), lambda c: F.when(F.size(c) == 1, c[0])), F.lit(0))
 
 
 def scan_amounts(text: Column, least: float = 1000.0) -> Column:

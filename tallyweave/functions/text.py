@@ -103,8 +103,10 @@ def plain_name(filename: Column) -> Column:
 
 def title_type(text: Column, filename: Column) -> Column:
     """The first type whose pattern is in the file name, else in the head of the text."""
-    name, head = plain_name(filename), F.lower(F.substring(F.coalesce(text, F.lit("")), 1, TITLE_WINDOW))
-    return F.coalesce(_first([(t, F.rlike(name, F.lit(p))) for t, p in TITLES]), _first([(t, F.rlike(head, F.lit(p))) for t, p in TITLES]))
+    head = F.lower(F.substring(F.coalesce(text, F.lit("")), 1, TITLE_WINDOW))
+    # inside lambdas, so that the name and the head are made once
+    titled = lambda words: F.get(F.transform(F.array(words), lambda w: _first([(t, F.rlike(w, F.lit(p))) for t, p in TITLES])), F.lit(0))
+    return F.coalesce(titled(plain_name(filename)), titled(head))
 
 
 def vocabulary_scores(text: Column, filename: Column) -> list[tuple[str, Column]]:

@@ -152,3 +152,11 @@ def test_balances_below_zero_fall_and_rise_like_others(spark):
     text = "\n".join(f"[TABLE ROW] 0{k}/01/2024 | {r}" for k, r in enumerate(rows, 1))
     found = X.rule_entities(spark.createDataFrame([("d", 0, text)], "doc_id string, chunk_index int, text string")).orderBy("line_no").collect()
     assert [(r.amount_role, r.raw) for r in found] == [("unknown", "50.00"), ("transaction_debit", "30.00"), ("transaction_debit", "40.00"), ("transaction_credit", "20.00"), ("transaction_debit", "70.00"), ("transaction_credit", "5.00")]
+
+
+def test_amounts_of_a_line_are_searched_once(spark):
+    text = "[TABLE ROW] 01/02/2024 | TXN-1 | 50.00 | 900.00\n[TABLE ROW] columns: 1.00\nContract value: EGP 10.00\nnone\nVAT: 2.00 of 9.00"
+    frame = X.rule_entities(spark.createDataFrame([("d", 0, text)], "doc_id string, chunk_index int, text string"))
+    assert sorted((r.line_no, r.amount_role, r.raw) for r in frame.collect()) == [(0, "unknown", "50.00"), (2, "total_contract_value", "10.00"), (4, "vat_tax", "2.00")]
+    # amounts of rows, of labels, and what stands before a row's last one
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 3

@@ -70,3 +70,11 @@ def test_amounts_without_decimals_are_written_one_way(spark):
     values = [1002.5, 1003.5, 1004.5, 2000.49]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select(*(v.alias(f"f{k}") for k, v in enumerate(M.variants(F.col("v"))))).collect()
     assert [tuple(r) for r in rows] == [(f"{v:,.2f}", f"{v:,.0f}", f"{v:.2f}", f"{v:.0f}") for v in values]
+
+
+def test_currencies_are_found_once_and_as_before(spark):
+    texts = ["Total: usd 5", "x US$ 5 and EGP", "le", "١٠ جنيه", "5 ج.م", "ج م", "salaries", "u s d", None, "", "USDEUR", "[TABLE ROW] 1.00", "ريال USD"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", M.currency_code(F.col("t")).alias("c"))
+    assert [r.c for r in frame.orderBy("i").collect()] == ["USD", None, "EGP", "EGP", "EGP", None, None, None, None, None, None, "EGP", None]
+    # a text is searched once
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
