@@ -60,12 +60,24 @@ def is_tabular(rows: Column) -> Column:
 
 
 def register_prose(pages: DataFrame) -> DataFrame:
-    """(page_id, prose) of the pages that register_rows() reads: what stands before the first row."""
-    lines = pages.select("page_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    first = lines.where(F.rlike("line", F.lit(ROW_DATE))).groupBy("page_id").agg(F.min("pos").alias("first"))
-    read = register_rows(pages).select("page_id").distinct()
-    head = F.array_join(F.slice(F.split("text", "\n"), F.lit(1), F.col("first")), "\n")
-    return pages.join(read, "page_id", "left_semi").join(first, "page_id").select("page_id", head.alias("prose"))
+    """(page_id, prose) of the pages that register_rows() reads: what stands before the first row.
+
+    A page is read if it has LEAST_ROWS lines with a date, and amounts in as many of the segments that these begin: strays have none, and what joins cells is no part of an
+    amount. So this is decided in the page's row; page_id is a page's own."""
+    lines = F.split("text", "\n")
+    marks = F.transform(lines, lambda x: F.struct(F.rlike(x, F.lit(ROW_DATE)).alias("dated"), has_amount(x).alias("priced")))
+    start = F.struct(F.lit(0).alias("segments"), F.lit(0).alias("priced"), F.lit(True).alias("counted"))
+
+    def step(acc: Column, mark: Column) -> Column:
+        new = mark["priced"] & (mark["dated"] | ~acc["counted"])
+        return F.struct((acc["segments"] + mark["dated"].cast("int")).alias("segments"), (acc["priced"] + new.cast("int")).alias("priced"), F.when(mark["dated"], mark["priced"]).otherwise(acc["counted"] | mark["priced"]).alias("counted"))
+
+    enough = lambda acc: (acc["segments"] >= LEAST_ROWS) & (acc["priced"] >= LEAST_ROWS)
+    told = lambda m: F.when(F.aggregate(m, start, step, enough), F.array_position(F.transform(m, lambda x: x["dated"]), True).cast("int") - 1)
+    # inside a lambda, so that the lines are searched once
+    first = F.get(F.transform(F.array(marks), told), F.lit(0))
+    read = pages.where(F.col("page_id").isNotNull() & F.rlike("text", F.lit(REGISTER_HINT))).select("page_id", lines.alias("lines"), first.alias("first")).where("first is not null")
+    return read.select("page_id", F.array_join(F.slice("lines", F.lit(1), F.col("first")), "\n").alias("prose"))
 
 
 def register_rows(pages: DataFrame) -> DataFrame:
