@@ -48,13 +48,13 @@ def segments(placed: DataFrame) -> DataFrame:
 
 def _borderless(placed: DataFrame) -> DataFrame:
     """(doc_id, page, tbl, row, col, text, x0, y0, x1, y1): cells of runs of lines with two segments or more."""
-    parts = stored(segments(placed), "segments")  # read twice
-    per = parts.groupBy(*_PAGE, "line").agg(F.count("*").alias("n"), F.min("y0").alias("top"), F.max("y1").alias("bottom"), F.max("high").alias("tall"))
+    part = F.struct("text", "x0", "y0", "x1", "y1")
+    per = segments(placed).groupBy(*_PAGE, "line").agg(F.collect_list(part).alias("parts"), F.count("*").alias("n"), F.min("y0").alias("top"), F.max("y1").alias("bottom"), F.max("high").alias("tall"))
     by = Window.partitionBy(*_PAGE).orderBy("line")
     near = (F.lag("n").over(by) > 1) & (F.col("top") - F.lag("bottom").over(by) <= F.col("tall") * BREAK)
     runs = per.withColumn("new", (~F.coalesce(near, F.lit(False))).cast("int")).where("n > 1")
-    runs = runs.withColumn("tbl", F.sum("new").over(_so_far(_PAGE, "line"))).select(*_PAGE, "line", "tbl")
-    rows = parts.join(runs, [*_PAGE, "line"])
+    # a line's few segments stay beside it, so that a page is in one partition all the way
+    rows = runs.withColumn("tbl", F.sum("new").over(_so_far(_PAGE, "line"))).select(*_PAGE, "line", "tbl", F.inline("parts"))
     table = [*_PAGE, "tbl"]
     # columns: a sweep over the projections of all segments on x
     end = F.max("x1").over(_so_far(table, "x0", "x1", "line", including=False))
@@ -96,27 +96,27 @@ def _ruled(placed: DataFrame, grids: DataFrame) -> DataFrame:
 
 def _tables(cells: DataFrame) -> DataFrame:
     """(doc_id, page, tbl, rows, x0, y0, x1, y1) with the rows' cells in order; those not there are empty texts."""
-    wide = cells.groupBy(*_PAGE, "tbl").agg(F.max("col").alias("last"), *(F.min(c).alias(c) for c in ("x0", "y0")), *(F.max(c).alias(c) for c in ("x1", "y1")))
-    wide = wide.where(F.col("last") + 1 >= LEAST_COLUMNS)
+    box = [*(F.min(c).alias(c) for c in ("x0", "y0")), *(F.max(c).alias(c) for c in ("x1", "y1"))]
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"]), " ")
-    rows = cells.groupBy(*_PAGE, "tbl", "row", "col").agg(joined.alias("text")).groupBy(*_PAGE, "tbl", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("m"))
-    rows = rows.join(wide.select(*_PAGE, "tbl", "last"), [*_PAGE, "tbl"])
-    filled = F.transform(F.sequence(F.lit(0).cast("long"), "last"), lambda c: clean_cell(F.try_element_at("m", c)))
-    rows = rows.select(*_PAGE, "tbl", "row", filled.alias("cells")).groupBy(*_PAGE, "tbl").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "cells"))), lambda r: r["cells"]).alias("rows"))
-    return rows.join(wide.drop("last"), [*_PAGE, "tbl"])
+    rows = cells.groupBy(*_PAGE, "tbl", "row", "col").agg(joined.alias("text"), *box)
+    rows = rows.groupBy(*_PAGE, "tbl", "row").agg(F.collect_list(F.struct("col", "text")).alias("there"), F.max("col").alias("last"), *box)
+    wide = rows.groupBy(*_PAGE, "tbl").agg(F.array_sort(F.collect_list(F.struct("row", "there"))).alias("rows"), F.max("last").alias("last"), *box).where(F.col("last") + 1 >= LEAST_COLUMNS)
+    every = F.sequence(F.lit(0).cast("long"), "last")
+    filled = lambda r: F.get(F.transform(F.array(F.map_from_entries(r["there"])), lambda m: F.transform(every, lambda c: clean_cell(F.try_element_at(m, c)))), F.lit(0))
+    return wide.select(*_PAGE, "tbl", F.transform("rows", filled).alias("rows"), "x0", "y0", "x1", "y1")
 
 
 def tables(words: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """(doc_id, page, table_no, cells, ruled, x0, y0, x1, y1): the tables of each page from the top, cells as an array of rows.
 
     Ruled tables need three columns; a page that has any has no others. Without them, lines that stand in three columns or more are a table if its first row
-    names columns, or amounts stand in at least two and half of its rows: what is set in columns and isn't that is prose. Steps that are read more than once are
-    written as tables."""
+    names columns, or amounts stand in at least two and half of its rows: what is set in columns and isn't that is prose. Words are dealt to their pages once; with rules, what is
+    read more than once is written as tables."""
     placed = lines(words)
     placed = placed if rules is None else stored(placed, "lines")
-    found = _tables(stored(_borderless(placed), "cells")).where(is_tabular(F.col("rows"))).withColumn("ruled", F.lit(False))
+    found = _tables(_borderless(placed)).where(is_tabular(F.col("rows"))).withColumn("ruled", F.lit(False))
     if rules is not None:
-        drawn = stored(_tables(stored(_ruled(placed, frames(rules)), "cells")).withColumn("ruled", F.lit(True)), "tables")
+        drawn = stored(_tables(_ruled(placed, frames(rules))).withColumn("ruled", F.lit(True)), "tables")
         found = drawn.unionByName(found.join(drawn.select(*_PAGE).distinct(), _PAGE, "left_anti"))
     place = F.row_number().over(Window.partitionBy(*_PAGE).orderBy("y0", "x0")).cast("int")
     return found.withColumn("table_no", place).select(*_PAGE, "table_no", F.col("rows").alias("cells"), "ruled", "x0", "y0", "x1", "y1")

@@ -37,7 +37,7 @@ def _boxes(rows, x, y, text):
 
 def words(spark, d):
     """Pages without ruled lines: a title and a line of prose, the columns' names on the first page of a statement, its rows, and a line of prose below."""
-    rows = _statement(spark, d)
+    rows = stored(_statement(spark, d), "statement")  # read for each part of a page
     one = rows.groupBy("doc_id", "page").agg(F.count("*").alias("n"))
     top = F.lit(80.0)
     line = lambda k, text: _boxes(one, F.lit(40.0), F.lit(0.0) + k, text)
@@ -83,7 +83,7 @@ def prose_around(spark, d):
 )
 def ruled_tables(spark, d):
     """The same rows set without space between columns, in ruled tables of four columns: lines say where cells are."""
-    rows = _statement(spark, d).select("doc_id", "page", "row", F.array(F.get("cells", F.lit(0)), F.get("cells", F.lit(1)), F.get("cells", F.lit(2)), F.concat(F.get("cells", F.lit(3)), F.get("cells", F.lit(4)))).alias("cells"))
+    rows = stored(_statement(spark, d), "statement").select("doc_id", "page", "row", F.array(F.get("cells", F.lit(0)), F.get("cells", F.lit(1)), F.get("cells", F.lit(2)), F.concat(F.get("cells", F.lit(3)), F.get("cells", F.lit(4)))).alias("cells"))
     edges = [40.0, 84.0, 124.0, 224.0, 300.0]
     cells = rows.select("doc_id", "page", "row", F.posexplode("cells").alias("k", "c")).withColumn("x", F.get(F.array(*map(F.lit, edges)), F.col("k")))
     boxes = _boxes(cells, F.col("x"), F.lit(80.0) + F.col("row") * STEP, F.col("c"))

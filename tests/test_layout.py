@@ -110,3 +110,11 @@ def test_odd_boxes(spark):
     assert Y.tables(frame.limit(0), spark.createDataFrame([], SCHEMA.rpartition(",")[0])).count() == 0
     twice = spark.createDataFrame(register("a", 1, ROWS) * 2, SCHEMA)
     assert Y.tables(twice).count() == 1
+
+
+def test_words_are_dealt_to_their_pages_once(spark):
+    rows = [("d", 1, 40.0 + 100 * c, 20.0 * r, 80.0 + 100 * c, 20.0 * r + 8, f"{r}{c}.00") for r in range(3) for c in range(3) if (r, c) != (1, 1)]
+    found = Y.tables(spark.createDataFrame(rows, "doc_id string, page int, x0 double, y0 double, x1 double, y1 double, text string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert [x.cells for x in found.collect()] == [[["00.00", "01.00", "02.00"], ["10.00", "", "12.00"], ["20.00", "21.00", "22.00"]]]
