@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyweave.dealing import dealt
 from tallyweave.functions.text import authority_rank, contains_any, identifier_core
 
 # Words that mark an amendment, and the shape of references to instruments.
@@ -26,8 +27,10 @@ def merge_entities(mentions: DataFrame, optional: list[str] | None = None, lists
     )
 
 
-def merge_edges(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("src", "dst", "rel_type").agg(F.min_by("doc_id", "seq").alias("doc_id"), F.count("*").alias("mention_count"))
+def merge_edges(edges: DataFrame, partitions: int | None = None) -> DataFrame:
+    """One edge for each two ends and type, with the document of its first mention by seq. Ends and documents may be numbers as well as texts, which take
+    less room while edges are merged. partitions: how many the edges are dealt to."""
+    return dealt(edges, partitions, "src", "dst").groupBy("src", "dst", "rel_type").agg(F.min_by("doc_id", "seq").alias("doc_id"), F.count("*").alias("mention_count"))
 
 
 def symmetric(edges: DataFrame) -> DataFrame:

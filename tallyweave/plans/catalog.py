@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweave.dealing import partitions
 from tallyweave.functions import money as M
 from tallyweave.functions import text as T
 from tallyweave.operators import findings as V
@@ -254,15 +255,20 @@ def entity_merge(spark, d):
 EDGES = "edg AS (SELECT 'cust:' || o_custkey AS src, 'supp:' || l_suppkey AS dst, 'supplied_by' AS rel_type, 'order:' || o_orderkey AS doc_id, o_orderkey AS seq FROM (SELECT DISTINCT o_custkey, o_orderkey, l_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey))"
 
 
-def edges(spark, d):
-    rows = L.table(spark, d, "orders").join(L.table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "o_orderkey", "l_suppkey").distinct()
-    text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    return rows.select(text("cust:", "o_custkey").alias("src"), text("supp:", "l_suppkey").alias("dst"), F.lit("supplied_by").alias("rel_type"), text("order:", "o_orderkey").alias("doc_id"), F.col("o_orderkey").alias("seq"))
+def edges(spark, d, n):
+    """(src, dst, rel_type, doc_id, seq) by number: customers, and suppliers of their orders. What repeats goes before the tables meet, where they lie anyway."""
+    placed = L.table(spark, d, "orders").select("o_custkey", "o_orderkey").repartition(n, "o_orderkey").distinct()
+    lines = L.table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").repartition(n, "l_orderkey").distinct()
+    rows = placed.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return rows.select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst"), F.lit("supplied_by").alias("rel_type"), F.col("o_orderkey").alias("doc_id"), F.col("o_orderkey").alias("seq"))
 
 
 @query(f"WITH {EDGES} SELECT src, dst, rel_type, arg_min(doc_id, seq) AS doc_id, count(*) AS mention_count FROM edg GROUP BY ALL")
 def edge_merge(spark, d):
-    return G.merge_edges(edges(spark, d))
+    """Edges are merged by their numbers; texts are made of what is left."""
+    n = partitions(L.table(spark, d, "lineitem"))
+    text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string")).alias(c)
+    return G.merge_edges(edges(spark, d, n), n).select(text("cust:", "src"), text("supp:", "dst"), "rel_type", text("order:", "doc_id"), "mention_count")
 
 
 @query(
