@@ -64,14 +64,21 @@ def anchors_of(amounts: DataFrame) -> DataFrame:
     return amounts.groupBy("audit_id", "doc_id", "entity_id").agg(F.array_sort(F.collect_set("anchor_id")).alias("anchors"))
 
 
-def edge_counts(documents: DataFrame, edges: DataFrame, found_in: DataFrame) -> DataFrame:
-    """(doc_id, edge_count, cross_doc_edges): edges (src, dst) of a document's entities, and those whose other end another document has."""
+def edge_counts(documents: DataFrame, edges: DataFrame, found_in: DataFrame, partitions: int | None = None) -> DataFrame:
+    """(doc_id, edge_count, cross_doc_edges): edges (src, dst) of a document's entities, and those whose other end another document has.
+
+    Edges are counted by entity before documents are looked at, so that a mention stays one row: how many an entity has, and to how many entities that some document holds. Those
+    of the latter that the document alone holds (lone) are taken off again. Documents may be numbers as well as texts. partitions: how many mentions are dealt to."""
     both = symmetric(edges)
-    ends = found_in.select(F.col("entity_id").alias("src"), "doc_id").distinct().join(both, "src")
-    others = found_in.select(F.col("entity_id").alias("dst"), F.col("doc_id").alias("other")).distinct().groupBy("dst").agg(F.min("other").alias("a"), F.max("other").alias("z"))
-    ends = ends.join(others, "dst", "left").withColumn("cross", F.coalesce((F.col("a") != F.col("doc_id")) | (F.col("z") != F.col("doc_id")), F.lit(False)))
-    per = ends.groupBy("doc_id").agg(F.count("*").alias("edge_count"), F.count_if("cross").alias("cross_doc_edges"))
-    return documents.select("doc_id").join(per, "doc_id", "left").fillna(0, ["edge_count", "cross_doc_edges"])
+    held = found_in.select(F.col("entity_id").alias("src"), "doc_id")
+    where = held.groupBy(F.col("src").alias("dst")).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"))
+    near = both.join(where, "dst", "left").select("src", "a", "z")
+    per = dealt(near.groupBy("src").agg(F.count("*").alias("n"), F.count("a").alias("live")), partitions, "src")
+    lone = near.where("a = z").groupBy("src", F.col("a").alias("doc_id")).agg(F.count("*").alias("lone"))
+    rows = held.join(per, "src").unionByName(lone, allowMissingColumns=True)
+    pairs = dealt(rows, partitions, "doc_id").groupBy("doc_id", "src").agg(*(F.max(c).alias(c) for c in ("n", "live", "lone"))).where("n is not null")
+    ends = pairs.groupBy("doc_id").agg(F.sum("n").alias("edge_count"), F.sum(F.col("live") - F.coalesce("lone", F.lit(0))).alias("cross_doc_edges"))
+    return documents.select("doc_id").join(ends, "doc_id", "left").fillna(0, ["edge_count", "cross_doc_edges"])
 
 
 def without_orphans(found_in: DataFrame, deleted_docs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyweave.dealing import partitions
 from tallyweave.functions import money as M
 from tallyweave.functions import text as T
 from tallyweave.operators import control as C
@@ -250,9 +251,10 @@ def linkage_edges(spark, d):
     s = L.table(spark, d, "supplier")
     n = s.agg(F.count("*").alias("n"))
     edges = s.crossJoin(F.broadcast(n)).select(F.col("s_suppkey").alias("src"), ((F.col("s_suppkey") * 7 + 1) % F.col("n")).alias("dst"))
-    order = lambda c: F.concat(F.lit("order:"), _text(F.col(c)))
-    held = L.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("entity_id"), order("l_orderkey").alias("doc_id"))
-    return G.edge_counts(L.table(spark, d, "orders").select(order("o_orderkey").alias("doc_id")), edges, held)
+    lines, orders = L.table(spark, d, "lineitem"), L.table(spark, d, "orders")
+    held = lines.select(F.col("l_suppkey").alias("entity_id"), F.col("l_orderkey").alias("doc_id"))
+    found = G.edge_counts(orders.select(F.col("o_orderkey").alias("doc_id")), edges, held, partitions(lines))
+    return found.withColumn("doc_id", F.concat(F.lit("order:"), _text(F.col("doc_id"))))
 
 
 @query(LEDGER + " SELECT audit_id, doc_id, entity_id, coalesce(string_agg(DISTINCT anchor_id, ',' ORDER BY anchor_id), '') AS anchors FROM amounts GROUP BY ALL")
