@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyweave.dealing import dealt
 from tallyweave.functions.money import currency_code, parse_amount
 from tallyweave.functions.text import AUTHORITY_RANKS, authority_of, chunk_key, entity_key, relation_key, uuid5
 from tallyweave.operators.documents import AMOUNT, ROW_DATE, ROW_MARK
@@ -90,10 +91,12 @@ def relations(edges: DataFrame) -> DataFrame:
     return edges.withColumn("rel_id", uuid5(NAMESPACE, relation_key(F.col("src"), F.col("dst"), F.col("rel_type")))).dropDuplicates(["rel_id"])
 
 
-def found_in(mentions: DataFrame, entities: DataFrame, documents: DataFrame) -> DataFrame:
-    """(entity_id, doc_id) of mentions whose entity and document both exist, each once."""
-    pairs = mentions.select("entity_id", "doc_id").distinct()
-    return pairs.join(entities.select("entity_id").distinct(), "entity_id", "left_semi").join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
+def found_in(mentions: DataFrame, entities: DataFrame, documents: DataFrame, partitions: int | None = None) -> DataFrame:
+    """(entity_id, doc_id) of mentions whose entity and document both exist, each once. Ids may be numbers as well as texts. What is left of the mentions is told apart where it
+    lies by document. partitions: how many the mentions are dealt to."""
+    known = lambda df, c: dealt(df.select(c), partitions, c).distinct()
+    rows = mentions.select("entity_id", "doc_id").join(known(entities, "entity_id"), "entity_id", "left_semi")
+    return dealt(rows, partitions, "doc_id").join(known(documents, "doc_id"), "doc_id", "left_semi").select("entity_id", "doc_id").distinct()
 
 
 def rule_entities(chunks: DataFrame) -> DataFrame:

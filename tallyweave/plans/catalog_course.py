@@ -172,9 +172,11 @@ def relation_ids(spark, d):
 @query("SELECT DISTINCT 'part:' || l_partkey AS entity_id, 'order:' || l_orderkey AS doc_id FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 10) AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')")
 def found_in_edges(spark, d):
     """Mentions whose entity (here larger parts) and document (open orders) both exist."""
-    part, order = (lambda c, p=p: F.concat(F.lit(p), _text(F.col(c))) for p in ("part:", "order:"))
-    m = L.table(spark, d, "lineitem").select(part("l_partkey").alias("entity_id"), order("l_orderkey").alias("doc_id"))
-    return X.found_in(m, L.table(spark, d, "part").where("p_size > 10").select(part("p_partkey").alias("entity_id")), L.table(spark, d, "orders").where("o_orderstatus = 'O'").select(order("o_orderkey").alias("doc_id")))
+    part, order = (lambda c, p=p: F.concat(F.lit(p), _text(F.col(c))).alias(c) for p in ("part:", "order:"))
+    lines = L.table(spark, d, "lineitem")
+    m = lines.select(F.col("l_partkey").alias("entity_id"), F.col("l_orderkey").alias("doc_id"))
+    found = X.found_in(m, L.table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("entity_id")), L.table(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("doc_id")), partitions(lines))
+    return found.select(part("entity_id"), order("doc_id"))
 
 
 @query(
