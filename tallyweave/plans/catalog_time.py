@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallyweave.dealing import partitions
 from tallyweave.folders import new_folder
 from tallyweave.operators import timejoins as J
 from tallyweave.plans.catalog import query
@@ -13,6 +14,8 @@ from tallyweave.streaming import replay, sessions, tail
 
 #: Files that a table is replayed in.
 PARTS = 4
+#: Events to a partition of a stream's state.
+EVENTS = 200_000
 #: An audit of no customer, whose events only move the watermark on.
 NOBODY = -1
 
@@ -36,7 +39,7 @@ def _streamed(spark, rows, kinds, work):
     last = end.select(F.lit(NOBODY).cast("long").alias("audit_id"), F.lit(-1).cast("long").alias("event_id"), "ts", F.explode(F.array(*map(F.lit, kinds))).alias("kind"), F.col("ts").alias("arrived_at"))
     replay.arrivals(rows, F.col("arrived_at"), PARTS, folder, last)
     late = replay.lateness(rows.where("audit_id is not null and ts is not null"), F.col("ts"), F.col("arrived_at"))
-    return replay.replayed(spark, folder, spark.read.parquet(folder).schema, lambda events: work(events, late)).where(F.col("audit_id") != NOBODY)
+    return replay.replayed(spark, folder, spark.read.parquet(folder).schema, lambda events: work(events, late), partitions=partitions(rows, EVENTS)).where(F.col("audit_id") != NOBODY)
 
 
 _STEPS = f"""e AS (SELECT DISTINCT client_id AS audit_id, click_id AS event_id, epoch_us(ts) AS ts, CASE kind WHEN 'signup' THEN 'start' WHEN 'view' THEN 'beat' WHEN 'click' THEN 'say' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'fail' END AS kind FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL AND kind IS NOT NULL),

@@ -32,15 +32,20 @@ def lateness(rows: DataFrame, ts: Column, arrived: Column) -> str:
     return f"{max(0, most or 0) // 1_000_000 + 1} seconds"
 
 
-def replayed(spark: SparkSession, folder: str, schema, work: Callable[[DataFrame], DataFrame], files: int | None = None) -> DataFrame:
+def replayed(spark: SparkSession, folder: str, schema, work: Callable[[DataFrame], DataFrame], files: int | None = None, partitions: int | None = None) -> DataFrame:
     """The rows that a streaming query `work` appends for a folder of files, in the order in which they were written, as a table. The query keeps its
     checkpoint and its rows in the shared folder, and starts again from there if it fails.
 
-    files: files to a batch; by default as many as Spark has written for one."""
+    files: files to a batch; by default as many as Spark has written for one. partitions: how many the query's state is dealt to, which stays so for its checkpoint; by default the session's number."""
     source = spark.readStream.schema(schema)
     source = source.option("maxFilesPerTrigger", files) if files else source
     out = new_folder(spark, "stream")
     frame = work(source.parquet(folder))
-    query = frame.writeStream.format("parquet").outputMode("append").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    number = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions or number))
+        query = frame.writeStream.format("parquet").outputMode("append").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", number)  # the query has its own session from its start on
     query.awaitTermination()
     return spark.read.schema(frame.schema).parquet(f"{out}/rows")

@@ -23,7 +23,8 @@ def runs(events: DataFrame, late: str, seconds: int) -> DataFrame:
     there is none: (audit_id, start_id, started, end_id, ended, ended_by).
 
     Rows without audit_id, event_id or ts are left out. Repeated ids count once as long as the repeat is no later than `late` allows, and so do events out of order; what
-    comes later than that is dropped by the watermark. A start without an end comes out once the watermark is past the time in which it might end."""
+    comes later than that is dropped by the watermark. Starts meet only the ends of their audit that lie about them in time, so an audit with many events is dealt by
+    time and isn't compared as a whole. A start without an end comes out once the watermark is past the time in which it might end."""
     kept = events.where("audit_id is not null and event_id is not null and ts is not null")
 
     def side(kinds: tuple, names: dict) -> DataFrame:
@@ -32,8 +33,13 @@ def runs(events: DataFrame, late: str, seconds: int) -> DataFrame:
 
     starts = side(STARTS, {"audit_id": "audit_id", "event_id": "start_id", "ts": "started"})
     ends = side(tuple(TERMINAL), {"audit_id": "_audit", "event_id": "end_id", "ts": "ended", "kind": "ended_by"})
-    soon = F.expr(f"audit_id = _audit AND ended >= started AND ended <= started + INTERVAL {int(seconds)} SECONDS")
-    return starts.join(ends, soon, "leftOuter").drop("_audit")
+    # slices of time as long as an end may take: a start looks for ends in its own slice and the next one, so an end is there for its own and the one before
+    width = max(1, int(seconds)) * 1_000_000
+    of = lambda c: F.floor(F.unix_micros(c) / F.lit(width))
+    starts = starts.withColumn("_slice", of("started"))
+    ends = ends.withColumn("_of", F.explode(F.array(of("ended"), of("ended") - 1)))
+    soon = F.expr(f"audit_id = _audit AND _slice = _of AND ended >= started AND ended <= started + INTERVAL {int(seconds)} SECONDS")
+    return starts.join(ends, soon, "leftOuter").drop("_audit", "_slice", "_of")
 
 
 def first_ends(pairs: DataFrame) -> DataFrame:

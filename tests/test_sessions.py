@@ -132,6 +132,17 @@ def test_ends_of_logs(spark, tmp_path):
     assert got == want and any(r[5] == 0 for r in want) and any(r[5] > 0 for r in want)
 
 
+def test_one_audit_with_many_events_is_dealt_by_time(spark, tmp_path):
+    """Ends at the edges of slices and of the time allowed, each once; what meets has its slice in common, not only its audit."""
+    edge = 3600 - int(START.timestamp()) % 3600
+    rows = [row(1, k, edge + s, "start") for k, s in enumerate((0, -1, 1800, 3599, 7200))] + [row(1, 100 + k, edge + s, "complete") for k, s in enumerate((-1, 0, 3599, 3600, 5400, 5401, 7199, 10800, 10801))]
+    seen = []
+    pairs = streamed(spark, tmp_path, rows, 1, lambda e, late: seen.append(tail.runs(e, late, 3600)) or seen[0])
+    assert sorted((tuple(r) for r in tail.first_ends(pairs).collect()), key=str) == runs(rows, 3600)
+    join = next(x for x in seen[0]._jdf.queryExecution().analyzed().toString().splitlines() if "Join LeftOuter" in x)
+    assert "_slice" in join and "_of" in join
+
+
 def test_following_a_log_to_its_end(spark, tmp_path):
     schema = "audit_id long, seq long, kind string"
     folder, seen = str(tmp_path / "log"), []
