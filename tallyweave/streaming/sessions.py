@@ -21,6 +21,7 @@ import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -30,6 +31,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 # Seconds that a beat and a key live, turns that a chat keeps.
 BEAT, TTL, CHAT = 120, 7 * 24 * 3600, 20
 KINDS = ("start", "beat", "complete", "fail", "say")
+# A waiting event as it lies in the state, its kind a place in the sorted kinds, and how many lie in one value.
+EVENT, BLOCK = np.dtype([("at", "<i8"), ("event", "<i8"), ("kind", "<i1")]), 10_000
 #: What the machine returns: a row for each event, and for each timer that fires (event_id null).
 STEPS = "audit_id long, event_id long, ts timestamp, action string, status string, run int, chat int"
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -91,6 +94,21 @@ class Machine:
         return event, at, action, s.status, s.run, len(s.chat)
 
 
+def packed(events: np.ndarray) -> list[tuple]:
+    """Waiting events as values of a list state: a value for each block, not for each event, as each one costs a row between Python and the store."""
+    return [(events[k : k + BLOCK].tobytes(),) for k in range(0, len(events), BLOCK)]
+
+
+def unpacked(values) -> np.ndarray:
+    return np.concatenate([np.empty(0, EVENT), *(np.frombuffer(bytes(x[0]), EVENT) for x in values)])
+
+
+def in_order(events: np.ndarray) -> np.ndarray:
+    """Events by time, id and kind, equal ones once."""
+    events = events[np.lexsort((events["kind"], events["event"], events["at"]))]
+    return events[np.concatenate([np.ones(min(1, len(events)), bool), events[1:] != events[:-1]])]
+
+
 class Sessions(StatefulProcessor):
     """One key is one audit: its session (value), its chat and the events that wait (lists), and one timer for what comes next."""
 
@@ -101,34 +119,35 @@ class Sessions(StatefulProcessor):
         self.handle = handle
         self.session = handle.getValueState("session", "status string, run int, saved long, beat long, said long")
         self.chat = handle.getListState("chat", "event long")
-        self.waiting = handle.getListState("waiting", "ts long, event long, kind string")
+        self.waiting = handle.getListState("waiting", "events binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        come, first = [], None
+        come = []
         for frame in rows:
-            times = frame["at"].tolist()
-            come += zip(times, frame["event_id"].tolist(), frame["kind"].tolist(), strict=True)
-        if come:
-            self.waiting.appendList(come)
-            first = min(t for t, _, _ in come)
-            self._wake(first, timerValues)
+            events = np.empty(len(frame), EVENT)
+            events["at"], events["event"], events["kind"] = frame["at"], frame["event_id"], frame["kind"]
+            come.append(events)
+        come = np.concatenate([np.empty(0, EVENT), *come])
+        if len(come):
+            self.waiting.appendList(packed(come))
+            self._wake(int(come["at"].min()), timerValues)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        held = self.session.get() if self.session.exists() else None
-        s = Session(*held[:4], tuple(x[0] for x in self.chat.get()) if self.chat.exists() else (), held[4]) if held else Session()
-        waiting = list(self.waiting.get()) if self.waiting.exists() else []
-        ready = sorted({tuple(x) for x in waiting if x[0] <= now})
-        out = []
-        for at, event, kind in ready:
+        held = self.session.get()
+        s = Session(*held[:4], tuple(x[0] for x in self.chat.get()), held[4]) if held else Session()
+        waiting = unpacked(self.waiting.get())
+        kinds, out = sorted(KINDS), []
+        for at, event, kind in in_order(waiting[waiting["at"] <= now]).tolist():
             out += self.machine.fire(s, at)
-            out.append(self.machine.take(s, event, at, kind))
+            out.append(self.machine.take(s, event, at, kinds[kind]))
         out += self.machine.fire(s, now)
-        later = [tuple(x) for x in waiting if x[0] > now]
-        self.waiting.clear()
-        if later:
-            self.waiting.appendList(later)
+        later = waiting[waiting["at"] > now]
+        if len(waiting):
+            self.waiting.clear()
+        if len(later):
+            self.waiting.appendList(packed(later))
         self.chat.clear()
         if s.chat:
             self.chat.appendList([(x,) for x in s.chat])
@@ -136,7 +155,7 @@ class Sessions(StatefulProcessor):
             self.session.clear()
         else:
             self.session.update((s.status, s.run, s.saved, s.beat, s.said))
-        after = [t for t in (self.machine.due(s), min((x[0] for x in later), default=None)) if t is not None]
+        after = [t for t in (self.machine.due(s), int(later["at"].min()) if len(later) else None) if t is not None]
         if after:
             self._wake(min(after), timerValues)
         if out:
@@ -173,5 +192,5 @@ def session_steps(events: DataFrame, late: str, beat: int = BEAT, ttl: int = TTL
     # the process that looks at a processor before its stream starts has no files of the session: the class goes with its code
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     kept = events.where("audit_id is not null and event_id is not null and ts is not null").where(F.col("kind").isin(*KINDS))
-    kept = kept.select("audit_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "kind").withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
+    kept = kept.select("audit_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.array_position(F.array(*map(F.lit, sorted(KINDS))), F.col("kind")) - 1).cast("byte").alias("kind")).withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
     return kept.groupBy("audit_id").transformWithStateInPandas(Sessions(beat, ttl, chat), outputStructType=STEPS, outputMode="Append", timeMode="EventTime")

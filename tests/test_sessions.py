@@ -95,6 +95,17 @@ def test_machine(spark, tmp_path, seed, parts):
     assert {"start", "wait", "beat", "timeout", "gone", "say", "complete", "fail", "ignored"} <= {r[3] for r in want} and max(r[6] for r in want) == 3
 
 
+def test_waiting_events_lie_in_blocks(monkeypatch):
+    """A value of the state for each block of events, not for each event; in order they come by time, id and kind, and equal ones once."""
+    monkeypatch.setattr(sessions, "BLOCK", 4)
+    rng = random.Random(2)
+    events = [(rng.randrange(-3, 4), rng.randrange(3), rng.randrange(5)) for _ in range(30)]
+    values = sessions.packed(sessions.np.array(events, sessions.EVENT))
+    assert len(values) == 8 and sessions.unpacked(values).tolist() == events
+    assert sessions.in_order(sessions.unpacked(values)).tolist() == sorted(set(events))
+    assert not sessions.packed(sessions.unpacked([])) and not len(sessions.in_order(sessions.unpacked([])))
+
+
 def test_what_one_audit_goes_through(spark, tmp_path):
     """Started, alive, failed by the timer, started again, completed and fetched, gone after seven days; twenty turns of a chat are kept."""
     rows = [row(7, 1, 0, "start"), row(7, 2, 100, "beat"), row(7, 3, 150, "start"), row(7, 4, 400, "start"), row(7, 5, 450, "complete"), row(7, 6, 500, "start"), row(7, 7, 450 + sessions.TTL, "start")]
