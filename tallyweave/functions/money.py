@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,20 +25,34 @@ SINGLE = rf"(?i)^\s*(?:(?:{CURRENCY})\s*)?({NUMBER})\s*(?:(?:{CURRENCY}))?\s*$"
 LEFT = rf"(?i)(?:^|\s)(?:{CURRENCY})\s*({NUMBER})"
 RIGHT = rf"(?i)({NUMBER})\s*(?:{CURRENCY})(?:\s|$)"
 RUN = r"[0-9][0-9,]*\.?[0-9]*"
-GROUP = r"[0-9,.]*[0-9][0-9,.]*"
+GROUP = r"[,.]*+[0-9][0-9,.]*+"
 
 
 # Currency tokens of amounts in prose, and labels of numbers that are no amounts, in the 32 characters before.
 PROSE_CURRENCY = r"جنيه|ج\.م|EGP|USD|US\$|EUR|GBP|SAR|AED|ريال|دولار|يورو|درهم|LE\b"
 PROSE_NUMBER = r"[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?"
-REFERENCE_LABEL = r"(?i)(?:ref|reference|رقم|ص\s*[/]\s*م|invoice\s*#|contract\s*#|عقد\s*رقم)\s*[:\-]?\s*"
+REFERENCE_LABEL = r"(?i)(?=[rرصic])(?:ref|رقم|ص\s*[/]\s*م|invoice\s*#|contract\s*#)"
 LABEL_CHARS, WINDOW_CHARS = 32, 50
+# A number before a currency and one after it. No currency token begins with what a number or white space may go on with, so that nothing is given back; a number
+# is tried from its first digit alone, and a token only where its first two characters are ones of a token.
+_BEFORE = rf"(?i)(?<![0-9])[0-9]++(?:,[0-9]{{3}})*+(?:\.[0-9]++)?+\s*+(?={_HEAD})(?:{PROSE_CURRENCY})"
+_AFTER = rf"(?i)(?={_HEAD})(?:{PROSE_CURRENCY})\s*+{PROSE_NUMBER}"
 
 
 def western_digits(text: Column) -> Column:
     return F.translate(text, ARABIC_DIGITS + PERSIAN_DIGITS, DIGITS + DIGITS)
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once, however often f looks at it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _translated(text: Column, of: str, to: str) -> Column:
+    """text with characters of `of`, none of them ASCII, as those of `to`. text: looked at more than once; one in ASCII stays as it is."""
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(text, of, to))
+
+
 def to_number(token: Column) -> Column:
     return F.replace(token, F.lit(","), F.lit("")).try_cast("double")
 
@@ -62,7 +77,11 @@ def _unique(tokens: Column) -> Column:
 def parse_amount(text: Column) -> Column:
     """Exactly one amount, never joined from separate runs of digits: the whole text, else the one value
     next to a currency, else the one run of digits that is no year."""
-    s = F.trim(western_digits(text))
+    return _parsed(F.trim(western_digits(text)))
+
+
+def _parsed(s: Column) -> Column:
+    """parse_amount() of trimmed text with western digits."""
     whole = F.regexp_extract(s, SINGLE, 1)
     beside = F.concat(_all(s, LEFT, 1), _all(s, RIGHT, 1))
     valid = F.filter(beside, lambda t: ~is_year(t))
@@ -82,9 +101,10 @@ def currency_code(text: Column) -> Column:
 
 def scan_amounts(text: Column, least: float = 1000.0) -> Column:
     """Values of runs of digits, commas and points, from least on, without years to 2035, in order."""
-    groups = _all(F.coalesce(western_digits(text), F.lit("")), GROUP, 0)
-    values = F.transform(F.filter(groups, lambda g: ~F.coalesce(is_year(g, 2035), F.lit(False))), parse_amount)
-    return F.filter(values, lambda v: F.coalesce(v >= least, F.lit(False)))
+    groups = _once(F.coalesce(text, F.lit("")), lambda t: _all(_translated(t, ARABIC_DIGITS + PERSIAN_DIGITS, DIGITS + DIGITS), GROUP, 0))
+    # a run of fewer characters than the least amount has is none
+    long = F.filter(groups, lambda g: (F.length(g) >= len(str(max(int(least), 0)))) & ~F.coalesce(is_year(g, 2035), F.lit(False)))
+    return F.filter(F.transform(long, _parsed), lambda v: F.coalesce(v >= least, F.lit(False)))
 
 
 def within_tiny_tolerance(a: Column, b: Column) -> Column:
@@ -102,31 +122,33 @@ def _last(text: Column, chars: int) -> Column:
 
 def _found(text: Column, pattern: str) -> Column:
     """Matches of a pattern as (position, end, raw, before), in order: before is the WINDOW_CHARS before. In one fold over the
-    pieces between marks, so that the text is not built again for every match."""
+    pieces between marks, so that the text is not built again for every match. A piece is a match and what follows it; the first one is what goes before all."""
     pieces = F.split(F.regexp_replace(text, pattern, "\x01$0\x02"), "\x01", -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast("array<struct<position:int,end:int,raw:string,before:string>>").alias("out"))
+    none = F.array().cast("array<struct<position:int,end:int,raw:string,before:string>>")
 
     def step(acc: Column, piece: Column) -> Column:
-        marked = F.contains(piece, F.lit("\x02"))
-        raw = F.when(marked, F.substring_index(piece, "\x02", 1)).otherwise("")
-        plain = F.replace(piece, F.lit("\x02"), F.lit(""))
-        found = F.struct(acc["at"].alias("position"), (acc["at"] + F.length(raw)).alias("end"), raw.alias("raw"), acc["tail"].alias("before"))
-        return F.struct(
-            (acc["at"] + F.length(plain)).alias("at"),
-            _last(F.concat(acc["tail"], _last(plain, WINDOW_CHARS)), WINDOW_CHARS).alias("tail"),
-            F.when(marked, F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"),
-        )
+        raw, rest = F.get(piece, F.lit(0)), F.get(piece, F.lit(1))
+        end = acc["at"] + F.length(raw)
+        found = F.struct(acc["at"].alias("position"), end.alias("end"), raw.alias("raw"), acc["tail"].alias("before"))
+        return F.struct((end + F.length(rest)).alias("at"), _last(F.concat(acc["tail"], raw, rest), WINDOW_CHARS).alias("tail"), F.concat(acc["out"], F.array(found)).alias("out"))
+
+    def fold(pieces: Column) -> Column:
+        first = F.get(pieces, F.lit(0))
+        start = F.struct(F.length(first).alias("at"), _last(first, WINDOW_CHARS).alias("tail"), none.alias("out"))
+        marked = F.transform(F.slice(pieces, F.lit(2), F.size(pieces) - 1), lambda p: F.split(p, "\x02", -1))
+        return F.when(F.size(pieces) > 1, F.aggregate(marked, start, step, lambda acc: acc["out"])).otherwise(none)
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    return _once(pieces, fold)
 
 
 def amounts_in(text: Column) -> Column:
     """(position, end, raw, before, value) of amounts with a currency before or after them, by position; those after a label of a
     reference are no amounts. before: the 50 characters that precede it. Null texts have none."""
-    s = F.translate(western_digits(F.coalesce(text, F.lit(""))), "،\x01\x02", ",\x03\x03")
-    both = F.concat(_found(s, rf"(?i){PROSE_NUMBER}\s*(?:{PROSE_CURRENCY})"), _found(s, rf"(?i)(?:{PROSE_CURRENCY})\s*{PROSE_NUMBER}"))
+    s = _once(F.coalesce(text, F.lit("")), lambda t: _translated(t, ARABIC_DIGITS + PERSIAN_DIGITS + "،", DIGITS + DIGITS + ","))
+    s = _once(s, lambda t: F.when(F.contains(t, F.lit("\x01")) | F.contains(t, F.lit("\x02")), F.translate(t, "\x01\x02", "\x03\x03")).otherwise(t))
+    both = F.flatten(_once(s, lambda t: F.array(_found(t, _BEFORE), _found(t, _AFTER))))
     kept = F.filter(F.array_distinct(both), lambda x: ~F.rlike(_last(x["before"], LABEL_CHARS), F.lit(REFERENCE_LABEL)))
-    with_value = F.transform(F.sort_array(kept), lambda x: F.struct(x["position"].alias("position"), x["end"].alias("end"), x["raw"].alias("raw"), x["before"].alias("before"), parse_amount(x["raw"]).alias("value")))
+    with_value = F.transform(F.sort_array(kept), lambda x: F.struct(x["position"].alias("position"), x["end"].alias("end"), x["raw"].alias("raw"), x["before"].alias("before"), _parsed(F.trim(x["raw"])).alias("value")))
     return F.filter(with_value, lambda x: x["value"].isNotNull())
 
 

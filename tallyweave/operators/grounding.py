@@ -24,16 +24,18 @@ TYPE_ORDER = ["contract", "invoice", "payment_certificate", "bank_statement"]
 def role_before(window: Column) -> Column:
     """The role whose word is nearest to the end of the window; the first of equals; null without any."""
     roles = {x: role for role, words in ROLE_WORDS.items() for x in words}
-    # what goes before is taken as far as it goes, so that the word is the last one; of words at one place the first listed counts
-    word = F.regexp_extract(F.lower(window), f"(?s)^.*({'|'.join(roles)})", 1)
+    # what goes before is taken as far as it goes, so that the word is the last one; of words at one place the first listed counts. Most places begin no word
+    head = "".join(sorted({x[0] for x in roles}))
+    word = F.regexp_extract(F.lower(window), f"(?s)^.*(?=[{head}])({'|'.join(roles)})", 1)
     return F.try_element_at(F.create_map(*(F.lit(x) for kv in roles.items() for x in kv)), word)
 
 
 def label_amounts(findings: DataFrame) -> DataFrame:
     """(audit_id, field, value): the largest amount of critical findings that a word of that field precedes."""
     text = F.concat(F.col("title"), F.lit(". "), F.coalesce("description", F.lit("")))
-    rows = findings.where("severity = 'critical'").select("audit_id", F.explode(amounts_in(text)).alias("a")).where(F.col("a.value") >= LEAST)
-    return rows.select("audit_id", role_before(F.col("a.before")).alias("field"), F.col("a.value").alias("value")).where("field is not null").groupBy("audit_id", "field").agg(F.max("value").alias("value"))
+    told = F.transform(F.filter(amounts_in(text), lambda a: a["value"] >= LEAST), lambda a: F.struct(role_before(a["before"]).alias("field"), a["value"].alias("value")))
+    rows = findings.where("severity = 'critical'").select("audit_id", F.inline(told)).where("field is not null")
+    return rows.groupBy("audit_id", "field").agg(F.max("value").alias("value"))
 
 
 def fill_gaps(snapshots: DataFrame, inferred: DataFrame) -> DataFrame:

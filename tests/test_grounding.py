@@ -69,6 +69,25 @@ def test_marks_in_a_text_keep_their_places(spark):
     assert [(x.position, x.end, x.value) for x in found] == [(5, 10, 5.0), (14, 19, 7.0)]
 
 
+def test_texts_are_dealt_however_orders_lie(spark, sf_dir, monkeypatch):
+    """A table in one piece was searched by one task."""
+    from tallyweave.plans import catalog_text
+
+    monkeypatch.setattr(catalog_text, "TEXTS", 20)
+    n = catalog_text.said(spark, sf_dir, True)
+    assert n.rdd.getNumPartitions() == -(-n.count() // 20) and n.count() == catalog_text.said(spark, sf_dir).count()
+
+
+def test_amounts_are_tried_where_one_may_begin(spark):
+    """Numbers from their first digit, tokens where their first characters stand; the text is translated only where it has to be, and looked at once."""
+    texts = {"12,345.50EGP": [12345.5], "1,2345 EGP": [2345.0], "1234,567 egp": [234567.0], "12,34 LE x": [34.0], "LEx 5": [], "٣٤٥ جنيه و USD۱۲": [345.0, 12.0], "EGP 5 USD": [5.0, 5.0], "ref 5 EGP, contract # 7 USD": [], "5.EGP": [], "١،٢٣٤ ريال": [1234.0], None: []}
+    rows = spark.createDataFrame([(t, w) for t, w in texts.items()], "t string, want array<double>").select("t", "want", M.tagged_amounts(F.col("t")).alias("got"))
+    assert [(r.t, r.got) for r in rows.collect()] == [(r.t, r.want) for r in rows.collect()]
+    assert [list(r.v) for r in rows.select(M.scan_amounts(F.concat("t", F.lit(" ,. 999 ,1000, ..2500.5 2024 ٩٩٩٩"))).alias("v")).limit(1).collect()] == [[12345.5, 1000.0, 2500.5, 9999.0]]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(lambda") + plan.count("translate(namedlambda") >= 1 and "translate(coalesce(" not in plan
+
+
 def test_role_words_are_looked_for_once(spark):
     """The nearest word of 14 by one pattern, not by a search for each of them, which made most of the work of label_amounts()."""
     windows = {"the contract says the bank paid": "bank_paid_total", "billed under the contract of ": "contract_total", "nothing": None, "Bank Paid": "bank_paid_total", "": None, "دفع ثم عقد": "contract_total", "transfer\nof the invoice": "invoice_total"}
