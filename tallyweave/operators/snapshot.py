@@ -6,6 +6,8 @@ aggregation by document; only debits, of which each transaction counts once, are
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ def _role() -> Column:
 
 
 def _of(role: str, least: bool = True) -> Column:
-    kept = _role() == role
+    kept = F.col("amount_role") == role
     return F.when(kept & (F.col("amount_value") >= LEAST) if least else kept, F.col("amount_value"))
 
 
@@ -54,19 +56,13 @@ def _figures(amounts: DataFrame) -> dict[str, tuple[str, Column]]:
 
 
 _FIRST = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.count, "list": F.collect_list}
-_AGAIN = _FIRST | {"count": F.sum, "list": lambda c: F.flatten(F.collect_list(c))}
-
-
-def by_document(amounts: DataFrame) -> DataFrame:
-    """One row for each document of an audit with the figures that snapshots and warnings need, in one pass."""
-    return amounts.groupBy("audit_id", "doc_id", "doc_type").agg(*(_FIRST[kind](c).alias(n) for n, (kind, c) in _figures(amounts).items()))
 
 
-def _with_currencies(amounts: DataFrame) -> DataFrame:
-    """by_document() with codes, the currencies (code, n) of each document's amounts; counted by currency first, so that a document has a few of them to gather."""
-    figures = _figures(amounts)
-    parts = amounts.groupBy("audit_id", "doc_id", "doc_type", _code().alias("code")).agg(F.count("*").alias("n"), *(_FIRST[kind](c).alias(name) for name, (kind, c) in figures.items()))
-    return parts.groupBy("audit_id", "doc_id", "doc_type").agg(F.collect_list(F.struct("code", "n")).alias("codes"), *(_AGAIN[kind](F.col(name)).alias(name) for name, (kind, _) in figures.items()))
+def by_document(amounts: DataFrame, lists: bool = True) -> DataFrame:
+    """One row for each document of an audit with the figures that snapshots and warnings need, in one pass; without lists, no values are gathered one by one."""
+    figures = {n: _FIRST[kind](c).alias(n) for n, (kind, c) in _figures(amounts).items() if lists or kind != "list"}
+    # roles are trimmed and in lower case once for all figures
+    return amounts.withColumn("amount_role", _role()).groupBy("audit_id", "doc_id", "doc_type").agg(*figures.values())
 
 
 def _when_type(kind: str, value: Column) -> Column:
@@ -130,12 +126,13 @@ def linked_refs(lines: DataFrame, cores: DataFrame, refs: DataFrame) -> DataFram
 
     Lines are tested in their row for the audit's few identifiers. Only those that name one are cut into the substrings that may be a reference, by the lengths
     that references have, and these are joined by equality."""
-    known = refs.where("txn_ref is not null").select("audit_id", "txn_ref", identifier_core(F.col("txn_ref")).alias("part")).where("part != ''").distinct()
+    # used twice below, filtered alike, so that they are read and brought together once
+    known = refs.where("txn_ref is not null and lower(trim(txn_ref)) is not null and audit_id is not null").select("audit_id", "txn_ref", identifier_core(F.col("txn_ref")).alias("part")).where("part != ''").distinct()
     part = F.row_number().over(Window.partitionBy("audit_id").orderBy("core"))
     few = cores.withColumn("k", F.floor((part - 1) / CORES)).groupBy("audit_id", "k").agg(F.collect_list("core").alias("cores"))
     lines = lines.select("audit_id", identifier_core(F.col("line")).alias("text")).where("text != ''")
     named = lines.join(few, "audit_id").where(F.exists("cores", lambda c: F.contains(F.col("text"), c))).select("audit_id", "text").distinct()
-    sizes = known.groupBy("audit_id", F.length("part").alias("n")).agg(F.lit(True).alias("there")).groupBy("audit_id").agg(F.collect_list("n").alias("sizes"))
+    sizes = known.groupBy("audit_id", F.length("part").alias("n")).agg(F.count("*").alias("refs")).where("refs > 0").groupBy("audit_id").agg(F.collect_list("n").alias("sizes"))
     pieces = lambda n: F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substr(F.col("text"), i, n))
     cut = F.flatten(F.transform("sizes", lambda n: F.when(F.length("text") >= n, pieces(n)).otherwise(F.array().cast("array<string>"))))
     found = named.join(sizes, "audit_id").select("audit_id", F.explode(F.array_distinct(cut)).alias("part"))
@@ -164,8 +161,8 @@ def attributed_debits(amounts: DataFrame, anchors: DataFrame | None = None, refs
     anchors = anchor_rows(amounts) if anchors is None else anchors
     if "anchors" in anchors.columns:
         anchors = anchors.select("audit_id", F.explode("anchors").alias("anchor_id"))
-    listed = anchors.where("anchor_id is not null").select("audit_id", "anchor_id", F.lit(True).alias("_on")).distinct()
-    rows = debits(amounts).join(listed, ["audit_id", "anchor_id"], "left").join(listed.select("audit_id", F.lit(True).alias("_any")).distinct(), "audit_id", "left")
+    listed = anchors.where("anchor_id is not null and audit_id is not null").select("audit_id", "anchor_id").distinct()
+    rows = debits(amounts).join(listed.withColumn("_on", F.lit(True)), ["audit_id", "anchor_id"], "left").join(listed.groupBy("audit_id").agg(F.count("*").alias("_any")), "audit_id", "left")
     linked = F.lit(False)
     if refs is not None:
         ref = F.lower(F.trim("txn_ref"))
@@ -205,25 +202,26 @@ def dominant_currency(amounts: DataFrame) -> DataFrame:
     return counts.groupBy("audit_id").agg(F.collect_list(F.struct("n", "code")).alias("all")).select("audit_id", first.alias("currency"), others.alias("others"))
 
 
-def _by_audit(documents: DataFrame) -> DataFrame:
-    """Totals as of totals(), currency and others, and the warnings w of each audit, out of one row for each document with its currencies: by audit and
-    currency first, then by audit. A document's figures count with its first currency alone."""
-    one = documents.select("audit_id", "doc_id", F.array_compact(_checks()).alias("w"), _when_type("contract", F.col("contract_value")).alias("largest"), _when_type("contract", F.col("scheduled")).alias("planned"), _when_type("invoice", _supported()).alias("invoiced"), _when_type("bank_statement", F.col("stated")).alias("stated"), _when_type("bank_statement", F.col("n_unknown")).alias("n_unknown"), F.posexplode("codes").alias("k", "code"))
-    first = lambda c: F.when(F.col("k") == 0, F.col(c))
-    told = F.when((F.col("k") == 0) & (F.size("w") > 0), F.transform("w", lambda x: F.named_struct(F.lit("doc_id"), F.col("doc_id"), F.lit("check"), x["check"], F.lit("warning"), x["warning"])))
+def _by_audit(amounts: DataFrame) -> DataFrame:
+    """Totals as of totals(), currency and others, and the warnings w of each audit: amounts of a currency, figures of documents and totals of invoices are brought to
+    a row or two for each audit on their own, and these rows together. A document that tells nothing of itself is left out before."""
     ways = {"largest": F.max, "planned": F.sum, "invoiced": F.max, "stated": F.sum, "n_unknown": F.sum}
-    parts = one.groupBy("audit_id", "code.code").agg(F.sum("code.n").alias("n"), F.flatten(F.collect_list(told)).alias("w"), *(f(first(c)).alias(c) for c, f in ways.items()))
-    out = parts.groupBy("audit_id").agg(F.collect_list(F.when(F.col("code").isNotNull(), F.struct("n", "code"))).alias("all"), F.array_sort(F.flatten(F.collect_list("w"))).alias("w"), *(f(c).alias(c) for c, f in ways.items()))
+    of = {"largest": ("contract", "contract_value"), "planned": ("contract", "scheduled"), "stated": ("bank_statement", "stated"), "n_unknown": ("bank_statement", "n_unknown")}
+    one = by_document(amounts, False).select("audit_id", _told().alias("w"), *(_when_type(kind, F.col(c)).alias(name) for name, (kind, c) in of.items()))
+    one = one.where(F.col("w").isNotNull() | F.coalesce(*(F.col(c).cast("double") for c in of)).isNotNull())
+    said = one.groupBy("audit_id").agg(F.flatten(F.collect_list("w")).alias("w"), *(ways[c](c).alias(c) for c in of))
+    rows = amounts.groupBy("audit_id", _code().alias("code")).agg(F.count("*").alias("n")).unionByName(said, True).unionByName(invoice_totals(amounts).withColumnRenamed("invoice_total", "invoiced"), True)
+    out = rows.groupBy("audit_id").agg(F.collect_list(F.when(F.col("code").isNotNull(), F.struct("n", "code"))).alias("all"), F.array_sort(F.flatten(F.collect_list("w"))).alias("w"), *(f(c).alias(c) for c, f in ways.items()))
     currency, others = _ranked(F.col("all"))
     return out.select("audit_id", F.coalesce("largest", "planned").alias("contract_total"), F.col("invoiced").alias("invoice_total"), "stated", F.coalesce("n_unknown", F.lit(0)).alias("n_unknown"), F.when(F.size("w") > 0, F.col("w")).alias("w"), currency.alias("currency"), others.alias("others"))
 
 
 def snapshot(amounts: DataFrame, anchors: DataFrame | None = None, refs: DataFrame | None = None) -> DataFrame:
     """One row for each audit with any of the three totals, a withheld one, or a warning. notes says what to know of the bank total;
-    integrity_warnings are arithmetic_warnings() and mixed currencies, in order, a line each. The amounts are read twice: once for all figures of
-    documents, and once for the debits; a caller whose amounts are costly to make hands over a table."""
+    integrity_warnings are arithmetic_warnings() and mixed currencies, in order, a line each. The amounts are read four times: for currencies, for the figures of
+    documents, for what supports an invoice's total, and for the debits; a caller whose amounts are costly to make hands over a table."""
     bank = bank_totals(amounts, anchors, refs, amounts.limit(0).select("audit_id", F.col("amount_value").alias("stated"))).drop("stated", "incomplete")
-    out = _by_audit(_with_currencies(amounts)).join(bank, "audit_id", "left")
+    out = _by_audit(amounts).join(bank, "audit_id", "left")
     drift = F.abs(F.col("verified") - F.col("stated"))
     incomplete = F.coalesce((F.col("verified") > 0) & (F.col("stated") > 0) & (drift > F.greatest(F.lit(TOLERANCE), F.col("stated") * F.lit(DRIFT).cast("decimal(4,3)"))), F.lit(False))
     out = out.withColumn("incomplete", incomplete).withColumn("currency", F.coalesce("currency", F.lit(DEFAULT_CURRENCY)))
@@ -256,26 +254,28 @@ def snapshot(amounts: DataFrame, anchors: DataFrame | None = None, refs: DataFra
     )
 
 
-def _checks() -> Column:
-    """(check, warning) of each check, null where a document passes it."""
+def _checks() -> list[tuple[str, Column, Column]]:
+    """Each check: its name, whether a document fails it, and what it says of that."""
     c = F.col
     fee = F.coalesce(c("fee"), F.lit(0))
     expected, sheet = c("subtotal") + c("vat") + fee, c("liabilities") + c("equity")
     said = lambda *parts: F.concat(c("filename"), F.lit(": "), *(p if isinstance(p, Column) else F.lit(p) for p in parts))
     with_fee = F.when(fee != 0, F.concat(F.lit(" + late fee "), _text(fee))).otherwise("")
-    found = [
+    return [
         ("invoice", (c("doc_type") == "invoice") & (F.abs(c("total") - expected) > TOLERANCE), said("subtotal ", _text(c("subtotal")), " + VAT ", _text(c("vat")), with_fee, " = ", _text(expected), ", stated total ", _text(c("total")))),
         ("balance_sheet", (c("doc_type") == "balance_sheet") & (F.abs(c("assets") - sheet) > TOLERANCE), said("liabilities ", _text(c("liabilities")), " + equity ", _text(c("equity")), " = ", _text(sheet), ", stated assets ", _text(c("assets")))),
         ("milestones", (c("doc_type") == "contract") & (c("n_milestones") >= 2) & (c("contract") - c("milestones") > TOLERANCE), said(c("n_milestones").cast("string"), " milestones of ", _text(c("milestones")), ", stated contract total ", _text(c("contract")))),
     ]
-    return F.array(*(F.when(when, F.named_struct(F.lit("check"), F.lit(name), F.lit("warning"), text)) for name, when, text in found))
 
 
-def _warnings(documents: DataFrame) -> DataFrame:
-    return documents.select("audit_id", "doc_id", F.inline(F.array_compact(_checks())))
+def _told() -> Column:
+    """(doc_id, check, warning) of the checks that a document fails; null if it passes them all, which is seen before any is made."""
+    failed = functools.reduce(Column.__or__, (when for _, when, _ in _checks()))
+    every = F.array(*(F.when(when, F.struct("doc_id", F.lit(name).alias("check"), text.alias("warning"))) for name, when, text in _checks()))
+    return F.when(failed, F.array_compact(every))
 
 
 def arithmetic_warnings(amounts: DataFrame) -> DataFrame:
     """Documents whose own figures don't add up: invoices with total, subtotal and VAT (a late fee is part of the total), balance
     sheets with all three sums, and contracts whose two or more scheduled milestones fall short."""
-    return _warnings(by_document(amounts))
+    return by_document(amounts, False).select("audit_id", F.inline(_told()))
