@@ -141,7 +141,8 @@ def reference_mismatches(amounts: DataFrame, spark: SparkSession) -> DataFrame:
     claims = spark.createDataFrame(CLAIMS, "claim_role string, truth_role string, truth_type string, label string")
     rows = amounts.where("anchor_id is not null and amount_value is not null")
     c = rows.join(F.broadcast(claims), F.col("amount_role") == F.col("claim_role")).select("audit_id", "anchor_id", "truth_role", "truth_type", "label", F.col("doc_id").alias("claim_doc_id"), F.col("amount_value").alias("claim_value"), F.col("amount_currency").alias("claim_currency"))
-    t = rows.select("audit_id", "anchor_id", F.col("amount_role").alias("truth_role"), F.col("doc_type").alias("truth_type"), F.col("doc_id").alias("truth_doc_id"), F.col("amount_value").alias("truth_value"), F.col("amount_currency").alias("truth_currency"))
+    # only amounts that a claim can be about are moved to the claims
+    t = rows.where(F.col("amount_role").isin(*sorted({truth for _, truth, *_ in CLAIMS}))).select("audit_id", "anchor_id", F.col("amount_role").alias("truth_role"), F.col("doc_type").alias("truth_type"), F.col("doc_id").alias("truth_doc_id"), F.col("amount_value").alias("truth_value"), F.col("amount_currency").alias("truth_currency"))
     gap = F.abs(F.col("claim_value") - F.col("truth_value"))
     found = c.join(t, ["audit_id", "anchor_id", "truth_role", "truth_type"]).where("claim_doc_id != truth_doc_id").where(same_currency(F.col("claim_currency"), F.col("truth_currency")))
     found = found.where(gap > F.greatest(F.lit(1), F.abs("truth_value") * F.lit("0.0001").cast("decimal(5,4)"))).dropDuplicates(["claim_doc_id", "claim_value", "truth_doc_id", "truth_value"])
