@@ -104,7 +104,8 @@ def rule_entities(chunks: DataFrame) -> DataFrame:
 
     A register's row has its movement last but one and its balance last: a balance that falls makes it a debit, one that rises a
     credit; the first row of a document is unknown. A balance behind a minus, or in brackets, is below zero. A row with one amount is unknown too. Elsewhere a line's label gives
-    the role."""
+    the role. Where chunks have a column about, of what is known of their document, it is part of the document's key, and amounts have it too."""
+    doc = ["doc_id", *(c for c in ("about",) if c in chunks.columns)]
     is_row = lambda line: F.startswith(line, F.lit(ROW_MARK)) & ~F.contains(line, F.lit("columns:"))
     number = lambda c: F.replace(c, F.lit(","), F.lit("")).try_cast("double")
 
@@ -113,9 +114,9 @@ def rule_entities(chunks: DataFrame) -> DataFrame:
         numbered = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("line_no"), line.alias("line")))
         read = F.transform(F.filter(numbered, lambda x: kind(x["line"])), lambda x: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"), F.regexp_extract_all(x["line"], F.lit(f"({AMOUNT})"), F.lit(1)).alias("found")))
         kept = F.transform(F.filter(read, lambda x: F.size(x["found"]) > 0), lambda x: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"), x["found"].alias("found"), *more(x["line"], x["found"])))
-        return chunks.select("doc_id", "chunk_index", F.inline(kept))
+        return chunks.select(*doc, "chunk_index", F.inline(kept))
 
-    by_doc = Window.partitionBy("doc_id").orderBy("chunk_index", "line_no")
+    by_doc = Window.partitionBy(*doc).orderBy("chunk_index", "line_no")
     last = lambda line: F.try_element_at(F.regexp_extract_all(line, F.lit(f"({BELOW_ZERO}?(?:{AMOUNT}))"), F.lit(1)), F.lit(-1))
     rows = lines(chunks.where(F.contains("text", F.lit(ROW_MARK))), is_row, lambda line, found: [F.when(F.size(found) > 1, last(line)).alias("last")])
     balance = number(F.try_element_at("found", F.lit(-1)))
@@ -125,10 +126,10 @@ def rule_entities(chunks: DataFrame) -> DataFrame:
     cells = F.regexp_replace(F.col("line"), r"^\[TABLE ROW\]\s*", "")
     day = F.nullif(F.trim(F.regexp_extract(cells, ROW_DATE, 0)), F.lit(""))
     ref = F.nullif(F.regexp_extract(cells, r"\b([A-Z]{2,}-[0-9A-Z-]+)\b", 1), F.lit(""))
-    of_rows = rows.select("doc_id", "chunk_index", "line_no", F.when(step < 0, "transaction_debit").when(step > 0, "transaction_credit").otherwise("unknown").alias("amount_role"), F.when(F.size("found") > 1, F.try_element_at("found", F.lit(-2))).otherwise(F.try_element_at("found", F.lit(-1))).alias("raw"), ref.alias("txn_ref"), day.alias("txn_date"))
+    of_rows = rows.select(*doc, "chunk_index", "line_no", F.when(step < 0, "transaction_debit").when(step > 0, "transaction_credit").otherwise("unknown").alias("amount_role"), F.when(F.size("found") > 1, F.try_element_at("found", F.lit(-2))).otherwise(F.try_element_at("found", F.lit(-1))).alias("raw"), ref.alias("txn_ref"), day.alias("txn_date"))
     label = lambda line, found: F.lower(F.call_function("substring_index", line, F.try_element_at(found, F.lit(1)), F.lit(1)))
     role = lambda label: F.coalesce(*(F.when(F.contains(label, F.lit(w)), F.lit(r)) for w, r in LABELS))
     nothing = F.lit(None).cast("string")
     labelled = lines(chunks, lambda line: ~is_row(line), lambda line, found: [F.get(F.transform(F.array(label(line, found)), role), F.lit(0)).alias("amount_role")])
-    of_labels = labelled.where("amount_role is not null").select("doc_id", "chunk_index", "line_no", "amount_role", F.try_element_at("found", F.lit(1)).alias("raw"), nothing.alias("txn_ref"), nothing.alias("txn_date"))
+    of_labels = labelled.where("amount_role is not null").select(*doc, "chunk_index", "line_no", "amount_role", F.try_element_at("found", F.lit(1)).alias("raw"), nothing.alias("txn_ref"), nothing.alias("txn_date"))
     return of_rows.unionByName(of_labels)

@@ -118,6 +118,8 @@ def identifier_cores(identifiers: DataFrame) -> DataFrame:
 
 #: Cores of an audit that stand in one array beside its lines; an audit with more has several.
 CORES = 500
+#: First characters of a reference by which substrings that can't be one are left out where they are cut: of letters and digits there are at most 1,296.
+HEAD = 2
 
 
 def linked_refs(lines: DataFrame, cores: DataFrame, refs: DataFrame) -> DataFrame:
@@ -125,16 +127,18 @@ def linked_refs(lines: DataFrame, cores: DataFrame, refs: DataFrame) -> DataFram
     are payments on it without any edge. refs: (audit_id, txn_ref) of its statements.
 
     Lines are tested in their row for the audit's few identifiers. Only those that name one are cut into the substrings that may be a reference, by the lengths
-    that references have, and these are joined by equality."""
+    that references have and the characters that those of a length begin with, and these are joined by equality."""
     # used twice below, filtered alike, so that they are read and brought together once
     known = refs.where("txn_ref is not null and lower(trim(txn_ref)) is not null and audit_id is not null").select("audit_id", "txn_ref", identifier_core(F.col("txn_ref")).alias("part")).where("part != ''").distinct()
     part = F.row_number().over(Window.partitionBy("audit_id").orderBy("core"))
     few = cores.withColumn("k", F.floor((part - 1) / CORES)).groupBy("audit_id", "k").agg(F.collect_list("core").alias("cores"))
     lines = lines.select("audit_id", identifier_core(F.col("line")).alias("text")).where("text != ''")
     named = lines.join(few, "audit_id").where(F.exists("cores", lambda c: F.contains(F.col("text"), c))).select("audit_id", "text").distinct()
-    sizes = known.groupBy("audit_id", F.length("part").alias("n")).agg(F.count("*").alias("refs")).where("refs > 0").groupBy("audit_id").agg(F.collect_list("n").alias("sizes"))
-    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substr(F.col("text"), i, n))
-    cut = F.flatten(F.transform("sizes", lambda n: F.when(F.length("text") >= n, pieces(n)).otherwise(F.array().cast("array<string>"))))
+    sizes = known.groupBy("audit_id", F.length("part").alias("n")).agg(F.collect_set(F.substring("part", 1, HEAD)).alias("heads"), F.count("*").alias("refs")).where("refs > 0")
+    sizes = sizes.groupBy("audit_id").agg(F.collect_list(F.struct("n", "heads")).alias("sizes"))
+    text = F.col("text")
+    begun = lambda s: F.filter(F.sequence(F.lit(1), F.length(text) - s["n"] + 1), lambda i: F.array_contains(s["heads"], F.substr(text, i, F.least(s["n"], F.lit(HEAD)))))
+    cut = F.flatten(F.transform("sizes", lambda s: F.when(F.length(text) >= s["n"], F.transform(begun(s), lambda i: F.substr(text, i, s["n"]))).otherwise(F.array().cast("array<string>"))))
     found = named.join(sizes, "audit_id").select("audit_id", F.explode(F.array_distinct(cut)).alias("part"))
     return found.join(known, ["audit_id", "part"]).select("audit_id", "txn_ref").distinct()
 

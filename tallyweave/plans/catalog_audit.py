@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyweave import audit as W
+from tallyweave import dealing
 from tallyweave.engine import Engine
 from tallyweave.folders import stored
 from tallyweave.plans.catalog import query
@@ -35,6 +36,14 @@ def pages(spark, d):
     return page(o, "contract", contract).union(page(billed, "bill", invoice)).union(bank)
 
 
+#: Orders, of which each has two pages or so, to a partition of pages.
+ORDERS = 100_000
+
+
+def _audited(spark, d):
+    return W.audit(Engine(spark), pages(spark, d), partitions=dealing.partitions(L.table(spark, d, "orders"), ORDERS))
+
+
 @query(
     """WITH o AS (SELECT o_custkey AS audit_id, o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS price, o_orderkey IN (SELECT l_orderkey FROM lineitem) AS billed FROM orders WHERE o_custkey IS NOT NULL),
 c AS (SELECT audit_id, max(CASE WHEN price >= 1 THEN price END) AS contract_total, min(o_orderkey) AS first FROM o GROUP BY 1),
@@ -45,14 +54,14 @@ SELECT audit_id, CAST(contract_total AS DOUBLE) AS contract_total, CAST(invoice_
 )
 def audits_of_pages(spark, d):
     """The snapshot of every audit, from the text of its pages on."""
-    out = W.audit(Engine(spark), pages(spark, d)).snapshot
+    out = _audited(spark, d).snapshot
     return out.select("audit_id", "contract_total", "invoice_total", "bank_paid_total", "variance_vs_contract", "integrity_warnings")
 
 
 @query()
 def audit_reports(spark, d):
     """Findings and risk of every audit, from the text of its pages on; its parts are tested with SQL, and the whole in plain Python."""
-    return W.audit(Engine(spark), pages(spark, d)).report
+    return _audited(spark, d).report
 
 
 @query(

@@ -1,7 +1,13 @@
 """An audit from pages to its report, on a few documents whose figures are known."""
 
+import re
+
+from tallyweave import audit as W
 from tallyweave.audit import audit, read_chunks
 from tallyweave.engine import Engine
+from tallyweave.hooks import Hooks
+from tallyweave.operators import snapshot as S
+from tallyweave.operators.extraction import rule_entities
 
 CONTRACT = "Service Agreement\nNumber: CTR-2024-0041\nContract value: EGP 200,000.00"
 INVOICE = "Tax Invoice\nfor CTR-2024-0041\nSubtotal: EGP 155,000.00\nVAT: EGP 21,700.00\nTotal due: EGP 176,800.00"
@@ -47,3 +53,44 @@ def test_flattened_registers_become_rows(spark):
 def test_no_pages(spark):
     out = audit(Engine(spark), spark.createDataFrame([], SCHEMA))
     assert [f.count() for f in (out.documents, out.chunks, out.amounts, out.snapshot, out.findings, out.report)] == [0] * 6
+
+
+def test_a_snapshot_writes_and_moves_what_it_needs(spark, monkeypatch):
+    """Findings were written for a snapshot too, pages were read twice and their texts joined three times, and amounts joined to their documents: most of the disk at size."""
+    written, stored = [], W.stored
+    monkeypatch.setattr(W, "stored", lambda df, what: written.append(what) or stored(df, what))
+    pages = spark.createDataFrame([(1, "c1", "c1.pdf", 1, CONTRACT), (1, "i1", "i1.pdf", 1, INVOICE), (1, "b1", "b1.pdf", 1, BANK)], SCHEMA)
+    out = audit(Engine(spark), pages, partitions=3)
+    assert out.snapshot.count() == 1 and written == ["documents", "registers", "amounts"]
+    assert out.findings.count() > 0 and out.report.count() == 1 and written[3:] == ["findings"]
+    plain = W.plain_chunks(W.pages_of(W.read_documents(Engine(spark), pages)))
+    plan = W.read_amounts(Engine(spark), out.documents, plain)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    texts = W.plain_chunks(W.pages_of(stored(W.read_documents(Engine(spark), pages), "documents")))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in texts
+
+
+def test_documents_of_two_audits_with_one_id(spark):
+    """Amounts were joined to documents by their id alone, and went to both audits."""
+    pages = [(1, "c", "one.pdf", 1, CONTRACT), (2, "c", "two.pdf", 1, CONTRACT.replace("200,000", "300,000")), (1, "b", "b.pdf", 1, FLAT), (2, "b", "b.pdf", 1, FLAT.replace("TXN", "REF"))]
+    frame = spark.createDataFrame(pages, SCHEMA)
+    out = audit(Engine(spark), frame)
+    assert {r.audit_id: r.contract_total for r in out.snapshot.collect()} == {1: 200_000.0, 2: 300_000.0}
+    assert {(r.audit_id, r.filename) for r in out.amounts.where("doc_id = 'c'").collect()} == {(1, "one.pdf"), (2, "two.pdf")}
+    assert {(r.audit_id, r.txn_ref) for r in out.amounts.where("doc_id = 'b' and txn_ref is not null").collect()} == {(a, f"{w}-0000000{k}") for a, w in ((1, "TXN"), (2, "REF")) for k in (2, 3, 4)}
+    # a hook that knows nothing of a chunk but its document and text
+    own = Hooks(entities=lambda chunks: rule_entities(chunks.select("doc_id", "chunk_index", "text")))
+    one = audit(Engine(spark, own), frame.where("audit_id = 1"))
+    assert one.snapshot.collect() == out.snapshot.where("audit_id = 1").collect()
+
+
+def test_only_what_may_be_a_reference_is_cut(spark):
+    """Every substring of a reference's length was moved to the references."""
+    refs = ["7", "A-1", "TXN-000041", "TXN-000042", "77", "فاتورة"]
+    lines = ["CTR-2024-0041 paid by TXN-000041", "nothing of TXN-000042", "a1 CTR 2024 0041", "ctr20240041 7", "TXN-00004 CTR-2024-0041"]
+    core = lambda x: re.sub("[^a-z0-9]+", "", x.lower())
+    want = {r for r in refs for x in lines if "ctr20240041" in core(x) and core(r) and core(r) in core(x)}
+    frames = spark.createDataFrame([(1, x) for x in lines], "audit_id long, line string"), spark.createDataFrame([(1, "ctr20240041")], "audit_id long, core string"), spark.createDataFrame([(1, r) for r in refs], "audit_id long, txn_ref string")
+    found = S.linked_refs(*frames)
+    assert {r.txn_ref for r in found.collect()} == want and want == {"7", "A-1", "TXN-000041"}
+    assert "array_contains" in found._jdf.queryExecution().optimizedPlan().toString()
