@@ -49,10 +49,11 @@ class Engine:
     def checklist(self, documents: DataFrame) -> DataFrame:
         return state.checklist(documents, self.spark)
 
-    def adjudicate(self, checks: DataFrame, documents: DataFrame, hits: DataFrame) -> DataFrame:
-        """The findings of an audit's checks (audit_id, check_no, check_type) out of what was found for each (audit_id, check_no, doc_id, position, page, text)."""
+    def adjudicate(self, checks: DataFrame, documents: DataFrame, hits: DataFrame, most: int | None = adjudication.ASKED, partitions: int | None = None) -> DataFrame:
+        """The findings of an audit's checks (audit_id, check_no, check_type) out of what was found for each (audit_id, check_no, doc_id, position, page, text). most: how many
+        snippets of a check are handed on, unless told as many as a model is asked about at once; None hands on all, which rules can do with. partitions: how many the hits are dealt to."""
         asked = control.dispatch(checks, documents).where("action = 'adjudicate'")
-        return self.hooks.adjudicate(asked, adjudication.snippets_of(hits, documents))
+        return self.hooks.adjudicate(asked, adjudication.snippets_of(hits, documents, most, partitions))
 
     def replan(self, prior: DataFrame, fresh: DataFrame, found: DataFrame, documents: DataFrame, least_checks: int = 4, passes: int = 1) -> DataFrame:
         """One more pass of planning for audits with two documents, no finding and few checks, after fewer than two passes."""

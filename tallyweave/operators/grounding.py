@@ -107,12 +107,14 @@ def merged_conflicts(of_findings: DataFrame, of_graph: DataFrame, most: int = 30
     return kept.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most).drop("position", "source").withColumnRenamed("rn", "position")
 
 
-def snippets(hits: DataFrame, most: int = 14, chars: int = 180, least: int = 1) -> DataFrame:
-    """The first hits of a check, by position, with different document and head of text; a check with fewer than least has none."""
-    first = Window.partitionBy("audit_id", "check_no", "doc_id", F.substring("text", 1, chars)).orderBy("position")
+def snippets(hits: DataFrame, most: int | None = 14, chars: int | None = 180, least: int = 1) -> DataFrame:
+    """The first hits of a check, by position, with different document and head of text; a check with fewer than least has none. most None: all of them; chars None: texts are told
+    apart as a whole."""
+    first = Window.partitionBy("audit_id", "check_no", "doc_id", F.col("text") if chars is None else F.substring("text", 1, chars)).orderBy("position")
     rows = hits.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
     check = Window.partitionBy("audit_id", "check_no")
-    out = rows.withColumn("snippet_no", F.row_number().over(check.orderBy("position", "doc_id"))).where(F.col("snippet_no") <= most)
+    out = rows.withColumn("snippet_no", F.row_number().over(check.orderBy("position", "doc_id")))
+    out = out if most is None else out.where(F.col("snippet_no") <= most)
     return out if least <= 1 else out.withColumn("rn", F.count("*").over(check)).where(F.col("rn") >= least).drop("rn")
 
 

@@ -36,7 +36,7 @@ def pages(spark, d):
     return page(o, "contract", contract).union(page(billed, "bill", invoice)).union(bank)
 
 
-#: Orders, of which each has two pages or so, to a partition of pages.
+#: Orders, of which each has two pages or so, to a partition of pages; pages, of which each is a hit of two checks, to one of hits.
 ORDERS = 100_000
 
 
@@ -67,7 +67,7 @@ def audit_reports(spark, d):
 @query(
     """WITH o AS (SELECT o_custkey AS audit_id, o_orderkey AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS price, o_orderkey IN (SELECT l_orderkey FROM lineitem) AS billed, o_custkey IN (SELECT user_id FROM events) AS banked FROM orders WHERE o_custkey IS NOT NULL),
 s AS (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY k, kind) AS n, count(*) OVER (PARTITION BY audit_id) AS docs FROM (SELECT audit_id, k, price, billed, banked, 0 AS kind FROM o UNION ALL SELECT audit_id, k, price, billed, banked, 1 FROM o WHERE billed)),
-p AS (SELECT a.audit_id, a.k, a.n, a.banked, a.price, a.price + 100 AS total FROM s a JOIN s b ON b.k = a.k AND a.kind = 0 AND b.kind = 1 AND b.n <= 14 WHERE a.k % 7 = 0 AND 100 > (a.price + 100) * 0.0001 + 0.01),
+p AS (SELECT a.audit_id, a.k, a.n, a.banked, a.price, a.price + 100 AS total FROM s a JOIN s b ON b.k = a.k AND a.kind = 0 AND b.kind = 1 WHERE a.k % 7 = 0 AND 100 > (a.price + 100) * 0.0001 + 0.01),
 d AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY audit_id, price ORDER BY n) = 1),
 c AS (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY n) AS f FROM d)
 SELECT audit_id, 'check:' || check_no || ':' || f AS finding_id, CASE WHEN 100 / CAST(total AS DOUBLE) >= 0.05 THEN 'critical' ELSE 'warning' END AS severity, 'contract-' || k AS source_doc_id, 'bill-' || k AS conflicting_doc_id,
@@ -75,7 +75,7 @@ SELECT audit_id, 'check:' || check_no || ':' || f AS finding_id, CASE WHEN 100 /
 FROM c, (VALUES (1), (4)) v(check_no) WHERE f <= CASE WHEN check_no = 1 AND banked THEN 1 ELSE 4 END"""
 )
 def checklist_findings(spark, d):
-    """What rules find for two checks of every audit in the text of its documents, by order of their numbers; statements come last."""
+    """What rules find for two checks of every audit in the text of all its documents, by order of their numbers; statements come last."""
     rows = stored(pages(spark, d), "pages")  # read for checks, documents and hits
     number = F.coalesce(F.regexp_extract("doc_id", "^(?:contract|bill)-([0-9]+)$", 1).try_cast("long") * 2 + F.startswith("doc_id", F.lit("bill")).cast("long"), F.lit(2**62))
     kinds = {"contract": "contract", "bill": "invoice", "bank": "bank_statement"}
@@ -83,5 +83,5 @@ def checklist_findings(spark, d):
     two = F.array(*(F.struct(F.lit(n).alias("check_no"), F.lit(t).alias("check_type"), F.lit(i).alias("intents")) for n, t, i in ((1, "amount_match", "bank_contract_recon"), (4, "cross_doc_consistency", "generic"))))
     checks = docs.select("audit_id").distinct().select("audit_id", F.inline(two))
     hits = rows.withColumn("position", number).withColumn("check_no", F.explode(F.array(F.lit(1), F.lit(4))))
-    found = Engine(spark).adjudicate(checks, docs, hits)
+    found = Engine(spark).adjudicate(checks, docs, hits, None, dealing.partitions(rows, ORDERS))
     return found.select("audit_id", "finding_id", "severity", "source_doc_id", "conflicting_doc_id", F.col("evidence")[0].alias("first"))
